@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import fingerprints
+from . import chat, fingerprints, mixing
 
-QUERIES = {"op4_fingerprints": fingerprints.op4_fingerprints}
+QUERIES = {"op1_chat": chat.op1_chat, "op4_fingerprints": fingerprints.op4_fingerprints, "op6_mixing": mixing.op6_mixing}
 ORACLE_SQL: dict[str, str] = {}
