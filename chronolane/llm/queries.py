@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, fingerprints, jaccard, mixing, toxicity
+from . import chat, decontamination, fingerprints, jaccard, mixing, pii, toxicity
 
-QUERIES = {"op1_chat": chat.op1_chat, "op2_jaccard": jaccard.op2_jaccard, "op4_fingerprints": fingerprints.op4_fingerprints, "op6_mixing": mixing.op6_mixing, "op7_toxicity": toxicity.op7_toxicity}
+QUERIES = {"op1_chat": chat.op1_chat, "op2_jaccard": jaccard.op2_jaccard, "op4_fingerprints": fingerprints.op4_fingerprints, "op6_mixing": mixing.op6_mixing, "op7_toxicity": toxicity.op7_toxicity, "op8_pii": pii.op8_pii, "op9_decontamination": decontamination.op9_decontamination}
 ORACLE_SQL: dict[str, str] = {}
