@@ -22,6 +22,7 @@ from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -208,5 +209,22 @@ def contaminated(docs: DataFrame, items: DataFrame, least: float = LEAST, overla
     return out if out is not None else rows.sparkSession.createDataFrame([], "doc_id long, item_id long, passage long, score double, question_overlap double, answer_overlap double")
 
 
+def _leak_test(indexes: list[Index], step: int, least: float, overlap: float):
+    @F.pandas_udf("boolean")
+    def leaks(texts: pd.Series) -> pd.Series:
+        return pd.Series([bool(t) and any(True for _ in _hits_in(words_of(t), indexes, step, least, overlap)) for t in texts], dtype=bool)
+
+    return leaks
+
+
+def without_leaks(docs: DataFrame, items: DataFrame, least: float = LEAST, overlap: float = OVERLAP) -> DataFrame:
+    """The rows of ``docs`` that hold no item; judged row by row, so ids play no part."""
+    for indexes in _indexes(items):
+        step = max(32, *(len(q) + len(a) for i in indexes for q, a in i.parts))
+
+        docs = docs.filter(~_leak_test(indexes, step, least, overlap)("text"))
+    return docs
+
+
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
