@@ -1,4 +1,9 @@
 """The registered queries over the supplied tables and the SQL for the same results."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
+from __future__ import annotations
+
+from chronolane.queries import matching
+
+_MODULES = (matching,)
+QUERIES = {name: run for module in _MODULES for name, run in module.QUERIES.items()}
+ORACLE_SQL = {name: sql for module in _MODULES for name, sql in module.SQL.items()}
