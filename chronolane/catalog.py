@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from chronolane.queries import matching
+from chronolane.queries import matching, splitting
 
-_MODULES = (matching,)
+_MODULES = (matching, splitting)
 QUERIES = {name: run for module in _MODULES for name, run in module.QUERIES.items()}
 ORACLE_SQL = {name: sql for module in _MODULES for name, sql in module.SQL.items()}
