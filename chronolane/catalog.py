@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from chronolane.queries import matching, splitting, timelines
+from chronolane.queries import matching, reporting, sequences, splitting, timelines
 
-_MODULES = (matching, splitting, timelines)
+_MODULES = (matching, splitting, timelines, sequences, reporting)
 QUERIES = {name: run for module in _MODULES for name, run in module.QUERIES.items()}
 ORACLE_SQL = {name: sql for module in _MODULES for name, sql in module.SQL.items()}
