@@ -24,16 +24,15 @@ def overlap_windows(spans: DataFrame, key: str, low: str, high: str, size: int =
     """
     length = F.col(high) - F.col(low)
     rows = spans.filter(length > 0)
-    # Window i >= 1 starts at low + context + (i - 1) * keep - context; the first that would pass the end is the last.
-    last = F.when(length <= size, 0).otherwise(F.greatest(F.lit(1), F.ceil((length - size) / keep).cast("int") + 1))
+    # Window i >= 1 keeps from low + context + (i - 1) * keep; the first whose end would pass the span is the last.
+    last = F.when(length <= size, 0).otherwise(F.floor((length - size) / keep).cast("int") + 2)
     each = rows.withColumn("_len", length).withColumn("_last", last).withColumn("n", F.explode(F.sequence(F.lit(0), F.col("_last"))))
     keep_start = F.when(F.col("n") == 0, F.col(low)).otherwise(F.col(low) + context + (F.col("n") - 1) * keep)
     ideal = keep_start - context
     over = ideal + size > F.col(high)
     start = F.when(F.col("n") == 0, F.col(low)).when(over, F.col(high) - size).otherwise(ideal)
     keep_end = F.when(F.col("_last") == 0, F.col(high)).when(F.col("n") == 0, F.col(low) + context).when(over, F.col(high)).otherwise(keep_start + keep)
-    out = each.select(key, "n", start.alias("start"), (start + size).alias("end"), keep_start.alias("keep_start"), keep_end.alias("keep_end"), F.col(high).alias("_h"))
-    return out.filter("keep_start < _h").drop("_h")
+    return each.select(key, "n", start.alias("start"), (start + size).alias("end"), keep_start.alias("keep_start"), keep_end.alias("keep_end"))
 
 
 def window_tokens(events: DataFrame, windows: DataFrame, key: str, bar: str, framing: int = 3) -> DataFrame:

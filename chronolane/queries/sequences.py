@@ -285,9 +285,9 @@ _SPAN = "sp AS (SELECT doc_id, doc_id % 9 AS low, doc_id % 9 + n_chars // 100 AS
 
 
 def _windows(spans: str, key: str) -> str:
-    return f"""wn AS (SELECT {key}, low, high, unnest(range(0, CASE WHEN high - low <= 16 THEN 1 ELSE greatest(1, CAST(ceil((high - low - 16) / 4.0) AS BIGINT) + 1) + 1 END)) AS n FROM {spans} WHERE high > low),
+    return f"""wn AS (SELECT {key}, low, high, unnest(range(0, CASE WHEN high - low <= 16 THEN 1 ELSE (high - low - 16) // 4 + 3 END)) AS n FROM {spans} WHERE high > low),
 wk AS (SELECT *, CASE WHEN n = 0 THEN low ELSE low + 8 + (n - 1) * 4 END AS keep_start, CASE WHEN n = 0 THEN low ELSE low + (n - 1) * 4 END AS ideal FROM wn),
-w AS (SELECT {key}, n, CASE WHEN n > 0 AND ideal + 16 > high THEN high - 16 ELSE ideal END AS start, keep_start, CASE WHEN high - low <= 16 THEN high WHEN n = 0 THEN low + 8 WHEN ideal + 16 > high THEN high ELSE keep_start + 4 END AS keep_end FROM wk WHERE keep_start < high)"""
+w AS (SELECT {key}, n, CASE WHEN n > 0 AND ideal + 16 > high THEN high - 16 ELSE ideal END AS start, keep_start, CASE WHEN high - low <= 16 THEN high WHEN n = 0 THEN low + 8 WHEN ideal + 16 > high THEN high ELSE keep_start + 4 END AS keep_end FROM wk)"""
 
 
 _ESP = "es AS (SELECT user_id, min(bar) AS low, max(bar) + 1 AS high FROM p GROUP BY ALL)"
