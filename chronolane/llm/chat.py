@@ -158,3 +158,21 @@ def op1_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations").select("conv_id", F.col("turn").cast("long").alias("turn"), "role", "text")
     probe = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(PROBE).alias("text"))
     return read_back(format_chats(turns.unionByName(probe)))
+
+
+OP1_SQL = r"""
+WITH t AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok' UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'
+), o AS (
+  SELECT *, row_number() OVER w - 1 AS n, lag(role) OVER w AS prev FROM t WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text)
+), s AS (
+  SELECT *, CASE WHEN prev = 'user' THEN role = 'assistant' WHEN prev IN ('system', 'assistant') THEN role = 'user' ELSE role IN ('system', 'user') END AS fine,
+    CASE role WHEN 'system' THEN 6 WHEN 'user' THEN 4 WHEN 'assistant' THEN 9 ELSE 1 + length(regexp_replace(role, '(\\|### |</turn>|:)', '~\1', 'g')) END AS label,
+    length(regexp_replace(text, '(\\|### |</turn>)', '~\1', 'g')) AS escaped FROM o
+)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY n)) AS turns_sha256,
+  CAST(coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0) AS BIGINT) AS loss_chars, sha256(coalesce(string_agg(text, '' ORDER BY n) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+  CAST(sum(4 + label + 2 + escaped + 9) AS BIGINT) AS formatted_chars, bool_and(fine) AND max_by(role, n) IN ('system', 'assistant') AS valid, min(n) FILTER (WHERE NOT fine) AS first_wrong_turn
+FROM s GROUP BY conv_id
+"""

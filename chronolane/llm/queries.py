@@ -5,4 +5,4 @@ from __future__ import annotations
 from . import chat, decontamination, fingerprints, jaccard, licenses, mixing, pii, toxicity, urls, warc
 
 QUERIES = {"op1_chat": chat.op1_chat, "op2_jaccard": jaccard.op2_jaccard, "op3_urls": urls.op3_urls, "op4_fingerprints": fingerprints.op4_fingerprints, "op5_warc": warc.op5_warc, "op6_mixing": mixing.op6_mixing, "op7_toxicity": toxicity.op7_toxicity, "op8_pii": pii.op8_pii, "op9_decontamination": decontamination.op9_decontamination, "op10_licenses": licenses.op10_licenses}
-ORACLE_SQL = {"op5_warc": warc.OP5_SQL}
+ORACLE_SQL = {"op1_chat": chat.OP1_SQL, "op2_jaccard": jaccard.OP2_SQL, "op5_warc": warc.OP5_SQL}
