@@ -70,3 +70,32 @@ def split_accuracy(df: DataFrame, gold: str, predicted: str, by: list[str]) -> D
     lane = F.col("x.g") == F.col("x.p")
     n = lambda d: F.count_if(F.col("x.g") == d)
     return rows.groupBy(*by).agg(F.avg(F.col("row").cast("double")).alias("row_accuracy"), F.avg(lane.cast("double")).alias("lane_accuracy"), F.when(n("1") > 0, F.count_if(lane & (F.col("x.g") == "1")) / n("1")).alias("tap_recall"), F.when(n("2") > 0, F.count_if(lane & (F.col("x.g") == "2")) / n("2")).alias("start_recall"))
+
+
+def row_marginals(df: DataFrame, key: str, x: str, allowed: str, facts: DataFrame, fact_id: str, heads: str, most: int = 4) -> DataFrame:
+    """(key, p_0.., expected): probability of each number of heads among allowed ids. ``facts`` is the vocabulary, one row an id."""
+    each = df.select(key, F.posexplode(x).alias("i", "v"), allowed).filter(F.array_contains(allowed, F.col("i"))).select(key, "i", "v")
+    top = each.groupBy(key).agg(F.max("v").alias("top"))
+    weights = each.join(top, key).withColumn("w", F.exp(F.col("v") - F.col("top"))).join(F.broadcast(facts.select(F.col(fact_id).alias("i"), F.col(heads).alias("h"))), "i")
+    total = F.sum("w")
+    return weights.groupBy(key).agg(*[(F.sum(F.when(F.col("h") == k, F.col("w")).otherwise(0.0)) / total).alias(f"p_{k}") for k in range(most + 1)], (F.sum(F.col("w") * F.col("h")) / total).alias("expected"))
+
+
+def trace_summary(df: DataFrame, by: list[str], skipped: str, extra: str, rank: str) -> DataFrame:
+    """Per trace: steps, steps with skipped or extra references, runs of such steps are counted as blocks, median rank."""
+    from pyspark.sql import Window
+
+    order = Window.partitionBy(*by).orderBy("step")
+    bad = (F.col(skipped) > 0) | (F.col(extra) > 0)
+    rows = df.withColumn("_bad", bad).withColumn("_new", bad & ~F.coalesce(F.lag(bad).over(order), F.lit(False)))
+    return rows.groupBy(*by).agg(F.count("*").alias("steps"), F.count_if(F.col(skipped) > 0).alias("skipping"), F.count_if(F.col(extra) > 0).alias("extra"), F.count_if("_new").alias("blocks"), F.percentile(rank, 0.5).alias("median_rank"))
+
+
+def aligned_pairs(a: DataFrame, b: DataFrame, position: list[str], same: list[str]) -> DataFrame:
+    """Two traces by position; a position where they differ in ``same``, or that one lacks, is an error when read."""
+    left = a.select(*position, F.struct(*a.columns).alias("a"))
+    right = b.select(*position, F.struct(*b.columns).alias("b"))
+    ok = F.col("a").isNotNull() & F.col("b").isNotNull()
+    for c in same:
+        ok = ok & F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}"))
+    return left.join(right, position, "full").filter(F.when(ok, F.lit(True)).otherwise(F.raise_error(F.lit("traces don't align"))).cast("boolean"))

@@ -117,3 +117,44 @@ def hold_ratios(rows: DataFrame, chart: str, row: str) -> DataFrame:
     notes = F.sum(taps + holds)
     out = rows.groupBy(chart).agg(F.when(notes > 0, F.sum(holds) / notes).otherwise(0.0).alias("ln_ratio"), F.avg(((taps > 0) & (holds > 0)).cast("double")).alias("hybrid_ratio"))
     return out.withColumn("mode", F.when(F.col("ln_ratio") <= 0.1, "RC").when(F.col("ln_ratio") >= 0.9, "LN").when(F.col("hybrid_ratio") > 0.1, "HB").otherwise("Mix"))
+
+
+class Ahead:
+    """The rows from a row on, as columns: ``w.notes(k)`` is k rows later."""
+
+    def __init__(self, chart: str, t: str) -> None:
+        self.window = Window.partitionBy(chart).orderBy(t)
+
+    def __getattr__(self, name: str):
+        return lambda k=0: F.lead(name, k).over(self.window) if k else F.col(name)
+
+    def every(self, name: str, value: object, *rows: int):
+        return reduce(lambda a, b: a & b, [getattr(self, name)(k) == value for k in rows])
+
+    def shared(self, *rows: int):
+        """Lanes that all these rows play."""
+        return reduce(F.array_intersect, [self.raw(k) for k in rows])
+
+
+#: Sub-patterns of four lanes: core pattern, name, rows that they span, and the test on the rows ahead.
+SPECIFIC = (
+    ("stream", "Rolls", 3, lambda w: w.every("notes", 1, 0, 1, 2) & (w.every("direction", "left", 0, 1, 2) | w.every("direction", "right", 0, 1, 2))),
+    ("stream", "Trills", 4, lambda w: w.every("jacks", 0, 1, 2, 3) & (w.raw(0) == w.raw(2)) & (w.raw(1) == w.raw(3))),
+    ("stream", "Minitrills", 4, lambda w: w.every("jacks", 0, 1, 2) & (w.raw(0) == w.raw(2)) & (w.raw(1) != w.raw(3))),
+    ("chordstream", "Handstream", 4, lambda w: (w.notes() == 3) & w.every("jacks", 0, 0, 1, 2, 3)),
+    ("chordstream", "Split Trill", 3, lambda w: w.every("notes", 2, 0, 1, 2) & w.every("jacks", 0, 1, 2) & w.every("roll", False, 1, 2)),
+    ("chordstream", "Jumptrill", 4, lambda w: w.every("notes", 2, 0, 1, 2, 3) & w.every("roll", True, 1, 2, 3)),
+    ("chordstream", "Jumpstream", 4, lambda w: (w.notes() == 2) & (w.notes(1) == 1) & (w.notes(2) < 3) & (w.notes(3) < 3) & w.every("jacks", 0, 0, 1, 2, 3)),
+    ("jacks", "Longjacks", 5, lambda w: reduce(lambda a, b: a & b, [w.jacks(k) > 0 for k in range(5)]) & (F.size(w.shared(0, 1, 2, 3, 4)) > 0)),
+    ("jacks", "Quadstream", 4, lambda w: (w.notes() == 4) & w.every("jacks", 0, 2, 3)),
+    ("jacks", "Gluts", 3, lambda w: w.every("jacks", 1, 1, 2) & (F.size(w.shared(0, 1, 2)) == 0)),
+    ("jacks", "Chordjacks", 2, lambda w: (w.notes() > 2) & (w.notes(1) > 1) & (w.jacks(1) >= 1) & ((w.notes(1) < w.notes()) | (w.jacks(1) < w.notes(1)))),
+    ("jacks", "Minijacks", 2, lambda w: (w.jacks() > 0) & (w.jacks(1) == 0)),
+)
+
+
+def specific_patterns(primitives: DataFrame, chart: str, t: str, rules: tuple = SPECIFIC) -> DataFrame:
+    """(chart, t, core, name, length): every sub-pattern that starts at a row. Rules are data; a caller may pass more."""
+    w = Ahead(chart, t)
+    found = [F.when(F.coalesce(test(w), F.lit(False)), F.struct(F.lit(core).alias("core"), F.lit(name).alias("name"), F.lit(n).alias("length"))) for core, name, n, test in rules]
+    return primitives.withColumn("_f", F.filter(F.array(*found), lambda x: x.isNotNull())).select(chart, t, F.inline("_f"))

@@ -197,3 +197,36 @@ def pattern_levels(df: DataFrame, fields: list[str]) -> DataFrame:
     agg = long.groupBy("field").agg(F.percentile(positive, F.array(F.lit(0.25), F.lit(0.75))).alias("q"), F.count(positive).alias("positive"))
     levels = F.array_distinct(F.array_sort(F.concat(F.array(F.lit(0.0)), F.coalesce("q", F.array().cast("array<double>")))))
     return agg.select("field", levels.alias("levels"), "positive")
+
+
+def shift_response(df: DataFrame, chart: str, offset: str, value: str, draws: int = 200) -> DataFrame:
+    """Per offset: description of chart means, and the interval of their paired difference to offset 0."""
+    values = chart_values(df, chart, F.col(value), [offset])
+    baseline = values.filter(F.col(offset) == 0).select(chart, F.col("value").alias("_base"))
+    shifted = values.join(baseline, chart).withColumn("_difference", F.col("value") - F.col("_base"))
+    intervals = mean_interval(shifted, chart, "_difference", [offset], draws).withColumnsRenamed({"n": "pairs", "mean": "shift_mean", "low": "shift_low", "high": "shift_high"})
+    return describe_values(values, "value", [offset]).join(intervals, offset, "left")
+
+
+def distribution(df: DataFrame, chart: str, parts: dict[str, Column]) -> DataFrame:
+    """(chart, part, key, n): counts of several keys of each row in one pass; summed over charts they merge."""
+    each = F.array(*[F.struct(F.lit(name).alias("part"), key.cast("string").alias("key")) for name, key in parts.items()])
+    return df.select(chart, F.inline(each)).filter("key IS NOT NULL").groupBy(chart, "part", "key").agg(F.count("*").alias("n"))
+
+
+def merge_distributions(counts: DataFrame) -> DataFrame:
+    """(part, key, n, charts): counts added over charts."""
+    return counts.groupBy("part", "key").agg(F.sum("n").alias("n"), F.count("*").alias("charts"))
+
+
+def merged_totals(df: DataFrame, totals: list[str]) -> DataFrame:
+    """Sums of per-chart totals; one that a chart lacks is null as a whole."""
+    return df.agg(*[F.when(F.count(t) == F.count("*"), F.sum(t)).alias(t) for t in totals])
+
+
+def threshold_choice(matches: DataFrame, threshold: str) -> DataFrame:
+    """The threshold with the best micro f1, then precision, then the lowest."""
+    from .match import micro
+
+    best = F.max_by(F.struct(threshold, "precision", "recall", "f1"), F.struct("f1", "precision", -F.col(threshold)))
+    return micro(matches, [threshold]).agg(best.alias("b")).select("b.*")

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from chronolane.operators import logits, motif, patterns, tokens
+from chronolane.operators import logits, motif, patterns, stats, tokens
 from chronolane.plans import windows
 
 from .base import EVENTS, events, rounded, table
@@ -138,6 +138,31 @@ def core_patterns(spark, sf_dir):
     return rounded(patterns.core_patterns(_primitives(spark, sf_dir), "user_id", "tick"))
 
 
+def specific_patterns(spark, sf_dir):
+    return rounded(patterns.specific_patterns(_primitives(spark, sf_dir), "user_id", "tick"))
+
+
+def endpoint_distribution(spark, sf_dir):
+    rows = _placed(spark, sf_dir)
+    parts = {"position": F.col("pos"), "lane_kind": F.concat_ws(":", "lane", "kind"), "hold": F.when(F.col("kind") != "tap", F.col("event_type"))}
+    return stats.merge_distributions(stats.distribution(rows, "user_id", parts))
+
+
+def shift_response(spark, sf_dir):
+    rows = table(spark, sf_dir, "lineitem").select("l_suppkey", (F.col("l_linenumber") - 1).alias("shift"), "l_discount")
+    return rounded(stats.shift_response(rows, "l_suppkey", "shift", "l_discount", draws=20).select("shift", "count", "mean", "p10", "p50", "p90", "min", "max", "pairs", "shift_mean"))
+
+
+def row_marginals(spark, sf_dir):
+    facts = spark.range(16).select(F.col("id").alias("code"), F.bit_count("id").alias("heads"))
+    return rounded(logits.row_marginals(_traces(spark, sf_dir), "vec_id", "x", "allowed", facts, "code", "heads"))
+
+
+def trace_summary(spark, sf_dir):
+    rows = events(spark, sf_dir).select("user_id", F.col("event_id").alias("step"), F.when(F.col("event_type") == "error", 1).when(F.col("event_type") == "signup", 2).otherwise(0).alias("skipped"), (F.col("lane") == 3).cast("int").alias("extra"), F.col("value").alias("rank"))
+    return rounded(logits.trace_summary(rows, ["user_id"], "skipped", "extra", "rank"))
+
+
 def _clusters(spark, sf_dir) -> DataFrame:
     return patterns.tempo_clusters(patterns.found_patterns(_primitives(spark, sf_dir), "user_id", "tick"), "user_id")
 
@@ -322,6 +347,25 @@ SELECT user_id, tick, 'stream' AS pattern, 5::BIGINT AS length FROM a WHERE note
 UNION ALL SELECT user_id, tick, 'jacks', 1 FROM a WHERE jacks > 1 AND delta < 2000
 UNION ALL SELECT user_id, tick, 'chordstream', 4 FROM a WHERE notes > 1 AND jacks + j1 + j2 + j3 = 0 AND (n1 > 1 OR n2 > 1 OR n3 > 1)
 UNION ALL SELECT user_id, tick, 'coordination', 1 FROM a WHERE heads > 0 OR bodies > 0 OR tails > 0""",
+    "specific_patterns": f"""WITH {_PRIM}, a AS (SELECT *, """ + ", ".join(f"lead({c}, {k}) OVER w AS {c}{k}" for c in ("raw", "notes", "jacks", "direction", "roll") for k in (1, 2, 3, 4)) + """ FROM q WINDOW w AS (PARTITION BY user_id ORDER BY tick)), n AS (
+SELECT *, [
+  CASE WHEN notes = 1 AND notes1 = 1 AND notes2 = 1 AND direction IN ('left', 'right') AND direction = direction1 AND direction = direction2 THEN 'stream|Rolls|3' END,
+  CASE WHEN jacks1 + jacks2 + jacks3 = 0 AND raw = raw2 AND raw1 = raw3 THEN 'stream|Trills|4' END,
+  CASE WHEN jacks1 + jacks2 = 0 AND raw = raw2 AND raw1 <> raw3 THEN 'stream|Minitrills|4' END,
+  CASE WHEN notes = 3 AND jacks + jacks1 + jacks2 + jacks3 = 0 THEN 'chordstream|Handstream|4' END,
+  CASE WHEN notes = 2 AND notes1 = 2 AND notes2 = 2 AND jacks1 + jacks2 = 0 AND NOT roll1 AND NOT roll2 THEN 'chordstream|Split Trill|3' END,
+  CASE WHEN notes = 2 AND notes1 = 2 AND notes2 = 2 AND notes3 = 2 AND roll1 AND roll2 AND roll3 THEN 'chordstream|Jumptrill|4' END,
+  CASE WHEN notes = 2 AND notes1 = 1 AND notes2 < 3 AND notes3 < 3 AND jacks + jacks1 + jacks2 + jacks3 = 0 THEN 'chordstream|Jumpstream|4' END,
+  CASE WHEN jacks > 0 AND jacks1 > 0 AND jacks2 > 0 AND jacks3 > 0 AND jacks4 > 0 AND len(list_filter(raw, lambda x: list_contains(raw1, x) AND list_contains(raw2, x) AND list_contains(raw3, x) AND list_contains(raw4, x))) > 0 THEN 'jacks|Longjacks|5' END,
+  CASE WHEN notes = 4 AND jacks2 + jacks3 = 0 THEN 'jacks|Quadstream|4' END,
+  CASE WHEN jacks1 = 1 AND jacks2 = 1 AND len(list_filter(raw, lambda x: list_contains(raw1, x) AND list_contains(raw2, x))) = 0 THEN 'jacks|Gluts|3' END,
+  CASE WHEN notes > 2 AND notes1 > 1 AND jacks1 >= 1 AND (notes1 < notes OR jacks1 < notes1) THEN 'jacks|Chordjacks|2' END,
+  CASE WHEN jacks > 0 AND jacks1 = 0 THEN 'jacks|Minijacks|2' END] AS f FROM a), u AS (SELECT user_id, tick, unnest(f) AS x FROM n)
+SELECT user_id, tick, split_part(x, '|', 1) AS core, split_part(x, '|', 2) AS name, split_part(x, '|', 3)::BIGINT AS length FROM u WHERE x IS NOT NULL""",
+    "endpoint_distribution": f"WITH {_P}, d AS (SELECT user_id, 'position' AS part, CAST(pos AS VARCHAR) AS key FROM p UNION ALL SELECT user_id, 'lane_kind', lane || ':' || kind FROM p UNION ALL SELECT user_id, 'hold', event_type FROM p WHERE kind <> 'tap') SELECT part, key, count(*) AS n, count(DISTINCT user_id) AS charts FROM d GROUP BY ALL",
+    "shift_response": "WITH v AS (SELECT l_suppkey, l_linenumber::BIGINT - 1 AS shift, avg(l_discount) AS v FROM lineitem GROUP BY ALL), b AS (SELECT l_suppkey, v AS base FROM v WHERE shift = 0) SELECT shift, count(v) AS count, round(avg(v), 6) AS mean, round(quantile_cont(v, 0.1), 6) AS p10, round(quantile_cont(v, 0.5), 6) AS p50, round(quantile_cont(v, 0.9), 6) AS p90, round(min(v), 6) AS min, round(max(v), 6) AS max, count(base) AS pairs, round(avg(v - base), 6) AS shift_mean FROM v LEFT JOIN b USING (l_suppkey) GROUP BY ALL",
+    "row_marginals": f"WITH {_X}, w AS (SELECT vec_id, bit_count(i)::BIGINT AS h, exp(v) AS w FROM u WHERE list_contains(allowed, i)) SELECT vec_id, " + ", ".join(f"round(coalesce(sum(w) FILTER (WHERE h = {k}), 0) / sum(w), 6) AS p_{k}" for k in range(5)) + ", round(sum(w * h) / sum(w), 6) AS expected FROM w GROUP BY ALL",
+    "trace_summary": f"WITH r AS (SELECT user_id, event_id, CASE event_type WHEN 'error' THEN 1 WHEN 'signup' THEN 2 ELSE 0 END AS s, lane = 3 AS x, value FROM {EVENTS}), b AS (SELECT *, s > 0 OR x AS bad FROM r), n AS (SELECT *, bad AND NOT coalesce(lag(bad) OVER (PARTITION BY user_id ORDER BY event_id), false) AS fresh FROM b) SELECT user_id, count(*) AS steps, count(*) FILTER (WHERE s > 0) AS skipping, count(*) FILTER (WHERE x) AS extra, count(*) FILTER (WHERE fresh) AS blocks, round(quantile_cont(value, 0.5), 6) AS median_rank FROM n GROUP BY ALL",
     "hold_ratios": f"""WITH {_R}, c AS (SELECT user_id, len(regexp_replace(row, '[^1]', '', 'g')) AS t, len(regexp_replace(row, '[^2]', '', 'g')) AS h FROM r),
 a AS (SELECT user_id, CASE WHEN sum(t + h) > 0 THEN sum(h) / sum(t + h) ELSE 0 END AS l, avg(CASE WHEN t > 0 AND h > 0 THEN 1.0 ELSE 0 END) AS b FROM c GROUP BY ALL)
 SELECT user_id, round(l, 6) AS ln_ratio, round(b, 6) AS hybrid_ratio, CASE WHEN l <= 0.1 THEN 'RC' WHEN l >= 0.9 THEN 'LN' WHEN b > 0.1 THEN 'HB' ELSE 'Mix' END AS mode FROM a""",
@@ -351,7 +395,7 @@ QUERIES = {
     for f in (
         event_rows, active_state, pair_intervals, encode_tokens, decode_tokens, cursor_times, illegal_transitions, pad_sequences, plausibility, adjacent_warnings,
         motif_counts, motif_topk, motif_scopes, motif_distance, vocabulary_counts, length_profile, window_audit, marginals, row_primitives, core_patterns,
-        pattern_clusters, pattern_distribution, hold_ratios, nll_by_type, legal_mass, decision_stats, history_pairs, split_accuracy, bar_windows, overlap_windows,
+        specific_patterns, endpoint_distribution, shift_response, row_marginals, trace_summary, pattern_clusters, pattern_distribution, hold_ratios, nll_by_type, legal_mass, decision_stats, history_pairs, split_accuracy, bar_windows, overlap_windows,
         window_samples, window_tokens, stitch_windows, missing_bars, tail_events, length_windows, pack_batches, length_summary,
     )
 }
