@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import small_batches, table
 
 K1, B = 1.2, 0.75
 #: Share of an item's own score that retrieves it, and of 4-grams of question and answer that confirm it.
@@ -194,7 +194,7 @@ def _hits_in(words: list[str], indexes: list[Index], step: int, least: float, ov
 
 def contaminated(docs: DataFrame, items: DataFrame, least: float = LEAST, overlap: float = OVERLAP) -> DataFrame:
     """(doc_id, item_id, passage, score, question_overlap, answer_overlap): every item that a document holds."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    rows = small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     out = None
     for indexes in _indexes(items):
         step = max(32, *(len(q) + len(a) for i in indexes for q, a in i.parts))
@@ -222,7 +222,7 @@ def without_leaks(docs: DataFrame, items: DataFrame, least: float = LEAST, overl
     for indexes in _indexes(items):
         step = max(32, *(len(q) + len(a) for i in indexes for q, a in i.parts))
 
-        docs = docs.filter(~_leak_test(indexes, step, least, overlap)("text"))
+        docs = small_batches(docs).filter(~_leak_test(indexes, step, least, overlap)("text"))
     return docs
 
 

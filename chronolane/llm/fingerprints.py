@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import shuffle_partitions, table
+from .common import shuffle_partitions, small_batches, table
 
 #: The modulus is 2**31 - 1, so that a product fits in 64 bits; two bases give 62 bits together.
 P = np.uint64((1 << 31) - 1)
@@ -135,7 +135,7 @@ def fingerprints(df: DataFrame, key: str, text: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([h.n for h in made], pa.int64()), pa.array([h.fingerprint() for h in made], pa.string())], ["key", "n_chars", "fingerprint"])
 
     kind = dict(df.dtypes)[key]
-    return df.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInArrow(run, f"key {kind}, n_chars long, fingerprint string").withColumnRenamed("key", key)
+    return small_batches(df).select(F.col(key).alias("key"), F.col(text).alias("text")).mapInArrow(run, f"key {kind}, n_chars long, fingerprint string").withColumnRenamed("key", key)
 
 
 def longest_common_extensions(df: DataFrame, left: str, right: str, left_at: str, right_at: str, out: str = "lce") -> DataFrame:
@@ -194,7 +194,7 @@ def half_edits(docs: DataFrame) -> DataFrame:
     ``near_edited`` and ``near_next`` compare fingerprints; ``lce_edited`` and ``lce_next`` are the common
     beginnings, by binary search. Ties of doc_id go by text; a single document follows itself.
     """
-    df = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
+    df = small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
 
     def judge(a, b) -> tuple:
         (doc_id, text, own, print_a), (_, after, other, print_b) = a, b

@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import small_side, table, write_cut
+from .common import small_batches, small_side, table, write_cut
 from .components import components
 
 BITS = 1024
@@ -41,7 +41,7 @@ BLOCK = 1024
 #: Ratio of the upper ends of neighbouring size bands, and parts over the needed number.
 BAND, SPARE = 1.5, 1.3
 #: Words kept in a task's table of word hashes before it starts anew.
-CACHED = 1 << 20
+CACHED = 1 << 17
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -133,7 +133,7 @@ def features(docs: DataFrame, words: int, num: int, den: int) -> DataFrame:
             lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([*sigs, np.empty(0, np.int64)])))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(bits, pa.binary()), lists], schema=FEATURES)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n long, digest binary, bits binary, sigs array<long>")
+    return small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n long, digest binary, bits binary, sigs array<long>")
 
 
 def _matrix(column: pa.Array) -> np.ndarray:

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import small_batches, table
 
 #: Notices by which licenses are commonly named.
 TEMPLATES = (
@@ -132,7 +132,7 @@ def licenses(docs: DataFrame, templates=TEMPLATES) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True) if rows else [[]] * len(FOUND), FOUND, strict=True)], schema=FOUND)
 
     # Only texts with a key word somewhere leave the JVM.
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter(F.col("text").rlike("(?iU)" + scanner.pattern))
+    rows = small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter(F.col("text").rlike("(?iU)" + scanner.pattern))
     return rows.mapInArrow(run, "doc_id long, license string, coverage double, template long, first_word long, end_word long, notices long")
 
 

@@ -29,7 +29,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, write_cut
+from .common import small_batches, table, write_cut
 
 SAMPLE, LONGEST = 2000, 1 << 15
 #: Words in a window, bytes of the dictionaries' common and toxic part, compression level.
@@ -149,7 +149,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, keep: list[str] | None =
         for texts in batches:
             yield pd.Series(model.logits(texts, compressors))
 
-    scored = write_cut(docs.withColumn("toxic_logit", logit("text")).select(*keep, "toxic_logit"), "toxicity")
+    scored = write_cut(small_batches(docs).withColumn("toxic_logit", logit("text")).select(*keep, "toxic_logit"), "toxicity")
     return scored.withColumn("toxic_score", 1 / (1 + F.exp(F.lit(threshold(scored, labels)) - F.col("toxic_logit")))).drop("toxic_logit")
 
 
