@@ -33,7 +33,9 @@ from .common import small_batches, table, write_cut
 
 SAMPLE, LONGEST = 2000, 1 << 15
 #: Words in a window, bytes of the dictionaries' common and toxic part, compression level.
-WINDOW, ORDINARY, TOXIC, LEVEL = 4, 8192, 2048, 3
+WINDOW, ORDINARY, TOXIC, LEVEL = 2, 8192, 2048, 3
+#: Bytes of ordinary content behind each window: a short window alone would often be stored as it is, whatever the dictionary.
+TAIL = 64
 #: A word is in excess if this share of toxic documents (and four) has it, this many times the ordinary share.
 SHARE, RATIO = 0.01, 5.0
 #: Bins for the choice of the threshold.
@@ -66,13 +68,13 @@ class Model:
         return tuple(made)
 
     def logits(self, texts, compressors) -> np.ndarray:
-        x = np.array([_features(t, *compressors) for t in texts]).reshape(-1, len(self.mean))
+        x = np.array([_features(t, *compressors, self.ordinary[-TAIL:]) for t in texts]).reshape(-1, len(self.mean))
         return ((x - self.mean) / self.scale) @ np.array(self.weights[:-1]) + self.weights[-1]
 
 
-def _features(text: str | None, ordinary, toxic) -> list[float]:
+def _features(text: str | None, ordinary, toxic, tail: bytes) -> list[float]:
     """What the windows' differences say of a document: the largest, their sums, and sums by length."""
-    cut = windows(text)
+    cut = [w + tail for w in windows(text)]
     d = np.fromiter((len(ordinary.compress(w)) - len(toxic.compress(w)) for w in cut), np.float64, len(cut))
     n, much, strong = len(cut), d[d >= 2].sum(), (d >= 4).sum()
     return [d.max(), much / n, much / math.sqrt(n), math.log1p(much), strong / math.sqrt(n), math.log1p(strong), math.log(n), d.mean()]
@@ -100,7 +102,7 @@ def fit(toxic: list[str], ordinary: list[str], seed: int = 7) -> Model | None:
     own = b" ".join([w for w in sorted(excess) if w not in own] + [own])
     model = Model(b"\xff" * len(own) + base, own + base, (0.0,) * 8, (1.0,) * 8, (0.0,) * 9)
     compressors = model.compressors()
-    x = np.array([_features(t, *compressors) for t in toxic + ordinary])
+    x = np.array([_features(t, *compressors, model.ordinary[-TAIL:]) for t in toxic + ordinary])
     y = np.r_[np.ones(len(toxic)), np.zeros(len(ordinary))]
     mean, scale = x.mean(axis=0), x.std(axis=0) + 1e-9
     a = np.c_[(x - mean) / scale, np.ones(len(x))]
