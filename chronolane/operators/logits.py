@@ -6,14 +6,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+def let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once, not again for every element of a lambda around it."""
+    return F.transform(F.array(value), body)[0]
+
+
 def log_sum_exp(x: Column) -> Column:
-    top = F.array_max(x)
-    return top + F.log(F.aggregate(x, F.lit(0.0), lambda a, v: a + F.exp(v - top)))
+    return let(F.array_max(x), lambda top: top + F.log(F.aggregate(x, F.lit(0.0), lambda a, v: a + F.exp(v - top))))
 
 
 def softmax(x: Column, temperature: float = 1.0) -> Column:
     scaled = F.transform(x, lambda v: v / temperature)
-    return F.transform(scaled, lambda v: F.exp(v - log_sum_exp(scaled)))
+    return let(scaled, lambda s: let(log_sum_exp(s), lambda whole: F.transform(s, lambda v: F.exp(v - whole))))
 
 
 def nll(x: Column, gold: Column) -> Column:
@@ -41,16 +45,17 @@ def legal(x: Column, allowed: Column) -> Column:
 
 def decision(x: Column, allowed: Column, gold: Column, temperature: float) -> Column:
     """struct(raw_rank, legal_rank, p, p_t, entropy): rank of the gold id, its probability among allowed ids at two temperatures, entropy."""
-    g = F.element_at(x, (gold + 1).cast("int"))
-    inside = F.filter(x, lambda v, i: F.array_contains(allowed, i))
+    def described(inside: Column) -> Column:
+        g = F.element_at(x, (gold + 1).cast("int"))
+
+        def p(t: float) -> Column:
+            return F.exp(g / t - log_sum_exp(F.transform(inside, lambda v: v / t)))
 
-    def p(t: float) -> Column:
-        scaled = F.transform(inside, lambda v: v / t)
-        return F.exp(g / t - log_sum_exp(scaled))
+        entropy = F.aggregate(softmax(inside), F.lit(0.0), lambda a, q: a - F.when(q > 0, q * F.log(q)).otherwise(0.0))
+        above = lambda values: let(g, lambda gold_value: F.size(F.filter(values, lambda v: v > gold_value)) + 1)
+        return F.struct(above(x).alias("raw_rank"), above(inside).alias("legal_rank"), p(1.0).alias("p"), p(temperature).alias("p_t"), entropy.alias("entropy"))
 
-    probs = softmax(inside)
-    entropy = F.aggregate(probs, F.lit(0.0), lambda a, q: a - F.when(q > 0, q * F.log(q)).otherwise(0.0))
-    return F.struct((F.size(F.filter(x, lambda v: v > g)) + 1).alias("raw_rank"), (F.size(F.filter(inside, lambda v: v > g)) + 1).alias("legal_rank"), p(1.0).alias("p"), p(temperature).alias("p_t"), entropy.alias("entropy"))
+    return let(F.filter(x, lambda v, i: F.array_contains(allowed, i)), described)
 
 
 def history_pairs(a: DataFrame, b: DataFrame, state: list[str], target: str, allowed: str) -> DataFrame:

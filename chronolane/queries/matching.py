@@ -94,7 +94,7 @@ def condition_response(spark, sf_dir):
 
 
 def control_response(spark, sf_dir):
-    return rounded(stats.control_response(table(spark, sf_dir, "lineitem").filter("l_linenumber <= 4"), "l_suppkey", "l_linenumber", "l_extendedprice"), 4)
+    return rounded(stats.control_response(table(spark, sf_dir, "lineitem"), "l_suppkey", "l_linenumber", "l_extendedprice"), 4)
 
 
 def condition_mae(spark, sf_dir):
@@ -224,7 +224,7 @@ SELECT field, count(*) FILTER (WHERE moved) AS pairs, count(*) FILTER (WHERE NOT
   round(avg(abs(target)) FILTER (WHERE moved), 4) AS target_change, round(avg(abs(made)) FILTER (WHERE moved), 4) AS made_change
 FROM z GROUP BY field""",
     "control_response": """
-WITH e AS (SELECT l_suppkey, l_linenumber, avg(l_extendedprice) AS v FROM lineitem WHERE l_linenumber <= 4 GROUP BY ALL),
+WITH e AS (SELECT l_suppkey, l_linenumber, avg(l_extendedprice) AS v FROM lineitem GROUP BY ALL),
 o AS (SELECT *, lag(v) OVER (PARTITION BY l_suppkey ORDER BY l_linenumber) AS p FROM e)
 SELECT l_suppkey, count(*) AS levels, count(*) = (SELECT count(DISTINCT l_linenumber) FROM e) AS complete, round(regr_slope(v, l_linenumber), 4) AS slope,
   coalesce(bool_and(p <= v) FILTER (WHERE p IS NOT NULL), true) AS nondecreasing, round(max_by(v, l_linenumber) - min_by(v, l_linenumber), 4) AS rise FROM o GROUP BY l_suppkey""",

@@ -105,8 +105,7 @@ def motif_distance(spark, sf_dir):
 def vocabulary_counts(spark, sf_dir):
     stepped = _steps(spark, sf_dir)
     vocabulary = motif.motif_keys(stepped, ["user_id"], 2).groupBy("motif").count().orderBy(F.desc("count"), "motif").limit(20).select("motif")
-    one = stepped.filter("user_id % 5 = 0")
-    return motif.vocabulary_counts(one, ["user_id"], vocabulary, [2])
+    return motif.vocabulary_counts(stepped, ["user_id"], vocabulary, [2])
 
 
 def length_profile(spark, sf_dir):
@@ -154,7 +153,7 @@ def shift_response(spark, sf_dir):
 
 
 def row_marginals(spark, sf_dir):
-    facts = spark.range(16).select(F.col("id").alias("code"), F.bit_count("id").alias("heads"))
+    facts = spark.range(64).select(F.col("id").alias("code"), F.bit_count("id").alias("heads"))
     return rounded(logits.row_marginals(_traces(spark, sf_dir), "vec_id", "x", "allowed", facts, "code", "heads"))
 
 
@@ -182,8 +181,8 @@ def hold_ratios(spark, sf_dir):
 
 
 def _traces(spark, sf_dir) -> DataFrame:
-    x = F.transform(F.slice("embedding", 1, 16), lambda v: v.cast("double"))
-    return table(spark, sf_dir, "embeddings").select("vec_id", x.alias("x"), F.col("label").cast("long").alias("gold"), F.filter(F.sequence(F.lit(0), F.lit(15)), lambda i: F.pmod(F.col("vec_id") + i, F.lit(3)) > 0).alias("allowed"))
+    x = F.transform("embedding", lambda v: v.cast("double"))
+    return table(spark, sf_dir, "embeddings").select("vec_id", x.alias("x"), F.col("label").cast("long").alias("gold"), F.filter(F.sequence(F.lit(0), F.size("embedding") - 1), lambda i: F.pmod(F.col("vec_id") + i, F.lit(3)) > 0).alias("allowed"))
 
 
 def nll_by_type(spark, sf_dir):
@@ -200,8 +199,10 @@ def decision_stats(spark, sf_dir):
 
 
 def history_pairs(spark, sf_dir):
-    a = _traces(spark, sf_dir).select((F.col("vec_id") % 50).alias("state"), F.col("vec_id").alias("id"), F.lit(1).alias("gold"), F.lit(0).alias("allowed"))
-    return logits.history_pairs(a.filter("id < 100"), a.filter("id >= 100"), ["state"], "gold", "allowed").select("state", "a_id", "b_id")
+    """Even and odd vectors are two traces over the same states."""
+    a = _traces(spark, sf_dir).select(F.floor(F.col("vec_id") / 2).alias("state"), F.col("vec_id").alias("id"), F.lit(1).alias("gold"), F.lit(0).alias("allowed"))
+    sides = [a.filter(F.pmod("id", F.lit(2)) == k) for k in (0, 1)]
+    return logits.history_pairs(*sides, ["state"], "gold", "allowed").select("state", "a_id", "b_id")
 
 
 def split_accuracy(spark, sf_dir):
@@ -305,7 +306,7 @@ q AS (SELECT user_id, tick, delta::DOUBLE AS delta, CAST(len(raw) AS BIGINT) AS
   CASE WHEN NOT has THEN 'none' WHEN l > 0 AND g > 0 THEN 'right' WHEN l > 0 THEN 'inwards' WHEN l < 0 AND g < 0 THEN 'left' WHEN l < 0 THEN 'outwards' WHEN g < 0 THEN 'inwards' WHEN g > 0 THEN 'outwards' ELSE 'none' END AS direction,
   coalesce(has AND (list_min(prev) > list_max(raw) OR list_max(prev) < list_min(raw)), false) AS roll, raw, CAST(heads AS BIGINT) AS heads, CAST(bodies AS BIGINT) AS bodies, CAST(tails AS BIGINT) AS tails FROM q3)"""
 )
-_X = "x AS (SELECT vec_id, list_transform(embedding[1:16], lambda v: v::DOUBLE) AS x, label::BIGINT AS gold, list_filter(range(16), lambda i: (vec_id + i) % 3 > 0) AS allowed FROM embeddings), u AS (SELECT vec_id, gold, allowed, unnest(range(16)) AS i, unnest(x) AS v FROM x)"
+_X = "x AS (SELECT vec_id, list_transform(embedding, lambda v: v::DOUBLE) AS x, label::BIGINT AS gold, list_filter(range(64), lambda i: (vec_id + i) % 3 > 0) AS allowed FROM embeddings), u AS (SELECT vec_id, gold, allowed, unnest(range(64)) AS i, unnest(x) AS v FROM x)"
 _SPAN = "sp AS (SELECT doc_id, doc_id % 9 AS low, doc_id % 9 + n_chars // 100 AS high FROM documents)"
 
 
@@ -337,7 +338,7 @@ s AS (SELECT user_id, scope, part, symbol, row_number() OVER w AS i, lead(bar) O
     "motif_distance": f"""WITH {_ST}, g AS ({_grams(2)}), c AS (SELECT motif, count(*) FILTER (WHERE user_id % 2 = 0) AS a, count(*) FILTER (WHERE user_id % 2 = 1) AS b FROM g GROUP BY ALL),
 f AS (SELECT motif, a / sum(a) OVER () AS x, b / sum(b) OVER () AS y FROM c), k AS (SELECT *, rank() OVER (ORDER BY x) + (count(*) OVER (PARTITION BY x) - 1) / 2 AS rx, rank() OVER (ORDER BY y) + (count(*) OVER (PARTITION BY y) - 1) / 2 AS ry FROM f)
 SELECT count(*) AS size, round(avg(abs(y - x)), 6) AS mae, round(sqrt(avg((y - x) * (y - x))), 6) AS rmse, round(corr(rx, ry), 6) AS spearman, first(motif ORDER BY round(abs(y - x), 12) DESC, motif) AS largest_gap FROM k""",
-    "vocabulary_counts": f"WITH {_ST}, g AS ({_grams(2)}), v AS (SELECT motif FROM g GROUP BY motif ORDER BY count(*) DESC, motif LIMIT 20) SELECT v.motif, count(g.motif) AS n FROM v LEFT JOIN g ON g.motif = v.motif AND g.user_id % 5 = 0 GROUP BY ALL",
+    "vocabulary_counts": f"WITH {_ST}, g AS ({_grams(2)}), v AS (SELECT motif FROM g GROUP BY motif ORDER BY count(*) DESC, motif LIMIT 20) SELECT v.motif, count(g.motif) AS n FROM v LEFT JOIN g ON g.motif = v.motif GROUP BY ALL",
     "length_profile": "WITH c AS (SELECT count(*) AS size FROM conversations GROUP BY conv_id) SELECT l AS length, CAST(sum(greatest(0, size - l + 1)) AS BIGINT) AS spans FROM c, range(1, 7) r(l) GROUP BY ALL",
     "window_audit": f"WITH {_P}, s AS (SELECT user_id, bar // 7 AS week, row_number() OVER (PARTITION BY user_id ORDER BY ms, event_id) AS i FROM p)" + " UNION ALL ".join(f" SELECT {n}::BIGINT AS length, count(*) AS spans, count(*) FILTER (WHERE l <> week) AS crossing FROM (SELECT week, lead(week, {n - 1}) OVER (PARTITION BY user_id ORDER BY i) AS l FROM s) WHERE l IS NOT NULL" for n in (2, 3, 5)),
     "marginals": f"WITH {_P} SELECT coalesce(CAST(lane AS VARCHAR), 'all') AS lane, coalesce(kind, 'all') AS kind, pos, count(*) AS n, round(count(*) / (SELECT count(DISTINCT user_id) FROM p), 6) AS avg_count, round(count(*) / (SELECT count(*) FROM p), 6) AS pooled FROM p GROUP BY GROUPING SETS ((lane, kind, pos), (kind, pos), (lane, pos), (pos))",
@@ -375,7 +376,7 @@ SELECT user_id, round(l, 6) AS ln_ratio, round(b, 6) AS hybrid_ratio, CASE WHEN
 s AS (SELECT vec_id, gv, count(*) FILTER (WHERE v > gv) + 1 AS raw_rank, count(*) FILTER (WHERE v > gv AND ok) + 1 AS legal_rank, sum(exp(v)) FILTER (WHERE ok) AS z, sum(exp(v / 0.8)) FILTER (WHERE ok) AS zt FROM g GROUP BY ALL),
 e AS (SELECT g.vec_id, -sum(exp(v) / z * ln(exp(v) / z)) AS entropy FROM g JOIN s USING (vec_id) WHERE ok GROUP BY ALL)
 SELECT vec_id, raw_rank, legal_rank, round(exp(gv) / z, 6) AS p, round(exp(gv / 0.8) / zt, 6) AS p_t, round(entropy, 6) AS entropy FROM s JOIN e USING (vec_id)""",
-    "history_pairs": "SELECT a.vec_id % 50 AS state, a.vec_id AS a_id, b.vec_id AS b_id FROM embeddings a JOIN embeddings b ON a.vec_id % 50 = b.vec_id % 50 WHERE a.vec_id < 100 AND b.vec_id >= 100",
+    "history_pairs": "SELECT a.vec_id // 2 AS state, a.vec_id AS a_id, b.vec_id AS b_id FROM embeddings a JOIN embeddings b ON a.vec_id // 2 = b.vec_id // 2 AND a.vec_id % 2 = 0 AND b.vec_id % 2 = 1",
     "split_accuracy": f"""WITH {_R}, g AS (SELECT user_id, row, lag(row) OVER (PARTITION BY user_id ORDER BY tick) AS guess FROM r), l AS (SELECT user_id, row = guess AS same, unnest([row[1], row[2], row[3], row[4]]) AS a, unnest([guess[1], guess[2], guess[3], guess[4]]) AS b FROM g WHERE guess IS NOT NULL)
 SELECT user_id, round(avg(CASE WHEN same THEN 1.0 ELSE 0 END), 6) AS row_accuracy, round(avg(CASE WHEN a = b THEN 1.0 ELSE 0 END), 6) AS lane_accuracy, round(avg(CASE WHEN a = b THEN 1.0 ELSE 0 END) FILTER (WHERE a = '1'), 6) AS tap_recall, round(avg(CASE WHEN a = b THEN 1.0 ELSE 0 END) FILTER (WHERE a = '2'), 6) AS start_recall FROM l GROUP BY ALL""",
     "bar_windows": f"WITH {_SPAN} SELECT doc_id, s AS start, s + 16 AS \"end\" FROM (SELECT doc_id, unnest(range(low, high - 15)) AS s FROM sp WHERE high - low >= 16)",
