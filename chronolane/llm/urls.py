@@ -3,10 +3,14 @@
 Two smoothed variable-order Markov models over the characters of urls are counted, on all urls that a rule accepts and
 on all that a rule blocks. A character's probability interpolates from order 0 up to ORDER, each order trusted by how
 often its context was seen (Witten-Bell). A url's score is the log-likelihood difference per character, and the cut is
-the score that best separates a fifth of the ruled urls, which the counts leave out, by balanced error.
+the score that best separates all ruled urls by balanced error. For the cut a ruled url is scored without the counts of
+its own fold (FOLDS by hash), so every ruled url enters the counts and the cut.
 
-Contexts are counted by Spark on all urls. Context counts go to the tasks in hashed tables of fixed size (2**TABLE
-slots), so what is broadcast has a bound whatever the corpus; with more contexts than slots, contexts share counts.
+Counts are exact and stay in Spark tables. As a character's value depends on it and the ORDER characters before it
+alone, a gram of ORDER + 1 characters, values are worked out once for each distinct gram, from its own counts and the
+value of the gram that is one character shorter. Urls are joined to the values by gram; grams in more than one of HOT
+of the urls' distinct grams, HOT at most, go to the tasks and are summed where the urls are, so that no key of the join
+is hot. Values are summed as whole numbers: the order of rows doesn't change a score.
 
 Defined cases: a null url or one without :// has empty host and path and no rule; an empty or null url scores 0, which
 the cut decides; without urls of both kinds every url that no rule decides is allowed; repeated rows each give a row;
@@ -15,22 +19,23 @@ an empty table gives no rows; other columns pass through.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
-import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import small_batches, table, write_cut
 
 #: (host/path, verdict).
 RULES = (("org/", "allow"), ("example.org/es/", "block"), ("example.org/en/1", "block"), ("com/fr/", "allow"), ("com/de/", "block"))
-ORDER, TABLE = 5, 18
-#: The alphabet of order 0: characters by their code point modulo this.
-ALPHABET = 256
-BINS = 400
+ORDER, FOLDS = 5, 5
+#: What stands before a url's first character.
+BEFORE = "\x02" * ORDER
+BINS, HOT = 400, 4096
+#: Values of grams are whole numbers of this fraction.
+UNIT = 1 << 32
 
 
 def host_of(url: Column) -> Column:
@@ -50,100 +55,110 @@ def rule_of(host: Column, path: Column, rules: tuple = RULES) -> Column:
     return out
 
 
-def _contexts(text: str) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the contexts of order 1 to ORDER before each character (rows), and the characters' codes."""
-    c = np.frombuffer(("\x02" * ORDER + text).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
-    n = len(c) - ORDER
-    h = np.zeros(n, np.uint64)
-    out = np.empty((ORDER, n), np.uint64)
-    for k in range(1, ORDER + 1):
-        h = (h + c[ORDER - k : ORDER - k + n] + np.uint64(k)) * np.uint64(0x9E3779B97F4A7C15)
-        h ^= h >> np.uint64(29)
-        out[k - 1] = h
-    return out, c[ORDER:]
+def grams_of(url: str) -> Counter:
+    """Each character of a url with the ORDER characters before it."""
+    text = BEFORE + url
+    return Counter(text[i : i + ORDER + 1] for i in range(len(url)))
 
 
-def _slots(contexts: np.ndarray, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Table slots of contexts, and of contexts with the character that follows."""
-    mask = np.uint64((1 << TABLE) - 1)
-    pairs = (contexts ^ (codes + np.uint64(1)) * np.uint64(0xD6E8FEB86659FD93)) * np.uint64(0xBF58476D1CE4E5B9)
-    return (contexts * np.uint64(0x94D049BB133111EB) >> np.uint64(17)) & mask, (pairs >> np.uint64(23)) & mask
+def count_grams(urls: DataFrame) -> DataFrame:
+    """(order, gram, seen, n0, n1, ...): in how many urls a gram stands, and its count in each kind, for order 0 to ORDER.
 
+    ``urls`` has (url, kind, n): kind is side * FOLDS + fold, or -1 without a rule, and n the number of rows.
+    """
 
-#: Kinds of counts: contexts, kinds of followers of a context, pairs, characters.
-CONTEXT, FOLLOWERS, PAIR, SINGLE = range(4)
-
-
-def count_contexts(urls: DataFrame) -> DataFrame:
-    """(blocked, what, slot, n): counts over (url, blocked), pre-aggregated in each batch."""
-
-    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            frames = []
-            for url, blocked in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                contexts, codes = _contexts(url)
-                place, pair = _slots(contexts, codes)
-                # One number for each distinct (context slot, pair slot), to count kinds of followers later.
-                frames.append(np.stack([np.full(place.size, int(blocked), np.uint64), place.ravel(), pair.ravel()]))
-                frames.append(np.stack([np.full(len(codes), int(blocked) + 2, np.uint64), codes % np.uint64(ALPHABET), np.zeros(len(codes), np.uint64)]))
-            if frames:
-                keys, n = np.unique(np.concatenate(frames, axis=1).astype(np.int64), axis=1, return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(k) for k in (*keys, n.astype(np.int64))], ["kind", "place", "pair", "n"])
-
-    seen = urls.mapInArrow(pairs, "kind long, place long, pair long, n long").groupBy("kind", "place", "pair").agg(F.sum("n").alias("n"))
-    blocked = (F.col("kind") % 2).alias("blocked")
-    rows = F.when(F.col("kind") >= 2, F.array(F.struct(F.lit(SINGLE).alias("what"), F.col("place").alias("slot"), F.col("n").alias("n")))).otherwise(
-        F.array(
-            F.struct(F.lit(CONTEXT).alias("what"), F.col("place").alias("slot"), F.col("n").alias("n")),
-            F.struct(F.lit(FOLLOWERS).alias("what"), F.col("place").alias("slot"), F.lit(1).cast("long").alias("n")),
-            F.struct(F.lit(PAIR).alias("what"), F.col("pair").alias("slot"), F.col("n").alias("n")),
-        )
-    )
-    return seen.select(blocked, F.inline(rows)).groupBy("blocked", "what", "slot").agg(F.sum("n").alias("n"))
-
-
-class Model:
-    """The counts of both sides as arrays of fixed size."""
-
-    def __init__(self, counts: pd.DataFrame) -> None:
-        self.tables = np.zeros((2, 3, 1 << TABLE), np.float32)
-        self.singles = np.zeros((2, ALPHABET), np.float64)
-        for (blocked, what), g in counts.groupby(["blocked", "what"]):
-            (self.singles[int(blocked)] if what == SINGLE else self.tables[int(blocked), int(what)])[g["slot"].to_numpy()] = g["n"].to_numpy()
-
-    def score(self, url: str | None) -> float:
-        """Log-likelihood of accepted minus blocked, per character."""
-        if not url:
-            return 0.0
-        contexts, codes = _contexts(url)
-        place, pair = _slots(contexts, codes)
-        logs = []
-        for tables, singles in zip(self.tables, self.singles, strict=True):
-            p = (singles[(codes % np.uint64(ALPHABET)).astype(np.int64)] + 0.5) / (singles.sum() + 0.5 * ALPHABET)
-            for k in range(ORDER):
-                n, kinds = tables[CONTEXT][place[k]], tables[FOLLOWERS][place[k]]
-                p = np.where(n > 0, (np.minimum(tables[PAIR][pair[k]], n) + kinds * p) / np.maximum(n + kinds, 1), p)
-            logs.append(np.log(p).mean())
-        return float(logs[0] - logs[1])
+            seen, counts = Counter(), Counter()
+            for url, kind, n in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                for gram, k in grams_of(url).items():
+                    seen[gram, kind] += 1
+                    counts[gram, kind] += k * n
+            yield pa.RecordBatch.from_arrays([pa.array([g for g, _ in seen], pa.string()), pa.array([k for _, k in seen], pa.int32()), pa.array(seen.values(), pa.int64()), pa.array([counts[key] for key in seen], pa.int64())], ["gram", "kind", "seen", "n"])
+
+    rows = small_batches(urls).select("url", "kind", "n").mapInArrow(split, "gram string, kind int, seen long, n long")
+    kinds = [f"n{j}" for j in range(2 * FOLDS)]
+    longest = rows.groupBy("gram").agg(F.sum("seen").alias("seen"), *[F.sum(F.when(F.col("kind") == j, F.col("n")).otherwise(0)).alias(c) for j, c in enumerate(kinds)])
+    each = longest.select(F.explode(F.sequence(F.lit(0), F.lit(ORDER))).alias("order"), "gram", "seen", *kinds)
+    each = each.withColumn("gram", F.col("gram").substr(F.lit(ORDER + 1) - F.col("order"), F.col("order") + 1))
+    return each.groupBy("order", "gram").agg(*[F.sum(c).alias(c) for c in ("seen", *kinds)])
+
+
+def _without(name: str) -> list[Column]:
+    """Of counts by side and fold: for each side all of them, then all but each fold."""
+    sides = [[F.col(f"{name}{side * FOLDS + fold}") for fold in range(FOLDS)] for side in range(2)]
+    return [sum(side[1:], side[0]) - out for side in sides for out in (F.lit(0), *side)]
+
+
+def gram_values(counts: DataFrame) -> DataFrame:
+    """(gram, seen, value): log-likelihood of accepted minus blocked for a gram's last character, in UNITs.
+
+    value[0] is that of all counts, value[1 + fold] that of all but a fold's. ``counts`` is count_grams(), written.
+    """
+    characters = counts.filter("order = 0").count()
+    context = Window.partitionBy("order", "context")
+    rows = counts.withColumn("context", F.expr("substring(gram, 1, order)"))
+    rows = rows.select("order", "gram", "seen", *[c.alias(f"c{j}") for j, c in enumerate(_without("n"))], *[F.sum(f"n{j}").over(context).alias(f"t{j}") for j in range(2 * FOLDS)], "context")
+    models = range(2 * (FOLDS + 1))
+    rows = rows.select("order", "gram", "seen", *[f"c{j}" for j in models], *[c.alias(f"m{j}") for j, c in enumerate(_without("t"))], *[F.count_if(F.col(f"c{j}") > 0).over(context).alias(f"k{j}") for j in models])
+    p = None
+    for order in range(ORDER + 1):
+        at = rows.filter(F.col("order") == order)
+        if p is None:
+            p = at.select("gram", "seen", *[((F.col(f"c{j}") + 0.5) / (F.col(f"m{j}") + 0.5 * characters)).alias(f"p{j}") for j in models])
+            continue
+        shorter = p.select(F.col("gram").alias("shorter"), *[F.col(f"p{j}").alias(f"q{j}") for j in models])
+        c, m, k, q = ([F.col(f"{x}{j}") for j in models] for x in "cmkq")
+        p = at.withColumn("shorter", F.col("gram").substr(2, order)).join(shorter, "shorter").select("gram", "seen", *[F.when(m[j] > 0, (c[j] + k[j] * q[j]) / (m[j] + k[j])).otherwise(q[j]).alias(f"p{j}") for j in models])
+    ratios = [F.log(f"p{v}") - F.log(f"p{FOLDS + 1 + v}") for v in range(FOLDS + 1)]
+    return p.select("gram", "seen", F.array(*[F.round(r * UNIT).cast("long") for r in ratios]).alias("value"))
+
+
+def score_urls(urls: DataFrame, values: DataFrame) -> DataFrame:
+    """(id, total): values of all characters of each url of (id, url, kind), by the counts without its own fold."""
+    least = (values.agg(F.sum("seen")).first()[0] or 0) / HOT
+    hot = F.col("seen") > least
+    shared = urls.sparkSession.sparkContext.broadcast({r.gram: r.value for r in values.filter(hot).collect()})
+
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = shared.value
+        for batch in batches:
+            rows = []
+            for key, url, kind in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                model = 0 if kind < 0 else 1 + kind % FOLDS
+                total = 0
+                for gram, n in grams_of(url).items():
+                    if gram in known:
+                        total += n * known[gram][model]
+                    else:
+                        rows.append((key, model, gram, n, 0))
+                # A key of its own, longer than any gram, that joins nothing.
+                rows.append((key, model, f"{key:020d}", 0, total))
+            columns = zip(*rows, strict=True) if rows else [[]] * 5
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int32(), pa.string(), pa.int64(), pa.int64()), strict=True)], ["id", "model", "gram", "n", "known"])
+
+    rows = small_batches(urls).select("id", "url", "kind").mapInArrow(split, "id long, model int, gram string, n long, known long")
+    joined = rows.join(values.filter(~hot).select("gram", "value"), "gram", "left")
+    return joined.groupBy("id").agg(F.sum(F.col("known") + F.coalesce(F.col("n") * F.get("value", F.col("model")), F.lit(0))).alias("total"))
 
 
 def judge_urls(pages: DataFrame, url: str = "url", rules: tuple = RULES) -> DataFrame:
     """Add url_host, url_path, url_rule, url_verdict, and url_score where no rule decides."""
-    verdicts = dict(rules)
+    verdicts = F.create_map(*[F.lit(x) for r in rules for x in r])
     ruled = pages.withColumn("url_host", host_of(F.col(url))).withColumn("url_path", path_of(F.col(url))).withColumn("url_rule", rule_of(F.col("url_host"), F.col("url_path"), rules))
-    by_rule = F.element_at(F.create_map(*[F.lit(x) for r in rules for x in r]), F.col("url_rule"))
-    labelled = ruled.filter(F.col("url_rule").isNotNull() & (F.length(url) > 0)).select(F.col(url).alias("url"), (by_rule == "block").alias("blocked"))
-    aside = F.pmod(F.xxhash64("url"), F.lit(5)) == 0
-    counts = count_contexts(labelled.filter(~aside)).toPandas()
-    if counts["blocked"].nunique() < 2:
+    by_rule = F.element_at(verdicts, F.col("url_rule"))
+    fold = F.pmod(F.xxhash64("url"), F.lit(FOLDS)).cast("int")
+    distinct = pages.select(F.col(url).alias("url")).filter(F.length("url") > 0).groupBy("url").agg(F.count("*").alias("n"))
+    distinct = distinct.withColumn("side", F.element_at(verdicts, rule_of(host_of(F.col("url")), path_of(F.col("url")), rules)) == "block")
+    kind = F.coalesce(F.col("side").cast("int") * FOLDS + fold, F.lit(-1))
+    urls = write_cut(distinct.select(F.monotonically_increasing_id().alias("id"), "url", "n", kind.alias("kind")), "urls")
+    if urls.filter("kind >= 0").select(F.floor(F.col("kind") / FOLDS)).distinct().count() < 2:
         return ruled.withColumn("url_score", F.lit(None).cast("double")).withColumn("url_verdict", F.coalesce(by_rule, F.lit("allow")))
-    shared = pages.sparkSession.sparkContext.broadcast(Model(counts))
-
-    @F.pandas_udf("double")
-    def score(urls: pd.Series) -> pd.Series:
-        return urls.map(shared.value.score, na_action=None).astype("float64")
+    values = write_cut(gram_values(write_cut(count_grams(urls), "url-grams")), "url-values")
+    scores = write_cut(urls.join(score_urls(urls, values), "id").select(F.col("url").alias("_url"), "n", "kind", (F.col("total") / UNIT / F.length("url")).alias("_score")), "url-scores")
 
-    held = labelled.filter(aside).withColumn("bin", F.floor(F.greatest(F.lit(-2.0), F.least(F.lit(2.0), score("url"))) * (BINS // 4))).groupBy("bin").agg(F.sum(F.col("blocked").cast("long")).alias("blocked"), F.count("*").alias("n")).collect()
+    bins = scores.filter("kind >= 0").withColumn("bin", F.floor(F.greatest(F.lit(-2.0), F.least(F.lit(2.0), F.col("_score"))) * (BINS // 4)))
+    held = bins.groupBy("bin").agg(F.sum(F.when(F.col("kind") >= FOLDS, F.col("n")).otherwise(0)).alias("blocked"), F.sum("n").alias("n")).collect()
     bad = sum(r.blocked for r in held)
     good = sum(r.n for r in held) - bad
     cut, best, below_bad, below_good = 0.0, -1.0, 0, 0
@@ -152,7 +167,8 @@ def judge_urls(pages: DataFrame, url: str = "url", rules: tuple = RULES) -> Data
         right = below_bad / max(1, bad) + 1 - below_good / max(1, good)
         if right > best:
             best, cut = right, (r.bin + 1) / (BINS // 4)
-    scored = ruled.withColumn("url_score", F.when(F.col("url_rule").isNull(), score(F.coalesce(F.col(url), F.lit("")))))
+    scored = ruled.join(scores.filter("kind < 0").select("_url", "_score"), ruled[url] == F.col("_url"), "left")
+    scored = scored.withColumn("url_score", F.when(F.col("url_rule").isNull(), F.coalesce("_score", F.lit(0.0)))).drop("_url", "_score")
     return scored.withColumn("url_verdict", F.coalesce(by_rule, F.when(F.col("url_score") < cut, "block").otherwise("allow")))
 
 
