@@ -2,8 +2,13 @@
 
 Words that occur once in a region of the text and once in the template are anchors; the longest increasing run of
 their positions is kept, and the gaps between anchors are aligned the same way, ends of gaps first. The share of the
-template's words that align is its coverage. A region starts wherever a key word of the template (its rarest by
-template count) stands, so repeated notices and very long texts are aligned piece by piece, whole texts through.
+template's words that align is its coverage. Regions lie around the key words of a template, so repeated notices and
+very long texts are aligned piece by piece, whole texts through. A template has one key word (its rarest by template
+count) more than words that may be missing at LEAST, so that every notice at LEAST holds one of them in its place.
+
+Key words in the template's order chain into one region. What is one notice is a rule: between two neighbouring key
+words, and before the first and after the last, up to a template's length of other words may be inserted; the number
+of inserted words in all has no bound.
 
 Defined cases: null or empty text holds no license; a document with several notices of one license gives its best and
 their number; ties go to the earlier place and the template listed first; repeated rows each give rows; documents
@@ -12,6 +17,7 @@ without a license give none; an empty table gives no rows; other columns are ign
 
 from __future__ import annotations
 
+import math
 import re
 from bisect import bisect_left
 from collections import Counter
@@ -35,8 +41,8 @@ TEMPLATES = (
     ("CC-BY-NC-4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."),
     ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
 )
-#: Coverage from which a license is reported; key words of a template.
-LEAST, KEYS = 0.8, 3
+#: Coverage from which a license is reported.
+LEAST = 0.8
 
 _WORD = re.compile(r"\w+")
 
@@ -86,35 +92,69 @@ def align(a: list[str], b: list[str]) -> list[tuple[int, int]]:
 
 
 class Scanner:
-    """Templates with their key words: the rarest over all templates."""
+    """Templates with their key words: the rarest over all templates, one more than words that may be missing."""
 
     def __init__(self, templates=TEMPLATES) -> None:
         self.templates = [(name, words_of(text)) for name, text in templates]
-        common = Counter(w for _, t in self.templates for w in set(t))
+        self.missing = [len(t) - math.ceil(LEAST * len(t)) for _, t in self.templates]
+        self.distinct = [set(t) for _, t in self.templates]
+        common = Counter(w for t in self.distinct for w in t)
         self.keys: dict[str, list[tuple[int, int]]] = {}
         for k, (_, t) in enumerate(self.templates):
-            for w in sorted({w for w in t if len(w) > 1}, key=lambda w: (common[w], t.count(w), -len(w), w))[:KEYS]:
-                self.keys.setdefault(w, []).append((k, t.index(w)))
+            for w in sorted(self.distinct[k], key=lambda w: (len(w) == 1, common[w], t.count(w), -len(w), w))[: self.missing[k] + 1]:
+                self.keys.setdefault(w, []).extend((k, j) for j, v in enumerate(t) if v == w)
         self.pattern = r"\b(?:" + "|".join(sorted(self.keys)) + r")\b"
 
+    def regions(self, k: int, hits: list[tuple[int, int]]) -> set[tuple[int, int]]:
+        """Regions (first word, end) for places of key words (in the text, in template ``k``), in order of the text."""
+        size = len(self.templates[k][1])
+        slack = max(2, size // 4)
+        out = set()
+        links, before, ends, first = [1] * len(hits), [-1] * len(hits), [True] * len(hits), 0
+        for h, (at, offset) in enumerate(hits):
+            out.add((at - offset - slack, at - offset + size + slack))
+            while at - hits[first][0] > 2 * size:
+                first += 1
+            for p in range(first, h):
+                apart, step = at - hits[p][0], offset - hits[p][1]
+                if apart > 0 < step and apart - step <= size and links[p] >= links[h] - (before[h] >= 0):
+                    links[h], before[h] = links[p] + 1, p
+            if before[h] >= 0:
+                ends[before[h]] = False
+        for h, (at, offset) in enumerate(hits):
+            if ends[h]:
+                root = h
+                while before[root] >= 0:
+                    root = before[root]
+                start, skipped = hits[root]
+                out.add((start - skipped - slack, at - offset + size + slack))
+                out.add((start - skipped - size, at - offset + 2 * size))
+        return out
+
     def scan(self, text: str) -> dict[str, tuple]:
         """Best (coverage, template, first word, end word) and number of notices by license."""
         words = words_of(text)
-        found: dict[str, list[tuple]] = {}
+        places: dict[int, list[tuple[int, int]]] = {}
         for at, w in enumerate(words):
             for k, offset in self.keys.get(w, ()):
-                name, t = self.templates[k]
-                slack = max(2, len(t) // 4)
-                low = max(0, at - offset - slack)
-                pairs = align(words[low : at - offset + len(t) + slack], t)
+                places.setdefault(k, []).append((at, offset))
+        found: dict[str, list[tuple]] = {}
+        for k, hits in places.items():
+            name, t = self.templates[k]
+            for low, high in self.regions(k, hits):
+                low = max(0, low)
+                region = words[low:high]
+                if len(self.distinct[k].difference(region)) > self.missing[k]:
+                    continue
+                pairs = align(region, t)
                 if len(pairs) >= LEAST * len(t):
                     found.setdefault(name, []).append((len(pairs) / len(t), -k, -(low + pairs[0][0]), low + pairs[-1][0] + 1))
         out = {}
         for name, hits in found.items():
             best = max(hits)
             ends, n = -1, 0
-            for start, end in sorted({(-s, e) for _, _, s, e in hits}):
-                n, ends = (n + 1, end) if start >= ends else (n, max(ends, end))
+            for end, start in sorted({(e, -s) for _, _, s, e in hits}):  # the most that don't overlap
+                n, ends = (n + 1, end) if start >= ends else (n, ends)
             out[name] = (best[0], -best[1], -best[2], best[3], n)
         return out
 
