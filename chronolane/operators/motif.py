@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -39,7 +41,7 @@ def motif_keys(stepped: DataFrame, seq: list[str], length: int) -> DataFrame:
     return rows.filter("_last IS NOT NULL").select(*seq, "i", "motif")
 
 
-def motif_topk(stepped: DataFrame, seq: list[str], by: list[str], top: int, longest: int = 64) -> DataFrame:
+def motif_topk(stepped: DataFrame, seq: list[str], by: list[str], top: int) -> DataFrame:
     """(by..., motif, length, n): the ``top`` most frequent motifs of any length in each scope; ties by text.
 
     Level by level: a motif is extended only while it is inside the current top, as no longer one can be more frequent
@@ -49,7 +51,7 @@ def motif_topk(stepped: DataFrame, seq: list[str], by: list[str], top: int, long
     spark = stepped.sparkSession
     head, frontier = None, None
     rank = F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("n"), "motif"))
-    for length in range(1, longest + 1):
+    for length in count(1):
         keys = motif_keys(stepped, seq, length)
         if frontier is not None:
             # Drop the last gap and symbol to find the beginning; it must have been in the top.

@@ -88,7 +88,7 @@ def motif_counts(spark, sf_dir):
 
 def motif_topk(spark, sf_dir):
     stepped = _steps(spark, sf_dir).withColumn("scope", F.lit("user"))
-    return rounded(motif.motif_topk(stepped, ["scope", "user_id"], ["scope"], 25, longest=4))
+    return rounded(motif.motif_topk(stepped, ["scope", "user_id"], ["scope"], 25))
 
 
 def motif_scopes(spark, sf_dir):

@@ -1,8 +1,10 @@
+import datetime
 import random
 
 import pytest
 from pyspark.sql import functions as F
 
+from chronolane.catalog import QUERIES
 from chronolane.functions import scalars
 from chronolane.functions.hashing import split_position
 from chronolane.operators import logits, match, motif, patterns, splits, stats, timeline, tokens
@@ -274,3 +276,13 @@ def test_early_stop_counts_since_the_best(spark):
     df = spark.createDataFrame([(i, x) for i, x in enumerate([3.0, 2.0, 2.0, 2.5, 1.0, 1.5])], "step int, loss double").withColumn("run", F.lit("r"))
     out = [(r.best, r.stalled, r.stop) for r in stats.early_stop(df, ["run"], "step", "loss", 2).orderBy("step").collect()]
     assert out == [(3.0, 0, False), (2.0, 0, False), (2.0, 1, False), (2.0, 2, True), (1.0, 0, False), (1.0, 1, False)]
+
+
+def test_motif_query_has_no_longest_motif(spark, tmp_path):
+    """A user who repeats one event within a day: motifs of five and more symbols are in the top."""
+    start = datetime.datetime(2024, 1, 1)
+    rows = [(i, 1, "click", 1.0, start + datetime.timedelta(minutes=i)) for i in range(60)] + [(100 + i, 2, "view" if i % 2 else "error", 1.0, start + datetime.timedelta(days=i)) for i in range(9)]
+    spark.createDataFrame(rows, "event_id long, user_id long, event_type string, value double, ts timestamp").write.parquet(f"{tmp_path}/events.parquet")
+    out = [(r.motif, r.n) for r in QUERIES["motif_topk"](spark, str(tmp_path)).collect()]
+    want = brute_motifs([[("click", 0)] * 60, [("view" if i % 2 else "error", i) for i in range(9)]], 25, 60)
+    assert sorted(out, key=lambda kv: (-kv[1], kv[0])) == want and max(m.count("click") for m, _ in out) == 25
