@@ -1,30 +1,36 @@
 """Exact n-gram Jaccard self-join in size-banded tiles with hashed bitmap signatures.
 
 A document is the sorted array of its distinct shingle hashes (64 bits). Documents with equal arrays are one class.
-For each size band the hash space is cut into parts, more of them than two linked sets of that band can differ in; so
-linked sets agree on a whole part, and a tile gathers the classes of one band that agree on one part. In a tile, a
-1024-bit parity bitmap bounds the overlap from above by a bit count; what passes is decided by intersecting the
-arrays.
-
-A tile first offers its members to its smallest one. Only tiles whose members are then still in several components
-compare the rest: by blocks of bounded size, pairs across components only. So a group of thousands of near copies
-costs about a pair a member, and no link between different components is lost.
-
-Why parts: for sizes a <= b, Jaccard >= t means a >= t * b and |A ^ B| <= D = (a + b)(1 - t) / (1 + t). Of any
-D + 1 parts one holds no difference. A document offers its first D + 1 parts of at least ``HEAVY`` shingles, as
-agreement on them is telling, and all parts when there are fewer; the document that stops first is covered by the
-other, so the guarantee stays.
+A tile gathers the classes of one size band that hold the same neighbouring hashes. In a tile, a 1024-bit parity bitmap
+bounds the overlap from above by a bit count; what passes is decided by intersecting the arrays.
+
+Why neighbours: two different sets at Jaccard >= num / den hold at least k = num / (den - num) common hashes for each
+hash that one of them lacks. Laid on a circle in order, some gap between two such hashes so has k common hashes, and
+these are neighbours in both sets. A set offers, of each k neighbours, the gram of GRAM neighbours with the least hash:
+what it picks follows from those k alone, so both sets of a link offer the same gram. Sets of fewer than k hashes link
+with equal ones alone. No tile rests on what a set lacks, so unrelated sets don't meet.
+
+Tiles of more than SPLIT members, as a passage in many documents makes them, are parted by the k neighbours that the
+gram was picked from, which both sets of a link hold too. A tile first offers its members to its first one. Only tiles
+whose members are then still in several components compare the rest, by blocks of bounded size and across components
+only: first each member with one that bitmaps leave possible, then, where components still differ, with all of them. So
+a group of thousands of near copies costs about a pair a member, and no link between different components is lost.
+
+Links are counted on demand: inside each component every two classes are compared once, in blocks of bounded rows and
+bytes, by bitmap and arrays, or by products of the blocks' incidence matrices where most pairs pass the bitmap. Pairs
+are summed where they are found and never leave the task; the work is quadratic in a component's classes, not in their
+copies.
 
 Defined cases: null or empty text, or white space alone, is linked with nothing and is its own component; fewer words
-than a shingle give one shingle; repeated rows share their class; rows of one doc_id are one document; a null doc_id
-counts for no minimum; an empty table gives no rows; other columns are ignored.
+than a shingle give one shingle; repeated rows share their class; rows of one doc_id are one document, so what any of
+them links with is in one component, while links are counted by rows; a null doc_id counts for no minimum; an empty
+table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
-from functools import cache
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -36,12 +42,16 @@ from .common import small_batches, small_side, table, write_cut
 from .components import components
 
 BITS = 1024
-#: Classes in a block of a tile, in the mean.
-BLOCK = 1024
-#: Ratio of the upper ends of neighbouring size bands, and parts over the needed number.
-BAND, SPARE = 1.5, 1.3
+#: Classes in a block of a tile or component, in the mean, and bytes of their arrays in a block of a component.
+BLOCK, BLOCK_BYTES = 1024, 8 << 20
+#: Ratio of the upper ends of neighbouring size bands, and neighbours in a gram, at most.
+BAND, GRAM = 4, 3
+#: Members from which a tile is parted further.
+SPLIT = 256
 #: Words kept in a task's table of word hashes before it starts anew.
 CACHED = 1 << 17
+#: Columns of an incidence matrix at a time.
+COLUMNS = 2048
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -75,38 +85,56 @@ class Shingler:
         return np.unique(_mix(total))
 
 
-@cache
-def band_tops(up_to: int) -> list[int]:
-    tops = [1]
-    while tops[-1] < up_to:
-        tops.append(max(tops[-1] + 1, int(tops[-1] * BAND)))
-    return tops
+def bands(n: int, num: int, den: int) -> range:
+    """Bands of a set of ``n`` hashes: its own and those of larger sets that it may link with."""
+    own, top = 0, 1
+    while top < n:
+        own, top = own + 1, top * BAND
+    last = own
+    while top < n * den // num:
+        last, top = last + 1, top * BAND
+    return range(own, last + 1)
+
+
+def _chain(hashes: np.ndarray, length: int) -> np.ndarray:
+    """A key for each hash and those that follow it on the circle, ``length`` together."""
+    around = np.concatenate([hashes, hashes[:length]])
+    keys = np.zeros(len(hashes), np.uint64)
+    for i in range(length):
+        keys = keys * np.uint64(0xD6E8FEB86659FD93) + _mix(around[i : i + len(hashes)] + np.uint64(i))
+    return _mix(keys)
 
 
-@cache
-def _cuts(parts: int) -> np.ndarray:
-    return np.array([(p << 64) // parts for p in range(1, parts)], dtype=np.uint64)
+def picked(hashes: np.ndarray, num: int, den: int) -> tuple[np.ndarray, int]:
+    """For each k neighbours that start at a hash: the key of the gram picked there; and k."""
+    n = len(hashes)
+    if num >= den or n * (den - num) < num:
+        return np.empty(0, np.uint64), 0
+    k = max(1, -(-num // (den - num)))
+    gram = max(1, min(GRAM, k // 2))
+    keys = _chain(hashes, gram)
+    around = np.concatenate([keys, keys[:k]])
+    return reduce(np.minimum, [around[i : i + n] for i in range(k - gram + 1)]), k
+
+
+def _in_band(keys: np.ndarray, band: int) -> np.ndarray:
+    return _mix(keys + np.uint64((band + 1) * 0x9E3779B97F4A7C15 % (1 << 64)))
 
 
 def signatures(hashes: np.ndarray, num: int, den: int) -> np.ndarray:
     """Keys of the tiles that a set takes part in, for the threshold num / den."""
-    n = len(hashes)
-    heavy = 3 if 10 * num >= 9 * den else 2
-    most = n * den // num
-    tops = band_tops(1 << max(4, math.ceil(math.log2(most + 1)) + 1))
-    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_mix(hashes + np.uint64(1)))])
-    out = []
-    for band in range(int(np.searchsorted(tops, n)), int(np.searchsorted(tops, most)) + 1):
-        top = tops[band]
-        widest = 2 * top * (den - num) // (den + num)
-        parts = math.ceil(SPARE * (widest + 1)) if widest else 1
-        need = (n + min(most, top)) * (den - num) // (den + num) + 1
-        ends = np.concatenate([np.searchsorted(hashes, _cuts(parts)), [n]])
-        starts = np.concatenate([[0], ends[:-1]])
-        use = np.flatnonzero(ends - starts >= heavy)
-        use = use[:need] if len(use) >= need else np.arange(parts)
-        out.append(_mix(sums[ends[use]] - sums[starts[use]] + _mix((np.uint64(band << 40) + use.astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15))))
-    return np.concatenate(out)
+    keys, k = picked(hashes, num, den)
+    return np.concatenate([_in_band(np.unique(keys), band) for band in bands(len(hashes), num, den)]) if k else keys
+
+
+def parted(hashes: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of tiles, and beside each the key of a part of it that the set is in."""
+    keys, k = picked(hashes, num, den)
+    if not k:
+        return keys, keys
+    near = _chain(hashes, k)
+    tiles = [_in_band(keys, band) for band in bands(len(hashes), num, den)]
+    return np.concatenate(tiles), np.concatenate([_mix(near ^ t) for t in tiles])
 
 
 def _bitmap(hashes: np.ndarray) -> bytes:
@@ -117,7 +145,7 @@ FEATURES = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("digest", pa.b
 
 
 def features(docs: DataFrame, words: int, num: int, den: int) -> DataFrame:
-    """(doc_id, n, digest, bits, sigs) of every text."""
+    """(row, doc_id, n, digest, bits, sigs) of every text; write it at once, as ``row`` follows the partitions."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingle = Shingler(words)
@@ -128,12 +156,13 @@ def features(docs: DataFrame, words: int, num: int, den: int) -> DataFrame:
                 sizes.append(len(h))
                 digests.append(xxhash.xxh3_128_digest(h.tobytes()))
                 bits.append(_bitmap(h))
-                sigs.append(signatures(h, num, den).view(np.int64) if len(h) else np.empty(0, np.int64))
+                sigs.append(signatures(h, num, den).view(np.int64))
             ends = np.concatenate([[0], np.cumsum([len(s) for s in sigs])]).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([*sigs, np.empty(0, np.int64)])))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(bits, pa.binary()), lists], schema=FEATURES)
 
-    return small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n long, digest binary, bits binary, sigs array<long>")
+    made = small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n long, digest binary, bits binary, sigs array<long>")
+    return made.select(F.monotonically_increasing_id().alias("row"), "*")
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -161,30 +190,66 @@ def _bounded(pairs: DataFrame, sketches: DataFrame, num: int, den: int) -> DataF
     return pairs.join(side["a"], "a").join(side["b"], "b").mapInArrow(run, "a long, b long")
 
 
-def _linked(pairs: DataFrame, docs: DataFrame, words: int, num: int, den: int) -> DataFrame:
-    """Pairs whose sorted arrays intersect enough. Arrays are made again for documents in pairs alone."""
+def _texts(nodes: DataFrame, classes: DataFrame, docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(text) of documents that some of ``nodes`` are classes of, among others, and (node, digest, id) of these classes, written."""
+    wanted = write_cut(classes.join(small_side(nodes, 16), "node", "left_semi").select("node", "digest", F.col("least").alias("id")), "wanted")
+    ids = small_side(wanted.select("id").distinct(), 16)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(ids, F.col("doc_id").eqNullSafe(F.col("id")), "left_semi").select("text"), wanted
+
+
+def _arrays(pairs: DataFrame, classes: DataFrame, docs: DataFrame, words: int, have: DataFrame | None = None) -> DataFrame:
+    """(node, hashes) for classes in ``pairs``, written; those in ``have`` are taken from there, the others' texts read again."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingle = Shingler(words)
+        for x in batches:
+            made = [shingle(t).tobytes() for t in x.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array([xxhash.xxh3_128_digest(h) for h in made], pa.binary()), pa.array(made, pa.binary())], ["digest", "hashes"])
+
+    nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    texts, wanted = _texts(nodes if have is None else nodes.join(have.select("node"), "node", "left_anti"), classes, docs)
+    # Other texts of the same doc_id, and repeated rows, fall out here.
+    made = texts.mapInArrow(run, "digest binary, hashes binary").join(small_side(wanted.select("digest", "node"), 64), "digest").select("node", "hashes").dropDuplicates(["node"])
+    made = write_cut(made, "arrays")
+    return made if have is None else have.unionByName(made)
+
 
-    def arrays(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _parts(offers: DataFrame, hot: DataFrame, classes: DataFrame, docs: DataFrame, words: int, num: int, den: int) -> DataFrame:
+    """(sig, node) that replace offers to the tiles in ``hot``, a part of a tile for each; texts are read again."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingle = Shingler(words)
         for x in batches:
-            yield pa.RecordBatch.from_arrays([x.column(0), pa.array([shingle(t).tobytes() for t in x.column(1).to_pylist()], pa.binary())], ["node", "hashes"])
+            for text in x.column(0).to_pylist():
+                h = shingle(text)
+                tiles, parts = (v.view(np.int64) for v in parted(h, num, den))
+                if len(tiles):
+                    yield pa.RecordBatch.from_arrays([pa.array([xxhash.xxh3_128_digest(h.tobytes())] * len(tiles), pa.binary()), pa.array(tiles), pa.array(parts)], ["digest", "tile", "sig"])
+
+    texts, wanted = _texts(offers.join(hot, "sig", "left_semi").select("node").distinct(), classes, docs)
+    dealt = texts.mapInArrow(run, "digest binary, tile long, sig long").join(hot.withColumnRenamed("sig", "tile"), "tile", "left_semi")
+    return dealt.join(small_side(wanted.select("digest", "node"), 64), "digest").select("sig", "node").distinct()
+
+
+def _overlap(p: np.ndarray, q: np.ndarray) -> int:
+    at = np.searchsorted(p, q)
+    return int((p[np.minimum(at, len(p) - 1)] == q).sum())
+
+
+def _linked(pairs: DataFrame, arrays: DataFrame, num: int, den: int) -> DataFrame:
+    """Pairs whose sorted arrays intersect enough."""
 
     def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x in batches:
             keep = []
-            for p, q in zip(x.column("hashes_a").to_pylist(), x.column("hashes_b").to_pylist(), strict=True):
-                p, q = np.frombuffer(p, np.uint64), np.frombuffer(q, np.uint64)
-                at = np.searchsorted(p, q)
-                overlap = int((p[np.minimum(at, len(p) - 1)] == q).sum())
+            for p, q in zip(x.column("hashes_a"), x.column("hashes_b"), strict=True):
+                p, q = np.frombuffer(p.as_buffer(), np.uint64), np.frombuffer(q.as_buffer(), np.uint64)
+                overlap = _overlap(p, q)
                 keep.append(den * overlap >= num * (len(p) + len(q) - overlap))
             keep = pa.array(keep, pa.bool_())
             yield pa.RecordBatch.from_arrays([x.column("a").filter(keep), x.column("b").filter(keep)], ["a", "b"])
 
-    pairs = write_cut(pairs, "pairs")
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(small_side(ids, 16), "doc_id", "left_semi")
-    made = write_cut(texts.mapInArrow(arrays, "node long, hashes binary"), "arrays")
-    side = {c: made.select(F.col("node").alias(c), F.col("hashes").alias(f"hashes_{c}")) for c in "ab"}
+    side = {c: arrays.select(F.col("node").alias(c), F.col("hashes").alias(f"hashes_{c}")) for c in "ab"}
     return pairs.join(side["a"], "a").join(side["b"], "b").mapInArrow(decide, "a long, b long").distinct()
 
 
@@ -208,15 +273,23 @@ def _runs(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Tab
         yield pa.concat_tables(held)
 
 
-def _across(members: DataFrame, num: int, den: int) -> DataFrame:
-    """Pairs of different components in the same tile that bitmaps leave possible; tiles are cut into blocks."""
+def _cells(members: DataFrame, group: str) -> DataFrame:
+    """Members of ``group`` in ``blocks`` blocks, dealt to every pair (i, j) of blocks that theirs is in."""
+    every = F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)
+    cells = members.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks"))).withColumn("other", F.explode(every))
+    cells = cells.withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other")).drop("other", "blocks")
+    return cells.repartition(group, "i", "j").sortWithinPartitions(group, "i", "j")
+
+
+def _across(members: DataFrame, num: int, den: int, one: bool = False) -> DataFrame:
+    """Pairs of different components in the same tile that bitmaps leave possible; with ``one``, one for each member and block."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for tile in _runs(batches, ["sig", "i", "j"]):
             tile = tile.combine_chunks()
             node, part, n, block = (tile.column(c).to_numpy() for c in ("node", "part", "n", "block"))
             same = tile.column("i")[0].as_py() == tile.column("j")[0].as_py()
-            bits = _matrix(tile.column("bits"))
+            bits, met = _matrix(tile.column("bits")), np.zeros(len(node), bool)
             out: list[np.ndarray] = []
             for k in range(0, len(node), 64):
                 rows = slice(k, k + 64)
@@ -224,53 +297,131 @@ def _across(members: DataFrame, num: int, den: int) -> DataFrame:
                 fine &= (part[rows, None] != part[None]) & (node[rows, None] < node[None])
                 if not same:  # within a block is another tile's work
                     fine &= block[rows, None] != block[None]
+                if one:
+                    fine &= np.cumsum(fine, axis=0) == 1
+                    fine[:, met] = False
+                    met |= fine.any(axis=0)
                 a, b = np.nonzero(fine)
                 out.append(np.stack([node[rows][a], node[b]]))
             a, b = np.concatenate(out, axis=1)
             yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
-    every = F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)
-    tiles = (
-        members.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")))
-        .withColumn("other", F.explode(every))
-        .select("sig", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "node", "part", "n", "block", "bits")
-    )
-    return tiles.repartition("sig", "i", "j").sortWithinPartitions("sig", "i", "j").mapInArrow(run, "a long, b long").distinct()
-
+    return _cells(members.select("sig", "node", "part", "n", "bits", "blocks"), "sig").mapInArrow(run, "a long, b long").distinct()
+
+
+def links_between(left: list[np.ndarray], right: list[np.ndarray], num: int, den: int) -> np.ndarray:
+    """Matrix of which sets on the left link with which on the right."""
+    n, m = (np.array([len(h) for h in side], np.int64) for side in (left, right))
+    bits = [np.frombuffer(b"".join(map(_bitmap, side)), np.uint64).reshape(-1, BITS // 64) for side in (left, right)]
+    fine = np.concatenate([_may_link(n[k : k + 64, None], m[None], np.bitwise_count(bits[0][k : k + 64, None] ^ bits[1][None]).sum(axis=2), num, den) for k in range(0, len(n), 64)])
+    some = int(fine.sum())
+    if some * (15 + 0.05 * n.mean()) < 50 + len(n) * len(m) * n.mean() / 2e4:  # in microseconds, with a guess at the shared hashes
+        for a, b in zip(*np.nonzero(fine), strict=True):
+            overlap = _overlap(left[a], right[b])
+            fine[a, b] = den * overlap >= num * (n[a] + m[b] - overlap)
+        return fine
+    # Hashes of one set alone don't count, those of all sets count alike; the others are columns of 0 and 1.
+    values, code, seen = np.unique(np.concatenate([*left, *right]), return_inverse=True, return_counts=True)
+    everywhere = seen == len(n) + len(m)
+    column = np.where((seen > 1) & ~everywhere, np.cumsum((seen > 1) & ~everywhere) - 1, -1)[code]
+    owner = np.repeat(np.arange(len(n) + len(m)), np.concatenate([n, m]))
+    order = np.argsort(column, kind="stable")
+    column, owner = column[order], owner[order]
+    overlap = np.full((len(n), len(m)), int(everywhere.sum()), np.int64)
+    for low in range(0, int(column[-1]) + 1 if len(column) else 0, COLUMNS):
+        at = slice(*np.searchsorted(column, (low, low + COLUMNS)))
+        marks = np.zeros((len(n) + len(m), COLUMNS), np.float32)
+        marks[owner[at], column[at] - low] = 1
+        overlap += np.rint(marks[: len(n)] @ marks[len(n) :].T).astype(np.int64)
+    return fine & (den * overlap >= num * (n[:, None] + m[None] - overlap))
+
+
+def _link_counts(labels: DataFrame, classes: DataFrame, arrays: DataFrame, num: int, den: int) -> DataFrame:
+    """(node, n): rows of other classes that each class of ``labels`` links with."""
 
-def jaccard_components(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """(doc_id, n_shingles, component_id, class_size) of every document; linked: den * |A & B| >= num * |A | B|."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for cell in _runs(batches, ["component", "i", "j"]):
+            node, block, weight = (cell.column(c).to_numpy() for c in ("node", "block", "class_size"))
+            sets = [np.frombuffer(h.as_buffer(), np.uint64) for h in cell.column("hashes")]
+            i, j = (cell.column(c)[0].as_py() for c in "ij")
+            left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
+            if not len(left) or not len(right):
+                continue
+            fine = links_between([sets[k] for k in left], [sets[k] for k in right], num, den)
+            if i == j:
+                np.fill_diagonal(fine, False)
+                count = fine @ weight[right]
+            else:
+                count = np.concatenate([fine @ weight[right], fine.T @ weight[left]])
+                left = np.concatenate([left, right])
+            yield pa.RecordBatch.from_arrays([pa.array(node[left]), pa.array(count)], ["node", "n"])
+
+    sizes = labels.join(arrays.select("node", F.octet_length("hashes").alias("bytes")), "node").groupBy("component")
+    sizes = sizes.agg(F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("bytes") / BLOCK_BYTES)).alias("blocks"))
+    members = labels.join(sizes, "component").join(classes.select("node", "class_size"), "node").join(arrays, "node")
+    return _cells(members, "component").mapInArrow(run, "node long, n long").groupBy("node").agg(F.sum("n").alias("n"))
+
+
+def _same_ids(made: DataFrame, classes: DataFrame) -> DataFrame:
+    """Pairs of classes that rows of one doc_id are in, the first with each other."""
+    rows = made.filter("n > 0 AND doc_id IS NOT NULL").select("doc_id", "digest")
+    again = write_cut(rows.groupBy("doc_id").agg(F.min("digest").alias("p"), F.max("digest").alias("q")).filter("p < q").select("doc_id"), "again")
+    both = rows.join(small_side(again, 16), "doc_id", "left_semi").distinct().join(classes.select("digest", "node"), "digest").select("doc_id", F.col("node").alias("b"))
+    return both.join(both.groupBy("doc_id").agg(F.min("b").alias("a")), "doc_id").filter("a < b").select("a", "b").distinct()
+
+
+def jaccard_components(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100, count_links: bool = False) -> DataFrame:
+    """(doc_id, n_shingles, component_id, class_size) of every document; linked: den * |A & B| >= num * |A | B|.
+
+    With ``count_links`` also n_links, the number of other rows that it is linked with.
+    """
     made = write_cut(features(docs, words, num, den), "features")
-    # A class without any doc_id gets a number below all ids.
-    odd = -(F.lit(1 << 62) + F.pmod(F.xxhash64("digest"), F.lit(1 << 61)))
-    classes = write_cut(made.filter("n > 0").groupBy("digest").agg(F.min("doc_id").alias("least"), F.count("*").alias("class_size")).withColumn("node", F.coalesce("least", odd)), "classes")
-    first = made.join(small_side(classes.drop("class_size"), 64), "digest").filter(F.col("doc_id").eqNullSafe(F.col("least"))).select("node", "n", "bits", "sigs")
-    sketches = first.select("node", "n", "bits").dropDuplicates(["node"])
+    # A class is known by its first row.
+    classes = write_cut(made.filter("n > 0").groupBy("digest").agg(F.min("row").alias("node"), F.min("doc_id").alias("least"), F.count("*").alias("class_size")), "classes")
+    first = made.withColumnRenamed("row", "node").join(small_side(classes.select("node"), 16), "node", "left_semi").select("node", "n", "bits", "sigs")
+    sketches = first.select("node", "n", "bits")
     offers = first.select(F.explode("sigs").alias("sig"), "node")
-    tiles = write_cut(offers.groupBy("sig").agg(F.min("node").alias("low"), F.max("node").alias("high"), F.count("*").alias("size")).filter("low < high"), "tiles")
-    large = tiles.filter("size > 2").select("sig", "low", "size")
-    members = write_cut(offers.join(small_side(large, 40), "sig"), "members")
+    tile = lambda offered: offered.groupBy("sig").agg(F.min("node").alias("low"), F.max("node").alias("high"), F.count("*").alias("size")).filter("low < high")
+    tiles = write_cut(tile(offers), "tiles")
+    large = tiles.filter(F.col("size").between(3, SPLIT)).select("sig", "low")
+    members = offers.join(small_side(large, 40), "sig").select("sig", "node", "low")
+    hot = tiles.filter(F.col("size") > SPLIT).select("sig")
+    if not hot.isEmpty():
+        dealt = write_cut(_parts(offers, small_side(hot, 16), classes, docs, words, num, den), "parts")
+        again = write_cut(tile(dealt), "part-tiles")
+        tiles = tiles.filter(F.col("size") <= SPLIT).unionByName(again)
+        members = members.unionByName(dealt.join(small_side(again.filter("size > 2").select("sig", "low"), 40), "sig").select("sig", "node", "low"))
+    members = write_cut(members, "members")
     stars = tiles.filter("size = 2").select(F.col("low").alias("a"), F.col("high").alias("b")).unionByName(members.filter("node > low").select(F.col("low").alias("a"), F.col("node").alias("b"))).distinct()
-    links = write_cut(_linked(_bounded(stars, sketches, num, den), docs, words, num, den), "links")
+    tried = write_cut(_bounded(stars, sketches, num, den), "likely")
+    arrays = _arrays(tried, classes, docs, words)
+    same = write_cut(_same_ids(made, classes), "same-ids")
+    links = write_cut(_linked(tried, arrays, num, den).unionByName(same), "links")
     labels = components(links, "a", "b")
-    part = members.join(labels, "node", "left").withColumn("part", F.coalesce("component", "node"))
-    mixed = part.groupBy("sig").agg(F.min("part").alias("p"), F.max("part").alias("q"), F.ceil(F.count("*") / BLOCK).alias("blocks")).filter("p < q").select("sig", "blocks")
-    rest = write_cut(part.select("sig", "node", "part").join(mixed, "sig").join(sketches, "node"), "rest")
-    if not rest.isEmpty():
-        more = _across(rest, num, den).join(stars, ["a", "b"], "left_anti")
-        links = links.unionByName(_linked(more, docs, words, num, den))
+    for one in (True, False):
+        part = members.join(labels, "node", "left").withColumn("part", F.coalesce("component", "node"))
+        mixed = part.groupBy("sig").agg(F.min("part").alias("p"), F.max("part").alias("q"), F.ceil(F.count("*") / BLOCK).alias("blocks")).filter("p < q").select("sig", "blocks")
+        rest = write_cut(part.select("sig", "node", "part").join(mixed, "sig").join(sketches, "node"), "rest")
+        more = write_cut(_across(rest, num, den, one).join(tried, ["a", "b"], "left_anti"), "more")
+        if more.isEmpty():
+            break
+        arrays = _arrays(more, classes, docs, words, arrays)
+        links = write_cut(links.unionByName(_linked(more, arrays, num, den)), "links")
         labels = components(links, "a", "b")
+        tried = tried.unionByName(more)
     labels = write_cut(labels, "labels")
-    placed = classes.join(labels, "node", "left").select("digest", F.coalesce("component", "node").alias("component"), "class_size")
-    return (
-        made.select("doc_id", "n", "digest")
-        .join(small_side(placed, 64), "digest", "left")
-        .select("doc_id", F.col("n").alias("n_shingles"), F.coalesce(F.when(F.col("component") > -(1 << 62), F.col("component")), F.col("doc_id")).alias("component_id"), F.coalesce("class_size", F.lit(1).cast("long")).alias("class_size"))
-    )
+    roots = labels.join(classes.select("node", "least"), "node").groupBy("component").agg(F.min("least").alias("root"))
+    placed = classes.join(labels.join(roots, "component"), "node", "left").select("node", "digest", F.coalesce("root", "least").alias("component_id"), "class_size")
+    columns = ["doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("class_size", F.lit(1).cast("long")).alias("class_size")]
+    if count_links:
+        counts = write_cut(_link_counts(labels, classes, arrays, num, den), "link-counts")
+        placed = placed.join(small_side(counts, 16), "node", "left").withColumn("n_links", F.col("class_size") - 1 + F.coalesce("n", F.lit(0))).drop("n")
+        columns.append(F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"))
+    return made.select("doc_id", "n", "digest").join(small_side(placed.drop("node"), 64), "digest", "left").select(*columns)
 
 
 def op2_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard_components(table(spark, sf_dir, "documents"), words=3, num=90, den=100)
+    return jaccard_components(table(spark, sf_dir, "documents"), words=3, num=90, den=100, count_links=True)
 
 
 #: All pairs that share a shingle, then components by walking links: for small tables.
@@ -283,6 +434,6 @@ WITH RECURSIVE w AS (
 p AS (SELECT a.doc_id AS a, b.doc_id AS b, a.n AS na, b.n AS nb, count(*) AS o FROM e a JOIN e b ON a.x = b.x AND a.doc_id <> b.doc_id GROUP BY ALL),
 l AS (SELECT a, b FROM p WHERE 100 * o >= 90 * (na + nb - o)),
 r(a, b) AS (SELECT doc_id, doc_id FROM s UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a)
-SELECT s.doc_id, CAST(len(s) AS BIGINT) AS n_shingles, c.component_id, CASE WHEN len(s) = 0 THEN 1 ELSE count(*) OVER (PARTITION BY s) END AS class_size
-FROM s JOIN (SELECT a, min(b) AS component_id FROM r GROUP BY a) c ON c.a = s.doc_id
+SELECT s.doc_id, CAST(len(s) AS BIGINT) AS n_shingles, c.component_id, CASE WHEN len(s) = 0 THEN 1 ELSE count(*) OVER (PARTITION BY s) END AS class_size, CAST(coalesce(k.n_links, 0) AS BIGINT) AS n_links
+FROM s JOIN (SELECT a, min(b) AS component_id FROM r GROUP BY a) c ON c.a = s.doc_id LEFT JOIN (SELECT a, count(*) AS n_links FROM l GROUP BY a) k ON k.a = s.doc_id
 """

@@ -13,7 +13,7 @@ def brute(rows, words, num, den):
         w = (text or "").encode().lower().split()
         k = min(words, len(w))
         sets.append({tuple(w[i : i + k]) for i in range(len(w) - k + 1)} if w else set())
-    parent = list(range(len(rows)))
+    parent, links = list(range(len(rows))), [0] * len(rows)
 
     def find(i):
         while parent[i] != i:
@@ -23,14 +23,18 @@ def brute(rows, words, num, den):
     for i in range(len(rows)):
         for j in range(i):
             shared = len(sets[i] & sets[j])
-            same_id = rows[i][0] is not None and rows[i][0] == rows[j][0]
-            if (shared and den * shared >= num * len(sets[i] | sets[j])) or (same_id and sets[i] == sets[j]):
+            same_id = rows[i][0] is not None and rows[i][0] == rows[j][0] and sets[i] and sets[j]
+            linked = shared and den * shared >= num * len(sets[i] | sets[j])
+            if linked:
+                links[i] += 1
+                links[j] += 1
+            if linked or same_id:
                 a, b = sorted((find(i), find(j)))
                 parent[b] = a
     groups = {}
     for i in range(len(rows)):
         groups.setdefault(find(i), []).append(rows[i][0])
-    return sorted(((rows[i][0], len(sets[i]), min(x for x in groups[find(i)] if x is not None)) for i in range(len(rows)) if rows[i][0] is not None))
+    return sorted(((rows[i][0], len(sets[i]), min(x for x in groups[find(i)] if x is not None), links[i]) for i in range(len(rows)) if rows[i][0] is not None))
 
 
 def corpus(seed, near):
@@ -56,12 +60,12 @@ def corpus(seed, near):
 @pytest.mark.parametrize("words,num,den", [(3, 90, 100), (5, 80, 100)])
 def test_components_equal_brute_force(spark, words, num, den):
     rows = corpus(words, 6)
-    out = jaccard.jaccard_components(spark.createDataFrame([(i, t, 5, "x") for i, t in rows], SCHEMA), words, num, den).collect()
-    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in out) == brute(rows, words, num, den)
+    out = jaccard.jaccard_components(spark.createDataFrame([(i, t, 5, "x") for i, t in rows], SCHEMA), words, num, den, count_links=True).collect()
+    assert sorted((r.doc_id, r.n_shingles, r.component_id, r.n_links) for r in out) == brute(rows, words, num, den)
 
 
 def test_chain_of_near_copies_that_only_touch_neighbours(spark, monkeypatch):
-    monkeypatch.setattr(jaccard, "BLOCK", 4)  # so that tiles have several blocks
+    monkeypatch.setattr(jaccard, "BLOCK", 4)  # so that tiles and components have several blocks
     rng = random.Random(3)
     words = [f"v{i}" for i in range(200)]
     rows = []
@@ -69,8 +73,57 @@ def test_chain_of_near_copies_that_only_touch_neighbours(spark, monkeypatch):
         rows.append((1000 - i, " ".join(words)))
         for _ in range(2):
             words[rng.randrange(200)] = f"x{i}{rng.random()}"
-    out = jaccard.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"), 3, 90, 100).collect()
-    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in out) == brute(rows, 3, 90, 100)
+    out = jaccard.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"), 3, 90, 100, count_links=True).collect()
+    assert sorted((r.doc_id, r.n_shingles, r.component_id, r.n_links) for r in out) == brute(rows, 3, 90, 100)
+
+
+def test_two_texts_under_one_doc_id_lose_no_link(spark):
+    rng = random.Random(8)
+    rows = []
+    for i in range(10):
+        for k in range(2):
+            words = [f"u{rng.randrange(5000)}" for _ in range(120)]
+            rows.append((i, " ".join(words)))
+            words[60] = "changed"
+            rows.append((100 + 2 * i + k, " ".join(words)))
+    rows += [(rows[0][0], rows[0][1]), (55, ""), (55, rows[4][1])]
+    out = jaccard.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"), 3, 90, 100, count_links=True).collect()
+    assert sorted((r.doc_id, r.n_shingles, r.component_id, r.n_links) for r in out) == brute(rows, 3, 90, 100)
+    assert {r.component_id for r in out if r.doc_id >= 100} <= set(range(10))
+
+
+@pytest.mark.parametrize("num,den", [(90, 100), (80, 100)])
+def test_unrelated_sets_share_no_large_tile(num, den):
+    from collections import Counter
+
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    for n in (4, 6, 8, 10, 20, 50):
+        tiles = Counter(s for _ in range(4000) for s in set(jaccard.signatures(np.unique(rng.integers(0, 1 << 63, n).astype(np.uint64)), num, den).tolist()))
+        assert max(tiles.values(), default=0) <= 4
+
+
+@pytest.mark.parametrize("near", [0.0, 1.0])
+def test_links_of_blocks_equal_pairwise_comparison(near):
+    import numpy as np
+
+    rng = np.random.default_rng(6)
+    base = rng.integers(0, 1 << 63, 300).astype(np.uint64)
+    draw = lambda: np.unique(np.r_[rng.permutation(base)[rng.integers(0, 30) :], rng.integers(0, 1 << 63, rng.integers(0, 30)).astype(np.uint64)] if rng.random() < near else rng.integers(0, 1 << 63, 300).astype(np.uint64))
+    left, right = [draw() for _ in range(150)], [draw() for _ in range(120)]
+    want = [[90 * len(np.union1d(a, b)) <= 100 * len(np.intersect1d(a, b)) for b in right] for a in left]
+    assert jaccard.links_between(left, right, 90, 100).tolist() == want
+    assert np.any(want) == bool(near)
+
+
+def test_very_long_text_and_its_near_copy(spark):
+    words = [f"w{i}" for i in range(120_000)]
+    other = list(words)
+    other[77_000] = "x"
+    rows = [(1, " ".join(words)), (2, " ".join(other)), (3, " ".join(words[:60_000]))]
+    out = jaccard.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"), 3, 90, 100, count_links=True).collect()
+    assert sorted((r.doc_id, r.component_id, r.n_links) for r in out) == [(1, 1, 1), (2, 1, 1), (3, 3, 0)]
 
 
 def test_signatures_of_linked_sets_always_share_a_tile():
@@ -85,7 +138,7 @@ def test_signatures_of_linked_sets_always_share_a_tile():
                 gone, new = rng.integers(0, most + 1), rng.integers(0, most + 1)
                 b = np.unique(np.r_[rng.permutation(a)[gone:], rng.integers(0, 1 << 63, new).astype(np.uint64) * np.uint64(2) + np.uint64(1)])
                 shared = len(np.intersect1d(a, b))
-                if len(b) and den * shared >= num * (len(a) + len(b) - shared):
+                if len(b) and shared < max(len(a), len(b)) and den * shared >= num * (len(a) + len(b) - shared):  # equal sets are one class
                     assert set(jaccard.signatures(a, num, den).tolist()) & set(jaccard.signatures(b, num, den).tolist())
 
 
