@@ -47,7 +47,7 @@ BLOCK, BLOCK_BYTES = 1024, 8 << 20
 #: Ratio of the upper ends of neighbouring size bands, and neighbours in a gram, at most.
 BAND, GRAM = 4, 3
 #: Members from which a tile is parted further.
-SPLIT = 256
+SPLIT = 4096
 #: Words kept in a task's table of word hashes before it starts anew.
 CACHED = 1 << 17
 #: Columns of an incidence matrix at a time.
