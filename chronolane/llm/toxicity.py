@@ -1,56 +1,89 @@
 """Toxicity by compression distance: two zstandard dictionaries, window compression lengths, calibrated thresholds.
 
-A text is cut into windows of a few words. Each window is compressed with the dictionary of ordinary text and with
-that of toxic text; the difference in length tells which it is closer to. The toxic dictionary holds what is trained
-on the words that toxic documents have in excess, before the ordinary content; the ordinary one has bytes there that
-no text contains, so that offsets cost the same and windows without toxic matter come out equal. A logistic curve over
-the differences of a document gives a probability, and the threshold, set on all labelled training rows, becomes 0.5.
+One dictionary is trained on windows of ordinary texts, one on those of toxic texts. A window is compressed with either;
+the difference in length tells which it is closer to. A toxic document is ordinary language for its most part, so its
+windows are refined by the compression distance itself: after a first fit on all windows of toxic texts, those stay that
+the toxic dictionary shortens by more than it does all but FALSE of ordinary windows, and it is trained again, ROUNDS
+times. Documents are in two folds, and windows are only ever judged by dictionaries of the other fold; so what stays is
+what toxic documents share. The toxic dictionary goes before the ordinary content, as toxic text is ordinary text with
+something more; the ordinary one has bytes there that no text contains, so that offsets cost the same.
+
+A logistic curve over the differences of a document, fitted on documents that its dictionaries didn't see, gives a
+logit for each fold's dictionaries. A document's logit is the mean of both; the threshold, set on all labelled training
+rows by the logit of the other fold's dictionaries, becomes 0.5.
 
 Only the fit of dictionaries and curve sees a sample: at most SAMPLE labelled documents a class, of at most LONGEST
-characters, chosen by a hash of the id. Thresholds and scores cover all rows and whole texts. Inputs of a score are
-the text alone.
+characters, chosen by a hash of the id, and of their windows at most WINDOWS a fold and class. Thresholds and scores
+cover all rows and whole texts. Inputs of a score are the text alone.
 
 Defined cases: a null text counts as empty; an empty text is one empty window and gets a score; a doc_id labelled more
-than once is toxic if any label is; without toxic or ordinary training rows all scores are 0; an empty table gives no
-rows; repeated rows each give a row; other columns pass through.
+than once is toxic if any label is; without toxic or ordinary training rows in both folds all scores are 0; an empty
+table gives no rows; repeated rows each give a row; other columns pass through.
 """
 
 from __future__ import annotations
 
 import math
 import random
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import xxhash
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import small_batches, table, write_cut
 
-SAMPLE, LONGEST = 2000, 1 << 15
-#: Words in a window, bytes of the dictionaries' common and toxic part, compression level.
-WINDOW, ORDINARY, TOXIC, LEVEL = 2, 8192, 2048, 3
+SAMPLE, LONGEST, WINDOWS = 2000, 1 << 15, 40_000
+#: Words in a window that is scored, and in the overlapping ones that dictionaries are trained on.
+SCORED, TRAINED = 4, 2
+#: Bytes of the dictionaries, compression level.
+ORDINARY, TOXIC, LEVEL = 8192, 2048, 3
 #: Bytes of ordinary content behind each window: a short window alone would often be stored as it is, whatever the dictionary.
 TAIL = 64
-#: A word is in excess if this share of toxic documents (and four) has it, this many times the ordinary share.
-SHARE, RATIO = 0.01, 5.0
+#: Rounds in which the toxic windows are refined, and the share of ordinary windows that may pass for toxic.
+ROUNDS, FALSE = 6, 0.005
 #: Bins for the choice of the threshold.
 BINS = 2000
 
 
-def windows(text: str | None, words: int = WINDOW) -> list[bytes]:
+def windows(text: str | None, words: int = SCORED, step: int = SCORED) -> list[bytes]:
     """The text's words, lower-cased, in groups; at least one window."""
     w = (text or "").lower().encode("utf-8", "surrogatepass").split()
-    return [b" " + b" ".join(w[i : i + words]) + b" " for i in range(0, len(w), words)] or [b""]
+    return [b" " + b" ".join(w[i : i + words]) + b" " for i in range(0, max(1, len(w) - words + step), step)]
+
+
+class Compressors:
+    """Both dictionaries, ready to compress."""
+
+    def __init__(self, ordinary: bytes, toxic: bytes) -> None:
+        self.tail, self.both = ordinary[-TAIL:], []
+        for content in (b"\xff" * len(toxic) + ordinary, toxic + ordinary):
+            params = zstandard.ZstdCompressionParameters.from_level(LEVEL, source_size=128, dict_size=len(content), write_content_size=0, write_checksum=0, write_dict_id=0)
+            data = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+            data.precompute_compress(compression_params=params)
+            self.both.append(zstandard.ZstdCompressor(compression_params=params, dict_data=data))
+
+    def differences(self, cut: list[bytes]) -> np.ndarray:
+        """How many bytes shorter each window is with the toxic dictionary."""
+        plain, toxic = (c.compress for c in self.both)
+        cut = [w + self.tail for w in cut]
+        return np.fromiter((len(plain(w)) - len(toxic(w)) for w in cut), np.float64, len(cut))
+
+    def features(self, text: str | None) -> list[float]:
+        """What the windows' differences say of a document: the largest, means, and sums by length."""
+        d = np.sort(self.differences(windows(text)))[::-1]
+        n, root = len(d), math.sqrt(len(d))
+        over = [np.maximum(d - k, 0).sum() / root for k in (1, 3)]
+        return [d[0], d[:3].mean(), d.mean(), d.sum() / root, math.log(n), *over, (d >= 2).mean(), math.log1p((d >= 2).sum()), math.log1p((d >= 3).sum())]
 
 
 @dataclass(frozen=True)
 class Model:
-    """Dictionaries and curve; ``threshold`` is the logit that becomes a score of 0.5."""
+    """Dictionaries of one fold, and the curve over their features."""
 
     ordinary: bytes
     toxic: bytes
@@ -58,28 +91,11 @@ class Model:
     scale: tuple[float, ...]
     weights: tuple[float, ...]
 
-    def compressors(self) -> tuple[zstandard.ZstdCompressor, ...]:
-        made = []
-        for content in (self.ordinary, self.toxic):
-            params = zstandard.ZstdCompressionParameters.from_level(LEVEL, source_size=64, dict_size=len(content), write_content_size=0, write_checksum=0, write_dict_id=0)
-            data = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-            data.precompute_compress(compression_params=params)
-            made.append(zstandard.ZstdCompressor(compression_params=params, dict_data=data))
-        return tuple(made)
-
-    def logits(self, texts, compressors) -> np.ndarray:
-        x = np.array([_features(t, *compressors, self.ordinary[-TAIL:]) for t in texts]).reshape(-1, len(self.mean))
+    def logits(self, texts, compressors: Compressors) -> np.ndarray:
+        x = np.array([compressors.features(t) for t in texts]).reshape(-1, len(self.mean))
         return ((x - self.mean) / self.scale) @ np.array(self.weights[:-1]) + self.weights[-1]
 
 
-def _features(text: str | None, ordinary, toxic, tail: bytes) -> list[float]:
-    """What the windows' differences say of a document: the largest, their sums, and sums by length."""
-    cut = [w + tail for w in windows(text)]
-    d = np.fromiter((len(ordinary.compress(w)) - len(toxic.compress(w)) for w in cut), np.float64, len(cut))
-    n, much, strong = len(cut), d[d >= 2].sum(), (d >= 4).sum()
-    return [d.max(), much / n, much / math.sqrt(n), math.log1p(much), strong / math.sqrt(n), math.log1p(strong), math.log(n), d.mean()]
-
-
 def _trained(size: int, samples: list[bytes]) -> bytes:
     """A dictionary's bytes; samples too few to train on are the dictionary themselves."""
     try:
@@ -88,38 +104,58 @@ def _trained(size: int, samples: list[bytes]) -> bytes:
         return b"".join(samples)[-size:]
 
 
-def fit(toxic: list[str], ordinary: list[str], seed: int = 7) -> Model | None:
-    """Train dictionaries and curve on texts; None if either class is missing."""
-    toxic, ordinary = list(dict.fromkeys(toxic)), list(dict.fromkeys(ordinary))
-    if not toxic or not ordinary:
-        return None
-    rng = random.Random(seed)
-    split = lambda t: t.lower().encode("utf-8", "surrogatepass").split()
-    have = [Counter(w for t in texts for w in set(split(t))) for texts in (toxic, ordinary)]
-    excess = {w for w, n in have[0].items() if n >= max(4, SHARE * len(toxic)) and n / len(toxic) >= RATIO * (have[1][w] + 1) / (len(ordinary) + 1)}
-    base = _trained(ORDINARY, [w for t in ordinary for w in (lambda c: rng.sample(c, min(len(c), 8)))(windows(t))])
-    own = _trained(TOXIC, [b" " + w + b" " for t in toxic for w in split(t) if w in excess]) if excess else b""
-    own = b" ".join([w for w in sorted(excess) if w not in own] + [own])
-    model = Model(b"\xff" * len(own) + base, own + base, (0.0,) * 8, (1.0,) * 8, (0.0,) * 9)
-    compressors = model.compressors()
-    x = np.array([_features(t, *compressors, model.ordinary[-TAIL:]) for t in toxic + ordinary])
-    y = np.r_[np.ones(len(toxic)), np.zeros(len(ordinary))]
+def _curve(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Mean, scale and weights of a logistic regression with a small ridge, by Newton steps."""
     mean, scale = x.mean(axis=0), x.std(axis=0) + 1e-9
     a = np.c_[(x - mean) / scale, np.ones(len(x))]
     w = np.zeros(a.shape[1])
-    for _ in range(60):  # Newton steps of a logistic regression with a small ridge
+    for _ in range(60):
         p = 1 / (1 + np.exp(-np.clip(a @ w, -30, 30)))
-        w -= np.linalg.solve((a * (p * (1 - p))[:, None]).T @ a + 1e-2 * np.eye(len(w)), a.T @ (p - y) + 1e-2 * w)
-    return Model(model.ordinary, model.toxic, tuple(mean), tuple(scale), tuple(w))
+        w -= np.linalg.solve((a * (p * (1 - p))[:, None]).T @ a + 1e-1 * np.eye(len(w)), a.T @ (p - y) + 1e-1 * w)
+    return mean, scale, w
+
+
+def fold_of(text: str) -> int:
+    """Fold of a text of the sample; equal texts share theirs, so that none is judged by its own dictionary."""
+    return xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass")) >> 7 & 1
+
+
+def fit(toxic: list[str], ordinary: list[str], seed: int = 7) -> tuple[Model, Model] | None:
+    """Train dictionaries and curves on texts, in two folds; None if a class is missing in one."""
+    rng = random.Random(seed)
+    few = lambda cut: rng.sample(cut, WINDOWS) if len(cut) > WINDOWS else cut
+    texts = [[[t for t in dict.fromkeys(side) if fold_of(t) == f] for f in (0, 1)] for side in (toxic, ordinary)]
+    if not all(t for side in texts for t in side):
+        return None
+    cut = [[few([w for t in fold for w in windows(t, TRAINED, 1)]) for fold in side] for side in texts]
+    base = [_trained(ORDINARY, c) for c in cut[1]]
+    kept = last = cut[0]
+    for _ in range(ROUNDS):
+        made = [Compressors(b, _trained(TOXIC, k)) for b, k in zip(base, kept, strict=True)]
+        now = []
+        for f in (0, 1):
+            other = made[1 - f]
+            bar = max(0.0, np.quantile(other.differences(cut[1][f]), 1 - FALSE, method="higher"))
+            now.append([w for w, d in zip(cut[0][f], other.differences(cut[0][f]), strict=True) if d > bar] or last[f])
+        # What the last two rounds chose, as what fits into a dictionary may change by turns.
+        kept, last = now if last is cut[0] else [list(dict.fromkeys([*p, *q])) for p, q in zip(last, now, strict=True)], now
+    own = [_trained(TOXIC, k) for k in kept]
+    models = []
+    for f in (0, 1):
+        made = Compressors(base[f], own[f])
+        x = np.array([made.features(t) for side in texts for t in side[1 - f]])
+        y = np.r_[np.ones(len(texts[0][1 - f])), np.zeros(len(texts[1][1 - f]))]
+        models.append(Model(base[f], own[f], *map(tuple, _curve(x, y))))
+    return tuple(models)
 
 
 def _training(labels: DataFrame) -> DataFrame:
-    """(doc_id, toxic) of the labelled rows that may be learned from."""
+    """(labelled, toxic) of the labelled rows that may be learned from."""
     fold = F.crc32(F.col("doc_id").cast("string")) % 5
     return labels.filter(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & (fold != 0)).groupBy(F.col("doc_id").cast("long").alias("labelled")).agg(F.max("toxic").alias("toxic"))
 
 
-def fit_on(docs: DataFrame, labels: DataFrame) -> Model | None:
+def fit_on(docs: DataFrame, labels: DataFrame) -> tuple[Model, Model] | None:
     """Fit on the bounded sample; its ids are few enough to broadcast, so no text is shuffled."""
     train = _training(labels)
     few = [train.filter(F.col("toxic") == y).orderBy(F.xxhash64("labelled"), "labelled").limit(SAMPLE) for y in (1, 0)]
@@ -129,8 +165,12 @@ def fit_on(docs: DataFrame, labels: DataFrame) -> Model | None:
 
 
 def threshold(scored: DataFrame, labels: DataFrame) -> float:
-    """The logit from which calling toxic gives the best F1, over all labelled training rows, in bins."""
-    bins = scored.join(_training(labels), F.col("doc_id").cast("long") == F.col("labelled")).groupBy(F.floor(F.greatest(F.lit(-10.0), F.least(F.lit(10.0), "toxic_logit")) * (BINS // 20)).alias("bin")).agg(F.sum("toxic").alias("hits"), F.count("*").alias("n")).collect()
+    """The logit from which calling toxic gives the best F1, over all labelled training rows, in bins.
+
+    ``scored`` has logits of both folds and ``toxic_fold``, the fold that a text belongs to: the other's logit counts.
+    """
+    logit = F.when(F.col("toxic_fold") == 0, F.col("toxic_logits")[1]).otherwise(F.col("toxic_logits")[0])
+    bins = scored.join(_training(labels), F.col("doc_id").cast("long") == F.col("labelled")).groupBy(F.floor(F.greatest(F.lit(-10.0), F.least(F.lit(10.0), logit)) * (BINS // 20)).alias("bin")).agg(F.sum("toxic").alias("hits"), F.count("*").alias("n")).collect()
     total, hits, n, best = sum(r.hits for r in bins), 0, 0, (0.0, 0.0)
     for r in sorted(bins, key=lambda r: -r.bin):
         hits, n = hits + r.hits, n + r.n
@@ -140,19 +180,22 @@ def threshold(scored: DataFrame, labels: DataFrame) -> float:
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, keep: list[str] | None = None) -> DataFrame:
     """The columns ``keep`` (all by default) and ``toxic_score`` of every document."""
-    model = fit_on(docs, labels)
+    models = fit_on(docs, labels)
     keep = keep or docs.columns
-    if model is None:
+    if models is None:
         return docs.select(*keep, F.lit(0.0).alias("toxic_score"))
 
-    @F.pandas_udf("double")
-    def logit(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        compressors = model.compressors()
+    @F.pandas_udf("toxic_logits array<double>, toxic_fold int")
+    def judge(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        made = [Compressors(m.ordinary, m.toxic) for m in models]
         for texts in batches:
-            yield pd.Series(model.logits(texts, compressors))
+            logits = np.stack([m.logits(texts, c) for m, c in zip(models, made, strict=True)], axis=1)
+            yield pd.DataFrame({"toxic_logits": list(logits), "toxic_fold": [fold_of(t or "") for t in texts]})
 
-    scored = write_cut(small_batches(docs).withColumn("toxic_logit", logit("text")).select(*keep, "toxic_logit"), "toxicity")
-    return scored.withColumn("toxic_score", 1 / (1 + F.exp(F.lit(threshold(scored, labels)) - F.col("toxic_logit")))).drop("toxic_logit")
+    scored = small_batches(docs).withColumn("_toxic", judge("text")).select(*keep, "_toxic.*")
+    scored = write_cut(scored, "toxicity")
+    logit = (F.col("toxic_logits")[0] + F.col("toxic_logits")[1]) / 2
+    return scored.withColumn("toxic_score", 1 / (1 + F.exp(F.lit(threshold(scored, labels)) - logit))).drop("toxic_logits", "toxic_fold")
 
 
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

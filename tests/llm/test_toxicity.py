@@ -1,8 +1,11 @@
+import math
 import random
 import zlib
 
+import zstandard
 from pyspark.sql import functions as F
 
+from chronolane.llm import toxicity
 from chronolane.llm.toxicity import fit, score_toxicity
 
 DOCS = "doc_id long, text string, lang string, toxic int, toxic_logit string"
@@ -53,4 +56,41 @@ def test_nulls_repeats_clashes_and_missing_labels(spark):
 
 def test_fit_needs_both_classes():
     assert fit(["a"], []) is None and fit([], ["a"]) is None
-    assert fit(["a b c"], ["d e f"]) is not None
+    many = [f"{c} b c" for c in "abcdefghijkl"], [f"{c} e f" for c in "abcdefghijkl"]
+    assert fit(*many) is not None
+
+
+def plain_logit(text, model):
+    """One window after the other with a compressor of its own, features by their words."""
+    words = (text or "").lower().encode().split()
+    cut = [b" " + b" ".join(words[i : i + 4]) + b" " for i in range(0, len(words), 4)] or [b""]
+    if len(words) > 4 and len(words) % 4:
+        assert len(cut) == math.ceil(len(words) / 4)
+    lengths = []
+    for content in (b"\xff" * len(model.toxic) + model.ordinary, model.toxic + model.ordinary):
+        params = zstandard.ZstdCompressionParameters.from_level(3, source_size=128, dict_size=len(content), write_content_size=0, write_checksum=0, write_dict_id=0)
+        data = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        data.precompute_compress(compression_params=params)
+        lengths.append([len(zstandard.ZstdCompressor(compression_params=params, dict_data=data).compress(w + model.ordinary[-64:])) for w in cut])
+    d = sorted((a - b for a, b in zip(*lengths)), reverse=True)
+    n = len(d)
+    x = [d[0], sum(d[:3]) / len(d[:3]), sum(d) / n, sum(d) / n**0.5, math.log(n), sum(max(v - 1, 0) for v in d) / n**0.5, sum(max(v - 3, 0) for v in d) / n**0.5]
+    x += [sum(v >= 2 for v in d) / n, math.log1p(sum(v >= 2 for v in d)), math.log1p(sum(v >= 3 for v in d))]
+    return sum((v - m) / s * w for v, m, s, w in zip(x, model.mean, model.scale, model.weights)) + model.weights[-1]
+
+
+def test_scores_equal_a_plain_loop(spark):
+    rows, labels = corpus(240)
+    rows += [(5000, "", None, 0, ""), (5001, None, None, 0, ""), (5002, "one", None, 0, ""), (5003, "vilewretch " * 9 + "x", None, 0, "")]
+    docs, marked = spark.createDataFrame(rows, DOCS), spark.createDataFrame(labels, "doc_id long, toxic int")
+    models = toxicity.fit_on(docs, marked)
+    texts = {i: t for i, t, *_ in rows}
+    logits = {i: [plain_logit(t, m) for m in models] for i, t in texts.items()}
+    seen = [(y, logits[i][1 - toxicity.fold_of(texts[i])]) for i, y in labels if zlib.crc32(str(i).encode()) % 5]
+    bins = [(y, math.floor(max(-10.0, min(10.0, v)) * 100) / 100) for y, v in seen]
+    f1 = lambda t: 2 * sum(y for y, b in bins if b >= t) / (sum(b >= t for _, b in bins) + sum(y for y, _ in bins))
+    best = max((f1(t), t) for t in {b for _, b in bins} | {0.0})
+    cut = best[1]
+    got = {r.doc_id: r.toxic_score for r in score_toxicity(docs, marked, ["doc_id"]).collect()}
+    for i, (a, b) in logits.items():
+        assert abs(got[i] - 1 / (1 + math.exp(cut - (a + b) / 2))) < 1e-6
