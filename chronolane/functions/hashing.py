@@ -21,15 +21,5 @@ def split_position(seed: int, group: Column) -> Column:
     return F.conv(F.substring(F.sha2(F.concat_ws(":", F.lit(str(seed)), group.cast("string")), 256), 1, 16), 16, 10).cast("decimal(20,0)").cast("double") / F.lit(2.0**64)
 
 
-def poisson_weight(unit: Column) -> Column:
-    """A Poisson(1) count from a uniform draw: how often a resample has the row."""
-    out, total, p = F.lit(0), 0.0, 0.36787944117144233
-    for k in range(8):
-        total += p
-        out = F.when(unit >= total, k + 1).otherwise(out)
-        p /= k + 1
-    return out
-
-
 def _text(part: Column | str | int) -> Column:
     return part.cast("string") if isinstance(part, Column) else F.lit(str(part))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from chronolane.functions.hashing import hash_unit, poisson_weight
+from chronolane.functions.resampling import resampled_sums
 from chronolane.functions.scalars import finite
 
 
@@ -31,13 +31,11 @@ def percentiles(df: DataFrame, value: str, by: list[str], points: dict[str, floa
 def mean_interval(values: DataFrame, chart: str, value: str, by: list[str], draws: int = 2000, level: float = 0.95, seed: int = 20261106) -> DataFrame:
     """(by..., n, mean, low, high): percentile bootstrap over charts; no bounds for fewer than two.
 
-    Each draw gives every chart a Poisson(1) weight from a hash. So a draw is a sum that pre-aggregates where the rows
-    are, and nothing but a row for each draw and group is shuffled.
+    Each draw gives every chart a Poisson(1) count in place of drawing n charts with replacement, so bounds differ from
+    that bootstrap's by the spread of n. Sums are made where the rows are; a row for each draw and group is shuffled.
     """
     rows = values.filter(finite(F.col(value)).isNotNull())
-    exploded = rows.select(*by, F.col(value).alias("v"), F.col(chart).alias("k")).withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))))
-    weight = poisson_weight(hash_unit(seed, F.col("k"), F.col("draw")))
-    sums = exploded.withColumn("w", weight).groupBy(*by, "draw").agg(F.sum(F.col("v") * F.col("w")).alias("s"), F.sum("w").alias("w"))
+    sums = resampled_sums(rows.select(*by, F.col(value).alias("_v"), F.col(chart).alias("_k")), by, "_k", "_v", draws, seed)
     tail = (1 - level) / 2
     bounds = sums.filter("w > 0").groupBy(*by).agg(F.percentile(F.col("s") / F.col("w"), F.array(F.lit(tail), F.lit(1 - tail))).alias("b"))
     means = rows.groupBy(*by).agg(F.count("*").alias("n"), F.avg(value).alias("mean"))
@@ -199,7 +197,7 @@ def pattern_levels(df: DataFrame, fields: list[str]) -> DataFrame:
     return agg.select("field", levels.alias("levels"), "positive")
 
 
-def shift_response(df: DataFrame, chart: str, offset: str, value: str, draws: int = 200) -> DataFrame:
+def shift_response(df: DataFrame, chart: str, offset: str, value: str, draws: int = 2000) -> DataFrame:
     """Per offset: description of chart means, and the interval of their paired difference to offset 0."""
     values = chart_values(df, chart, F.col(value), [offset])
     baseline = values.filter(F.col(offset) == 0).select(chart, F.col("value").alias("_base"))

@@ -15,7 +15,7 @@ def summarize_records(records: DataFrame, by: list[str], chart: str) -> DataFram
     return match.micro(records, by).join(match.macro(records, chart, by), by).join(records.groupBy(*by).agg(F.count("*").alias("samples"), F.count_distinct(chart).alias("charts")), by)
 
 
-def compare_runs(left: DataFrame, right: DataFrame, keys: list[str], chart: str, value: str, frozen: list[str], draws: int = 200) -> DataFrame:
+def compare_runs(left: DataFrame, right: DataFrame, keys: list[str], chart: str, value: str, frozen: list[str], draws: int = 2000) -> DataFrame:
     """Paired difference of two runs per scenario; runs of different cases or settings are an error."""
     odd = splits.coverage(left, right, [*keys, chart])
     if not odd.isEmpty():

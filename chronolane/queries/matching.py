@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from chronolane.operators import match, stats
 
-from .base import events, rounded, table
+from .base import bootstrap_sql, events, rounded, table
 
 IDENTITY = ["event_type", "day"]
 
@@ -69,7 +69,7 @@ def chart_describe(spark, sf_dir):
 
 def bootstrap_ci(spark, sf_dir):
     charts = stats.chart_values(_orders_of(spark, sf_dir), "c_custkey", F.col("o_totalprice"), ["c_mktsegment"])
-    return rounded(stats.mean_interval(charts, "c_custkey", "value", ["c_mktsegment"], draws=100), 4)
+    return rounded(stats.mean_interval(charts, "c_custkey", "value", ["c_mktsegment"]), 4)
 
 
 def paired_ci(spark, sf_dir):
@@ -77,7 +77,7 @@ def paired_ci(spark, sf_dir):
     left = stats.chart_values(rows.filter("o_orderstatus = 'O'"), "c_custkey", F.col("o_totalprice"), ["c_mktsegment"])
     right = stats.chart_values(rows.filter("o_orderstatus = 'F'"), "c_custkey", F.col("o_totalprice"), ["c_mktsegment"])
     pairs = stats.paired_by_chart(left, right, "c_custkey", "value", ["c_mktsegment"])
-    ci = stats.mean_interval(pairs, "c_custkey", "difference", ["c_mktsegment"], draws=100)
+    ci = stats.mean_interval(pairs, "c_custkey", "difference", ["c_mktsegment"])
     alone = pairs.groupBy("c_mktsegment").agg(F.count_if(F.col("right").isNull()).alias("left_only"), F.count_if(F.col("left").isNull()).alias("right_only"))
     return rounded(ci.join(alone, "c_mktsegment"), 4)
 
@@ -176,19 +176,6 @@ _V = (
 ), counts AS (SELECT user_id, view, event_type, day, lane, sum(p) AS p, sum(e) AS e FROM views GROUP BY ALL)
 """
 )
-_W = "CASE WHEN u < 0.36787944117144233 THEN 0 WHEN u < 0.7357588823428847 THEN 1 WHEN u < 0.9196986029286058 THEN 2 WHEN u < 0.9810118431238462 THEN 3 WHEN u < 0.9963401531726563 THEN 4 WHEN u < 0.9994058151824183 THEN 5 WHEN u < 0.9999167588507119 THEN 6 WHEN u < 0.9999897508033253 THEN 7 ELSE 8 END"
-
-
-def _boot(values: str, value: str) -> str:
-    return f"""
-, v AS (SELECT c_mktsegment, c_custkey AS k, {value} AS v FROM {values} WHERE {value} IS NOT NULL)
-, d AS (SELECT c_mktsegment, v, draw, CAST('0x' || substr(md5('20261106|' || k || '|' || draw), 1, 8) AS BIGINT) / 4294967296.0 AS u FROM v, range(100) r(draw))
-, s AS (SELECT c_mktsegment, draw, sum(v * {_W}) AS s, sum({_W}) AS w FROM d GROUP BY ALL)
-, b AS (SELECT c_mktsegment, quantile_cont(s / w, 0.025) AS low, quantile_cont(s / w, 0.975) AS high FROM s WHERE w > 0 GROUP BY ALL)
-, m AS (SELECT c_mktsegment, count(*) AS n, avg(v) AS mean FROM v GROUP BY ALL)
-"""
-
-
 _CO = "WITH co AS (SELECT * FROM orders JOIN customer ON o_custkey = c_custkey)"
 SQL = {
     "match_micro": _COUNTS + f", t AS (SELECT {_T} FROM counts) SELECT tp, fp, fn, {_F1} FROM t",
@@ -203,13 +190,13 @@ s AS (SELECT a.user_id, a.seed AS seed_a, b.seed AS seed_b, sum(least(a.n, b.n))
 SELECT user_id, seed_a, seed_b, CAST(coalesce(tp, 0) AS BIGINT) AS tp, CAST(na - coalesce(tp, 0) AS BIGINT) AS fp, CAST(nb - coalesce(tp, 0) AS BIGINT) AS fn, na = coalesce(tp, 0) AND nb = coalesce(tp, 0) AS identical FROM p LEFT JOIN s USING (user_id, seed_a, seed_b)""",
     "multiset_union": _M + "SELECT event_type, day, CAST(greatest(sum(p), sum(e)) AS BIGINT) AS n_max, CAST(sum(p) + sum(e) AS BIGINT) AS n_sum FROM sides GROUP BY ALL",
     "chart_describe": "WITH c AS (SELECT l_returnflag, l_orderkey, avg(l_quantity) AS v FROM lineitem GROUP BY ALL) SELECT l_returnflag, count(v) AS count, round(avg(v), 6) AS mean, round(quantile_cont(v, 0.1), 6) AS p10, round(quantile_cont(v, 0.5), 6) AS p50, round(quantile_cont(v, 0.9), 6) AS p90, round(min(v), 6) AS min, round(max(v), 6) AS max FROM c GROUP BY ALL",
-    "bootstrap_ci": _CO + ", cv AS (SELECT c_mktsegment, c_custkey, avg(o_totalprice) AS value FROM co GROUP BY ALL)" + _boot("cv", "value") + "SELECT c_mktsegment, n, round(mean, 4) AS mean, CASE WHEN n > 1 THEN round(low, 4) END AS low, CASE WHEN n > 1 THEN round(high, 4) END AS high FROM m JOIN b USING (c_mktsegment)",
+    "bootstrap_ci": _CO + ", cv AS (SELECT c_mktsegment, c_custkey, avg(o_totalprice) AS value FROM co GROUP BY ALL)" + bootstrap_sql("cv", "c_mktsegment", "c_custkey", "value") + "SELECT c_mktsegment, n, round(mean, 4) AS mean, CASE WHEN n > 1 THEN round(low, 4) END AS low, CASE WHEN n > 1 THEN round(high, 4) END AS high FROM m JOIN b USING (c_mktsegment)",
     "paired_ci": _CO
     + """, l AS (SELECT c_mktsegment, c_custkey, avg(o_totalprice) AS l FROM co WHERE o_orderstatus = 'O' GROUP BY ALL)
 , r AS (SELECT c_mktsegment, c_custkey, avg(o_totalprice) AS r FROM co WHERE o_orderstatus = 'F' GROUP BY ALL)
 , pv AS (SELECT *, r - l AS difference FROM l FULL JOIN r USING (c_mktsegment, c_custkey))
 , alone AS (SELECT c_mktsegment, count(*) FILTER (WHERE r IS NULL) AS left_only, count(*) FILTER (WHERE l IS NULL) AS right_only FROM pv GROUP BY ALL)"""
-    + _boot("pv", "difference")
+    + bootstrap_sql("pv", "c_mktsegment", "c_custkey", "difference")
     + "SELECT c_mktsegment, n, round(mean, 4) AS mean, round(low, 4) AS low, round(high, 4) AS high, left_only, right_only FROM m JOIN b USING (c_mktsegment) JOIN alone USING (c_mktsegment)",
     "slopes": "SELECT l_returnflag, l_linestatus, round(sum(l_quantity * l_extendedprice) / sum(l_quantity * l_quantity), 4) AS through_origin, round(regr_slope(l_extendedprice, l_quantity), 4) AS centred FROM lineitem GROUP BY ALL",
     "condition_response": """

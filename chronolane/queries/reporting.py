@@ -14,7 +14,7 @@ from chronolane.session import scratch_dir
 from chronolane.sources import artifacts
 from chronolane.streaming import ledger
 
-from .base import EVENTS, events, rounded, table
+from .base import EVENTS, bootstrap_sql, events, rounded, table
 from .matching import _F1, _T
 
 RATIOS = {"train": 0.8, "val": 0.1, "test": 0.1}
@@ -33,7 +33,7 @@ def summarize_records(spark, sf_dir):
 def compare_runs(spark, sf_dir):
     rows = table(spark, sf_dir, "lineitem").groupBy("l_returnflag", "l_suppkey").agg(F.avg("l_discount").alias("a"), F.avg("l_tax").alias("b"))
     runs = [rows.select("l_returnflag", "l_suppkey", F.col(c).alias("score"), F.lit("v1").alias("settings")) for c in "ab"]
-    return rounded(reports.compare_runs(*runs, ["l_returnflag"], "l_suppkey", "score", ["settings"], draws=50))
+    return rounded(reports.compare_runs(*runs, ["l_returnflag"], "l_suppkey", "score", ["settings"]))
 
 
 def verify_archive(spark, sf_dir):
@@ -156,6 +156,9 @@ counts AS (SELECT mode, user_id, seed, event_type, lane, sum(p) AS p, sum(e) AS
 f AS (SELECT *, CASE WHEN 2 * tp + fp + fn > 0 THEN 2 * tp / (2 * tp + fp + fn) ELSE 0 END AS f1 FROM t), c AS (SELECT mode, user_id, avg(f1) AS f1, max(CASE WHEN tp + fn > 0 THEN 1 ELSE 0 END) AS has FROM f GROUP BY ALL),
 m AS (SELECT mode, CAST(sum(tp) AS BIGINT) AS tp, CAST(sum(fp) AS BIGINT) AS fp, CAST(sum(fn) AS BIGINT) AS fn, avg(f1) AS sample_f1, count(*) AS samples, count(DISTINCT user_id) AS charts FROM f GROUP BY ALL)
 SELECT mode, tp, fp, fn, {_F1}, round(sample_f1, 6) AS sample_f1, round(x.chart_f1, 6) AS chart_f1, tp + fn AS support, x.h AS charts_with_reference, samples, charts FROM m JOIN (SELECT mode, avg(f1) AS chart_f1, CAST(sum(has) AS BIGINT) AS h FROM c GROUP BY ALL) x USING (mode)""",
+    "compare_runs": "WITH r AS (SELECT l_returnflag, l_suppkey, avg(l_tax) - avg(l_discount) AS difference FROM lineitem GROUP BY ALL)"
+    + bootstrap_sql("r", "l_returnflag", "l_suppkey", "difference")
+    + "SELECT l_returnflag, n, round(mean, 6) AS mean, CASE WHEN n > 1 THEN round(low, 6) END AS low, CASE WHEN n > 1 THEN round(high, 6) END AS high FROM m JOIN b USING (l_returnflag)",
     "verify_archive": "WITH e AS (SELECT doc_id, sha256(CAST(doc_id AS VARCHAR)) AS d FROM documents), j AS (SELECT doc_id, sha256(CAST(doc_id + toxic AS VARCHAR)) AS d FROM labels) SELECT doc_id, 'missing' AS problem FROM e WHERE doc_id NOT IN (SELECT doc_id FROM j) UNION ALL SELECT doc_id, 'unexpected' FROM j WHERE doc_id NOT IN (SELECT doc_id FROM e) UNION ALL SELECT doc_id, 'differs' FROM e JOIN j USING (doc_id) WHERE e.d <> j.d",
     "dataset_report": "WITH r AS (SELECT *, CASE WHEN n_chars < 200 THEN 'short' WHEN n_chars > 8000 THEN 'long' END AS reason FROM documents) SELECT 'total' AS section, 'charts' AS key, count(*)::DOUBLE AS value FROM r UNION ALL SELECT 'reason', coalesce(reason, 'none'), count(*) FROM r GROUP BY ALL UNION ALL SELECT 'lang', coalesce(lang, 'none'), count(*) FROM r GROUP BY ALL UNION ALL SELECT 'source', coalesce(source, 'none'), count(*) FROM r GROUP BY ALL" + "".join(f" UNION ALL SELECT 'n_chars', '{n}', round(quantile_cont(n_chars, {p}), 6) FROM r" for n, p in (("p50", 0.5), ("p90", 0.9), ("p95", 0.95), ("p99", 0.99))),
     "journal_latest": "SELECT o_custkey, max(o_orderkey) AS o_orderkey, max_by(o_orderstatus, o_orderkey) AS o_orderstatus, round(max_by(o_totalprice, o_orderkey), 6) AS o_totalprice FROM orders GROUP BY ALL",

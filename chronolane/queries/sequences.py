@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from chronolane.operators import logits, motif, patterns, stats, tokens
 from chronolane.plans import windows
 
-from .base import EVENTS, events, rounded, table
+from .base import EVENTS, bootstrap_sql, events, rounded, table
 
 HOUR, PER_DAY = 3_600_000, 24
 
@@ -149,7 +149,7 @@ def endpoint_distribution(spark, sf_dir):
 
 def shift_response(spark, sf_dir):
     rows = table(spark, sf_dir, "lineitem").select("l_suppkey", (F.col("l_linenumber") - 1).alias("shift"), "l_discount")
-    return rounded(stats.shift_response(rows, "l_suppkey", "shift", "l_discount", draws=20).select("shift", "count", "mean", "p10", "p50", "p90", "min", "max", "pairs", "shift_mean"))
+    return rounded(stats.shift_response(rows, "l_suppkey", "shift", "l_discount"))
 
 
 def row_marginals(spark, sf_dir):
@@ -364,7 +364,9 @@ SELECT *, [
   CASE WHEN jacks > 0 AND jacks1 = 0 THEN 'jacks|Minijacks|2' END] AS f FROM a), u AS (SELECT user_id, tick, unnest(f) AS x FROM n)
 SELECT user_id, tick, split_part(x, '|', 1) AS core, split_part(x, '|', 2) AS name, split_part(x, '|', 3)::BIGINT AS length FROM u WHERE x IS NOT NULL""",
     "endpoint_distribution": f"WITH {_P}, d AS (SELECT user_id, 'position' AS part, CAST(pos AS VARCHAR) AS key FROM p UNION ALL SELECT user_id, 'lane_kind', lane || ':' || kind FROM p UNION ALL SELECT user_id, 'hold', event_type FROM p WHERE kind <> 'tap') SELECT part, key, count(*) AS n, count(DISTINCT user_id) AS charts FROM d GROUP BY ALL",
-    "shift_response": "WITH v AS (SELECT l_suppkey, l_linenumber::BIGINT - 1 AS shift, avg(l_discount) AS v FROM lineitem GROUP BY ALL), b AS (SELECT l_suppkey, v AS base FROM v WHERE shift = 0) SELECT shift, count(v) AS count, round(avg(v), 6) AS mean, round(quantile_cont(v, 0.1), 6) AS p10, round(quantile_cont(v, 0.5), 6) AS p50, round(quantile_cont(v, 0.9), 6) AS p90, round(min(v), 6) AS min, round(max(v), 6) AS max, count(base) AS pairs, round(avg(v - base), 6) AS shift_mean FROM v LEFT JOIN b USING (l_suppkey) GROUP BY ALL",
+    "shift_response": "WITH v AS (SELECT l_suppkey, l_linenumber::BIGINT - 1 AS shift, avg(l_discount) AS v FROM lineitem GROUP BY ALL), z AS (SELECT l_suppkey, v AS base FROM v WHERE shift = 0), p AS (SELECT shift, l_suppkey, v, v - base AS d FROM v JOIN z USING (l_suppkey))"
+    + bootstrap_sql("p", "shift", "l_suppkey", "d")
+    + "SELECT shift, count(v.v) AS count, round(avg(v.v), 6) AS mean, round(quantile_cont(v.v, 0.1), 6) AS p10, round(quantile_cont(v.v, 0.5), 6) AS p50, round(quantile_cont(v.v, 0.9), 6) AS p90, round(min(v.v), 6) AS min, round(max(v.v), 6) AS max, any_value(m.n) AS pairs, round(any_value(m.mean), 6) AS shift_mean, CASE WHEN any_value(m.n) > 1 THEN round(any_value(b.low), 6) END AS shift_low, CASE WHEN any_value(m.n) > 1 THEN round(any_value(b.high), 6) END AS shift_high FROM v LEFT JOIN m USING (shift) LEFT JOIN b USING (shift) GROUP BY shift",
     "row_marginals": f"WITH {_X}, w AS (SELECT vec_id, bit_count(i)::BIGINT AS h, exp(v) AS w FROM u WHERE list_contains(allowed, i)) SELECT vec_id, " + ", ".join(f"round(coalesce(sum(w) FILTER (WHERE h = {k}), 0) / sum(w), 6) AS p_{k}" for k in range(5)) + ", round(sum(w * h) / sum(w), 6) AS expected FROM w GROUP BY ALL",
     "trace_summary": f"WITH r AS (SELECT user_id, event_id, CASE event_type WHEN 'error' THEN 1 WHEN 'signup' THEN 2 ELSE 0 END AS s, lane = 3 AS x, value FROM {EVENTS}), b AS (SELECT *, s > 0 OR x AS bad FROM r), n AS (SELECT *, bad AND NOT coalesce(lag(bad) OVER (PARTITION BY user_id ORDER BY event_id), false) AS fresh FROM b) SELECT user_id, count(*) AS steps, count(*) FILTER (WHERE s > 0) AS skipping, count(*) FILTER (WHERE x) AS extra, count(*) FILTER (WHERE fresh) AS blocks, round(quantile_cont(value, 0.5), 6) AS median_rank FROM n GROUP BY ALL",
     "hold_ratios": f"""WITH {_R}, c AS (SELECT user_id, len(regexp_replace(row, '[^1]', '', 'g')) AS t, len(regexp_replace(row, '[^2]', '', 'g')) AS h FROM r),
