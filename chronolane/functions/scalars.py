@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Ticks of a beat and of a bar, tolerances in ms, length of a feature frame in ms.
@@ -167,3 +167,9 @@ def augment_choice(*seed: Column | str | int) -> Column:
 def clock_time(t: Column, rate: Column) -> Column:
     """A time at another rate, halves up."""
     return F.floor(t / rate + 0.5).cast("long")
+
+
+def clock_notes(notes: DataFrame, rate: float) -> DataFrame:
+    """Notes (time_ms, end_time_ms) at another rate; a hold that would collapse lasts 1 ms."""
+    start, end = clock_time(F.col("time_ms"), F.lit(rate)), clock_time(F.col("end_time_ms"), F.lit(rate))
+    return notes.withColumn("end_time_ms", F.when(F.col("end_time_ms").isNotNull(), F.greatest(end, start + 1))).withColumn("time_ms", start)

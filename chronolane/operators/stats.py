@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from chronolane.functions.resampling import resampled_sums
-from chronolane.functions.scalars import finite
+from chronolane.functions.scalars import finite, ratio
 
 
 def chart_values(df: DataFrame, chart: str, value: Column, by: list[str] | None = None) -> DataFrame:
@@ -228,3 +228,72 @@ def threshold_choice(matches: DataFrame, threshold: str) -> DataFrame:
 
     best = F.max_by(F.struct(threshold, "precision", "recall", "f1"), F.struct("f1", "precision", -F.col(threshold)))
     return micro(matches, [threshold]).agg(best.alias("b")).select("b.*")
+
+
+def with_totals(counts: DataFrame, n: str, charts: int, total: int) -> DataFrame:
+    """Add avg_count, by chart, and pooled, the share of the whole statistic; 0 where there is nothing."""
+    return counts.withColumn("avg_count", F.col(n) / charts if charts else F.lit(0.0)).withColumn("pooled", F.col(n) / total if total else F.lit(0.0))
+
+
+def atomic_counts(endpoints: DataFrame, notes: DataFrame, rows: DataFrame, position: str, lane: str, kind: str, duration: str, row: str) -> DataFrame:
+    """(statistic, lane, key, kind, n): counts of endpoints by lane and place, notes by lane, holds by duration, and rows."""
+    none = F.lit(None).cast("string")
+    text = lambda c: F.col(c).cast("string")
+    parts = [
+        endpoints.select(F.lit("tick").alias("statistic"), text(lane).alias("lane"), text(position).alias("key"), F.col(kind).alias("kind")),
+        notes.select(F.lit("note").alias("statistic"), text(lane).alias("lane"), none.alias("key"), F.when(F.col(duration).isNull(), "tap").otherwise("hold").alias("kind")),
+        notes.filter(F.col(duration).isNotNull()).select(F.lit("hold").alias("statistic"), text(lane).alias("lane"), text(duration).alias("key"), F.lit("hold").alias("kind")),
+        rows.select(F.lit("row").alias("statistic"), none.alias("lane"), F.col(row).alias("key"), none.alias("kind")),
+    ]
+    counted = [p.groupBy("statistic", "lane", "key", "kind").agg(F.count("*").alias("n")) for p in parts]
+    return counted[0].unionByName(counted[1]).unionByName(counted[2]).unionByName(counted[3])
+
+
+def marginals(counts: DataFrame, keys: list[str], always: str, n: str) -> DataFrame:
+    """Sums of atoms over every choice of ``keys``, each with ``always``; a key that is summed over is 'all'."""
+    sets = [[k for i, k in enumerate(keys) if mask >> i & 1] + [always] for mask in range(1 << len(keys))]
+    out = counts.groupingSets(sets, *keys, always).agg(F.sum(n).alias(n))
+    return out.select(*[F.coalesce(F.col(k).cast("string"), F.lit("all")).alias(k) for k in keys], always, n)
+
+
+def match_distributions(matches: DataFrame, by: list[str], chart: str, draws: int = 2000) -> DataFrame:
+    """Micro scores of (tp, fp, fn) rows, descriptions of f1 over samples and over charts, the interval of the chart mean, and support."""
+    tp, fp, fn = F.col("tp"), F.col("fp"), F.col("fn")
+    rows = matches.withColumn("f1", ratio(2 * tp, 2 * tp + fp + fn).cast("double"))
+    total = rows.groupBy(*by).agg(*[F.sum(c).alias(c) for c in ("tp", "fp", "fn")], F.count_distinct(F.when(tp + fn > 0, F.col(chart))).alias("charts_with_reference"))
+    total = total.withColumn("precision", ratio(tp, tp + fp)).withColumn("recall", ratio(tp, tp + fn)).withColumn("f1", ratio(2 * tp, 2 * tp + fp + fn)).withColumn("reference_support", tp + fn)
+    charts = chart_values(rows, chart, F.col("f1"), by)
+    named = lambda df, prefix: df.select(*by, *[F.col(c).alias(f"{prefix}_{c}") for c in df.columns if c not in by])
+    ci = mean_interval(charts, chart, "value", by, draws).drop("n")
+    return total.join(named(describe_values(rows, "f1", by), "sample"), by).join(named(describe_values(charts, "value", by), "chart"), by).join(named(ci, "ci"), by, "left")
+
+
+def plausibility_summary(rows: DataFrame, by: list[str], chart: str, flags: list[str], notes: str) -> DataFrame:
+    """Totals of each flag's count, charts that have it, samples without notes, and the share of samples with each."""
+    return rows.groupBy(*by).agg(
+        *[F.sum(f).alias(f) for f in flags], *[F.count_distinct(F.when(F.col(f) > 0, F.col(chart))).alias(f"charts_with_{f}") for f in flags],
+        F.count_if(F.col(notes) == 0).alias("empty_samples"), *[F.avg((F.col(f) > 0).cast("double")).alias(f"rate_{f}") for f in flags],
+    )
+
+
+def row_states(rows: DataFrame, row: str, states: dict[str, str]) -> DataFrame:
+    """(state, lanes, rows, share): how many lanes of all rows are in a state, and how many rows have it."""
+    each = F.array(*[F.struct(F.lit(name).alias("state"), F.regexp_count(row, F.lit(code)).cast("long").alias("n")) for code, name in states.items()])
+    return rows.select(F.inline(each)).groupBy("state").agg(F.sum("n").alias("lanes"), F.count_if(F.col("n") > 0).alias("rows"), F.avg((F.col("n") > 0).cast("double")).alias("share"))
+
+
+def weighted_power_mean(df: DataFrame, by: list[str], value: str, weight: str, power: float) -> DataFrame:
+    """(by..., mean, power_mean) of weighted values; null without weight."""
+    total = F.sum(weight)
+    return df.groupBy(*by).agg(F.when(total > 0, F.sum(F.col(value) * F.col(weight)) / total).alias("mean"), F.when(total > 0, F.pow(F.sum(F.pow(value, F.lit(power)) * F.col(weight)) / total, F.lit(1 / power))).alias("power_mean"))
+
+
+def timing_report(charts: DataFrame, segments: str, tempo: str, error: str, top: int = 8) -> DataFrame:
+    """(section, key, n, share): charts by kind of timing, and the commonest segment counts and tempos."""
+    kind = F.when(F.col(error).isNotNull(), "error").when(F.col(segments) == 0, "none").when(F.col(segments) == 1, "constant").otherwise("variable")
+    rows = charts.withColumn("_k", kind)
+    parts = [("kind", F.col("_k"), F.lit(True)), ("segments", F.col(segments).cast("string"), F.col("_k") == "variable"), ("tempo", F.round(tempo).cast("long").cast("string"), F.col("_k") == "constant")]
+    long = rows.select(F.inline(F.array(*[F.struct(F.lit(name).alias("section"), F.when(test, key).alias("key")) for name, key, test in parts]))).filter("key IS NOT NULL")
+    counted = long.groupBy("section", "key").agg(F.count("*").alias("n"))
+    place = F.row_number().over(Window.partitionBy("section").orderBy(F.desc("n"), "key"))
+    return counted.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy("section"))).withColumn("_r", place).filter((F.col("_r") <= top) | (F.col("section") == "kind")).drop("_r")
