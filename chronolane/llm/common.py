@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 #: A word is a run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
-#: A side of a join is broadcast below this many bytes, measured on the written table; beyond it the join shuffles.
+#: A side of a join is broadcast below this many bytes, its counted rows times what a row takes; beyond it the join shuffles.
 BROADCAST_BYTES = 16 << 20
 #: Rows and bytes of an Arrow batch of whole texts.
 BATCH_ROWS, BATCH_BYTES = 2000, 8 << 20
@@ -21,19 +21,35 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The folder that the cluster shares: spark.checkpoint.dir, or our own where that is unset (tests)."""
+    """The folder that the cluster shares: spark.checkpoint.dir, or our own where that is unset and Spark is local (tests)."""
     shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not shared:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         shared = "file://" + tempfile.mkdtemp(prefix="spark-")
         spark.sparkContext.setCheckpointDir(shared)
     return shared
 
 
+#: Paths that write_cut wrote and that drop_cuts has not removed.
+_CUTS: list[str] = []
+
+
+def drop_cuts(spark: SparkSession, keep: list[str]) -> None:
+    """Remove what write_cut wrote, but for the paths in ``keep``. What still reads the removed tables fails from then on."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    for path in [p for p in _CUTS if p not in keep]:
+        at = jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(conf).delete(at, True)
+        _CUTS.remove(path)
+
+
 def write_cut(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: lineage ends here and survives lost executors."""
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _CUTS.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

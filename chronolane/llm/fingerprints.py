@@ -29,6 +29,8 @@ P = np.uint64((1 << 31) - 1)
 BASES = (1_000_003_007 % int(P), 1_376_312_589 % int(P))
 #: Code points in a window, and how many window hashes a fingerprint keeps.
 WINDOW, KEEP = 12, 64
+#: Text of a range of doc_ids.
+RANGE_BYTES = 8 << 20
 
 
 def _mod(x: np.ndarray) -> np.ndarray:
@@ -153,11 +155,13 @@ def longest_common_extensions(df: DataFrame, left: str, right: str, left_at: str
 def _with_successor(df: DataFrame) -> DataFrame:
     """Deal (doc_id, text) into ranges of doc_id, sorted, each followed by the first rows of the next range.
 
-    Range bounds come from quantiles (a few hundred numbers); a range that is empty hands on to the one after it,
-    and the last is followed by the first. The text is shuffled once, whatever its order in the files.
+    Range bounds come from quantiles, so that a range has about RANGE_BYTES of text and a partition of its own; a range
+    that is empty hands on to the one after it, and the last is followed by the first. The text is shuffled once,
+    whatever its order in the files.
     """
     spark = df.sparkSession
-    ranges = 8 * shuffle_partitions(spark)
+    size = df.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    ranges = max(shuffle_partitions(spark), -(-size // RANGE_BYTES))
     bounds = np.unique(np.array(df.approxQuantile("doc_id", [i / ranges for i in range(1, ranges)], 0.2 / ranges), dtype=np.int64))
     low = np.iinfo(np.int64).min  # null sorts before every id
 
@@ -182,7 +186,7 @@ def _with_successor(df: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(places, pa.int64()), pa.array(head), batch.column(0).take(rows), batch.column(1).take(rows)], ["place", "head", "doc_id", "text"])
 
     dealt = df.mapInArrow(deal, "place long, head boolean, doc_id long, text string")
-    return dealt.repartition("place").sortWithinPartitions("place", "head", "doc_id", "text")
+    return dealt.repartitionById(len(bounds) + 1, F.col("place").cast("int")).sortWithinPartitions("place", "head", "doc_id", "text")
 
 
 RESULT = pa.schema([("doc_id", pa.int64()), ("n_chars", pa.int64()), ("edited_sha256", pa.string()), ("fingerprint", pa.string()), ("edited_fingerprint", pa.string()), ("near_edited", pa.float64()), ("near_next", pa.float64()), ("lce_edited", pa.int64()), ("lce_next", pa.int64())])

@@ -4,11 +4,13 @@ Every document of a source shares the source's ratio of target to size. Its whol
 remains is a fractional copy probability, held as expected words. Inside blocks of similar sizes, two fractional
 documents at a time transfer mass at random until one is integral: expectations and the sum of words stay put. A
 block leaves one fractional document at most; these residuals meet in a reduction tree of blocks until each source
-has one, which goes to the nearer whole copy. A source so misses its target by half a document at most.
+has one, which goes to the nearer whole copy: so a source misses its target by half a document at most, at the price
+of a bias in that one document of a source.
 
 Defined cases: null text or no word has size 0 and takes 0; a null source is a source of its own and sorts last; an
 empty source has target 0; repeated rows are separate documents; an empty table gives no rows; columns besides
-doc_id, text and source are ignored. Draws depend on a seed and the rows of a block alone, so reruns agree.
+doc_id, text and source are ignored. Draws depend on a seed and the rows of a block alone, so reruns agree; rows
+without a doc_id are dealt to blocks by their place in the table, so that they spread.
 """
 
 from __future__ import annotations
@@ -102,12 +104,12 @@ def _rounded(df: DataFrame, keys: list[str], depth: int, last: bool, seed: int)
 
 def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: float = MOST, block: int = BLOCK, seed: int = SEED) -> DataFrame:
     """(doc_id, size, source_size, target, taken) for every document."""
-    sizes = write_cut(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", word_count(F.col("text")).alias("size")), "mix-sizes")
+    sizes = write_cut(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", word_count(F.col("text")).alias("size"), F.monotonically_increasing_id().alias("row")), "mix-sizes")
     targets = source_targets(sizes, weights, most)
     ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     band = F.floor(F.log2(F.col("size") + 1.0) * 4).cast("int")
     blocks = sizes.groupBy("source", band.alias("band")).agg(F.ceil(F.count("*") / block).alias("parts"), F.count("*").alias("rows")).withColumn("rows", F.sum("rows").over(Window.partitionBy("source"))).withColumnsRenamed({"source": "s", "band": "b"})
-    tie = F.xxhash64(F.lit(seed), "doc_id", "size")
+    tie = F.xxhash64(F.lit(seed), "doc_id", F.when(F.col("doc_id").isNull(), F.col("row")), "size")
     rows = (
         sizes.join(small_side(targets.withColumnRenamed("source", "t"), 64), F.col("source").eqNullSafe(F.col("t")))
         .drop("t")
