@@ -35,13 +35,18 @@ def scratch_dir(spark: SparkSession) -> str:
 _CUTS: list[str] = []
 
 
-def drop_cuts(spark: SparkSession, keep: list[str]) -> None:
-    """Remove what write_cut wrote, but for the paths in ``keep``. What still reads the removed tables fails from then on."""
-    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    for path in [p for p in _CUTS if p not in keep]:
-        at = jvm.org.apache.hadoop.fs.Path(path)
+def cuts() -> int:
+    """How many tables write_cut has left so far: a mark for drop_cuts."""
+    return len(_CUTS)
+
+
+def drop_cuts(spark: SparkSession, since: int) -> None:
+    """Remove what write_cut wrote since a mark, but for the last. What still reads the removed tables fails from then on."""
+    conf = spark._jsc.hadoopConfiguration()
+    for path in _CUTS[since:-1]:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
         at.getFileSystem(conf).delete(at, True)
-        _CUTS.remove(path)
+    del _CUTS[since:-1]
 
 
 def write_cut(df: DataFrame, name: str) -> DataFrame:
