@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 
 
 def row_primitives(rows: DataFrame, chart: str, t: str, row: str, lanes: int = 4) -> DataFrame:
-    """(chart, t, delta, notes, jacks, direction, roll, raw, heads, bodies, tails), from a chart's second row on.
+    """(chart, t, delta, notes, jacks, direction, roll, raw, heads, bodies, tails and the lanes of each), from a chart's second row on.
 
     jacks: lanes shared with the last row that had notes. delta is four times the gap. The previous row with notes is
     looked up by a window, so one sort of the chart serves all columns.
@@ -33,7 +33,7 @@ def row_primitives(rows: DataFrame, chart: str, t: str, row: str, lanes: int = 4
         chart, t, "delta", F.size("raw").alias("notes"), F.when(has, F.size(F.array_intersect("raw", "_prev"))).otherwise(0).alias("jacks"),
         F.when(has, direction).otherwise("none").alias("direction"),
         F.coalesce(has & ((F.array_min("_prev") > F.array_max("raw")) | (F.array_max("_prev") < F.array_min("raw"))), F.lit(False)).alias("roll"),
-        "raw", "heads", "bodies", "tails",
+        "raw", "heads", "bodies", "tails", *[at((code,)).alias(f"{name}_lanes") for code, name in (("1", "tap"), ("2", "head"), ("3", "body"), ("4", "tail"))],
     )
 
 
@@ -50,21 +50,35 @@ def core_patterns(primitives: DataFrame, chart: str, t: str) -> DataFrame:
         "jacks": ((F.col("jacks") > 1) & (F.col("delta") < 2000), 1),
         "chordstream": ((F.col("notes") > 1) & no_jacks & ((ahead("notes", 1) > 1) | (ahead("notes", 2) > 1) | (ahead("notes", 3) > 1)), 4),
         "coordination": (long_note, 1),
+        "density": (F.col("heads") > 0, 1),
+        "wildcard": (F.col("heads") > 0, 1),
     }
     found = F.filter(F.array(*[F.when(F.coalesce(test, F.lit(False)), F.struct(F.lit(name).alias("pattern"), F.lit(n).alias("length"))) for name, (test, n) in tests.items()]), lambda x: x.isNotNull())
     return primitives.withColumn("_f", found).select(chart, t, F.inline("_f"))
 
 
-def found_patterns(primitives: DataFrame, chart: str, t: str, stable: float = 5.0) -> DataFrame:
-    """(chart, pattern, start, end, ms_per_beat, mixed): core patterns with their span, mean delta and whether it varies."""
+def found_patterns(primitives: DataFrame, chart: str, t: str, stable: float = 5.0, specific: DataFrame | None = None) -> DataFrame:
+    """(chart, pattern, name, start, end, ms_per_beat, mixed): core patterns with their span, mean delta and whether it varies.
+
+    ``specific`` has the sub-patterns (chart, t, core, name, length); a core pattern counts once for each of its own at a
+    row, over the longer of both lengths, and once without a name where it has none. Jacks last half their delta at
+    least; an inverse has no tempo.
+    """
     w = Window.partitionBy(chart).orderBy(t)
     rows = primitives.withColumn("_deltas", F.collect_list("delta").over(w.rowsBetween(0, 4))).withColumn("_times", F.collect_list(t).over(w.rowsBetween(0, 5)))
     labels = core_patterns(primitives, chart, t)
-    joined = labels.join(rows.select(chart, t, "_deltas", "_times"), [chart, t])
+    if specific is None:
+        labels = labels.withColumn("name", F.lit(None).cast("string"))
+    else:
+        own = specific.select(chart, t, F.col("core").alias("pattern"), "name", F.col("length").alias("_own"))
+        labels = labels.join(own, [chart, t, "pattern"], "left").withColumn("length", F.greatest("length", F.coalesce("_own", F.lit(0)))).drop("_own")
+    joined = labels.join(rows.select(chart, t, "delta", "_deltas", "_times"), [chart, t])
     deltas = F.slice("_deltas", 1, F.col("length"))
     mean = F.aggregate(deltas, F.lit(0.0), lambda a, x: a + x) / F.size(deltas)
-    end = F.coalesce(F.get("_times", F.col("length")), F.element_at("_times", -1))
-    return joined.withColumn("mean", mean).select(chart, "pattern", F.col(t).alias("start"), end.alias("end"), F.col("mean").alias("ms_per_beat"), (~F.forall(deltas, lambda d: F.abs(d - F.col("mean")) < stable)).alias("mixed"))
+    end = F.coalesce(F.get("_times", F.col("length")), F.element_at("_times", -1)).cast("double")
+    end = F.when(F.col("pattern") == "jacks", F.greatest(F.col(t) + F.col("delta") * 0.5, end)).otherwise(end)
+    tempo = F.when(F.coalesce(F.col("name") == "Inverse", F.lit(False)), 0.0).otherwise(F.col("mean"))
+    return joined.withColumn("mean", mean).select(chart, "pattern", "name", F.col(t).cast("double").alias("start"), end.alias("end"), tempo.alias("ms_per_beat"), (~F.forall(deltas, lambda d: F.abs(d - F.col("mean")) < stable)).alias("mixed"))
 
 
 def tempo_clusters(found: DataFrame, chart: str, threshold: float = 5.0) -> DataFrame:
@@ -74,7 +88,7 @@ def tempo_clusters(found: DataFrame, chart: str, threshold: float = 5.0) -> Data
     """
 
     def cluster(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["start", "pattern", "end", "ms_per_beat"], kind="stable")
+        rows = rows.sort_values(["start", "pattern", "end", "ms_per_beat", "name"], kind="stable")
         founders: list[list[float]] = []  # founder, sum, count
         mixed: dict[str, list[float]] = {}
         own = []
@@ -92,16 +106,108 @@ def tempo_clusters(found: DataFrame, chart: str, threshold: float = 5.0) -> Data
     return found.groupBy(chart).applyInPandas(cluster, T.StructType([*found.schema.fields, T.StructField("bpm", T.LongType())]))
 
 
-def cluster_summary(clustered: DataFrame, chart: str, multipliers: dict[str, float], top: int = 3) -> DataFrame:
-    """(chart, pattern, mixed, bpm, amount, importance): top clusters of each pattern; importance is amount times multiplier times bpm."""
+#: How much a core pattern weighs, what its sub-patterns weigh by mode where that differs from the core's,
+#: and the factors of cores that are foreign to a mode.
+CORE_WEIGHT = {"stream": 1 / 3, "chordstream": 0.65, "jacks": 0.9, "coordination": 0.75, "density": 0.9, "wildcard": 1.0}
+NAME_WEIGHT = {
+    "RC": {"Column Lock": 1.5, "Release": 0.73, "Shield": 0.8, "JS Density": 1.0, "HS Density": 1.0, "DS Density": 1.0, "LCS Density": 1.0, "DCS Density": 1.0, "Inverse": 1.3, "Jacky WC": 0.55, "Speedy WC": 0.8},
+    "LN": {"Column Lock": 1.5, "Release": 1.0, "Shield": 0.8, "Inverse": 1.5, "Jacky WC": 0.55, "Speedy WC": 0.8},
+    "HB": {"Column Lock": 1.5, "Release": 0.3, "Shield": 0.8, "Inverse": 0.0, "Jacky WC": 0.65, "Speedy WC": 0.45},
+    "Mix": {"Column Lock": 1.5, "Release": 0.3, "Shield": 0.8, "Inverse": 0.0, "Jacky WC": 0.45, "Speedy WC": 0.45},
+}
+HELD_CORES, RC_IN_LN, LN_IN_RC, RELEASE_BESIDE = ("coordination", "density", "wildcard"), 0.3, 0.0, 0.8
+
+
+def rating(pattern: Column, name: Column, mode: Column) -> Column:
+    """Weight of a core pattern with its commonest sub-pattern in a chart of a mode."""
+    core = F.element_at(F.create_map(*[F.lit(x) for kv in CORE_WEIGHT.items() for x in kv]), pattern)
+    own = core
+    for m, weights in NAME_WEIGHT.items():
+        for n, weight in weights.items():
+            own = F.when((mode == m) & (name == n), weight).otherwise(own)
+    return F.when((mode == "RC") & pattern.isin(*HELD_CORES), own * LN_IN_RC).when((mode == "LN") & ~pattern.isin(*HELD_CORES), own * RC_IN_LN).otherwise(own)
+
+
+def cluster_summary(clustered: DataFrame, chart: str, modes: DataFrame, top: int = 3) -> DataFrame:
+    """(chart, pattern, mixed, bpm, amount, names, importance): the clusters that describe a chart.
+
+    ``modes`` has (chart, mode). Charts of mode RC have no clusters of holds; slow ones (up to 25 bpm, but 0) go, and
+    those with a faster one of their pattern more than twice as long. Of each pattern the ``top`` longest stay.
+    importance is amount times rating times bpm; names are shares of the sub-patterns, the commonest first.
+    """
     from .timeline import interval_amount
 
     keys = [chart, "pattern", "mixed", "bpm"]
-    amounts = interval_amount(clustered, keys, "start", "end", "end")
-    weight = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in multipliers.items() for x in kv]), F.col("pattern")), F.lit(1.0))
-    rows = amounts.withColumn("importance", F.col("amount") * weight * F.col("bpm"))
-    rank = F.row_number().over(Window.partitionBy(chart, "pattern").orderBy(F.desc("importance"), "bpm", "mixed"))
-    return rows.withColumn("_r", rank).filter(F.col("_r") <= top).drop("_r")
+    rows = clustered.join(modes, chart).filter((F.col("mode") != "RC") | ~F.col("pattern").isin(*HELD_CORES))
+    amounts = interval_amount(rows, keys, "start", "end", "end")
+    total = rows.groupBy(*keys, "mode").agg(F.count("*").alias("_n"))
+    named = rows.filter("name IS NOT NULL").groupBy(*keys, "name").agg(F.count("*").alias("_k")).join(total, keys)
+    share = F.struct((-F.col("_k") / F.col("_n")).alias("s"), "name")
+    names = named.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(share)), lambda x: F.struct(x["name"].alias("name"), (-x["s"]).alias("share"))).alias("names"))
+    none = F.array().cast("array<struct<name:string,share:double>>")
+    out = amounts.join(total.drop("_n"), keys).join(names, keys, "left").withColumn("names", F.coalesce("names", none)).filter("bpm > 25 OR bpm = 0")
+    beside = F.max(F.col("pattern").isin("density", "wildcard").cast("int")).over(Window.partitionBy(chart)) > 0
+    weight = rating(F.col("pattern"), F.get("names", F.lit(0))["name"], F.col("mode"))
+    weight = F.when(beside & F.exists("names", lambda x: x["name"] == "Release"), weight * RELEASE_BESIDE).otherwise(weight)
+    faster = F.max("amount").over(Window.partitionBy(chart, "pattern").orderBy("bpm").rangeBetween(1, Window.unboundedFollowing))
+    kept = out.withColumn("importance", F.col("amount") * weight * F.col("bpm")).withColumn("_faster", faster).filter("_faster IS NULL OR _faster * 0.5 <= amount")
+    rank = F.row_number().over(Window.partitionBy(chart, "pattern").orderBy(F.desc("amount"), "bpm", "mixed"))
+    return kept.withColumn("_r", rank).filter(F.col("_r") <= top).drop("_r", "_faster", "mode")
+
+
+def categorise(summary: DataFrame, chart: str, least: float = 0.05) -> DataFrame:
+    """(chart, category): named after the most important cluster, by its commonest sub-pattern or its pattern, with Tech if mixed."""
+    first = F.max_by(F.struct("pattern", "names", "mixed"), F.struct("importance", "amount", "pattern", F.col("bpm")))
+    top = F.get(F.col("c.names"), F.lit(0))
+    name = F.when(F.coalesce(top["share"] > least, F.lit(False)), top["name"]).otherwise(F.initcap("c.pattern"))
+    return summary.groupBy(chart).agg(first.alias("c")).select(chart, F.concat(name, F.when(F.col("c.mixed"), " Tech").otherwise("")).alias("category"))
+
+
+def cluster_card(summary: DataFrame, chart: str, durations: DataFrame, duration: str, rows: int = 6, least: float = 8.0) -> DataFrame:
+    """(chart, place, label, width, amount_share, names): a card of a chart's first clusters, widths against the largest."""
+    place = F.row_number().over(Window.partitionBy(chart).orderBy(F.desc("importance"), F.desc("amount"), "pattern", "bpm", "mixed"))
+    shown = summary.withColumn("place", place).filter(F.col("place") <= rows).join(durations, chart)
+    largest = F.max("amount").over(Window.partitionBy(chart))
+    name = F.coalesce(F.get("names", F.lit(0))["name"], F.initcap("pattern"))
+    label = F.when(F.col("mixed"), F.concat(F.lit("~"), F.col("bpm").cast("string"), F.lit("BPM Mixed "), name)).otherwise(F.concat(F.col("bpm").cast("string"), F.lit("BPM "), name))
+    of = lambda whole: F.when(whole > 0, F.col("amount") / whole * 100).otherwise(F.col("amount") * 100)
+    two = F.array_join(F.transform(F.slice("names", 1, 2), lambda x: F.format_string("%s (%.1f%%)", x["name"], x["share"] * 100)), ", ")
+    return shown.select(chart, "place", label.alias("label"), F.greatest(F.lit(least), of(largest)).alias("width"), F.greatest(F.lit(0.0), of(F.col(duration))).alias("amount_share"), F.when(F.size("names") > 0, two).otherwise("-").alias("names"))
+
+
+def speed_time(changes: DataFrame, tempos: DataFrame, spans: DataFrame, chart: str, t: str, value: str, length: str, eps: float = 0.05, amount: float = 2000.0) -> DataFrame:
+    """(chart, speed_time): ms of a chart (first, last) at another scroll speed than 1; beyond ``amount`` where tempo jumps.
+
+    Tempo jumps below 30 or above 350 beats a minute, or by a factor of 3 from one segment to the next.
+    """
+    order = Window.partitionBy(chart).orderBy(t)
+    rows = changes.join(spans, chart).withColumn("_to", F.coalesce(F.lead(t).over(order), F.col("last"))).withColumn("_first", F.lag(t).over(order).isNull())
+    off = F.isnan(value) | (F.abs(F.col(value) - 1) > eps)
+    total = rows.groupBy(chart).agg(F.sum(F.when(off, F.col("_to") - F.col(t)).otherwise(0.0)).alias("_time"))
+    bpm, before = 60000.0 / F.col(length), F.lag(length).over(order)
+    jump = (F.col(length) <= 0) | (bpm <= 30) | (bpm >= 350) | (F.greatest(before / F.col(length), F.col(length) / before) >= 3)
+    jumps = tempos.withColumn("_jump", F.coalesce(jump, F.lit(False))).groupBy(chart).agg(F.bool_or("_jump").alias("_jump"))
+    time = F.coalesce("_time", F.lit(0.0))
+    return spans.join(total, chart, "left").join(jumps, chart, "left").select(chart, F.when(F.coalesce("_jump", F.lit(False)), F.greatest(time, F.lit(amount + 1))).otherwise(time).alias("speed_time"))
+
+
+def clean_steps(series: DataFrame, chart: str, t: str, value: str, seq: str, eps: float = 0.005) -> DataFrame:
+    """(chart, t, value): the last value of each time, without steps of at most eps from the last one kept; the first is held against 1.
+
+    What is kept depends on what was kept before, so a chart's distinct times are folded in order.
+    """
+    last = series.groupBy(chart, t).agg(F.max_by(value, seq).alias(value))
+    point = F.struct(F.col(t).alias("t"), F.col(value).cast("double").alias("v"))
+
+    def keep(rows: pd.DataFrame) -> pd.DataFrame:
+        before, kept = 1.0, []
+        for v in rows[value]:
+            kept.append(abs(v - before) > eps)
+            before = v if kept[-1] else before
+        return rows[kept]
+
+    ordered = last.select(chart, F.col(t).alias(t), point["v"].alias(value))
+    return ordered.groupBy(chart).applyInPandas(lambda rows: keep(rows.sort_values(t)), ordered.schema)
 
 
 def core_distribution(summary: DataFrame, chart: str) -> DataFrame:
@@ -116,7 +222,7 @@ def hold_ratios(rows: DataFrame, chart: str, row: str) -> DataFrame:
     taps, holds = F.regexp_count(row, F.lit("1")), F.regexp_count(row, F.lit("2"))
     notes = F.sum(taps + holds)
     out = rows.groupBy(chart).agg(F.when(notes > 0, F.sum(holds) / notes).otherwise(0.0).alias("ln_ratio"), F.avg(((taps > 0) & (holds > 0)).cast("double")).alias("hybrid_ratio"))
-    return out.withColumn("mode", F.when(F.col("ln_ratio") <= 0.1, "RC").when(F.col("ln_ratio") >= 0.9, "LN").when(F.col("hybrid_ratio") > 0.1, "HB").otherwise("Mix"))
+    return out.withColumn("mode", F.when(F.col("ln_ratio") <= 0.1, "RC").when(F.col("ln_ratio") >= 0.9, "LN").when(F.col("hybrid_ratio") >= 0.1, "HB").otherwise("Mix"))
 
 
 class Ahead:
@@ -153,6 +259,17 @@ SPECIFIC = (
 )
 
 
+#: Sub-patterns of seven lanes, and of other counts.
+_CHORDS = (
+    ("chordstream", "Double Stream", 2, lambda w: w.every("notes", 2, 0, 1) & (w.jacks(1) == 0) & ~w.roll(1)),
+    ("chordstream", "Dense Chordstream", 2, lambda w: (w.notes() > 1) & (w.notes(1) > 1) & (w.jacks(1) == 0)),
+    ("chordstream", "Light Chordstream", 2, lambda w: (w.notes() > 1) & (w.notes(1) == 1) & (w.jacks(1) == 0)),
+)
+_JACKS = tuple(rule for rule in SPECIFIC if rule[1] in ("Longjacks", "Chordjacks", "Minijacks"))
+SEVEN = (("chordstream", "Brackets", 3, lambda w: (w.notes() > 2) & (w.notes(1) > 2) & (w.notes(2) > 2) & w.every("roll", False, 1, 2) & w.every("jacks", 0, 1, 2) & (w.notes() + w.notes(1) + w.notes(2) > 9)), *_CHORDS, *_JACKS)
+OTHER = (("chordstream", "Chord Rolls", 3, lambda w: (w.notes() > 1) & (w.notes(1) > 1) & (w.notes(2) > 1) & w.every("roll", True, 1, 2) & (w.every("direction", "left", 1, 2) | w.every("direction", "right", 1, 2))), *_CHORDS, *_JACKS)
+
+
 def specific_patterns(primitives: DataFrame, chart: str, t: str, rules: tuple = SPECIFIC) -> DataFrame:
     """(chart, t, core, name, length): every sub-pattern that starts at a row. Rules are data; a caller may pass more."""
     w = Ahead(chart, t)

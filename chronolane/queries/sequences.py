@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from chronolane.operators import logits, motif, patterns, stats, tokens
+from chronolane.operators import hold_patterns, logits, motif, patterns, stats, tokens
 from chronolane.plans import windows
 
 from .base import EVENTS, bootstrap_sql, events, rounded, table
@@ -130,7 +130,8 @@ def _primitives(spark, sf_dir) -> DataFrame:
 
 
 def row_primitives(spark, sf_dir):
-    return rounded(_primitives(spark, sf_dir).withColumn("raw", F.array_join("raw", "")))
+    rows = _primitives(spark, sf_dir)
+    return rounded(rows.drop(*[c for c in rows.columns if c.endswith("_lanes")]).withColumn("raw", F.array_join("raw", "")))
 
 
 def core_patterns(spark, sf_dir):
@@ -162,18 +163,69 @@ def trace_summary(spark, sf_dir):
     return rounded(logits.trace_summary(rows, ["user_id"], "skipped", "extra", "rank"))
 
 
-def _clusters(spark, sf_dir) -> DataFrame:
-    return patterns.tempo_clusters(patterns.found_patterns(_primitives(spark, sf_dir), "user_id", "tick"), "user_id")
+def _wide(spark, sf_dir) -> DataFrame:
+    """Rows of seven lanes, a day's hours apart."""
+    rows = _placed(spark, sf_dir).withColumn("lane", F.pmod("event_id", F.lit(7)))
+    return patterns.row_primitives(tokens.event_rows(rows.withColumn("tick", F.floor(F.col("ms") / (6 * HOUR))), "user_id", "tick", "lane", "kind", 7), "user_id", "tick", "row", 7)
+
+
+def wide_patterns(spark, sf_dir):
+    seven = patterns.specific_patterns(_wide(spark, sf_dir), "user_id", "tick", patterns.SEVEN).withColumn("lanes", F.lit("seven"))
+    other = patterns.specific_patterns(_wide(spark, sf_dir), "user_id", "tick", patterns.OTHER).withColumn("lanes", F.lit("other"))
+    return rounded(seven.unionByName(other))
+
+
+def held_patterns(spark, sf_dir):
+    return rounded(hold_patterns.held_patterns(_primitives(spark, sf_dir), "user_id", "tick", F.lit(40.0)))
+
+
+def wide_held_patterns(spark, sf_dir):
+    return rounded(hold_patterns.held_patterns(_wide(spark, sf_dir), "user_id", "tick", F.lit(12.0), 7))
+
+
+def _found(spark, sf_dir) -> DataFrame:
+    rows = _primitives(spark, sf_dir)
+    names = patterns.specific_patterns(rows, "user_id", "tick").unionByName(hold_patterns.held_patterns(rows, "user_id", "tick", F.lit(40.0)))
+    return patterns.found_patterns(rows, "user_id", "tick", specific=names)
+
+
+def found_patterns(spark, sf_dir):
+    return rounded(_found(spark, sf_dir))
+
+
+def _summary(spark, sf_dir) -> DataFrame:
+    modes = patterns.hold_ratios(_rows(spark, sf_dir), "user_id", "row").select("user_id", "mode")
+    return patterns.cluster_summary(patterns.tempo_clusters(_found(spark, sf_dir), "user_id"), "user_id", modes)
 
 
 def pattern_clusters(spark, sf_dir):
-    summary = patterns.cluster_summary(_clusters(spark, sf_dir), "user_id", {"stream": 1.0, "chordstream": 1.2, "jacks": 1.5, "coordination": 0.8})
-    return rounded(summary, 4)
+    return rounded(_summary(spark, sf_dir).withColumn("names", F.array_join(F.transform("names", lambda x: F.format_string("%s:%.3f", x["name"], x["share"])), ",")), 4)
 
 
 def pattern_distribution(spark, sf_dir):
-    summary = patterns.cluster_summary(_clusters(spark, sf_dir), "user_id", {"stream": 1.0, "chordstream": 1.2, "jacks": 1.5, "coordination": 0.8})
-    return rounded(patterns.core_distribution(summary, "user_id"), 4)
+    return rounded(patterns.core_distribution(_summary(spark, sf_dir), "user_id"), 4)
+
+
+def pattern_category(spark, sf_dir):
+    return patterns.categorise(_summary(spark, sf_dir), "user_id")
+
+
+def pattern_card(spark, sf_dir):
+    spans = _rows(spark, sf_dir).groupBy("user_id").agg((F.max("tick") - F.min("tick")).alias("duration"))
+    return rounded(patterns.cluster_card(_summary(spark, sf_dir), "user_id", spans, "duration"), 3)
+
+
+def speed_times(spark, sf_dir):
+    rows = events(spark, sf_dir)
+    changes = rows.select("user_id", F.col("ms").cast("double").alias("t"), F.when(F.col("event_type") == "view", 1.0).otherwise(F.col("value") / 50).alias("speed")).dropDuplicates(["user_id", "t"])
+    tempos = rows.filter("event_id % 9 = 0").select("user_id", F.col("ms").cast("double").alias("t"), (F.col("user_id") % 40 * 12.0 + 60).alias("length"))
+    spans = rows.groupBy("user_id").agg(F.min("ms").cast("double").alias("first"), F.max("ms").cast("double").alias("last"))
+    return rounded(patterns.speed_time(changes, tempos, spans, "user_id", "t", "speed", "length"), 3)
+
+
+def clean_steps(spark, sf_dir):
+    rows = events(spark, sf_dir).select("user_id", F.floor(F.col("ms") / HOUR).alias("t"), F.round(F.col("value") / 4000, 3).alias("v"), "event_id")
+    return rounded(patterns.clean_steps(rows, "user_id", "t", "v", "event_id"))
 
 
 def hold_ratios(spark, sf_dir):
@@ -347,7 +399,8 @@ SELECT count(*) AS size, round(avg(abs(y - x)), 6) AS mae, round(sqrt(avg((y - x
 SELECT user_id, tick, 'stream' AS pattern, 5::BIGINT AS length FROM a WHERE notes = 1 AND n1 = 1 AND n2 = 1 AND n3 = 1 AND n4 = 1 AND jacks + j1 + j2 + j3 + j4 = 0 AND raw[1] <> r4[1]
 UNION ALL SELECT user_id, tick, 'jacks', 1 FROM a WHERE jacks > 1 AND delta < 2000
 UNION ALL SELECT user_id, tick, 'chordstream', 4 FROM a WHERE notes > 1 AND jacks + j1 + j2 + j3 = 0 AND (n1 > 1 OR n2 > 1 OR n3 > 1)
-UNION ALL SELECT user_id, tick, 'coordination', 1 FROM a WHERE heads > 0 OR bodies > 0 OR tails > 0""",
+UNION ALL SELECT user_id, tick, 'coordination', 1 FROM a WHERE heads > 0 OR bodies > 0 OR tails > 0
+UNION ALL SELECT user_id, tick, unnest(['density', 'wildcard']), 1 FROM a WHERE heads > 0""",
     "specific_patterns": f"""WITH {_PRIM}, a AS (SELECT *, """ + ", ".join(f"lead({c}, {k}) OVER w AS {c}{k}" for c in ("raw", "notes", "jacks", "direction", "roll") for k in (1, 2, 3, 4)) + """ FROM q WINDOW w AS (PARTITION BY user_id ORDER BY tick)), n AS (
 SELECT *, [
   CASE WHEN notes = 1 AND notes1 = 1 AND notes2 = 1 AND direction IN ('left', 'right') AND direction = direction1 AND direction = direction2 THEN 'stream|Rolls|3' END,
@@ -371,7 +424,7 @@ SELECT user_id, tick, split_part(x, '|', 1) AS core, split_part(x, '|', 2) AS na
     "trace_summary": f"WITH r AS (SELECT user_id, event_id, CASE event_type WHEN 'error' THEN 1 WHEN 'signup' THEN 2 ELSE 0 END AS s, lane = 3 AS x, value FROM {EVENTS}), b AS (SELECT *, s > 0 OR x AS bad FROM r), n AS (SELECT *, bad AND NOT coalesce(lag(bad) OVER (PARTITION BY user_id ORDER BY event_id), false) AS fresh FROM b) SELECT user_id, count(*) AS steps, count(*) FILTER (WHERE s > 0) AS skipping, count(*) FILTER (WHERE x) AS extra, count(*) FILTER (WHERE fresh) AS blocks, round(quantile_cont(value, 0.5), 6) AS median_rank FROM n GROUP BY ALL",
     "hold_ratios": f"""WITH {_R}, c AS (SELECT user_id, len(regexp_replace(row, '[^1]', '', 'g')) AS t, len(regexp_replace(row, '[^2]', '', 'g')) AS h FROM r),
 a AS (SELECT user_id, CASE WHEN sum(t + h) > 0 THEN sum(h) / sum(t + h) ELSE 0 END AS l, avg(CASE WHEN t > 0 AND h > 0 THEN 1.0 ELSE 0 END) AS b FROM c GROUP BY ALL)
-SELECT user_id, round(l, 6) AS ln_ratio, round(b, 6) AS hybrid_ratio, CASE WHEN l <= 0.1 THEN 'RC' WHEN l >= 0.9 THEN 'LN' WHEN b > 0.1 THEN 'HB' ELSE 'Mix' END AS mode FROM a""",
+SELECT user_id, round(l, 6) AS ln_ratio, round(b, 6) AS hybrid_ratio, CASE WHEN l <= 0.1 THEN 'RC' WHEN l >= 0.9 THEN 'LN' WHEN b >= 0.1 THEN 'HB' ELSE 'Mix' END AS mode FROM a""",
     "nll_by_type": f"WITH {_X}, l AS (SELECT vec_id, gold, max(v) + ln(sum(exp(v - m))) - max(v) FILTER (WHERE i = gold) AS nll, min(i) FILTER (WHERE v = m) AS best FROM (SELECT *, max(v) OVER (PARTITION BY vec_id) AS m FROM u) GROUP BY ALL) SELECT gold, round(sum(nll), 6) AS nll, count(nll) AS n, count(*) FILTER (WHERE best = gold) AS hits FROM l GROUP BY ALL",
     "legal_mass": f"WITH {_X}, m AS (SELECT *, max(v) OVER (PARTITION BY vec_id) AS m FROM u) SELECT vec_id, bool_or(v = m AND list_contains(allowed, i)) AS argmax_legal, round(sum(exp(v - m)) FILTER (WHERE list_contains(allowed, i)) / sum(exp(v - m)), 6) AS mass FROM m GROUP BY ALL",
     "decision_stats": f"""WITH {_X}, g AS (SELECT *, max(v) FILTER (WHERE i = gold) OVER (PARTITION BY vec_id) AS gv, list_contains(allowed, i) AS ok FROM u),
@@ -398,7 +451,7 @@ QUERIES = {
     for f in (
         event_rows, active_state, pair_intervals, encode_tokens, decode_tokens, cursor_times, illegal_transitions, pad_sequences, plausibility, adjacent_warnings,
         motif_counts, motif_topk, motif_scopes, motif_distance, vocabulary_counts, length_profile, window_audit, marginals, row_primitives, core_patterns,
-        specific_patterns, endpoint_distribution, shift_response, row_marginals, trace_summary, pattern_clusters, pattern_distribution, hold_ratios, nll_by_type, legal_mass, decision_stats, history_pairs, split_accuracy, bar_windows, overlap_windows,
+        specific_patterns, endpoint_distribution, shift_response, row_marginals, trace_summary, wide_patterns, held_patterns, wide_held_patterns, found_patterns, pattern_clusters, pattern_distribution, pattern_category, pattern_card, speed_times, clean_steps, hold_ratios, nll_by_type, legal_mass, decision_stats, history_pairs, split_accuracy, bar_windows, overlap_windows,
         window_samples, window_tokens, stitch_windows, missing_bars, tail_events, length_windows, pack_batches, length_summary,
     )
 }
