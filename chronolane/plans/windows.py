@@ -11,6 +11,10 @@ from pyspark.sql import functions as F
 from chronolane.functions.hashing import hash_int
 
 
+#: Rows of a length window that are packed one after the other.
+PACKED = 1 << 20
+
+
 def bar_windows(spans: DataFrame, key: str, low: str, high: str, size: int = 16) -> DataFrame:
     """(key, start, end): every window of ``size`` bars inside [low, high); none where the span is shorter."""
     return spans.filter(F.col(high) - F.col(low) >= size).select(key, F.explode(F.sequence(F.col(low), F.col(high) - size)).alias("start")).withColumn("end", F.col("start") + size)
@@ -79,18 +83,22 @@ def length_windows(df: DataFrame, key: str, length: str, share: float = 0.1) ->
 def pack_batches(df: DataFrame, key: str, length: str, budget: int, epoch: int, seed: int, share: float = 0.1) -> DataFrame:
     """Add window and batch: inside a length window, in hashed order, greedily while n * longest stays in the budget.
 
-    Packing starts anew in each window, so windows pack side by side; a long window is one group in a stream that
-    holds the running batch's size alone. Non-positive lengths are batches of their own (batch null).
+    Packing starts anew in each window, so windows pack side by side. A window of more than PACKED rows is packed in
+    parts by hash, which costs a batch that isn't full for each; batches of a later part are numbered from part << 32.
+    Non-positive lengths are batches of their own (batch null).
     """
-    rows = length_windows(df, key, length, share).withColumn("_h", hash_int(seed, epoch, F.col(key)))
+    placed = length_windows(df, key, length, share)
+    parts_of = placed.groupBy(F.col("window").alias("_window")).agg(F.ceil(F.count("*") / PACKED).alias("_parts"))
+    rows = placed.join(parts_of, F.col("window").eqNullSafe(F.col("_window"))).drop("_window").withColumn("_h", hash_int(seed, epoch, F.col(key)))
+    rows = rows.withColumn("_part", F.floor(F.col("_h") * F.col("_parts") / (1 << 32)).cast("long"))
 
     def pack(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         at, batch, n, widest = None, 0, 0, 0
         for part in parts:
             out = []
-            for window, size in zip(part["window"], part["_len"], strict=True):
-                if window != at:
-                    at, batch, n, widest = window, 0, 0, 0
+            for window, piece, size in zip(part["window"], part["_part"], part["_len"], strict=True):
+                if (window, piece) != at:
+                    at, batch, n, widest = (window, piece), int(piece) << 32, 0, 0
                 if n and (n + 1) * max(widest, size) > budget:
                     batch, n, widest = batch + 1, 0, 0
                 n, widest = n + 1, max(widest, size)
@@ -98,7 +106,7 @@ def pack_batches(df: DataFrame, key: str, length: str, budget: int, epoch: int,
             yield part[["key", "window"]].assign(batch=out)
 
     kind = dict(df.dtypes)[key]
-    order = rows.filter("window IS NOT NULL").select(F.col(key).alias("key"), "window", F.col(length).cast("long").alias("_len"), "_h").repartition("window").sortWithinPartitions("window", "_h", "key")
+    order = rows.filter("window IS NOT NULL").select(F.col(key).alias("key"), "window", F.col(length).cast("long").alias("_len"), "_h", "_part").repartition("window", "_part").sortWithinPartitions("window", "_part", "_h", "key")
     packed = order.mapInPandas(pack, f"key {kind}, window long, batch long").withColumnsRenamed({"key": key})
     alone = rows.filter("window IS NULL").select(key, "window", F.lit(None).cast("long").alias("batch"))
     return packed.unionByName(alone)

@@ -41,7 +41,7 @@ def status_of(df: DataFrame, key: str, status: str, seq: str, error: str) -> Dat
 
 
 class LedgerState(StatefulProcessor):
-    """One status a key; emits it when it changes."""
+    """One status a key, as status_of gives it; emits it when it changes."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.state = handle.getValueState("status", "status string, error string")
@@ -51,7 +51,7 @@ class LedgerState(StatefulProcessor):
         before = now
         for part in rows:
             for r in part.sort_values("seq").itertuples():
-                if r.status == "failed" and (r.error is None or now[0] in FINAL):
+                if (r.status == "failed" and r.error is None) or (now[0] in FINAL and r.status not in FINAL):
                     continue
                 now = (r.status, r.error if r.status == "failed" else None)
         if now != before:
