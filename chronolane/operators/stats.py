@@ -297,3 +297,11 @@ def timing_report(charts: DataFrame, segments: str, tempo: str, error: str, top:
     counted = long.groupBy("section", "key").agg(F.count("*").alias("n"))
     place = F.row_number().over(Window.partitionBy("section").orderBy(F.desc("n"), "key"))
     return counted.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy("section"))).withColumn("_r", place).filter((F.col("_r") <= top) | (F.col("section") == "kind")).drop("_r")
+
+
+def field_summary(df: DataFrame, fields: list[str]) -> DataFrame:
+    """(field, n, missing, mean, p10, p50, p90) of each field's finite values."""
+    long = df.select(F.inline(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).cast("double").alias("v")) for f in fields])))
+    x = finite(F.col("v"))
+    out = long.groupBy("field").agg(F.count(x).alias("n"), F.count_if(x.isNull()).alias("missing"), F.avg(x).alias("mean"), F.percentile(x, F.array(F.lit(0.1), F.lit(0.5), F.lit(0.9))).alias("p"))
+    return out.select("field", "n", "missing", "mean", *[F.col("p")[i].alias(c) for i, c in enumerate(("p10", "p50", "p90"))])

@@ -207,3 +207,18 @@ def lag_profile(series: DataFrame, anchors: DataFrame, chart: str, t: str, value
     joined = at.join(values, [chart, "_m"])
     centred = F.col(value) - F.avg(value).over(Window.partitionBy(chart, "_a"))
     return joined.withColumn("_c", centred).groupBy(chart, "block", "lag").agg(F.avg("_c").alias("value"))
+
+
+def scale_clock(segments: DataFrame, rate: float, times: list[str]) -> DataFrame:
+    """Segments or beats at another rate: offsets, lengths and times divided, all else as it is."""
+    return segments.withColumns({c: F.col(c) / rate for c in times})
+
+
+def chart_shape(beats: DataFrame, rows: DataFrame, chart: str, start: str, length: str) -> DataFrame:
+    """(chart, frames, tokens): frames between the first beat's start and the last one's end, and 2 + beats + 2 * rows tokens."""
+    from chronolane.functions.scalars import frame_index
+
+    spans = beats.groupBy(chart).agg(F.min(start).alias("_from"), F.max(F.col(start) + F.col(length)).alias("_to"), F.count("*").alias("_beats"))
+    counts = rows.groupBy(chart).agg(F.count("*").alias("_rows"))
+    tokens = 2 + F.col("_beats") + 2 * F.coalesce("_rows", F.lit(0))
+    return spans.join(counts, chart, "left").select(chart, (frame_index(F.col("_to")) - frame_index(F.col("_from"))).alias("frames"), tokens.alias("tokens"))

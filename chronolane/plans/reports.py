@@ -64,3 +64,69 @@ def eval_pool(charts: DataFrame, group: str, key: str, ratios: dict[str, float],
     test = splits.hash_split(charts, group, ratios, seed).filter((F.col("split") == "test") & F.col(reason).isNull())
     pool = splits.seeded_sample(test, key, n, seed)
     return splits.donor_map(pool, key, seed)
+
+
+def corpus_compare(sides: dict[str, DataFrame], chart: str, keys: list[str], always: str) -> DataFrame:
+    """(keys..., always, n_s, avg_s, pooled_s for each side s): totals of endpoint counts of several corpora side by side.
+
+    A key that is summed over is 'all'; a place that a side lacks counts 0.
+    """
+    out = None
+    for name, rows in sides.items():
+        counts = rows.groupBy(*keys, always).agg(F.count("*").alias("n"))
+        size = rows.agg(F.count_distinct(chart).alias("charts"), F.count("*").alias("n")).first()
+        side = stats.with_totals(stats.marginals(counts, keys, always, "n"), "n", size.charts, size.n).withColumnsRenamed({"n": f"n_{name}", "avg_count": f"avg_{name}", "pooled": f"pooled_{name}"})
+        out = side if out is None else out.join(side, [*keys, always], "full")
+    return out.fillna(0)
+
+
+def verify_training(corpus: DataFrame, manifest: DataFrame, key: str, split: str, stored: str, current: str) -> DataFrame:
+    """(problem, n): what speaks against a corpus as the training part of a split; no rows if nothing does."""
+    train = manifest.filter(F.col(split) == "train").select(key)
+    outside = corpus.select(key).distinct().join(train, key, "left_anti").agg(F.lit("outside train").alias("problem"), F.count("*").alias("n"))
+    empty = corpus.agg(F.lit("empty").alias("problem"), (F.count("*") == 0).cast("long").alias("n"))
+    digest = corpus.agg(F.lit("another split").alias("problem"), F.lit(int(stored != current)).cast("long").alias("n"))
+    return outside.unionByName(empty).unionByName(digest).filter("n > 0")
+
+
+def rescore(records: DataFrame, generated: DataFrame, reference: DataFrame, keys: list[str], chart: str, match_on: list[str]) -> DataFrame:
+    """(keys..., tp, fp, fn): scores of stored sequences anew; a record whose sequence is gone is an error when read.
+
+    ``generated`` has the keys, ``reference`` the chart alone; both have the columns to match on.
+    """
+    have = generated.select(*keys).distinct().withColumn("_have", F.lit(True))
+    checked = records.select(*keys).join(have, keys, "left").filter(F.when(F.col("_have"), F.lit(True)).otherwise(F.raise_error(F.lit("a record's sequence is missing"))).cast("boolean")).select(*keys)
+    wanted = checked.join(reference.select(chart, *match_on), chart)
+    return match.multiset_match(generated.join(checked, keys, "left_semi").select(*keys, *match_on), wanted.select(*keys, *match_on), match_on, keys)
+
+
+def seed_scores(requested: DataFrame, samples: DataFrame, chart: str, seed: str, keys: list[str], always: str) -> DataFrame:
+    """(seed, keys..., always, n, avg_count, pooled): totals of each seed's samples; each must have every requested chart."""
+    have = samples.select(seed, chart).distinct()
+    gaps = have.select(seed).distinct().crossJoin(requested.select(chart).distinct()).join(have, [seed, chart], "left_anti")
+    if not gaps.isEmpty():
+        raise ValueError("a seed lacks requested charts")
+    counts = samples.groupBy(seed, *keys, always).agg(F.count("*").alias("n"))
+    sets = [[seed, *[k for i, k in enumerate(keys) if mask >> i & 1], always] for mask in range(1 << len(keys))]
+    out = counts.groupingSets(sets, seed, *keys, always).agg(F.sum("n").alias("n"))
+    sizes = samples.groupBy(seed).agg(F.count_distinct(chart).alias("_charts"), F.count("*").alias("_total"))
+    return out.join(sizes, seed).select(seed, *[F.coalesce(F.col(k).cast("string"), F.lit("all")).alias(k) for k in keys], always, "n", (F.col("n") / F.col("_charts")).alias("avg_count"), (F.col("n") / F.col("_total")).alias("pooled"))
+
+
+def full_summary(records: DataFrame, by: list[str], chart: str, flags: list[str], distributions: DataFrame, pairs: DataFrame, fields: list[str]) -> DataFrame:
+    """(section, key, name, value): scores and plausibility of each mode, merged distributions and condition responses in one long report."""
+
+    def long(df: DataFrame, section: str, keys: list[str]) -> DataFrame:
+        names = [c for c in df.columns if c not in keys]
+        each = F.array(*[F.struct(F.lit(n).alias("name"), F.col(n).cast("double").alias("value")) for n in names])
+        return df.select(F.lit(section).alias("section"), F.concat_ws("|", *keys).alias("key"), F.inline(each))
+
+    return reduce(
+        DataFrame.unionByName,
+        [
+            long(summarize_records(records, by, chart), "scores", by),
+            long(stats.plausibility_summary(records, by, chart, flags, "notes"), "plausibility", by),
+            long(stats.merge_distributions(distributions), "distribution", ["part", "key"]),
+            long(stats.condition_response(pairs, fields), "response", ["field"]),
+        ],
+    )
