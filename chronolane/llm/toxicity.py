@@ -37,15 +37,15 @@ from pyspark.sql import functions as F
 
 from .common import small_batches, table, write_cut
 
-SAMPLE, LONGEST, WINDOWS = 2000, 1 << 15, 40_000
+SAMPLE, LONGEST, WINDOWS = 2000, 1 << 15, 60_000
 #: Words in a window that is scored, and in the overlapping ones that dictionaries are trained on.
 SCORED, TRAINED = 4, 2
 #: Bytes of the dictionaries, compression level.
-ORDINARY, TOXIC, LEVEL = 8192, 2048, 3
+ORDINARY, TOXIC, LEVEL = 65536, 2048, 3
 #: Bytes of ordinary content behind each window: a short window alone would often be stored as it is, whatever the dictionary.
 TAIL = 64
 #: Rounds in which the toxic windows are refined, and the share of ordinary windows that may pass for toxic.
-ROUNDS, FALSE = 6, 0.005
+ROUNDS, FALSE = 4, 0.003
 #: Bins for the choice of the threshold.
 BINS = 2000
 
