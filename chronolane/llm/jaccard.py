@@ -401,8 +401,8 @@ def jaccard_components(docs: DataFrame, words: int = 5, num: int = 80, den: int
     for one in (True, False):
         part = members.join(labels, "node", "left").withColumn("part", F.coalesce("component", "node"))
         mixed = part.groupBy("sig").agg(F.min("part").alias("p"), F.max("part").alias("q"), F.ceil(F.count("*") / BLOCK).alias("blocks")).filter("p < q").select("sig", "blocks")
-        rest = write_cut(part.select("sig", "node", "part").join(mixed, "sig").join(sketches, "node"), "rest")
-        more = write_cut(_across(rest, num, den, one).join(tried, ["a", "b"], "left_anti"), "more")
+        rest = write_cut(part.select("sig", "node", "part").join(mixed, "sig"), "rest")
+        more = write_cut(_across(rest.join(sketches, "node"), num, den, one).join(tried, ["a", "b"], "left_anti"), "more")
         if more.isEmpty():
             break
         arrays = _arrays(more, classes, docs, words, arrays)
