@@ -88,7 +88,7 @@ def tempo_clusters(found: DataFrame, chart: str, threshold: float = 5.0) -> Data
     """
 
     def cluster(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["start", "pattern", "end", "ms_per_beat", "name"], kind="stable")
+        rows = rows.sort_values([c for c in ("start", "pattern", "end", "ms_per_beat", "name") if c in rows], kind="stable")
         founders: list[list[float]] = []  # founder, sum, count
         mixed: dict[str, list[float]] = {}
         own = []
