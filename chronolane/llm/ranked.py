@@ -54,8 +54,8 @@ def terms_of(text: bytes) -> list[bytes]:
 class Segment:
     """Documents on their way into a segment."""
 
-    def __init__(self, vocabulary: dict[bytes, int]) -> None:
-        self.vocabulary, self.doc_id, self.n, self.term, self.doc, self.tf = vocabulary, [], [], [], [], []
+    def __init__(self, vocabulary: dict[bytes, int], most: int) -> None:
+        self.most, self.vocabulary, self.doc_id, self.n, self.term, self.doc, self.tf = most, vocabulary, [], [], [], [], []
         self.documents = self.total = 0
 
     def add(self, doc_id: int | None, text: bytes) -> None:
@@ -75,7 +75,7 @@ class Segment:
             self.n.append(len(words))
 
     def full(self) -> bool:
-        return len(self.n) >= SEGMENT or len(self.term) >= POSTINGS
+        return len(self.n) >= self.most or len(self.term) >= POSTINGS
 
     def batch(self, number: int) -> pa.RecordBatch:
         """One row; postings by term, then document."""
@@ -88,18 +88,18 @@ class Segment:
         return pa.RecordBatch.from_arrays([pa.array([number]), *columns, pa.array([self.documents]), pa.array([self.total])], [c.split()[0] for c in INDEX.split(", ")])
 
 
-def index(docs: DataFrame, vocabulary: dict[bytes, int]) -> DataFrame:
+def index(docs: DataFrame, vocabulary: dict[bytes, int], most: int = SEGMENT) -> DataFrame:
     """Segments of ``docs`` with the postings of a vocabulary, numbered in each task; write it, as it is read twice."""
     sent = docs.sparkSession.sparkContext.broadcast(vocabulary)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        segment, number = Segment(sent.value), 0
+        segment, number = Segment(sent.value, most), 0
         for batch in batches:
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist(), strict=True):
                 segment.add(doc_id, text or b"")
                 if segment.full():
                     yield segment.batch(number)
-                    segment, number = Segment(sent.value), number + 1
+                    segment, number = Segment(sent.value, most), number + 1
         yield segment.batch(number)
 
     return small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, INDEX)
@@ -112,8 +112,8 @@ def impacts(weight: np.ndarray, tf: np.ndarray, m: np.ndarray) -> np.ndarray:
 class Lists:
     """A segment's postings with their scores, as an item's terms read them."""
 
-    def __init__(self, row: dict, weights: dict[int, int], documents: int, total: int) -> None:
-        self.n_docs, sizes = len(row["n"]), row["sizes"]
+    def __init__(self, row: dict, weights: dict[int, int], documents: int, total: int, share: int = SHARE) -> None:
+        self.n_docs, self.share, sizes = len(row["n"]), share, row["sizes"]
         self.blocks = -(-self.n_docs // BLOCK)
         weight = np.array([weights[t] for t in row["terms"].tolist()], np.int64)
         m = 10 + (90 * row["n"] * documents) // total
@@ -137,7 +137,7 @@ class Lists:
         here = [t for t in terms if t in self.at]
         if not here:
             return np.empty(0, np.int64), np.empty(0, np.int64)
-        short = [t for t in here if len(self.at[t][0]) * SHARE <= self.n_docs]
+        short = [t for t in here if len(self.at[t][0]) * self.share <= self.n_docs]
         long = sorted(set(here) - set(short), key=lambda t: -int(self.bound(t).max()))
         sums = np.zeros(self.blocks * BLOCK, np.int64)
         for t in short:  # term at a time
@@ -154,7 +154,7 @@ class Lists:
         for i in range(len(long) - 1, -1, -1):
             later[i] = later[i + 1] + self.bound(long[i])
         alive = np.flatnonzero(sums.reshape(-1, BLOCK).max(axis=1) + later[0] >= least)
-        docs_out, scores_out, best = [], [], np.empty(0, np.int64)
+        docs_out, scores_out, best = [np.empty(0, np.int64)], [np.empty(0, np.int64)], np.empty(0, np.int64)
         step = 1
         while len(alive):
             blocks, alive = alive[:step], alive[step:]
@@ -202,7 +202,7 @@ def _row(batch: pa.RecordBatch, i: int) -> dict[str, np.ndarray]:
     return out | {"doc_id": batch.column("doc_id")[i].values.fill_null(_LAST).to_numpy()}
 
 
-def search(segments: DataFrame, items: list[list[int]], weights: dict[int, int], documents: int, total: int, k: int) -> DataFrame:
+def search(segments: DataFrame, items: list[list[int]], weights: dict[int, int], documents: int, total: int, k: int, share: int = SHARE) -> DataFrame:
     """(item, doc_id, score, place): up to k documents of each item from every task; items are lists of terms."""
     sent = segments.sparkSession.sparkContext.broadcast((items, weights))
 
@@ -212,7 +212,7 @@ def search(segments: DataFrame, items: list[list[int]], weights: dict[int, int],
         for batch in batches:
             for i in range(batch.num_rows):
                 row = _row(batch, i)
-                lists = Lists(row, weights, documents, total)
+                lists = Lists(row, weights, documents, total, share)
                 for own, terms in zip(found, items, strict=True):
                     docs, scores = lists.search(terms, k, own.least)
                     if len(docs):
@@ -225,7 +225,7 @@ def search(segments: DataFrame, items: list[list[int]], weights: dict[int, int],
     return segments.mapInArrow(run, "item int, doc_id long, score long, place long")
 
 
-def ranked_search(docs: DataFrame, items: DataFrame, k: int = 10) -> DataFrame:
+def ranked_search(docs: DataFrame, items: DataFrame, k: int = 10, segment: int = SEGMENT, share: int = SHARE) -> DataFrame:
     """(item_id, rank, doc_id, score): the k first documents of each item."""
     spark = docs.sparkSession
     asked = write_cut(items.filter("text IS NOT NULL").select("item_id", "text").withColumn("row", F.monotonically_increasing_id()), "items")
@@ -236,12 +236,12 @@ def ranked_search(docs: DataFrame, items: DataFrame, k: int = 10) -> DataFrame:
         rows = asked.filter(F.pmod(F.xxhash64("row"), F.lit(waves)) == i).orderBy("row").collect()
         vocabulary: dict[bytes, int] = {}
         lists = [sorted({vocabulary.setdefault(t, len(vocabulary)) for t in terms_of(r.text.encode())}) for r in rows]
-        segments = write_cut(index(docs, vocabulary), "segments")
+        segments = write_cut(index(docs, vocabulary, segment), "segments")
         documents, total = segments.agg(F.sum("documents"), F.sum("total")).first()
         pairs = segments.select(F.explode(F.arrays_zip("terms", "sizes")).alias("p")).select("p.terms", "p.sizes")
         df = pairs.groupBy("terms").agg(F.sum("sizes")).collect()
         weights = {t: math.floor(1000 * math.log((2 * documents + 2) / (2 * n + 1))) for t, n in df}
-        best = search(segments, lists, weights, documents or 0, total or 1, k)
+        best = search(segments, lists, weights, documents or 0, total or 1, k, share)
         best = best.withColumn("rank", F.row_number().over(first)).filter(F.col("rank") <= k)
         names = spark.createDataFrame([(j, r.item_id) for j, r in enumerate(rows)], f"item int, item_id {dict(items.dtypes)['item_id']}")
         found = best.join(F.broadcast(names), "item").select("item_id", "rank", "doc_id", "score")  # ITEM_BYTES of items at most

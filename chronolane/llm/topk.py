@@ -62,10 +62,11 @@ class Queries:
     low: np.ndarray
     high: np.ndarray
     need: np.ndarray
+    bins: int
 
     @property
     def width(self) -> np.ndarray:
-        return np.maximum(1, -(-(self.high - self.low) // BINS))
+        return np.maximum(1, -(-(self.high - self.low) // self.bins))
 
     def scores(self, batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[slice, pa.RecordBatch, np.ndarray, np.ndarray]]:
         """(queries, rows, scores, which count) by blocks; a query's own row doesn't."""
@@ -87,16 +88,17 @@ class Queries:
 
     def histogram(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """(q, bin, n) of a task's scores in the ranges, down to the bin of its own k-th score."""
-        n, width, floor = np.zeros((len(self.row), BINS), np.int64), self.width, self.low.copy()
+        bins = self.bins
+        n, width, floor = np.zeros((len(self.row), bins), np.int64), self.width, self.low.copy()
         for part, _, s, counts in self.scores(batches):
             q, c = np.nonzero(counts & (s >= floor[part, None]) & (s < self.high[part, None]))
             if len(q):
                 b = (s[q, c].astype(np.int64) - self.low[part][q]) // width[part][q]
-                n[part] += np.bincount(q * BINS + b, minlength=n[part].size).reshape(-1, BINS)
+                n[part] += np.bincount(q * bins + b, minlength=n[part].size).reshape(-1, bins)
                 enough = np.cumsum(n[part, ::-1], axis=1) >= self.need[part, None]
-                least = BINS - 1 - enough.argmax(axis=1)
+                least = bins - 1 - enough.argmax(axis=1)
                 floor[part] = np.where(enough[:, -1], self.low[part] + least * width[part], floor[part])
-        n[np.arange(BINS)[None] < ((floor - self.low) // width)[:, None]] = 0
+        n[np.arange(bins)[None] < ((floor - self.low) // width)[:, None]] = 0
         q, b = np.nonzero(n)
         yield pa.RecordBatch.from_arrays([pa.array(q.astype(np.int32)), pa.array(b.astype(np.int32)), pa.array(n[q, b])], ["q", "bin", "n"])
 
@@ -107,7 +109,7 @@ class Queries:
         low[q] = self.low[q] + b * width[q]
         high[q] = np.minimum(low[q] + width[q], self.high[q])
         need[q] -= above
-        return Queries(self.row, self.vec_id, self.v, low, high, need)
+        return Queries(self.row, self.vec_id, self.v, low, high, need, self.bins)
 
     def best(self, batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
         """(q, vec_id, score, row) of a task's scores from the k-th up, at most k of a query."""
@@ -146,7 +148,7 @@ def _select(vectors: DataFrame, wave: Queries, k: int) -> Queries:
     return wave
 
 
-def top_k(vectors: DataFrame, queries: Column, k: int, scale: int = 256) -> DataFrame:
+def top_k(vectors: DataFrame, queries: Column, k: int, scale: int = 256, bins: int = BINS) -> DataFrame:
     """(query_id, rank, vec_id, score): the k highest inner products of each row that ``queries`` is true for, with all other rows."""
     spark = vectors.sparkSession
     rows = whole_vectors(vectors, scale)
@@ -163,7 +165,7 @@ def top_k(vectors: DataFrame, queries: Column, k: int, scale: int = 256) -> Data
         x = mine.filter(F.pmod(F.xxhash64("row"), F.lit(waves)) == i).toArrow().combine_chunks()
         column = lambda c, x=x: x.column(c).combine_chunks()
         reach = column("reach").to_numpy()
-        wave = Queries(column("row").to_numpy(), column("vec_id").to_numpy(), _matrix(column("v"), width or 0, kind), -reach, reach + 1, np.full(len(reach), min(k, n - 1), np.int64))
+        wave = Queries(column("row").to_numpy(), column("vec_id").to_numpy(), _matrix(column("v"), width or 0, kind), -reach, reach + 1, np.full(len(reach), min(k, n - 1), np.int64), bins)
         if n > 1:
             wave = _select(rows, wave, k)
         sent = spark.sparkContext.broadcast(wave)
