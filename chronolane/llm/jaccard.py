@@ -13,8 +13,10 @@ with equal ones alone. No tile rests on what a set lacks, so unrelated sets don'
 Tiles of more than SPLIT members, as a passage in many documents makes them, are parted by the k neighbours that the
 gram was picked from, which both sets of a link hold too. A tile first offers its members to its first one. Only tiles
 whose members are then still in several components compare the rest, by blocks of bounded size and across components
-only: first each member with one that bitmaps leave possible, then, where components still differ, with all of them. So
-a group of thousands of near copies costs about a pair a member, and no link between different components is lost.
+only: first each member with one other than the first that bitmaps leave possible, which joins most of what belongs
+together; then, in tiles where components still differ, with all of them. So a group of thousands of near copies costs
+about a pair a member, and no link between different components is lost: the last pass leaves out only pairs of one
+component and pairs that were compared before.
 
 Links are counted on demand: inside each component every two classes are compared once, in blocks of bounded rows and
 bytes, by bitmap and arrays, or by products of the blocks' incidence matrices where most pairs pass the bitmap. Pairs
@@ -38,7 +40,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import small_batches, small_side, table, write_cut
+from .common import BROADCAST_BYTES, small_batches, small_side, table, write_cut
 from .components import components
 
 BITS = 1024
@@ -282,19 +284,22 @@ def _cells(members: DataFrame, group: str) -> DataFrame:
 
 
 def _across(members: DataFrame, num: int, den: int, one: bool = False) -> DataFrame:
-    """Pairs of different components in the same tile that bitmaps leave possible; with ``one``, one for each member and block."""
+    """Pairs of different components in the same tile that bitmaps leave possible; with ``one``, one for each member and block.
+
+    The tile's first member, ``low``, was offered to all others before.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for tile in _runs(batches, ["sig", "i", "j"]):
             tile = tile.combine_chunks()
-            node, part, n, block = (tile.column(c).to_numpy() for c in ("node", "part", "n", "block"))
+            node, part, n, block, low = (tile.column(c).to_numpy() for c in ("node", "part", "n", "block", "low"))
             same = tile.column("i")[0].as_py() == tile.column("j")[0].as_py()
             bits, met = _matrix(tile.column("bits")), np.zeros(len(node), bool)
             out: list[np.ndarray] = []
             for k in range(0, len(node), 64):
                 rows = slice(k, k + 64)
                 fine = _may_link(n[rows, None], n[None], np.bitwise_count(bits[rows, None] ^ bits[None]).sum(axis=2), num, den)
-                fine &= (part[rows, None] != part[None]) & (node[rows, None] < node[None])
+                fine &= (part[rows, None] != part[None]) & (node[rows, None] < node[None]) & (node[rows, None] != low[rows, None])
                 if not same:  # within a block is another tile's work
                     fine &= block[rows, None] != block[None]
                 if one:
@@ -306,7 +311,7 @@ def _across(members: DataFrame, num: int, den: int, one: bool = False) -> DataFr
             a, b = np.concatenate(out, axis=1)
             yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
-    return _cells(members.select("sig", "node", "part", "n", "bits", "blocks"), "sig").mapInArrow(run, "a long, b long").distinct()
+    return _cells(members.select("sig", "node", "low", "part", "n", "bits", "blocks"), "sig").mapInArrow(run, "a long, b long").distinct()
 
 
 def links_between(left: list[np.ndarray], right: list[np.ndarray], num: int, den: int) -> np.ndarray:
@@ -401,10 +406,12 @@ def jaccard_components(docs: DataFrame, words: int = 5, num: int = 80, den: int
     for one in (True, False):
         part = members.join(labels, "node", "left").withColumn("part", F.coalesce("component", "node"))
         mixed = part.groupBy("sig").agg(F.min("part").alias("p"), F.max("part").alias("q"), F.ceil(F.count("*") / BLOCK).alias("blocks")).filter("p < q").select("sig", "blocks")
-        rest = write_cut(part.select("sig", "node", "part").join(mixed, "sig"), "rest")
-        more = write_cut(_across(rest.join(sketches, "node"), num, den, one).join(tried, ["a", "b"], "left_anti"), "more")
-        if more.isEmpty():
+        rest = write_cut(part.select("sig", "node", "low", "part").join(mixed, "sig"), "rest")
+        if rest.isEmpty():
             break
+        more = write_cut(_across(rest.join(sketches, "node"), num, den, one).join(tried, ["a", "b"], "left_anti"), "more")
+        if more.isEmpty():  # what the first pass offers may have been tried in other tiles; the last one still has to look at all
+            continue
         arrays = _arrays(more, classes, docs, words, arrays)
         links = write_cut(links.unionByName(_linked(more, arrays, num, den)), "links")
         labels = components(links, "a", "b")
@@ -417,7 +424,10 @@ def jaccard_components(docs: DataFrame, words: int = 5, num: int = 80, den: int
         counts = write_cut(_link_counts(labels, classes, arrays, num, den), "link-counts")
         placed = placed.join(small_side(counts, 16), "node", "left").withColumn("n_links", F.col("class_size") - 1 + F.coalesce("n", F.lit(0))).drop("n")
         columns.append(F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"))
-    return made.select("doc_id", "n", "digest").join(small_side(placed.drop("node"), 64), "digest", "left").select(*columns)
+    placed = placed.drop("node")
+    if classes.count() * 64 <= BROADCAST_BYTES:
+        placed = F.broadcast(placed)
+    return made.select("doc_id", "n", "digest").join(placed, "digest", "left").select(*columns)
 
 
 def op2_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

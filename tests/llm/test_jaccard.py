@@ -147,3 +147,33 @@ def test_empty_and_null_ids_and_repeated_rows(spark):
     rows = [(None, "a b c d e f g"), (7, "a b c d e f g"), (7, "a b c d e f g"), (None, "z"), (3, None)]
     out = jaccard.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert sorted(((r.doc_id or 0), r.component_id or 0) for r in out) == [(0, 0), (0, 7), (3, 3), (7, 7), (7, 7)]
+
+
+def hidden_triple(words, num, den, seed):
+    """L, X, Y: X and Y are linked, L with neither, and every tile of both X and Y has L in it, as its first member."""
+    shingle, rng = jaccard.Shingler(words), random.Random(seed)
+    linked = lambda a, b: den * len(a & b) >= num * len(a | b)
+    for _ in range(20_000):
+        n = rng.randint(30, 90)
+        base = [f"a{rng.randrange(10**6)}" for _ in range(n)]
+        tail = rng.randint(2, 12)
+        shared = [f"b{rng.randrange(10**6)}" for _ in range(tail)]
+        texts = [base]
+        for k in range(2):
+            own = list(base[: n - tail] + shared)
+            own[n - rng.randint(1, 2)] = f"c{k}{rng.randrange(10**6)}"
+            texts.append(own)
+        hashes = [shingle(" ".join(t)) for t in texts]
+        sets = [set(h.tolist()) for h in hashes]
+        tiles = [set(jaccard.signatures(h, num, den).tolist()) for h in hashes]
+        if linked(sets[1], sets[2]) and not linked(sets[0], sets[1]) and not linked(sets[0], sets[2]) and tiles[1] & tiles[2] <= tiles[0]:
+            return [" ".join(t) for t in texts]
+    raise AssertionError("no triple found")
+
+
+@pytest.mark.parametrize(("words", "num", "den", "seed"), [(3, 90, 100, 1), (5, 80, 100, 2), (3, 90, 100, 3)])
+def test_a_refused_first_pair_hides_no_linked_one(spark, words, num, den, seed):
+    rows = list(enumerate(hidden_triple(words, num, den, seed)))
+    out = jaccard.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1), words, num, den, count_links=True).collect()
+    assert sorted((r.doc_id, r.n_shingles, r.component_id, r.n_links) for r in out) == brute(rows, words, num, den)
+    assert {r.doc_id: r.component_id for r in out} == {0: 0, 1: 1, 2: 1}
