@@ -42,11 +42,22 @@ def cuts() -> int:
 
 def drop_cuts(spark: SparkSession, since: int) -> None:
     """Remove what write_cut wrote since a mark, but for the last. What still reads the removed tables fails from then on."""
+    remove_cuts(spark, _CUTS[since:-1])
+
+
+def cuts_since(mark: int) -> list[str]:
+    """Paths that write_cut wrote since a mark."""
+    return _CUTS[mark:]
+
+
+def remove_cuts(spark: SparkSession, paths: list[str]) -> None:
+    """Remove some of these paths; what is gone already is no error."""
     conf = spark._jsc.hadoopConfiguration()
-    for path in _CUTS[since:-1]:
+    for path in paths:
         at = spark._jvm.org.apache.hadoop.fs.Path(path)
         at.getFileSystem(conf).delete(at, True)
-    del _CUTS[since:-1]
+        if path in _CUTS:
+            _CUTS.remove(path)
 
 
 def write_cut(df: DataFrame, name: str) -> DataFrame:
