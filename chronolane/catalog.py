@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from chronolane.queries import charts, gates, matching, records, reporting, sequences, splitting, timelines
+from chronolane.queries import alignment, charts, gates, matching, records, reporting, sequences, splitting, timelines
 
-_MODULES = (charts, gates, records, matching, splitting, timelines, sequences, reporting)
+_MODULES = (charts, gates, records, matching, splitting, timelines, alignment, sequences, reporting)
 QUERIES = {name: run for module in _MODULES for name, run in module.QUERIES.items()}
 ORACLE_SQL = {name: sql for module in _MODULES for name, sql in module.SQL.items()}

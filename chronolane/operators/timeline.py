@@ -115,17 +115,19 @@ def density(events: DataFrame, marks: DataFrame, chart: str, t: str, before: int
     return both.withColumn("n", F.sum(1 - F.col("mark")).over(near)).filter("mark = 1").select(chart, F.col("t").alias(t), "n")
 
 
-def resample(series: DataFrame, marks: DataFrame, chart: str, t: str, value: str) -> DataFrame:
-    """Value at each mark by linear interpolation, clamped at the ends."""
-    both = series.select(chart, F.col(t).cast("double").alias("t"), F.col(value).cast("double").alias("v"), F.lit(0).alias("mark")).unionByName(marks.select(chart, F.col(t).cast("double").alias("t"), F.lit(None).cast("double").alias("v"), F.lit(1).alias("mark")))
+def resample(series: DataFrame, marks: DataFrame, chart: str, t: str, value: str, carry: tuple[str, ...] = ()) -> DataFrame:
+    """Value at each mark by linear interpolation, clamped at the ends; the marks' columns ``carry`` go along."""
+    placed = marks.select(chart, F.col(t).cast("double").alias("t"), F.lit(None).cast("double").alias("v"), F.lit(1).alias("mark"), *carry)
+    both = series.select(chart, F.col(t).cast("double").alias("t"), F.col(value).cast("double").alias("v"), F.lit(0).alias("mark")).unionByName(placed, allowMissingColumns=True)
     point = F.when(F.col("mark") == 0, F.struct("t", "v"))
-    order = Window.partitionBy(chart).orderBy("t", "mark")
-    prev = F.last(point, ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0))
-    nxt = F.first(point, ignorenulls=True).over(order.rowsBetween(0, Window.unboundedFollowing))
+    # Both run from one end of the chart: a frame that reaches ahead would be summed anew for every row.
+    upward, downward = Window.partitionBy(chart).orderBy("t", "mark"), Window.partitionBy(chart).orderBy(F.desc("t"), F.desc("mark"))
+    prev = F.last(point, ignorenulls=True).over(upward.rowsBetween(Window.unboundedPreceding, 0))
+    nxt = F.last(point, ignorenulls=True).over(downward.rowsBetween(Window.unboundedPreceding, 0))
     rows = both.withColumn("p", prev).withColumn("q", nxt).filter("mark = 1")
     share = (F.col("t") - F.col("p.t")) / (F.col("q.t") - F.col("p.t"))
     blended = F.when(F.col("p").isNull(), F.col("q.v")).when(F.col("q").isNull() | (F.col("q.t") == F.col("p.t")), F.col("p.v")).otherwise(F.col("p.v") + share * (F.col("q.v") - F.col("p.v")))
-    return rows.select(chart, F.col("t").alias(t), blended.alias(value))
+    return rows.select(chart, F.col("t").alias(t), blended.alias(value), *carry)
 
 
 def step_integral(steps: DataFrame, marks: DataFrame, chart: str, t: str, value: str, half: float) -> DataFrame:
@@ -195,20 +197,6 @@ def quantization(rows: DataFrame, band: Column, position: Column, error: Column,
     return out.withColumn("std", F.sqrt(F.greatest(F.lit(0.0), F.col("_sq") - F.col("mean") * F.col("mean")))).drop("_sq")
 
 
-def lag_profile(series: DataFrame, anchors: DataFrame, chart: str, t: str, value: str, lags: list[float], blocks: int = 6) -> DataFrame:
-    """(chart, block, lag, value): the series at anchor + lag, centred per anchor, averaged in time blocks.
-
-    Lags are a small literal list; each anchor's marks join the series in one window (see resample).
-    """
-    numbered = anchors.withColumn("_a", F.row_number().over(Window.partitionBy(chart).orderBy(t)) - 1).withColumn("_n", F.count("*").over(Window.partitionBy(chart)))
-    marks = numbered.select(chart, F.col("_a"), F.floor(F.col("_a") * blocks / F.col("_n")).alias("block"), F.col(t).cast("double").alias("_t"), F.explode(F.array(*[F.lit(float(x)) for x in lags])).alias("lag"))
-    at = marks.withColumn("_m", F.col("_t") + F.col("lag"))
-    values = resample(series, at.select(chart, F.col("_m").alias(t)).distinct(), chart, t, value).withColumnRenamed(t, "_m")
-    joined = at.join(values, [chart, "_m"])
-    centred = F.col(value) - F.avg(value).over(Window.partitionBy(chart, "_a"))
-    return joined.withColumn("_c", centred).groupBy(chart, "block", "lag").agg(F.avg("_c").alias("value"))
-
-
 def scale_clock(segments: DataFrame, rate: float, times: list[str]) -> DataFrame:
     """Segments or beats at another rate: offsets, lengths and times divided, all else as it is."""
     return segments.withColumns({c: F.col(c) / rate for c in times})

@@ -110,12 +110,6 @@ def anchors(spark, sf_dir):
     return timeline.isolated_anchors(rows, "user_id", "ms", 3_600_000, 12).select("user_id", "ms")
 
 
-def lag_profile(spark, sf_dir):
-    rows = events(spark, sf_dir).groupBy("user_id", "ms").agg(F.count("*").alias("n"))
-    picked = timeline.isolated_anchors(rows, "user_id", "ms", 3_600_000, 12)
-    return rounded(timeline.lag_profile(_series(spark, sf_dir), picked, "user_id", "ms", "value", [-3_600_000, 0, 3_600_000], 3), 4)
-
-
 def _intervals(spark, sf_dir) -> DataFrame:
     return events(spark, sf_dir).select("user_id", "event_type", "event_id", F.col("ms").alias("start"), (F.col("ms") + (F.col("value") * 60_000).cast("long")).alias("end"))
 
@@ -189,6 +183,6 @@ QUERIES = {
     f.__name__: f
     for f in (
         tempo_asof, segment_durations, dominant_segment, timing_summary, beat_grid, beat_phase, tick_quantize, quantize_bands, canonical_bpm,
-        density_window, resample, step_integral, anchors, lag_profile, interval_union, interval_amount, pattern_share,
+        density_window, resample, step_integral, anchors, interval_union, interval_amount, pattern_share,
     )
 }

@@ -12,7 +12,7 @@ SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 #: Queries without SQL; their operators are held against plain loops in test_operators, test_patterns and test_plain_loops.
 TESTED = {
-    "onset_match", "lag_profile", "pack_batches", "train_plan", "eval_pool", "wide_patterns", "held_patterns", "wide_held_patterns", "found_patterns",
+    "onset_match", "pack_batches", "train_plan", "eval_pool", "wide_patterns", "held_patterns", "wide_held_patterns", "found_patterns",
     "pattern_clusters", "pattern_distribution", "pattern_category", "pattern_card", "speed_times", "clean_steps",
 }
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="needs the supplied tables")
