@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from chronolane.functions.resampling import resampled_sums
 from chronolane.functions.scalars import finite, ratio
+from chronolane.operators.ranks import average_ranks, exact_percentiles
 
 
 def chart_values(df: DataFrame, chart: str, value: Column, by: list[str] | None = None) -> DataFrame:
@@ -17,15 +18,19 @@ def chart_values(df: DataFrame, chart: str, value: Column, by: list[str] | None
 def describe_values(df: DataFrame, value: str, by: list[str]) -> DataFrame:
     """count, mean, p10, p50, p90, min and max of the finite values; null when there are none."""
     x = finite(F.col(value))
+    if not by:  # all rows are one group: no task is to hold every value
+        rows = df.select(x.cast("double").alias("_x"))
+        points = exact_percentiles(rows, "_x", [], {"p10": 0.1, "p50": 0.5, "p90": 0.9})
+        sums = rows.agg(F.count("_x").alias("count"), F.avg("_x").alias("mean"), F.min("_x").alias("min"), F.max("_x").alias("max"))
+        return sums.join(F.broadcast(points), F.lit(True)).select("count", "mean", "p10", "p50", "p90", "min", "max")  # a row each
     p = F.percentile(x, F.array(F.lit(0.1), F.lit(0.5), F.lit(0.9)))
     out = df.groupBy(*by).agg(F.count(x).alias("count"), F.avg(x).alias("mean"), p.alias("p"), F.min(x).alias("min"), F.max(x).alias("max"))
     return out.select(*by, "count", "mean", *[F.col("p")[i].alias(n) for i, n in enumerate(("p10", "p50", "p90"))], "min", "max")
 
 
 def percentiles(df: DataFrame, value: str, by: list[str], points: dict[str, float]) -> DataFrame:
-    """Exact percentiles with linear interpolation; approximate ones are the caller's choice, not the default."""
-    p = F.percentile(value, F.array(*[F.lit(x) for x in points.values()]))
-    return df.groupBy(*by).agg(p.alias("p")).select(*by, *[F.col("p")[i].alias(n) for i, n in enumerate(points)])
+    """Exact percentiles with linear interpolation, by counts of values dealt in cells; approximate ones are the caller's choice."""
+    return exact_percentiles(df, value, by, points)
 
 
 def mean_interval(values: DataFrame, chart: str, value: str, by: list[str], draws: int = 2000, level: float = 0.95, seed: int = 20261106) -> DataFrame:
@@ -134,15 +139,9 @@ def early_stop(df: DataFrame, by: list[str], step: str, loss: str, patience: int
     return run.withColumn("best", F.min(loss).over(order.rowsBetween(Window.unboundedPreceding, 0))).withColumn("stalled", stalled).withColumn("stop", F.col("stalled") >= patience).drop("island")
 
 
-def average_rank(value: str, by: list[str]) -> Column:
-    """Rank inside ``by``; ties share their mean rank."""
-    order = Window.partitionBy(*by).orderBy(value)
-    return F.rank().over(order) + (F.count("*").over(Window.partitionBy(*by, value)) - 1) / 2
-
-
 def correlations(df: DataFrame, x: str, y: str, by: list[str]) -> DataFrame:
-    """pearson and spearman; null for fewer than two rows or no spread. Ranks are meant for report-sized groups."""
-    ranked = df.withColumn("rx", average_rank(x, by)).withColumn("ry", average_rank(y, by))
+    """pearson and spearman of rows that have both; null for fewer than two or no spread. Ranks are dealt by value, see ranks."""
+    ranked = average_ranks(df.filter(F.col(x).isNotNull() & F.col(y).isNotNull()), by, {"rx": x, "ry": y})
 
     def safe(a: str, b: str) -> Column:
         return F.when((F.count("*") > 1) & (F.var_pop(a) > 0) & (F.var_pop(b) > 0), F.corr(a, b))
