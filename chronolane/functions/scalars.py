@@ -44,6 +44,12 @@ def split_tick(tick: Column) -> Column:
     return F.struct(F.floor(tick / TICKS_PER_BAR).alias("bar"), F.pmod(tick, F.lit(TICKS_PER_BAR)).alias("pos"))
 
 
+def reduced(numer: Column, denom: Column, most: int = 144) -> Column:
+    """struct(numer, denom): the fraction in lowest terms, for a positive denominator up to ``most``; so 1/3 and 2/6 are equal."""
+    common = F.array_max(F.filter(F.array(*map(F.lit, range(1, most + 1))), lambda d: (F.pmod(numer, d) == 0) & (F.pmod(denom, d) == 0)))
+    return F.when((denom > 0) & (denom <= most), F.struct((numer / common).cast("long").alias("numer"), (denom / common).cast("long").alias("denom")))
+
+
 def snap_denominator(tick: Column) -> Column:
     """n of the coarsest 1/n beat that a tick lies on: 48 / gcd(48, tick mod 48)."""
     position = F.pmod(tick, F.lit(TICKS_PER_BEAT))

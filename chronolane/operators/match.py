@@ -45,6 +45,34 @@ def match_views(predicted: DataFrame, expected: DataFrame, views: dict[str, tupl
     return out.withColumnsRenamed({f"group_{c}": c for c in by})
 
 
+def exact_views(predicted: DataFrame, expected: DataFrame, by: list[str], beat: str, numer: str, denom: str, lane: str, kind: str, order: str) -> DataFrame:
+    """(by..., view, tp, fp, fn) of endpoints whose place on the grid is a fraction of a beat.
+
+    Fractions are in lowest terms, so places meet whatever grid they were read off. Views: event (place, lane and kind),
+    kind, lane, and note: taps, and holds by both their ends, each head with the tail that follows it in its lane; what
+    has no partner is in no note. ``kind`` is tap, start or end.
+    """
+    from chronolane.functions.scalars import reduced
+    from chronolane.operators.tokens import pair_holds
+
+    def placed(df: DataFrame) -> DataFrame:
+        exact = reduced(F.col(numer), F.col(denom))
+        rows = df.select(*by, F.col(lane).alias("lane"), F.col(kind).alias("kind"), F.col(order).alias("_seq"), F.struct(F.col(beat).cast("long").alias("beat"), (F.col(numer) / F.col(denom)).alias("at"), exact["numer"].alias("numer"), exact["denom"].alias("denom")).alias("place"))
+        holds = pair_holds(rows, [*by, "lane"], "place", "kind", "_seq").filter("state = 'paired'")
+        none = F.lit(None).cast(dict(rows.dtypes)["place"])
+        notes = rows.filter("kind = 'tap'").select(*by, "lane", F.col("place").alias("start"), none.alias("stop")).unionByName(holds.select(*by, "lane", "start", F.col("end").alias("stop")))
+        view = lambda df, name, start, stop, lane, kind: df.select(*by, F.lit(name).alias("view"), start.alias("start"), stop.alias("stop"), lane.alias("lane"), kind.alias("kind"))
+        no_lane, no_kind = F.lit(None).cast(dict(rows.dtypes)["lane"]), F.lit(None).cast("string")
+        each = [view(rows, n, F.col("place"), none, F.col("lane") if n != "kind" else no_lane, F.col("kind") if n != "lane" else no_kind) for n in ("event", "kind", "lane")]
+        out = view(notes, "note", F.col("start"), F.col("stop"), F.col("lane"), no_kind)
+        for e in each:
+            out = out.unionByName(e)
+        exactly = lambda c: F.when(F.col(c).isNotNull(), F.struct(f"{c}.beat", f"{c}.numer", f"{c}.denom"))
+        return out.withColumns({"start": exactly("start"), "stop": exactly("stop")})
+
+    return multiset_match(placed(predicted), placed(expected), ["start", "stop", "lane", "kind"], [*by, "view"])
+
+
 def micro(matches: DataFrame, by: list[str]) -> DataFrame:
     """Sum of tp, fp, fn with precision, recall and f1."""
     sums = matches.groupBy(*by).agg(*[F.sum(c).alias(c) for c in ("tp", "fp", "fn")])

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -84,26 +85,30 @@ def found_patterns(primitives: DataFrame, chart: str, t: str, stable: float = 5.
 def tempo_clusters(found: DataFrame, chart: str, threshold: float = 5.0) -> DataFrame:
     """Add bpm: patterns join the first cluster within ``threshold`` of its founder; mixed ones cluster by pattern.
 
-    Which cluster comes first depends on order, so a chart is one group, in order of start and pattern.
+    Which cluster comes first depends on order, so a chart's patterns are folded in order of start and pattern. The fold
+    reads sorted batches and holds the founders alone, which tempos bound; a cluster's mean is an aggregate of its own.
     """
-
-    def cluster(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values([c for c in ("start", "pattern", "end", "ms_per_beat", "name") if c in rows], kind="stable")
-        founders: list[list[float]] = []  # founder, sum, count
-        mixed: dict[str, list[float]] = {}
-        own = []
-        for p in rows.itertuples():
-            if p.mixed:
-                c = mixed.setdefault(p.pattern, [p.ms_per_beat, 0.0, 0])
-            else:
-                c = next((c for c in founders if abs(c[0] - p.ms_per_beat) < threshold), None)
-                if c is None:
-                    founders.append(c := [p.ms_per_beat, 0.0, 0])
-            c[1], c[2] = c[1] + p.ms_per_beat, c[2] + 1
-            own.append(c)
-        return rows.assign(bpm=[round(60000 / (c[1] / c[2])) if c[1] > 0 else 0 for c in own])
-
-    return found.groupBy(chart).applyInPandas(cluster, T.StructType([*found.schema.fields, T.StructField("bpm", T.LongType())]))
+    order = [c for c in ("start", "pattern", "end", "ms_per_beat", "name") if c in found.columns]
+
+    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, founders = object(), []
+        for batch in batches:
+            own = []
+            for c, pattern, beat, mixed in zip(*(batch.column(x).to_pylist() for x in (chart, "pattern", "ms_per_beat", "mixed")), strict=True):
+                if c != at:
+                    at, founders = c, []
+                if mixed:
+                    own.append(pattern)
+                    continue
+                k = next((i for i, f in enumerate(founders) if abs(f - beat) < threshold), len(founders))
+                founders += [beat] if k == len(founders) else []
+                own.append(str(k))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(own, pa.string())], [*batch.schema.names, "_cluster"])
+
+    dealt = found.repartition(chart).sortWithinPartitions(chart, *[F.asc_nulls_last(c) for c in order])
+    rows = dealt.mapInArrow(number, T.StructType([*found.schema.fields, T.StructField("_cluster", T.StringType())]))
+    mean = F.avg("ms_per_beat").over(Window.partitionBy(chart, "_cluster"))
+    return rows.withColumn("_mean", mean).withColumn("bpm", F.when(F.col("_mean") > 0, F.rint(F.try_divide(F.lit(60000.0), "_mean"))).otherwise(0).cast("long")).drop("_cluster", "_mean")
 
 
 #: How much a core pattern weighs, what its sub-patterns weigh by mode where that differs from the core's,
@@ -178,14 +183,15 @@ def cluster_card(summary: DataFrame, chart: str, durations: DataFrame, duration:
 def speed_time(changes: DataFrame, tempos: DataFrame, spans: DataFrame, chart: str, t: str, value: str, length: str, eps: float = 0.05, amount: float = 2000.0) -> DataFrame:
     """(chart, speed_time): ms of a chart (first, last) at another scroll speed than 1; beyond ``amount`` where tempo jumps.
 
-    Tempo jumps below 30 or above 350 beats a minute, or by a factor of 3 from one segment to the next.
+    Tempo jumps below 30 or above 350 beats a minute, or by a factor of 3 from one segment to the next; a segment of no
+    length is a jump in itself.
     """
     order = Window.partitionBy(chart).orderBy(t)
-    rows = changes.join(spans, chart).withColumn("_to", F.coalesce(F.lead(t).over(order), F.col("last"))).withColumn("_first", F.lag(t).over(order).isNull())
+    rows = changes.join(spans, chart).withColumn("_to", F.coalesce(F.lead(t).over(order), F.col("last")))
     off = F.isnan(value) | (F.abs(F.col(value) - 1) > eps)
     total = rows.groupBy(chart).agg(F.sum(F.when(off, F.col("_to") - F.col(t)).otherwise(0.0)).alias("_time"))
-    bpm, before = 60000.0 / F.col(length), F.lag(length).over(order)
-    jump = (F.col(length) <= 0) | (bpm <= 30) | (bpm >= 350) | (F.greatest(before / F.col(length), F.col(length) / before) >= 3)
+    bpm, before = F.try_divide(F.lit(60000.0), length), F.lag(length).over(order)
+    jump = (F.col(length) <= 0) | F.coalesce((bpm <= 30) | (bpm >= 350), F.lit(False)) | F.coalesce(F.greatest(F.try_divide(before, length), F.try_divide(F.col(length), before)) >= 3, F.lit(False))
     jumps = tempos.withColumn("_jump", F.coalesce(jump, F.lit(False))).groupBy(chart).agg(F.bool_or("_jump").alias("_jump"))
     time = F.coalesce("_time", F.lit(0.0))
     return spans.join(total, chart, "left").join(jumps, chart, "left").select(chart, F.when(F.coalesce("_jump", F.lit(False)), F.greatest(time, F.lit(amount + 1))).otherwise(time).alias("speed_time"))
@@ -194,25 +200,33 @@ def speed_time(changes: DataFrame, tempos: DataFrame, spans: DataFrame, chart: s
 def clean_steps(series: DataFrame, chart: str, t: str, value: str, seq: str, eps: float = 0.005) -> DataFrame:
     """(chart, t, value): the last value of each time, without steps of at most eps from the last one kept; the first is held against 1.
 
-    What is kept depends on what was kept before, so a chart's distinct times are folded in order.
+    What is kept depends on what was kept before, so a chart's distinct times are folded in order, over sorted batches:
+    a task holds the last kept value, however long a chart is.
     """
-    last = series.groupBy(chart, t).agg(F.max_by(value, seq).alias(value))
-    point = F.struct(F.col(t).alias("t"), F.col(value).cast("double").alias("v"))
+    last = series.groupBy(chart, t).agg(F.max_by(value, seq).cast("double").alias(value))
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, before = object(), 1.0
+        for batch in batches:
+            kept = []
+            for c, v in zip(batch.column(chart).to_pylist(), batch.column(value).to_pylist(), strict=True):
+                if c != at:
+                    at, before = c, 1.0
+                kept.append(v is not None and abs(v - before) > eps)
+                before = v if kept[-1] else before
+            yield batch.filter(pa.array(kept, pa.bool_()))
 
-    def keep(rows: pd.DataFrame) -> pd.DataFrame:
-        before, kept = 1.0, []
-        for v in rows[value]:
-            kept.append(abs(v - before) > eps)
-            before = v if kept[-1] else before
-        return rows[kept]
+    return last.repartition(chart).sortWithinPartitions(chart, t).mapInArrow(keep, last.schema)
 
-    ordered = last.select(chart, F.col(t).alias(t), point["v"].alias(value))
-    return ordered.groupBy(chart).applyInPandas(lambda rows: keep(rows.sort_values(t)), ordered.schema)
 
+def core_distribution(summary: DataFrame, chart: str, charts: DataFrame | None = None) -> DataFrame:
+    """(chart, pattern, importance, share): importance over the chart's total for each of the core patterns, 0 for absent ones.
 
-def core_distribution(summary: DataFrame, chart: str) -> DataFrame:
-    """Add share: a pattern's importance over the chart's total; 0 where the total is."""
-    sums = summary.groupBy(chart, "pattern").agg(F.sum("importance").alias("importance"))
+    ``charts`` names the charts to report, as one without clusters has six zeros; without it those of ``summary``.
+    """
+    names = F.explode(F.array(*map(F.lit, CORE_WEIGHT))).alias("pattern")
+    every = (summary if charts is None else charts).select(chart).distinct().select(chart, names)
+    sums = every.join(summary.groupBy(chart, "pattern").agg(F.sum("importance").alias("importance")), [chart, "pattern"], "left").withColumn("importance", F.coalesce("importance", F.lit(0.0)))
     total = F.sum("importance").over(Window.partitionBy(chart))
     return sums.withColumn("share", F.when(total > 0, F.col("importance") / total).otherwise(0.0))
 

@@ -11,6 +11,10 @@ from chronolane.functions.hashing import hash_int, split_position
 from chronolane.functions.scalars import check_ratios
 
 
+#: Keys that are ranked in one task, in the mean.
+BUCKET = 1 << 17
+
+
 def hash_split(groups: DataFrame, group: str, ratios: dict[str, float], seed: int = 0) -> DataFrame:
     """Add ``split``: the group's hash position against the cumulative ratios. A projection, no shuffle."""
     position, total, out = split_position(seed, F.col(group)), 0.0, None
@@ -98,12 +102,14 @@ def stratified_pick(df: DataFrame, group: str, part: str, key: str, groups: int,
     return rows.withColumn("n", rank).filter(F.col("n") <= most).select(group, part, key)
 
 
-def donor_map(charts: DataFrame, key: str, seed: int, buckets: int = 64) -> DataFrame:
+def donor_map(charts: DataFrame, key: str, seed: int, buckets: int | None = None) -> DataFrame:
     """(target, donor): each target draws one donor of the same pool, itself allowed, whatever the order of rows.
 
-    Ranks inside hash buckets and the buckets' running totals number the pool without a global sort.
+    Ranks inside hash buckets and the buckets' running totals number the pool without a global sort. Buckets are 64, and
+    more for a pool of over 64 * BUCKET; a row for each is broadcast.
     """
     pool = charts.select(key).distinct()
+    buckets = buckets or max(64, -(-pool.count() // BUCKET))
     bucketed = pool.withColumn("b", F.pmod(hash_int("pool", F.col(key)), F.lit(buckets)))
     sizes = bucketed.groupBy("b").agg(F.count("*").alias("n"))
     offsets = sizes.withColumn("first", F.coalesce(F.sum("n").over(Window.orderBy("b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).withColumn("total", F.sum("n").over(Window.partitionBy()))
@@ -141,15 +147,16 @@ def reusable(stored: DataFrame, wanted: DataFrame, fields: list[str]) -> tuple[D
     return stored.join(wanted, same, "left_semi"), wanted.join(stored, same, "left_anti")
 
 
-def universe_digest(df: DataFrame, key: str, buckets: int = 256) -> DataFrame:
-    """(digest, n) of the distinct keys, whatever their order: a digest of the digests of hash buckets.
+def universe_digest(df: DataFrame, key: str) -> DataFrame:
+    """(digest, n) of the distinct keys, whatever their order and number.
 
-    A bucket holds a 256th of the keys; more buckets keep it small for more keys.
+    A key's sha256 is eight numbers of 32 bits; each is summed over all keys, and the digest is that of the count and the
+    sums. Sums add up where the keys are, so nothing is sorted or gathered. Null keys don't count.
     """
-    keys = df.select(F.col(key).cast("string").alias("k")).distinct()
-    part = F.pmod(hash_int("bucket", F.col("k")), F.lit(buckets))
-    by_bucket = keys.groupBy(part.alias("b")).agg(F.sha2(F.array_join(F.array_sort(F.collect_list("k")), "\n"), 256).alias("d"), F.count("*").alias("n"))
-    return by_bucket.agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("b", "d"))), lambda x: x["d"]), "\n"), 256).alias("digest"), F.sum("n").alias("n"))
+    keys = df.filter(F.col(key).isNotNull()).select(F.sha2(F.col(key).cast("string"), 256).alias("h")).distinct()
+    parts = [F.sum(F.conv(F.substring("h", 1 + 8 * i, 8), 16, 10).cast("decimal(10,0)")).cast("decimal(38,0)").alias(f"s{i}") for i in range(8)]
+    sums = keys.agg(F.count("*").alias("n"), *parts)
+    return sums.select(F.sha2(F.concat_ws("|", F.col("n").cast("string"), *[F.coalesce(F.col(f"s{i}").cast("string"), F.lit("0")) for i in range(8)]), 256).alias("digest"), "n")
 
 
 def retain(df: DataFrame, by: list[str], step: str, loss: str, newest: int = 3) -> DataFrame:

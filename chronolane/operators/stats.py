@@ -112,14 +112,54 @@ def issue_rate(issues: DataFrame, chart: str) -> DataFrame:
 
 
 def weighted_means(df: DataFrame, by: list[str], values: list[str], weight: str) -> DataFrame:
-    """Chart mean and weighted mean of each value, and the perplexity of the weighted mean; null where exp overflows."""
+    """Chart mean and weighted mean of each value, and the perplexity of the weighted mean.
+
+    Null where weights sum to 0, and perplexity where exp overflows.
+    """
     out = []
     for v in values:
-        mean = F.sum(F.col(v) * F.col(weight)) / F.sum(F.when(F.col(v).isNotNull(), F.col(weight)))
-        out += [F.avg(v).alias(f"{v}_mean"), mean.alias(f"{v}_weighted"), F.when(mean < 709.0, F.exp(mean)).alias(f"{v}_perplexity")]
+        mean = weighted_mean(v, weight)
+        out += [F.avg(v).alias(f"{v}_mean"), mean.alias(f"{v}_weighted"), perplexity(mean).alias(f"{v}_perplexity")]
     return df.groupBy(*by).agg(*out)
 
 
+def weighted_mean(value: str, weight: str) -> Column:
+    """Aggregate: mean by weight of the rows that have the value; null where these weights sum to 0."""
+    return F.try_divide(F.sum(F.col(value) * F.col(weight)).cast("double"), F.sum(F.when(F.col(value).isNotNull(), F.col(weight))))
+
+
+def perplexity(loss: Column) -> Column:
+    return F.when(loss < 709.0, F.exp(loss))
+
+
+def teacher_summary(charts: DataFrame, by: list[str], means: list[str], weighted: list[str], tokens: str, loss: str, types: dict[str, dict[str, str]], details: dict[str, tuple[str, str]]) -> DataFrame:
+    """(by..., section, name, value): a readout of charts, a long row a figure.
+
+    chart: number of charts and tokens, and plain means of ``means``. token: means of ``weighted`` by tokens, and the
+    perplexity of ``loss``. One section a token type: its tokens, and means by that type's tokens of the columns that
+    ``types[name]`` names (key tokens: the counts; a key nll also gives a perplexity). rows: how many charts have
+    details, and correct, total and rate of each pair of columns in ``details`` over them. Null where a weight or total
+    is 0; a chart with nulls in its details has none.
+    """
+    has = F.lit(True)
+    for right, total in details.values():
+        has = has & F.col(right).isNotNull() & F.col(total).isNotNull()
+    figures: list[tuple[str, str, Column]] = [("chart", "charts", F.count("*")), ("chart", "tokens", F.sum(tokens))]
+    figures += [("chart", c, F.avg(c)) for c in means] + [("token", c, weighted_mean(c, tokens)) for c in weighted] + [("token", "perplexity", perplexity(weighted_mean(loss, tokens)))]
+    for kind, columns in types.items():
+        count = columns["tokens"]
+        figures.append((kind, "tokens", F.sum(count)))
+        figures += [(kind, n, weighted_mean(c, count)) for n, c in columns.items() if n != "tokens"]
+        figures += [(kind, "perplexity", perplexity(weighted_mean(columns["nll"], count)))] if "nll" in columns else []
+    figures.append(("rows", "available", F.count_if(has)))
+    for name, (right, total) in details.items():
+        sums = [F.sum(F.when(has, F.col(c))) for c in (right, total)]
+        figures += [("rows", f"{name}_correct", sums[0]), ("rows", f"{name}_total", sums[1]), ("rows", f"{name}_rate", F.try_divide(sums[0].cast("double"), sums[1]))]
+    wide = charts.groupBy(*by).agg(*[value.cast("double").alias(f"_{i}") for i, (_, _, value) in enumerate(figures)])
+    each = F.array(*[F.struct(F.lit(section).alias("section"), F.lit(name).alias("name"), F.col(f"_{i}").alias("value")) for i, (section, name, _) in enumerate(figures)])
+    return wide.select(*by, F.inline(each))
+
+
 def mix_branches(df: DataFrame, by: list[str], branch: str, value: str, weights: dict[str, float]) -> DataFrame:
     """Weighted sum of the branches' means; null unless every branch is there."""
     means = [F.avg(F.when(F.col(branch) == b, F.col(value))) * w for b, w in weights.items()]

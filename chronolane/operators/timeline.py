@@ -169,16 +169,32 @@ def interval_amount(intervals: DataFrame, by: list[str], start: str, end: str, o
     return intervals.withColumn("_reach", reach).filter(F.col("_reach").isNull() | (F.col(end) > F.col("_reach"))).groupBy(*by).agg(F.sum(F.col(end) - F.col(start)).alias("amount"))
 
 
-def pattern_share(intervals: DataFrame, chart: str, kind: str, start: str, end: str, durations: DataFrame, duration: str) -> DataFrame:
-    """(chart, kind, share): union over duration, at most 1; null where the duration isn't positive."""
+def pattern_share(intervals: DataFrame, chart: str, kind: str, start: str, end: str, durations: DataFrame, duration: str, kinds: list[str]) -> DataFrame:
+    """(chart, kind, share) for each chart of ``durations`` and each of ``kinds``: union over duration, at most 1.
+
+    A kind without intervals has 0; all are null where the duration isn't positive.
+    """
     union = interval_union(intervals, [chart, kind], start, end)
-    return union.join(durations, chart).select(chart, kind, F.when(F.col(duration) > 0, F.least(F.lit(1.0), F.col("length") / F.col(duration))).alias("share"))
+    every = durations.select(chart, duration, F.explode(F.array(*map(F.lit, kinds))).alias(kind))
+    share = F.least(F.lit(1.0), F.try_divide(F.coalesce("length", F.lit(0)), F.col(duration)))
+    return every.join(union, [chart, kind], "left").select(chart, kind, F.when(F.col(duration) > 0, share).alias("share"))
 
 
 def object_end(events: DataFrame, chart: str, t: str, end: str) -> DataFrame:
     return events.groupBy(chart).agg(F.coalesce(F.max(F.greatest(F.col(t), F.coalesce(F.col(end), F.col(t)))), F.lit(0)).alias("object_end"))
 
 
+def tick_notes(notes: DataFrame, timing: DataFrame, chart: str, t: str, end: str, offset: str, bpm: str) -> DataFrame:
+    """Add tick and end_tick: a note's times on the lattice of its chart's first tempo; end_tick is null for a tap.
+
+    ``timing`` has a row for each chart, (chart, offset, bpm); notes of a chart without one are left out.
+    """
+    from chronolane.functions.scalars import ms_to_tick
+
+    placed = notes.join(timing.select(chart, F.col(offset).alias("_offset"), F.col(bpm).alias("_bpm")), chart)
+    return placed.withColumns({"tick": ms_to_tick(F.col(t), F.col("_offset"), F.col("_bpm")), "end_tick": ms_to_tick(F.col(end), F.col("_offset"), F.col("_bpm"))}).drop("_offset", "_bpm")
+
+
 def bar_range(events: DataFrame, chart: str, tick: str, ticks_per_bar: int) -> DataFrame:
     """(chart, first_bar, end_bar): bar-aligned span of the events, end exclusive."""
     return events.groupBy(chart).agg(F.floor(F.min(tick) / ticks_per_bar).alias("first_bar"), (F.floor(F.max(tick) / ticks_per_bar) + 1).alias("end_bar"))

@@ -58,6 +58,16 @@ def window_samples(spans: DataFrame, key: str, low: str, high: str, samples: int
     return drawn.select(key, "sample", (F.col(low) + F.pmod(hash_int(seed, F.col(key), F.col("sample")), room)).alias("start"))
 
 
+def kept_samples(events: DataFrame, spans: DataFrame, key: str, bar: str, low: str, high: str, samples: int, seed: int, limit: int, size: int = 16, framing: int = 3) -> DataFrame:
+    """(key, sample, start, tokens): window_samples without those of more than ``limit`` tokens.
+
+    A sample draws one start; an over-long one is skipped, not drawn again. Tokens come from running counts at both ends.
+    """
+    drawn = window_samples(spans, key, low, high, samples, seed, size)
+    costs = window_tokens(events, drawn.select(key, "start", (F.col("start") + size).alias("end")).distinct(), key, bar, framing)
+    return drawn.join(costs, [key, "start"]).filter(F.col("tokens") <= limit).select(key, "sample", "start", "tokens")
+
+
 def length_windows(df: DataFrame, key: str, length: str, share: float = 0.1) -> DataFrame:
     """Add window: lengths sorted, each window from its first length f up to f * (1 + share). Non-positive ones have none.
 

@@ -215,14 +215,6 @@ def pattern_card(spark, sf_dir):
     return rounded(patterns.cluster_card(_summary(spark, sf_dir), "user_id", spans, "duration"), 3)
 
 
-def speed_times(spark, sf_dir):
-    rows = events(spark, sf_dir)
-    changes = rows.select("user_id", F.col("ms").cast("double").alias("t"), F.when(F.col("event_type") == "view", 1.0).otherwise(F.col("value") / 50).alias("speed")).dropDuplicates(["user_id", "t"])
-    tempos = rows.filter("event_id % 9 = 0").select("user_id", F.col("ms").cast("double").alias("t"), (F.col("user_id") % 40 * 12.0 + 60).alias("length"))
-    spans = rows.groupBy("user_id").agg(F.min("ms").cast("double").alias("first"), F.max("ms").cast("double").alias("last"))
-    return rounded(patterns.speed_time(changes, tempos, spans, "user_id", "t", "speed", "length"), 3)
-
-
 def clean_steps(spark, sf_dir):
     rows = events(spark, sf_dir).select("user_id", F.floor(F.col("ms") / HOUR).alias("t"), F.round(F.col("value") / 4000, 3).alias("v"), "event_id")
     return rounded(patterns.clean_steps(rows, "user_id", "t", "v", "event_id"))
@@ -451,7 +443,7 @@ QUERIES = {
     for f in (
         event_rows, active_state, pair_intervals, encode_tokens, decode_tokens, cursor_times, illegal_transitions, pad_sequences, plausibility, adjacent_warnings,
         motif_counts, motif_topk, motif_scopes, motif_distance, vocabulary_counts, length_profile, window_audit, marginals, row_primitives, core_patterns,
-        specific_patterns, endpoint_distribution, shift_response, row_marginals, trace_summary, wide_patterns, held_patterns, wide_held_patterns, found_patterns, pattern_clusters, pattern_distribution, pattern_category, pattern_card, speed_times, clean_steps, hold_ratios, nll_by_type, legal_mass, decision_stats, history_pairs, split_accuracy, bar_windows, overlap_windows,
+        specific_patterns, endpoint_distribution, shift_response, row_marginals, trace_summary, wide_patterns, held_patterns, wide_held_patterns, found_patterns, pattern_clusters, pattern_distribution, pattern_category, pattern_card, clean_steps, hold_ratios, nll_by_type, legal_mass, decision_stats, history_pairs, split_accuracy, bar_windows, overlap_windows,
         window_samples, window_tokens, stitch_windows, missing_bars, tail_events, length_windows, pack_batches, length_summary,
     )
 }

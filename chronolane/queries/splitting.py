@@ -87,7 +87,7 @@ def reuse_rows(spark, sf_dir):
 
 
 def universe_digest(spark, sf_dir):
-    return splits.universe_digest(table(spark, sf_dir, "documents"), "doc_id", 16)
+    return splits.universe_digest(table(spark, sf_dir, "documents"), "doc_id")
 
 
 def retain_last_and_best(spark, sf_dir):
@@ -203,7 +203,7 @@ SELECT CAST(c_nationkey AS BIGINT) AS c_nationkey, c_mktsegment, c_custkey FROM
 WITH s AS (SELECT doc_id, quality::BIGINT AS flag FROM labels), w AS (SELECT doc_id, CASE WHEN doc_id % 3 > 0 THEN doc_id % 2 END AS flag FROM documents)
 SELECT doc_id, flag, 'reuse' AS action FROM s WHERE EXISTS (SELECT 1 FROM w WHERE w.doc_id = s.doc_id AND w.flag IS NOT DISTINCT FROM s.flag)
 UNION ALL SELECT doc_id, flag, 'make' FROM w WHERE NOT EXISTS (SELECT 1 FROM s WHERE w.doc_id = s.doc_id AND w.flag IS NOT DISTINCT FROM s.flag)""",
-    "universe_digest": f"WITH k AS (SELECT DISTINCT CAST(doc_id AS VARCHAR) AS k FROM documents), b AS (SELECT {_U.format("'bucket|' || k")} % 16 AS b, sha256(string_agg(k, chr(10) ORDER BY k)) AS d, count(*) AS n FROM k GROUP BY 1) SELECT sha256(string_agg(d, chr(10) ORDER BY b)) AS digest, CAST(sum(n) AS BIGINT) AS n FROM b",
+    "universe_digest": "WITH k AS (SELECT DISTINCT sha256(CAST(doc_id AS VARCHAR)) AS h FROM documents WHERE doc_id IS NOT NULL), s AS (SELECT count(*) AS n, " + ", ".join(f"sum(CAST('0x' || substr(h, {1 + 8 * i}, 8) AS UBIGINT)) AS s{i}" for i in range(8)) + " FROM k) SELECT sha256(concat_ws('|', n, " + ", ".join(f"CAST(coalesce(s{i}, 0) AS VARCHAR)" for i in range(8)) + ")) AS digest, n FROM s",
     "retain_last_and_best": "WITH r AS (SELECT o_custkey, o_orderkey, o_totalprice, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey DESC) AS l, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice, o_orderkey) = 1 AS best FROM orders) SELECT o_custkey, o_orderkey, round(o_totalprice, 6) AS o_totalprice, best FROM r WHERE l <= 3 OR best",
     "gate_reasons": f"SELECT o_orderkey, {_GATE} AS reason FROM orders",
     "reject_counts": f"SELECT coalesce({_GATE}, 'kept') AS reason, count(*) AS n FROM orders GROUP BY ALL",

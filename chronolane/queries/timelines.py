@@ -125,7 +125,7 @@ def interval_amount(spark, sf_dir):
 def pattern_share(spark, sf_dir):
     rows = _intervals(spark, sf_dir)
     durations = rows.groupBy("user_id").agg((F.max("end") - F.min("start")).alias("duration"))
-    return rounded(timeline.pattern_share(rows, "user_id", "event_type", "start", "end", durations, "duration"))
+    return rounded(timeline.pattern_share(rows, "user_id", "event_type", "start", "end", durations, "duration", ["view", "signup", "purchase", "click", "error", "absent"]))
 
 
 _LOCAL = f"""WITH {_SEG}, z AS (SELECT user_id, min(ms) - 5400000 AS zero, max(ms) AS last FROM seg GROUP BY ALL),
@@ -176,7 +176,7 @@ SELECT mk.user_id, mk.ms::DOUBLE AS ms, round(coalesce(sum(greatest(0, least(nt,
     "anchors": f"WITH {_ANC}, j AS (SELECT unnest(range(12)) AS j) SELECT DISTINCT user_id, ms FROM k, j WHERE n <= 12 OR i = (j * (n - 1)) // 11",
     "interval_union": _UNION + "SELECT * FROM u",
     "interval_amount": f"WITH r AS (SELECT *, max(fin) OVER (PARTITION BY user_id, event_type ORDER BY start, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM {_IV}) SELECT user_id, event_type, CAST(sum(fin - start) AS BIGINT) AS amount FROM r WHERE reach IS NULL OR fin > reach GROUP BY ALL",
-    "pattern_share": _UNION + f", d AS (SELECT user_id, max(fin) - min(start) AS duration FROM {_IV} GROUP BY ALL) SELECT user_id, event_type, CASE WHEN duration > 0 THEN round(least(1.0::DOUBLE, length / duration), 6) END AS share FROM u JOIN d USING (user_id)",
+    "pattern_share": _UNION + f", d AS (SELECT user_id, max(fin) - min(start) AS duration FROM {_IV} GROUP BY ALL) SELECT user_id, event_type, CASE WHEN duration > 0 THEN round(least(1.0::DOUBLE, coalesce(length, 0) / duration), 6) END AS share FROM d CROSS JOIN (VALUES ('view'), ('signup'), ('purchase'), ('click'), ('error'), ('absent')) k(event_type) LEFT JOIN u USING (user_id, event_type)",
 }
 
 QUERIES = {

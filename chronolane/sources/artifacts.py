@@ -33,10 +33,15 @@ def latest(rows: DataFrame, keys: list[str], seq: str) -> DataFrame:
 def read_journal(spark: SparkSession, path: str, schema: T.StructType, keys: list[str]) -> DataFrame:
     """Latest record of each key in an append-only JSONL file.
 
-    A last line without its newline is left out; a complete line that isn't JSON is an error when read.
+    A last line without its newline is left out; a complete line that isn't JSON is an error when read. A file is read by
+    splits: a line's place is its split's start and its number there, and the bytes of all lines, a newline each, tell
+    whether the last one has its own.
     """
-    text = spark.read.text(path, wholetext=True).select("value", F.col("_metadata.file_path").alias("file"))
-    complete = text.select("file", F.posexplode(F.split(F.regexp_replace("value", r"[^\n]*\z", ""), "\n")).alias("line_no", "line")).filter("line <> ''")
+    meta = [F.col(f"_metadata.{m}").alias(n) for m, n in (("file_path", "file"), ("file_size", "_size"), ("file_block_start", "_block"))]
+    lines = spark.read.text(path, lineSep="\n").select(F.col("value").alias("line"), *meta).withColumn("line_no", F.struct("_block", F.monotonically_increasing_id().alias("_row")))
+    ends = lines.groupBy("file").agg(F.max("line_no").alias("_last"), (F.sum(F.octet_length("line") + 1) > F.max("_size")).alias("_open"))
+    torn = ends.filter("_open").select(F.col("file").alias("_file"), "_last")
+    complete = lines.join(torn, (F.col("file") == F.col("_file")) & (F.col("line_no") == F.col("_last")), "left_anti").filter("line <> ''")
     whole = T.StructType([*schema.fields, T.StructField("_corrupt", T.StringType())])
     parsed = complete.withColumn("r", F.from_json("line", whole, {"columnNameOfCorruptRecord": "_corrupt"}))
     ok = F.when(F.col("r._corrupt").isNull(), F.lit(True)).otherwise(F.raise_error(F.concat(F.lit("not a record: "), F.col("line"))).cast("boolean"))

@@ -8,7 +8,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
@@ -41,22 +41,31 @@ def status_of(df: DataFrame, key: str, status: str, seq: str, error: str) -> Dat
 
 
 class LedgerState(StatefulProcessor):
-    """One status a key, as status_of gives it; emits it when it changes."""
+    """One status a key, as status_of gives it; emits it when it changes.
+
+    The state keeps the sequence that won, among final statuses and among the others: a late row of an older sequence
+    loses to it, in whatever batch it comes. Rows of one sequence go by status and error.
+    """
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("status", "status string, error string")
+        self.state = handle.getValueState("ledger", "final_seq long, final_status string, final_error string, seq long, status string, error string")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        now = self.state.get() if self.state.exists() else (None, None)
-        before = now
+        held = tuple(self.state.get()) if self.state.exists() else (None,) * 6
+        won = [x if x[0] is not None else None for x in (held[:3], held[3:])]
+        before = won[0] or won[1]
         for part in rows:
-            for r in part.sort_values("seq").itertuples():
-                if (r.status == "failed" and r.error is None) or (now[0] in FINAL and r.status not in FINAL):
+            for seq, status, error in zip(part["seq"], part["status"], part["error"], strict=True):
+                error = error if isinstance(error, str) else None
+                if status == "failed" and error is None:
                     continue
-                now = (r.status, r.error if r.status == "failed" else None)
-        if now != before:
-            self.state.update(now)
-            yield pd.DataFrame({"key": [key[0]], "status": [now[0]], "error": [now[1]]})
+                place, row = int(status not in FINAL), (int(seq), status, error)
+                if won[place] is None or (row[0], row[1], row[2] or "") > (won[place][0], won[place][1], won[place][2] or ""):
+                    won[place] = row
+        self.state.update((won[0] or (None,) * 3) + (won[1] or (None,) * 3))
+        now = won[0] or won[1]
+        if now and (before is None or now[1:] != tuple(before[1:])):
+            yield pd.DataFrame({"key": [key[0]], "status": [now[1]], "error": [now[2]]})
 
     def close(self) -> None:
         pass
@@ -78,6 +87,35 @@ def recompute(files: DataFrame, cache: DataFrame, key: str, size: str) -> DataFr
     return files.join(cache.select(key, size), [key, size], "left_anti")
 
 
+def cached(spark: SparkSession, path: str, key: str, before: int | None = None) -> DataFrame | None:
+    """The latest row of each key that incremental() wrote, in epochs before one if that is given; None if there is nothing."""
+    try:
+        rows = spark.read.parquet(path)
+    except Exception as error:  # the reader says so in several ways
+        if "PATH_NOT_FOUND" in str(error) or "UNABLE_TO_INFER_SCHEMA" in str(error):
+            return None
+        raise
+    rows = rows if before is None else rows.filter(F.col("epoch") < before)
+    return rows.groupBy(key).agg(F.max_by(F.struct(*rows.columns), "epoch").alias("r")).select("r.*")
+
+
+def incremental(stream: DataFrame, key: str, fingerprint: str, seq: str, compute: Callable[[DataFrame], DataFrame], path: str, checkpoint: str) -> StreamingQuery:
+    """Work out anew what a file stream brings under another fingerprint than the cached one; all there is now, then stop.
+
+    A batch keeps the latest row of each key, drops those whose fingerprint is cached, and writes what ``compute`` makes
+    of the rest, with key and fingerprint, as its own epoch: a batch that is repeated after a failure writes the same
+    epoch again and is held against earlier ones only. cached() is the merged table.
+    """
+
+    def put(batch: DataFrame, epoch: int) -> None:
+        newest = batch.groupBy(key).agg(F.max_by(F.struct(*batch.columns), seq).alias("r")).select("r.*")
+        there = cached(batch.sparkSession, path, key, epoch)
+        todo = newest if there is None else newest.join(there.select(key, fingerprint), [key, fingerprint], "left_anti")
+        compute(todo).write.mode("overwrite").parquet(f"{path}/epoch={epoch}")
+
+    return stream.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
 def running(stream: DataFrame, by: list[str | Column], sums: dict[str, Column]) -> DataFrame:
     """Mergeable counts and sums, for update or complete output."""
     return stream.groupBy(*by).agg(F.count("*").alias("n"), *[F.sum(c).alias(name) for name, c in sums.items()])

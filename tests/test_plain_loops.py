@@ -66,23 +66,6 @@ def test_train_plan_and_eval_pool(spark):
     assert set(out) == {k for _, k in pool} and set(out.values()) <= set(out)
 
 
-def test_lag_profile(spark):
-    rng = np.random.default_rng(5)
-    series = [(c, float(t), float(rng.normal())) for c in (1, 2) for t in sorted(rng.choice(2000, 150, replace=False))]
-    anchors = [(c, float(t)) for c in (1, 2) for t in sorted(rng.choice(2000, 13, replace=False))]
-    lags = [-40.0, 0.0, 25.0]
-    out = {(r.c, r.block, r.lag): r.value for r in timeline.lag_profile(spark.createDataFrame(series, "c long, t double, v double"), spark.createDataFrame(anchors, "c long, t double"), "c", "t", "v", lags, 3).collect()}
-    want = defaultdict(list)
-    for c in (1, 2):
-        t, v = np.array([(a, b) for k, a, b in series if k == c]).T
-        mine = [a for k, a in anchors if k == c]
-        for i, a in enumerate(mine):
-            at = np.interp([a + x for x in lags], t, v)
-            for x, y in zip(lags, at - at.mean()):
-                want[c, i * 3 // len(mine), x].append(y)
-    assert out.keys() == want.keys() and all(out[k] == pytest.approx(np.mean(v)) for k, v in want.items())
-
-
 def test_resampled_sums(spark):
     rows = [(k % 3, f"k{k}", float(k)) for k in range(50)]
     out = {(r.g, r.draw): (r.s, r.w) for r in resampling.resampled_sums(spark.createDataFrame(rows, "g long, k string, v double").repartition(4), ["g"], "k", "v", 30, 9).collect()}

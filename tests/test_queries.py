@@ -13,7 +13,7 @@ TABLES = "region nation customer supplier part orders lineitem events documents
 #: Queries without SQL; their operators are held against plain loops in test_operators, test_patterns and test_plain_loops.
 TESTED = {
     "onset_match", "pack_batches", "train_plan", "eval_pool", "wide_patterns", "held_patterns", "wide_held_patterns", "found_patterns",
-    "pattern_clusters", "pattern_distribution", "pattern_category", "pattern_card", "speed_times", "clean_steps",
+    "pattern_clusters", "pattern_distribution", "pattern_category", "pattern_card", "clean_steps",
 }
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="needs the supplied tables")
 
