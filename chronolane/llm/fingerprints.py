@@ -29,8 +29,8 @@ P = np.uint64((1 << 31) - 1)
 BASES = (1_000_003_007 % int(P), 1_376_312_589 % int(P))
 #: Code points in a window, and how many window hashes a fingerprint keeps.
 WINDOW, KEEP = 12, 64
-#: Text of a range of doc_ids.
-RANGE_BYTES = 8 << 20
+#: Text of a range of doc_ids, and how many ranges there are at most: their bounds go to every task.
+RANGE_BYTES, RANGES = 8 << 20, 1 << 15
 
 
 def _mod(x: np.ndarray) -> np.ndarray:
@@ -155,13 +155,14 @@ def longest_common_extensions(df: DataFrame, left: str, right: str, left_at: str
 def _with_successor(df: DataFrame) -> DataFrame:
     """Deal (doc_id, text) into ranges of doc_id, sorted, each followed by the first rows of the next range.
 
-    Range bounds come from quantiles, so that a range has about RANGE_BYTES of text and a partition of its own; a range
+    Range bounds come from quantiles, so that a range has about RANGE_BYTES of text and a partition of its own, or more
+    text where RANGES of them don't do; a task reads its range as a sorted stream, so it needs no more memory. A range
     that is empty hands on to the one after it, and the last is followed by the first. The text is shuffled once,
     whatever its order in the files.
     """
     spark = df.sparkSession
     size = df.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    ranges = max(shuffle_partitions(spark), -(-size // RANGE_BYTES))
+    ranges = min(RANGES, max(shuffle_partitions(spark), -(-size // RANGE_BYTES)))
     bounds = np.unique(np.array(df.approxQuantile("doc_id", [i / ranges for i in range(1, ranges)], 0.2 / ranges), dtype=np.int64))
     low = np.iinfo(np.int64).min  # null sorts before every id
 

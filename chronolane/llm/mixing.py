@@ -9,8 +9,9 @@ of a bias in that one document of a source.
 
 Defined cases: null text or no word has size 0 and takes 0; a null source is a source of its own and sorts last; an
 empty source has target 0; repeated rows are separate documents; an empty table gives no rows; columns besides
-doc_id, text and source are ignored. Draws depend on a seed and the rows of a block alone, so reruns agree; rows
-without a doc_id are dealt to blocks by their place in the table, so that they spread.
+doc_id, text and source are ignored. Draws depend on a seed and the rows of a block alone, so reruns agree. Rows of one
+doc_id (or none), source and size can't be told apart in the result; they are counted, and their copies are numbered
+and dealt to blocks by number, so that they spread.
 """
 
 from __future__ import annotations
@@ -35,13 +36,13 @@ _EPS = 1e-6
 
 
 def source_targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: float = MOST) -> DataFrame:
-    """(source, source_size, target) from (source, size).
+    """(source, source_size, target) from (source, size, copies).
 
     Targets share the total by weight and stop at ``most`` times the size. Ordered by the level at which they stop,
     the stopped sources are a prefix, so one pass of running sums finds the level of the others. The windows run on
     a row for each source.
     """
-    by_source = sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
+    by_source = sizes.groupBy("source").agg(F.sum(F.col("size") * F.col("copies")).alias("source_size"))
     rank = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1
     weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (rank % len(weights) + 1).cast("int"))
     by_stop = Window.orderBy("stop", F.col("source").asc_nulls_last())
@@ -102,16 +103,25 @@ def _rounded(df: DataFrame, keys: list[str], depth: int, last: bool, seed: int)
     return df.groupBy(*keys).applyInPandas(run, df.drop("open").schema.add("open", "boolean"))
 
 
+def _numbered(sizes: DataFrame, block: int) -> DataFrame:
+    """A row for each of the ``copies``, numbered from 0; those of a row with many are made in several tasks."""
+    one = sizes.filter("copies = 1").drop("copies").withColumn("copy", F.lit(0).cast("long"))
+    many = sizes.filter("copies > 1").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(copies - 1) DIV {block}"))))
+    many = many.repartition("doc_id", "source", "size", "part")
+    numbers = F.sequence(F.col("part") * block, F.least(F.col("copies"), (F.col("part") + 1) * block) - 1)
+    return one.unionByName(many.withColumn("copy", F.explode(numbers)).drop("copies", "part"))
+
+
 def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: float = MOST, block: int = BLOCK, seed: int = SEED) -> DataFrame:
     """(doc_id, size, source_size, target, taken) for every document."""
-    sizes = write_cut(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", word_count(F.col("text")).alias("size"), F.monotonically_increasing_id().alias("row")), "mix-sizes")
+    sizes = write_cut(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", word_count(F.col("text")).alias("size")).groupBy("doc_id", "source", "size").agg(F.count("*").alias("copies")), "mix-sizes")
     targets = source_targets(sizes, weights, most)
     ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     band = F.floor(F.log2(F.col("size") + 1.0) * 4).cast("int")
-    blocks = sizes.groupBy("source", band.alias("band")).agg(F.ceil(F.count("*") / block).alias("parts"), F.count("*").alias("rows")).withColumn("rows", F.sum("rows").over(Window.partitionBy("source"))).withColumnsRenamed({"source": "s", "band": "b"})
-    tie = F.xxhash64(F.lit(seed), "doc_id", F.when(F.col("doc_id").isNull(), F.col("row")), "size")
+    blocks = sizes.groupBy("source", band.alias("band")).agg(F.ceil(F.sum("copies") / block).alias("parts"), F.sum("copies").alias("rows")).withColumn("rows", F.sum("rows").over(Window.partitionBy("source"))).withColumnsRenamed({"source": "s", "band": "b"})
+    tie = F.xxhash64(F.lit(seed), "doc_id", F.when(F.col("copy") > 0, F.col("copy")), "size")
     rows = (
-        sizes.join(small_side(targets.withColumnRenamed("source", "t"), 64), F.col("source").eqNullSafe(F.col("t")))
+        _numbered(sizes, block).join(small_side(targets.withColumnRenamed("source", "t"), 64), F.col("source").eqNullSafe(F.col("t")))
         .drop("t")
         .withColumn("band", band)
         .join(small_side(blocks, 64), F.col("source").eqNullSafe(F.col("s")) & (F.col("band") == F.col("b")))

@@ -1,6 +1,9 @@
 import hashlib
 import random
 
+import pytest
+
+from chronolane.llm import fingerprints as module
 from chronolane.llm.fingerprints import PrefixHash, fingerprints, half_edits, likeness, longest_common_extensions
 
 
@@ -19,9 +22,12 @@ def test_spans_and_extensions_against_slices():
             assert x.lce(i, y, j) == k
 
 
-def test_half_edits_against_brute_force(spark):
+@pytest.mark.parametrize("most", [1, 3, 1 << 15])
+def test_half_edits_against_brute_force(spark, monkeypatch, most):
+    """However few ranges there are, one text of which is very long."""
+    monkeypatch.setattr(module, "RANGES", most)
     rng = random.Random(4)
-    texts = ["".join(rng.choice("abcde fghé") for _ in range(rng.choice([0, 1, 2, 15, 300]))) for _ in range(60)] + [None, "same", "same"]
+    texts = ["né " * 60_000] * (most == 3) + ["".join(rng.choice("abcde fghé") for _ in range(rng.choice([0, 1, 2, 15, 300]))) for _ in range(60)] + [None, "same", "same"]
     ids = rng.sample(range(-500, 5000), len(texts))
     rows = [(i, t, "x", 1) for i, t in zip(ids, texts, strict=True)]
     out = {r.doc_id: r for r in half_edits(spark.createDataFrame(rows, "doc_id long, text string, place string, head int")).collect()}

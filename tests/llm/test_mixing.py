@@ -74,5 +74,23 @@ def test_expectation_is_kept():
     assert np.abs(total / 4000 - start).max() < 0.25
 
 
+def test_copies_of_one_id_spread_over_blocks(spark, monkeypatch):
+    """One id in half of the rows, and rows without one: no block gets much more than its share."""
+    from chronolane.llm import mixing
+
+    most, rounded = [], mixing._rounded
+
+    def watched(df, keys, *rest):
+        most.append(df.groupBy(*keys).count().agg({"count": "max"}).first()[0])
+        return rounded(df, keys, *rest)
+
+    monkeypatch.setattr(mixing, "_rounded", watched)
+    rows = [(7 if i % 4 < 2 else i if i % 4 == 2 else None, "w w w" if i % 2 else "w w w w", "hot") for i in range(8000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    runs = [sorted(((r.doc_id or -1), r.size, r.taken) for r in mix(d, block=128).collect()) for d in (df, df.repartition(5))]
+    assert runs[0] == runs[1] and len(runs[0]) == 8000 and max(most) < 400
+    assert sum(r[2] for r in runs[0]) == pytest.approx(28000, abs=3) and sum(r[0] == 7 for r in runs[0]) == 4000
+
+
 def test_empty_table(spark):
     assert mix(spark.createDataFrame([], SCHEMA)).count() == 0
