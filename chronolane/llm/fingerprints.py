@@ -162,7 +162,7 @@ def _with_successor(df: DataFrame) -> DataFrame:
     """
     spark = df.sparkSession
     size = df.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    ranges = min(RANGES, max(shuffle_partitions(spark), -(-size // RANGE_BYTES)))
+    ranges = max(2, min(RANGES, max(shuffle_partitions(spark), -(-size // RANGE_BYTES))))
     bounds = np.unique(np.array(df.approxQuantile("doc_id", [i / ranges for i in range(1, ranges)], 0.2 / ranges), dtype=np.int64))
     low = np.iinfo(np.int64).min  # null sorts before every id
 
