@@ -160,12 +160,19 @@ def cluster_summary(clustered: DataFrame, chart: str, modes: DataFrame, top: int
     return kept.withColumn("_r", rank).filter(F.col("_r") <= top).drop("_r", "_faster", "mode")
 
 
-def categorise(summary: DataFrame, chart: str, least: float = 0.05) -> DataFrame:
-    """(chart, category): named after the most important cluster, by its commonest sub-pattern or its pattern, with Tech if mixed."""
+def categorise(summary: DataFrame, chart: str, least: float = 0.05, second: float = 0.4, charts: DataFrame | None = None) -> DataFrame:
+    """(chart, category): named after the most important cluster, by its commonest sub-pattern or its pattern, with Tech if mixed.
+
+    Where no sub-pattern has more than ``least``, a cluster of jumpstreams, then handstreams, is named after both if the
+    second is more than ``second`` of the first. ``charts`` names the charts to report: one without clusters is Uncategorised.
+    """
     first = F.max_by(F.struct("pattern", "names", "mixed"), F.struct("importance", "amount", "pattern", F.col("bpm")))
     top = F.get(F.col("c.names"), F.lit(0))
-    name = F.when(F.coalesce(top["share"] > least, F.lit(False)), top["name"]).otherwise(F.initcap("c.pattern"))
-    return summary.groupBy(chart).agg(first.alias("c")).select(chart, F.concat(name, F.when(F.col("c.mixed"), " Tech").otherwise("")).alias("category"))
+    after = F.get(F.col("c.names"), F.lit(1))
+    both = (top["name"] == "Jumpstream") & (after["name"] == "Handstream") & (F.try_divide(after["share"], top["share"]) > second)
+    name = F.when(F.coalesce(top["share"] > least, F.lit(False)), top["name"]).when(F.coalesce(both, F.lit(False)), "Jumpstream/Handstream").otherwise(F.initcap("c.pattern"))
+    named = summary.groupBy(chart).agg(first.alias("c")).select(chart, F.concat(name, F.when(F.col("c.mixed"), " Tech").otherwise("")).alias("category"))
+    return named if charts is None else charts.select(chart).distinct().join(named, chart, "left").withColumn("category", F.coalesce("category", F.lit("Uncategorised")))
 
 
 def cluster_card(summary: DataFrame, chart: str, durations: DataFrame, duration: str, rows: int = 6, least: float = 8.0) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from chronolane.operators import match, splits, stats
+from chronolane.operators.ranks import exact_percentiles
 
 
 def summarize_records(records: DataFrame, by: list[str], chart: str) -> DataFrame:
@@ -42,9 +43,9 @@ def dataset_report(charts: DataFrame, reason: str, numbers: list[str], groups: l
     for column in (reason, *groups):
         parts.append(charts.groupBy(F.coalesce(F.col(column).cast("string"), F.lit("none")).alias("key")).agg(F.count("*").cast("double").alias("value")).select(F.lit(column).alias("section"), "key", "value"))
     points = {"p50": 0.5, "p90": 0.9, "p95": 0.95, "p99": 0.99}
-    wide = charts.agg(*[F.percentile(c, p).alias(f"{c}|{n}") for c in numbers for n, p in points.items()])
-    rows = F.array(*[F.struct(F.lit(c).alias("section"), F.lit(n).alias("key"), F.col(f"`{c}|{n}`").alias("value")) for c in numbers for n in points])
-    parts.append(wide.select(F.explode(rows).alias("r")).select("r.*"))
+    for c in numbers:
+        rows = F.array(*[F.struct(F.lit(c).alias("section"), F.lit(n).alias("key"), F.col(n).alias("value")) for n in points])
+        parts.append(exact_percentiles(charts, c, [], points).select(F.inline(rows)))
     return reduce(DataFrame.unionByName, parts)
 
 
@@ -113,8 +114,12 @@ def seed_scores(requested: DataFrame, samples: DataFrame, chart: str, seed: str,
     return out.join(sizes, seed).select(seed, *[F.coalesce(F.col(k).cast("string"), F.lit("all")).alias(k) for k in keys], always, "n", (F.col("n") / F.col("_charts")).alias("avg_count"), (F.col("n") / F.col("_total")).alias("pooled"))
 
 
-def full_summary(records: DataFrame, by: list[str], chart: str, flags: list[str], distributions: DataFrame, pairs: DataFrame, fields: list[str]) -> DataFrame:
-    """(section, key, name, value): scores and plausibility of each mode, merged distributions and condition responses in one long report."""
+def full_summary(records: DataFrame, by: list[str], chart: str, flags: list[str], distributions: DataFrame, pairs: DataFrame, fields: list[str], sections: dict[str, tuple[DataFrame, list[str]]] | None = None) -> DataFrame:
+    """(section, key, name, value): scores and plausibility of each mode, merged distributions and condition responses in one long report.
+
+    ``sections`` adds other reports, each a frame and its keys: every other column is a figure of its own (diversity of
+    seeds, distances and coverage of motifs).
+    """
 
     def long(df: DataFrame, section: str, keys: list[str]) -> DataFrame:
         names = [c for c in df.columns if c not in keys]
@@ -128,5 +133,6 @@ def full_summary(records: DataFrame, by: list[str], chart: str, flags: list[str]
             long(stats.plausibility_summary(records, by, chart, flags, "notes"), "plausibility", by),
             long(stats.merge_distributions(distributions), "distribution", ["part", "key"]),
             long(stats.condition_response(pairs, fields), "response", ["field"]),
+            *[long(frame, name, keys) for name, (frame, keys) in (sections or {}).items()],
         ],
     )

@@ -203,11 +203,11 @@ def pattern_clusters(spark, sf_dir):
 
 
 def pattern_distribution(spark, sf_dir):
-    return rounded(patterns.core_distribution(_summary(spark, sf_dir), "user_id"), 4)
+    return rounded(patterns.core_distribution(_summary(spark, sf_dir), "user_id", table(spark, sf_dir, "events")), 4)
 
 
 def pattern_category(spark, sf_dir):
-    return patterns.categorise(_summary(spark, sf_dir), "user_id")
+    return patterns.categorise(_summary(spark, sf_dir), "user_id", charts=table(spark, sf_dir, "events"))
 
 
 def pattern_card(spark, sf_dir):

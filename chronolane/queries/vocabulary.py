@@ -4,9 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from chronolane.operators import motif, ranks, stats, vocabulary
+from chronolane.operators import match, motif, ranks, stats, vocabulary
+from chronolane.plans import reports
 
-from .base import rounded, table
+from .base import events, rounded, table
+from .matching import SQL as MATCHING
+from .records import SQL as RECORDS
+from .reporting import _records
 from .sequences import _P, _grams, _placed
 
 TOP = 30
@@ -39,6 +43,25 @@ def distance_report(spark, sf_dir):
     return rounded(vocabulary.distance_report(*sides, ["scope"]))
 
 
+def whole_summary(spark, sf_dir):
+    """The composite report with diversity of seeds, motif distances and coverage."""
+    records = _records(spark, sf_dir).withColumn("concurrent", F.col("fp") % 3).withColumn("notes", F.col("tp") + F.col("fp"))
+    counts = stats.distribution(_placed(spark, sf_dir), "user_id", {"kind": F.col("kind")})
+    line = table(spark, sf_dir, "lineitem")
+    a, b = (line.filter(f"l_linenumber = {k}").select("l_orderkey", F.col("l_quantity").alias(f"target_{s}_q"), F.col("l_extendedprice").alias(f"made_{s}_q")) for k, s in ((1, "a"), (2, "b")))
+    stepped = _steps(spark, sf_dir)
+    listed = _list(stepped)
+    sides = [vocabulary.motif_report(stepped.filter(F.pmod("user_id", F.lit(2)) == k), ["user_id"], listed).filter("part = 'all'") for k in (0, 1)]
+    distance = vocabulary.distance_report(*sides, ["scope"]).filter("section IN ('summary', 'contribution')").select("scope", "section", "name", F.round("value", 6).alias("value"))
+    coverage = vocabulary.window_coverage(stepped, ["user_id"], "week", vocabulary.count_motifs(stepped, ["user_id"], listed), [1, 2, 3])
+    rows = events(spark, sf_dir).withColumn("seed", F.pmod("event_id", F.lit(5)))
+    pairs = match.seed_pairs(rows, "user_id", "seed", ["event_type", "lane"])
+    diversity = pairs.groupBy(F.lit("seeds").alias("of")).agg(F.count("*").alias("pairs"), F.count_if("identical").alias("identical"), *[F.sum(c).alias(c) for c in ("tp", "fp", "fn")])
+    coverage = coverage.withColumn("coverage", F.round("coverage", 6))
+    extra = {"diversity": (diversity, ["of"]), "distance": (distance, ["scope", "section", "name"]), "coverage": (coverage, ["scope", "length"])}
+    return rounded(reports.full_summary(records, ["mode"], "user_id", ["concurrent"], counts, a.join(b, "l_orderkey"), ["q"], extra), 4)
+
+
 def percentiles_whole(spark, sf_dir):
     return rounded(ranks.exact_percentiles(table(spark, sf_dir, "lineitem"), "l_extendedprice", [], {"p50": 0.5, "p90": 0.9, "p95": 0.95, "p99": 0.99, "p995": 0.995}), 4)
 
@@ -98,4 +121,9 @@ SELECT scope, section, name, rank, length, round(f_left, 6) AS f_left, round(f_r
     "correlation_whole": "WITH r AS (SELECT l_quantity AS x, l_extendedprice AS y, rank() OVER (ORDER BY l_quantity) + (count(*) OVER (PARTITION BY l_quantity) - 1) / 2 AS rx, rank() OVER (ORDER BY l_extendedprice) + (count(*) OVER (PARTITION BY l_extendedprice) - 1) / 2 AS ry FROM lineitem) SELECT round(corr(x, y), 6) AS pearson, round(corr(rx, ry), 6) AS spearman FROM r",
     "average_ranks": "WITH q AS (SELECT l_partkey, sum(l_quantity) AS quantity FROM lineitem GROUP BY ALL) SELECT l_partkey, quantity, rank() OVER (ORDER BY quantity) + (count(*) OVER (PARTITION BY quantity) - 1) / 2 AS rank FROM q",
 }
-QUERIES = {f.__name__: f for f in (motif_report, motif_coverage, distance_report, percentiles_whole, describe_whole, correlation_whole, average_ranks)}
+_EACH = lambda names: f"unnest([{', '.join(repr(n) for n in names.split())}]) AS name, unnest([{', '.join(f'round({n}::DOUBLE, 4)' for n in names.split())}]) AS value"
+SQL["whole_summary"] = f"""SELECT section, key, name, value FROM ({RECORDS['full_summary']}) WHERE NOT (section = 'distribution' AND key LIKE 'position|%')
+UNION ALL SELECT 'diversity', 'seeds', {_EACH('pairs identical tp fp fn')} FROM (SELECT count(*) AS pairs, count(*) FILTER (WHERE identical) AS identical, sum(tp) AS tp, sum(fp) AS fp, sum(fn) AS fn FROM ({MATCHING['seed_pairs']}))
+UNION ALL SELECT 'distance', scope || '|' || section || '|' || name, 'value', round(value, 4) FROM ({SQL['distance_report']}) WHERE section IN ('summary', 'contribution')
+UNION ALL SELECT 'coverage', scope || '|' || length, {_EACH('windows crossing hits coverage')} FROM ({SQL['motif_coverage']})"""
+QUERIES = {f.__name__: f for f in (motif_report, motif_coverage, distance_report, whole_summary, percentiles_whole, describe_whole, correlation_whole, average_ranks)}

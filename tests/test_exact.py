@@ -39,6 +39,20 @@ def test_shares_of_every_kind(spark):
     assert len(cores) == 18 and cores[1, "jacks"] == cores[1, "stream"] == 0.5 and cores[1, "density"] == 0 and cores[2, "jacks"] == 0
 
 
+def test_categories(spark):
+    names = "array<struct<name:string,share:double>>"
+    rows = [
+        (1, "chordstream", [("Jumpstream", 0.04), ("Handstream", 0.03)], False, 9.0),
+        (2, "chordstream", [("Jumpstream", 0.04), ("Handstream", 0.01)], True, 9.0),
+        (3, "chordstream", [("Handstream", 0.04), ("Jumpstream", 0.03)], False, 9.0),
+        (4, "jacks", [("Gluts", 0.5)], True, 9.0),
+        (4, "stream", [], False, 1.0),
+    ]
+    summary = spark.createDataFrame([(*r, 1.0, 100) for r in rows], f"c int, pattern string, names {names}, mixed boolean, importance double, amount double, bpm long")
+    charts = spark.createDataFrame([(i,) for i in (1, 2, 3, 4, 5)], "c int")
+    assert {r.c: r.category for r in patterns.categorise(summary, "c", charts=charts).collect()} == {1: "Jumpstream/Handstream", 2: "Chordstream Tech", 3: "Chordstream", 4: "Gluts Tech", 5: "Uncategorised"}
+
+
 def test_clusters_of_a_long_chart(spark):
     rng = random.Random(8)
     rows = [(c, rng.choice(["jacks", "stream"]), rng.choice([None, "Gluts"]), float(rng.randrange(4000)), 0.0, rng.choice([0.0, 100.0, 103.0, 106.0, 120.0, 250.0, 252.5]), rng.random() < 0.2) for c in ("x", "y", None) for _ in range(3000)]
