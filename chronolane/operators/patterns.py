@@ -167,11 +167,11 @@ def categorise(summary: DataFrame, chart: str, least: float = 0.05, second: floa
     second is more than ``second`` of the first. ``charts`` names the charts to report: one without clusters is Uncategorised.
     """
     first = F.max_by(F.struct("pattern", "names", "mixed"), F.struct("importance", "amount", "pattern", F.col("bpm")))
-    top = F.get(F.col("c.names"), F.lit(0))
-    after = F.get(F.col("c.names"), F.lit(1))
+    top = F.get(F.col("_lead.names"), F.lit(0))
+    after = F.get(F.col("_lead.names"), F.lit(1))
     both = (top["name"] == "Jumpstream") & (after["name"] == "Handstream") & (F.try_divide(after["share"], top["share"]) > second)
-    name = F.when(F.coalesce(top["share"] > least, F.lit(False)), top["name"]).when(F.coalesce(both, F.lit(False)), "Jumpstream/Handstream").otherwise(F.initcap("c.pattern"))
-    named = summary.groupBy(chart).agg(first.alias("c")).select(chart, F.concat(name, F.when(F.col("c.mixed"), " Tech").otherwise("")).alias("category"))
+    name = F.when(F.coalesce(top["share"] > least, F.lit(False)), top["name"]).when(F.coalesce(both, F.lit(False)), "Jumpstream/Handstream").otherwise(F.initcap("_lead.pattern"))
+    named = summary.groupBy(chart).agg(first.alias("_lead")).select(chart, F.concat(name, F.when(F.col("_lead.mixed"), " Tech").otherwise("")).alias("category"))
     return named if charts is None else charts.select(chart).distinct().join(named, chart, "left").withColumn("category", F.coalesce("category", F.lit("Uncategorised")))
 
 
