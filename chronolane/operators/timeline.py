@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from chronolane.functions.scalars import EPS
 
+#: Fixed value: distances within this are equal.
+TIE = 1e-12
 #: The largest double below 1: a phase never reaches the next beat.
 BELOW_ONE = 0.9999999999999999
 
@@ -98,13 +100,34 @@ def grid_cells(denominators: tuple[int, ...]) -> list[tuple[int, int]]:
     return sorted({(n, d) for d in denominators for n in range(d) if gcd(n, d) == 1}, key=lambda c: c[0] / c[1])
 
 
+def grid_points(beats: DataFrame, chart: str, cells: list[tuple[int, int]], end: Column, eps: float = EPS) -> DataFrame:
+    """(chart, section, k, beat, cell, numer, denom, t): the places of every beat that lie in [0, end).
+
+    ``beats`` is what beat_grid gives. A residual beat has none from the next segment's start, less eps, on. Cells are a
+    literal array, numbered in their order.
+    """
+    literal = F.array(*[F.struct(F.lit(i).alias("cell"), F.lit(n).alias("numer"), F.lit(d).alias("denom")) for i, (n, d) in enumerate(cells)])
+    each = beats.withColumn("_end", end.cast("double")).select(chart, "section", "k", "beat", "start", "nominal", "actual", "residual", "_end", F.inline(literal))
+    rows = each.withColumn("t", F.col("start") + F.col("numer") / F.col("denom") * F.col("nominal"))
+    cut = F.col("residual") & (F.col("t") >= F.col("start") + F.col("actual") - eps)
+    return rows.filter((F.col("t") >= 0) & (F.col("t") < F.col("_end")) & ~cut).select(chart, "section", "k", "beat", "cell", "numer", "denom", "t")
+
+
 def label_grid(points: DataFrame, t: str, start: str, nominal: str, cells: list[tuple[int, int]], window: float = 1.0, eps: float = EPS) -> DataFrame:
     """Add cell: of the cells in (t - eps, t + window + eps) the smallest denominator, then the nearest, then the
-    smallest numerator; else the nearest of all. Cells are a literal array, so rows don't multiply."""
+    smallest numerator; else the nearest of all, by a running comparison in the order of ``cells``: one closer by more
+    than TIE replaces what is held, and so does one as close with a smaller denominator, then numerator. Cells are a
+    literal array, so rows don't multiply."""
     literal = F.array(*[F.struct(F.lit(n).alias("numer"), F.lit(d).alias("denom")) for n, d in cells])
     placed = F.transform(literal, lambda c: F.struct(c["denom"].alias("denom"), F.abs(F.col(start) + c["numer"] * F.col(nominal) / c["denom"] - F.col(t)).alias("distance"), c["numer"].alias("numer"), (F.col(start) + c["numer"] * F.col(nominal) / c["denom"] - F.col(t)).alias("off")))
     inside = F.array_min(F.filter(placed, lambda c: (c["off"] > -eps) & (c["off"] < window + eps)))
-    nearest = F.array_min(F.transform(placed, lambda c: F.struct(F.round(c["distance"], 12).alias("distance"), c["denom"].alias("denom"), c["numer"].alias("numer"))))
+    plain = F.transform(placed, lambda c: F.struct(c["distance"].alias("distance"), c["denom"].alias("denom"), c["numer"].alias("numer")))
+
+    def keep(held: Column, c: Column) -> Column:
+        simpler = (c["denom"] < held["denom"]) | ((c["denom"] == held["denom"]) & (c["numer"] < held["numer"]))
+        return F.when((c["distance"] + TIE < held["distance"]) | ((c["distance"] <= held["distance"] + TIE) & simpler), c).otherwise(held)
+
+    nearest = F.aggregate(F.slice(plain, 2, max(1, len(cells))), F.get(plain, F.lit(0)), keep)
     return points.withColumn("_in", inside).withColumn("_near", nearest).withColumn("numer", F.coalesce("_in.numer", "_near.numer")).withColumn("denom", F.coalesce("_in.denom", "_near.denom")).withColumn("in_window", F.col("_in").isNotNull()).drop("_in", "_near")
 
 

@@ -12,6 +12,7 @@ from .base import EVENTS, events, rounded, table
 from .matching import _F1
 from .sequences import _P, _R, PER_DAY, _placed, _rows
 from .splitting import _POS, _SPLIT
+from .timelines import _LOCAL, _beats
 
 
 def _fractions(spark, sf_dir):
@@ -38,6 +39,13 @@ def hold_spans(spark, sf_dir):
     return stats.merge_distributions(stats.distribution(placed, "user_id", {"beats": F.col("beats"), "rows": F.col("end_place") - F.col("start_place")}))
 
 
+def grid_points(spark, sf_dir):
+    """Places of every beat by section: how many, and the first and last of each cell."""
+    beats = _beats(spark, sf_dir)
+    points = timeline.grid_points(beats, "user_id", timeline.grid_cells((1, 2, 3, 4)), F.lit(20 * 86_400_000.0))
+    return rounded(points.groupBy("user_id", "section", "cell").agg(F.count("*").alias("n"), F.min("t").alias("first"), F.max("t").alias("last")), 3)
+
+
 def tick_notes(spark, sf_dir):
     notes = events(spark, sf_dir).select("user_id", "event_id", F.pmod("ms", F.lit(100000)).cast("double").alias("t"), F.when(F.col("event_type") == "signup", F.pmod("ms", F.lit(100000)) + F.col("value") * 10).alias("end"))
     timing = table(spark, sf_dir, "events").select("user_id", F.pmod("user_id", F.lit(7)).cast("double").alias("offset"), (F.pmod("user_id", F.lit(100)) + 100).cast("double").alias("bpm")).distinct()
@@ -92,6 +100,8 @@ UNION ALL SELECT user_id, side, 'note', tick, NULL, lane, NULL FROM f WHERE kind
 SELECT user_id, "view", tp, fp, fn, {_F1} FROM m""",
     "hold_spans": f"""WITH {_H}, q AS (SELECT user_id, tick, row_number() OVER (PARTITION BY user_id ORDER BY tick) AS n FROM (SELECT DISTINCT user_id, tick FROM p)), x AS (SELECT h.*, e - s AS l, b.n - a.n AS k FROM h JOIN q a ON a.user_id = h.user_id AND a.tick = s JOIN q b ON b.user_id = h.user_id AND b.tick = e),
 d AS (SELECT user_id, 'beats' AS part, (l // 6) || '+' || (l % 6 // gcd(l % 6, 6)) || '/' || (6 // gcd(l % 6, 6)) AS key FROM x UNION ALL SELECT user_id, 'rows', CAST(k AS VARCHAR) FROM x) SELECT part, key, count(*) AS n, count(DISTINCT user_id) AS charts FROM d GROUP BY ALL""",
+    "grid_points": _LOCAL
+    + ", c(cell, numer, denom) AS (VALUES " + ", ".join(f"({i}, {n}, {d})" for i, (n, d) in enumerate(timeline.grid_cells((1, 2, 3, 4)))) + "), g2 AS (SELECT user_id, section, cell::BIGINT AS cell, start, actual, nominal, start + numer::DOUBLE / denom * nominal AS t FROM b, c) SELECT user_id, section, cell, count(*) AS n, round(min(t), 3) AS first, round(max(t), 3) AS last FROM g2 WHERE t >= 0 AND t < 20 * 86400000.0 AND NOT (nominal - actual > 1e-6 AND t >= start + actual - 1e-6) GROUP BY ALL",
     "tick_notes": f"WITH n AS (SELECT event_id, user_id, CAST(ms % 100000 AS DOUBLE) AS t, CASE WHEN event_type = 'signup' THEN ms % 100000 + value * 10 END AS fin FROM {EVENTS}) SELECT event_id, CAST(round_even((t - user_id % 7) * (user_id % 100 + 100)::DOUBLE / 60000.0::DOUBLE * 48, 0) AS BIGINT) AS tick, CAST(round_even((fin - user_id % 7) * (user_id % 100 + 100)::DOUBLE / 60000.0::DOUBLE * 48, 0) AS BIGINT) AS end_tick FROM n",
     "assigned_splits": f"SELECT c_custkey, {_SPLIT.format(p=_POS.format('c_nationkey'))} AS split FROM customer JOIN nation ON n_nationkey = c_nationkey WHERE n_regionkey <> 3",
     "kept_samples": f"WITH {_R}, es AS (SELECT user_id, min(bar) AS low, max(bar) + 1 AS high FROM r GROUP BY ALL), s AS (SELECT user_id, i AS sample, low + CAST('0x' || substr(md5('11|' || user_id || '|' || i), 1, 8) AS BIGINT) % (high - low - 15) AS start FROM es, range(6) f(i) WHERE high - low >= 16), c AS (SELECT s.*, 2 * count(r.tick) + 19 AS tokens FROM s LEFT JOIN r ON r.user_id = s.user_id AND r.bar >= start AND r.bar < start + 16 GROUP BY ALL) SELECT user_id, sample, start, tokens FROM c WHERE tokens <= 90",
@@ -102,4 +112,4 @@ l AS (SELECT user_id, ms, max(event_id) % 40 * 12.0::DOUBLE + CASE WHEN user_id
 j AS (SELECT user_id, bool_or(x <= 0 OR 60000 / nullif(x, 0) <= 30 OR 60000 / nullif(x, 0) >= 350 OR greatest(w / nullif(x, 0), x / nullif(w, 0)) >= 3) AS jump FROM b GROUP BY ALL)
 SELECT user_id, round(CASE WHEN coalesce(jump, false) THEN greatest(total, 2001.0) ELSE total END, 3) AS speed_time FROM a LEFT JOIN j USING (user_id)""",
 }
-QUERIES = {f.__name__: f for f in (exact_match, hold_spans, tick_notes, assigned_splits, kept_samples, teacher_summary, speed_times)}
+QUERIES = {f.__name__: f for f in (exact_match, hold_spans, grid_points, tick_notes, assigned_splits, kept_samples, teacher_summary, speed_times)}

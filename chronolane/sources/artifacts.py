@@ -41,10 +41,11 @@ def read_journal(spark: SparkSession, path: str, schema: T.StructType, keys: lis
     lines = spark.read.text(path, lineSep="\n").select(F.col("value").alias("line"), *meta).withColumn("line_no", F.struct("_block", F.monotonically_increasing_id().alias("_row")))
     ends = lines.groupBy("file").agg(F.max("line_no").alias("_last"), (F.sum(F.octet_length("line") + 1) > F.max("_size")).alias("_open"))
     torn = ends.filter("_open").select(F.col("file").alias("_file"), "_last")
-    complete = lines.join(torn, (F.col("file") == F.col("_file")) & (F.col("line_no") == F.col("_last")), "left_anti").filter("line <> ''")
+    complete = lines.filter("line <> ''").join(torn, (F.col("file") == F.col("_file")) & (F.col("line_no") == F.col("_last")), "left")
     whole = T.StructType([*schema.fields, T.StructField("_corrupt", T.StringType())])
     parsed = complete.withColumn("r", F.from_json("line", whole, {"columnNameOfCorruptRecord": "_corrupt"}))
-    ok = F.when(F.col("r._corrupt").isNull(), F.lit(True)).otherwise(F.raise_error(F.concat(F.lit("not a record: "), F.col("line"))).cast("boolean"))
+    # One expression that reads both sides of the join, so that no torn line is parsed in earnest.
+    ok = F.when(F.col("_file").isNotNull(), F.lit(False)).when(F.col("r._corrupt").isNull(), F.lit(True)).otherwise(F.raise_error(F.concat(F.lit("not a record: "), F.col("line"))).cast("boolean"))
     rows = parsed.filter(ok).select(*[f"r.{f.name}" for f in schema.fields], F.struct("file", "line_no").alias("_seq"))
     return rows.groupBy(*keys).agg(F.max_by(F.struct(*[f.name for f in schema.fields]), "_seq").alias("x")).select("x.*")
 

@@ -117,7 +117,7 @@ def test_torn_ends_of_several_files(spark, tmp_path):
     from pyspark.sql import types as T
 
     schema = T.StructType.fromDDL("k string, v long")
-    (tmp_path / "a.jsonl").write_text('{"k":"a","v":1}\n\n{"k":"é","v":5}\n{"k":"a","v":9}')
+    (tmp_path / "a.jsonl").write_text('{"k":"a","v":1}\n\n{"k":"é","v":5}\n{"k":"a","v":9')
     (tmp_path / "b.jsonl").write_text('{"k":"b","v":2}\n{"k":"b","v":3}\n')
     (tmp_path / "c.jsonl").write_text("")
     before = spark.conf.get("spark.sql.files.maxPartitionBytes")
@@ -167,3 +167,33 @@ def test_over_long_windows_are_skipped(spark, limit):
     want = {(r.c, r["sample"], r.start, 19 + 2 * sum(c == r.c and r.start <= b < r.start + 16 for c, b in bars)) for r in drawn}
     got = {(r.c, r["sample"], r.start, r.tokens) for r in windows.kept_samples(events, spans, "c", "bar", "low", "high", 8, 3, limit).collect()}
     assert got == {w for w in want if w[3] <= limit} and len(want) == 24
+
+
+def test_nearest_cell_by_a_running_tie(spark):
+    """Distances a little apart chain: what is held decides, not the smallest of all."""
+    cells = [(0, 1), (1, 4), (1, 3), (1, 2), (2, 3), (3, 4)]
+    rng = random.Random(7)
+    points = [rng.uniform(-300, 1500) for _ in range(200)] + [125.0, 125.0 + 4e-13, 125.0 - 4e-13, 291.6666666666667, 416.6666666666667, 583.3333333333334, -50.0]
+    df = spark.createDataFrame([(i, t, 0.0, 500.0) for i, t in enumerate(points)], "i int, t double, start double, nominal double")
+    got = {r.i: (r.numer, r.denom, r.in_window) for r in timeline.label_grid(df, "t", "start", "nominal", cells).collect()}
+    for i, t in enumerate(points):
+        at = [(n, d, 0.0 + n * 500.0 / d - t) for n, d in cells]
+        inside = [(d, abs(off), n) for n, d, off in at if -1e-6 < off < 1.0 + 1e-6]
+        held = None
+        for n, d, off in at:
+            x = abs(off)
+            if held is None or x + 1e-12 < held[0] or (x <= held[0] + 1e-12 and (d, n) < held[1:]):
+                held = (x, d, n)
+        want = (min(inside)[2], min(inside)[0], True) if inside else (held[2], held[1], False)
+        assert got[i] == want, (t, got[i], want)
+
+
+def test_places_of_beats(spark):
+    segments = spark.createDataFrame([(1, 0.0, 400.0), (1, 1000.0, 300.0)], "c int, t double, length double")
+    from pyspark.sql import functions as F
+
+    beats = timeline.beat_grid(segments, "c", "t", "length", F.lit(1700.0))
+    points = [(r.beat, r.numer, r.denom, r.t) for r in timeline.grid_points(beats, "c", [(0, 1), (1, 4), (1, 2), (3, 4)], F.lit(1700.0)).orderBy("t").collect()]
+    want = [(b, n, d, s + n / d * 400) for b, s in enumerate((0.0, 400.0, 800.0)) for n, d in ((0, 1), (1, 4), (1, 2), (3, 4)) if s + n / d * 400 < 1000]
+    want += [(3 + k, n, d, 1000 + 300 * k + n / d * 300) for k in range(3) for n, d in ((0, 1), (1, 4), (1, 2), (3, 4)) if 1000 + 300 * k + n / d * 300 < 1700 - 1e-6]
+    assert points == want
