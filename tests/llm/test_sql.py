@@ -20,7 +20,7 @@ def test_query(spark, name):
     want = con.sql(ORACLE_SQL[name])
     order = sorted(df.columns)
     assert order == sorted(want.columns)
-    plain = lambda rows: sorted([None if v is None else str(v) for v in r] for r in rows)
+    plain = lambda rows: sorted(([None if v is None else str(v) for v in r] for r in rows), key=str)
     assert plain(df.select(*order).collect()) == plain(want.select(*[f'"{c}"' for c in order]).fetchall())
 
 
