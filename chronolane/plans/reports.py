@@ -49,15 +49,24 @@ def dataset_report(charts: DataFrame, reason: str, numbers: list[str], groups: l
     return reduce(DataFrame.unionByName, parts)
 
 
-def train_plan(charts: DataFrame, group: str, key: str, length: str, ratios: dict[str, float], reason: str, budget: int, epoch: int, seed: int) -> DataFrame:
-    """(key, window, batch, mirror, rate): the epoch's batches of training charts that pass the gate, with augmentation."""
-    from chronolane.functions.scalars import augment_choice
+def train_plan(charts: DataFrame, group: str, key: str, length: str, ratios: dict[str, float], reason: str, budget: int, epoch: int, seed: int, fields: list[str] | None = None) -> DataFrame:
+    """(key, window, batch, mirror, rate): the epoch's batches of training charts that pass the gate, with augmentation.
+
+    With ``fields`` also mask, a digit for each condition field that the epoch shows, and the fields, null where it doesn't.
+    """
+    from chronolane.functions.scalars import augment_choice, train_mask
 
     from .windows import pack_batches
 
     kept = splits.hash_split(charts, group, ratios, seed).filter((F.col("split") == "train") & F.col(reason).isNull())
     batches = pack_batches(kept.select(key, length), key, length, budget, epoch, seed)
-    return batches.withColumn("a", augment_choice(seed, epoch, F.col(key))).select(key, "window", "batch", "a.mirror", "a.rate")
+    plan = batches.withColumn("a", augment_choice(seed, epoch, F.col(key))).select(key, "window", "batch", "a.mirror", "a.rate")
+    if not fields:
+        return plan
+    mask = train_mask(fields, {f: F.col(f).isNotNull() for f in fields}, seed, epoch, F.col(key))
+    shown = kept.select(key, *fields).withColumn("_mask", mask)
+    shown = shown.select(key, F.array_join("_mask", "").alias("mask"), *[F.when(F.get("_mask", F.lit(i)) == 1, F.col(f)).alias(f) for i, f in enumerate(fields)])
+    return plan.join(shown, key)
 
 
 def eval_pool(charts: DataFrame, group: str, key: str, ratios: dict[str, float], reason: str, n: int, seed: int) -> DataFrame:
@@ -67,6 +76,33 @@ def eval_pool(charts: DataFrame, group: str, key: str, ratios: dict[str, float],
     return splits.donor_map(pool, key, seed)
 
 
+#: Whose fields a scenario takes, and whether all, some or none of them.
+SCENARIOS = {"matched": ("own", "all"), "matched_partial": ("own", "some"), "random": ("donor", "all"), "random_partial": ("donor", "some"), "none": ("own", "none")}
+
+
+def scenario_conditions(donors: DataFrame, meta: DataFrame, key: str, fields: list[str], seed: int, scenarios: list[str] | None = None) -> DataFrame:
+    """(target, scenario, donor, mask, fields...): what each target is conditioned on in each scenario.
+
+    ``donors`` has (target, donor). Random scenarios take the donor's fields and name it, the others the target's own.
+    The mask has a digit a field: 1 for a field that is there and kept, where partial scenarios keep half by a hash of
+    seed, target and scenario (of two fields or more never all or none), and ``none`` keeps none. A field that isn't kept
+    is null. A donor without a row in ``meta`` is an error, a target without one is left out.
+    """
+    from chronolane.functions.scalars import bernoulli_mask
+
+    rows = splits.donor_join(meta.join(donors.select(F.col("target").alias(key)), key, "left_semi"), donors, meta, key, fields)
+    plans = {name: SCENARIOS[name] for name in scenarios or SCENARIOS}
+    each = F.array(*[F.struct(F.lit(name).alias("scenario"), F.lit(source == "donor").alias("_random"), F.lit(kept).alias("_kept")) for name, (source, kept) in plans.items()])
+    rows = rows.select("target", "donor", *[f"{side}_{f}" for side in ("target", "donor") for f in fields], F.inline(each))
+    rows = rows.withColumns({f: F.when(F.col("_random"), F.col(f"donor_{f}")).otherwise(F.col(f"target_{f}")) for f in fields})
+    present = {f: F.col(f).isNotNull() for f in fields}
+    some = bernoulli_mask(fields, present, 0.5, seed, F.col("target"), F.col("scenario"))
+    mask = F.when(F.col("_kept") == "all", F.array(*[present[f].cast("int") for f in fields])).when(F.col("_kept") == "some", some).otherwise(F.array(*[F.lit(0)] * len(fields)))
+    rows = rows.withColumn("_mask", mask)
+    kept = [F.when(F.get("_mask", F.lit(i)) == 1, F.col(f)).alias(f) for i, f in enumerate(fields)]
+    return rows.select("target", "scenario", F.when(F.col("_random"), F.col("donor")).alias("donor"), F.array_join("_mask", "").alias("mask"), *kept)
+
+
 def corpus_compare(sides: dict[str, DataFrame], chart: str, keys: list[str], always: str) -> DataFrame:
     """(keys..., always, n_s, avg_s, pooled_s for each side s): totals of endpoint counts of several corpora side by side.
 

@@ -6,12 +6,12 @@ from pyspark.sql import functions as F
 
 from chronolane.functions.scalars import reduced
 from chronolane.operators import match, patterns, splits, stats, timeline, tokens
-from chronolane.plans import windows
+from chronolane.plans import reports, windows
 
 from .base import EVENTS, events, rounded, table
 from .matching import _F1
 from .sequences import _P, _R, PER_DAY, _placed, _rows
-from .splitting import _POS, _SPLIT
+from .splitting import _POOL, _POS, _SPLIT, _U
 from .timelines import _LOCAL, _beats
 
 
@@ -58,6 +58,13 @@ def assigned_splits(spark, sf_dir):
     return splits.assign_splits(table(spark, sf_dir, "customer"), nations.withColumnRenamed("n_nationkey", "c_nationkey"), "c_nationkey").select("c_custkey", "split")
 
 
+def scenario_conditions(spark, sf_dir):
+    """Customers conditioned on their own or a donor's nation and balance; balances below 0 are unknown."""
+    rows = table(spark, sf_dir, "customer")
+    meta = rows.select("c_custkey", F.when(F.col("c_acctbal") >= 0, F.col("c_acctbal")).alias("balance"), F.col("c_nationkey").cast("long").alias("nation"))
+    return rounded(reports.scenario_conditions(splits.donor_map(rows, "c_custkey", 4), meta, "c_custkey", ["balance", "nation"], 6))
+
+
 def kept_samples(spark, sf_dir):
     rows = _rows(spark, sf_dir).withColumn("bar", F.floor(F.col("tick") / PER_DAY))
     spans = rows.groupBy("user_id").agg(F.min("bar").alias("low"), (F.max("bar") + 1).alias("high"))
@@ -104,6 +111,13 @@ d AS (SELECT user_id, 'beats' AS part, (l // 6) || '+' || (l % 6 // gcd(l % 6, 6
     + ", c(cell, numer, denom) AS (VALUES " + ", ".join(f"({i}, {n}, {d})" for i, (n, d) in enumerate(timeline.grid_cells((1, 2, 3, 4)))) + "), g2 AS (SELECT user_id, section, cell::BIGINT AS cell, start, actual, nominal, start + numer::DOUBLE / denom * nominal AS t FROM b, c) SELECT user_id, section, cell, count(*) AS n, round(min(t), 3) AS first, round(max(t), 3) AS last FROM g2 WHERE t >= 0 AND t < 20 * 86400000.0 AND NOT (nominal - actual > 1e-6 AND t >= start + actual - 1e-6) GROUP BY ALL",
     "tick_notes": f"WITH n AS (SELECT event_id, user_id, CAST(ms % 100000 AS DOUBLE) AS t, CASE WHEN event_type = 'signup' THEN ms % 100000 + value * 10 END AS fin FROM {EVENTS}) SELECT event_id, CAST(round_even((t - user_id % 7) * (user_id % 100 + 100)::DOUBLE / 60000.0::DOUBLE * 48, 0) AS BIGINT) AS tick, CAST(round_even((fin - user_id % 7) * (user_id % 100 + 100)::DOUBLE / 60000.0::DOUBLE * 48, 0) AS BIGINT) AS end_tick FROM n",
     "assigned_splits": f"SELECT c_custkey, {_SPLIT.format(p=_POS.format('c_nationkey'))} AS split FROM customer JOIN nation ON n_nationkey = c_nationkey WHERE n_regionkey <> 3",
+    "scenario_conditions": _POOL
+    + f""", m AS (SELECT c_custkey, CASE WHEN c_acctbal >= 0 THEN c_acctbal END AS balance, CAST(c_nationkey AS BIGINT) AS nation FROM customer),
+x AS (SELECT target, scenario, CASE WHEN r THEN donor END AS donor, kept, CASE WHEN r THEN b.balance ELSE a.balance END AS balance, CASE WHEN r THEN b.nation ELSE a.nation END AS nation
+  FROM d JOIN m a ON a.c_custkey = target JOIN m b ON b.c_custkey = donor, (VALUES ('matched', false, 'all'), ('matched_partial', false, 'some'), ('random', true, 'all'), ('random_partial', true, 'some'), ('none', false, 'none')) s(scenario, r, kept)),
+y AS (SELECT *, CASE WHEN balance IS NOT NULL AND {_U.format("'6|' || target || '|' || scenario || '|balance'")} / 4294967296.0::DOUBLE < 0.5 THEN 1 ELSE 0 END AS d0, CASE WHEN {_U.format("'6|' || target || '|' || scenario || '|nation'")} / 4294967296.0::DOUBLE < 0.5 THEN 1 ELSE 0 END AS d1, balance IS NOT NULL AS p FROM x),
+z AS (SELECT *, CASE kept WHEN 'all' THEN p::INT WHEN 'none' THEN 0 ELSE CASE WHEN p AND d0 = d1 THEN 1 - d0 ELSE d0 END END AS k0, CASE kept WHEN 'all' THEN 1 WHEN 'none' THEN 0 ELSE d1 END AS k1 FROM y)
+SELECT target, scenario, donor, k0 || '' || k1 AS mask, round(CASE WHEN k0 = 1 THEN balance END, 6) AS balance, CASE WHEN k1 = 1 THEN nation END AS nation FROM z""",
     "kept_samples": f"WITH {_R}, es AS (SELECT user_id, min(bar) AS low, max(bar) + 1 AS high FROM r GROUP BY ALL), s AS (SELECT user_id, i AS sample, low + CAST('0x' || substr(md5('11|' || user_id || '|' || i), 1, 8) AS BIGINT) % (high - low - 15) AS start FROM es, range(6) f(i) WHERE high - low >= 16), c AS (SELECT s.*, 2 * count(r.tick) + 19 AS tokens FROM s LEFT JOIN r ON r.user_id = s.user_id AND r.bar >= start AND r.bar < start + 16 GROUP BY ALL) SELECT user_id, sample, start, tokens FROM c WHERE tokens <= 90",
     "teacher_summary": _teacher(),
     "speed_times": f"""WITH c AS (SELECT user_id, ms::DOUBLE AS t, max(CASE WHEN event_type = 'view' THEN 1.0 ELSE value / 50 END) AS v FROM {EVENTS} GROUP BY ALL), sp AS (SELECT user_id, max(ms)::DOUBLE AS last FROM {EVENTS} GROUP BY ALL),
@@ -112,4 +126,4 @@ l AS (SELECT user_id, ms, max(event_id) % 40 * 12.0::DOUBLE + CASE WHEN user_id
 j AS (SELECT user_id, bool_or(x <= 0 OR 60000 / nullif(x, 0) <= 30 OR 60000 / nullif(x, 0) >= 350 OR greatest(w / nullif(x, 0), x / nullif(w, 0)) >= 3) AS jump FROM b GROUP BY ALL)
 SELECT user_id, round(CASE WHEN coalesce(jump, false) THEN greatest(total, 2001.0) ELSE total END, 3) AS speed_time FROM a LEFT JOIN j USING (user_id)""",
 }
-QUERIES = {f.__name__: f for f in (exact_match, hold_spans, grid_points, tick_notes, assigned_splits, kept_samples, teacher_summary, speed_times)}
+QUERIES = {f.__name__: f for f in (exact_match, hold_spans, grid_points, scenario_conditions, tick_notes, assigned_splits, kept_samples, teacher_summary, speed_times)}

@@ -52,7 +52,7 @@ def _charts(spark, sf_dir) -> DataFrame:
 
 
 def train_plan(spark, sf_dir):
-    return reports.train_plan(_charts(spark, sf_dir), "doc_id", "doc_id", "n_chars", RATIOS, "reason", 16384, 1, 3)
+    return reports.train_plan(_charts(spark, sf_dir), "doc_id", "doc_id", "n_chars", RATIOS, "reason", 16384, 1, 3, ["source", "n_chars"])
 
 
 def eval_pool(spark, sf_dir):

@@ -197,3 +197,21 @@ def test_places_of_beats(spark):
     want = [(b, n, d, s + n / d * 400) for b, s in enumerate((0.0, 400.0, 800.0)) for n, d in ((0, 1), (1, 4), (1, 2), (3, 4)) if s + n / d * 400 < 1000]
     want += [(3 + k, n, d, 1000 + 300 * k + n / d * 300) for k in range(3) for n, d in ((0, 1), (1, 4), (1, 2), (3, 4)) if 1000 + 300 * k + n / d * 300 < 1700 - 1e-6]
     assert points == want
+
+
+def test_conditions_of_scenarios_and_masks_of_a_plan(spark):
+    from chronolane.plans import reports
+
+    meta = spark.createDataFrame([(1, 5.0, "a"), (2, None, "b"), (3, 7.0, None)], "k int, x double, y string")
+    donors = spark.createDataFrame([(1, 2), (2, 3), (3, 3)], "target int, donor int")
+    got = {(r.target, r.scenario): (r.donor, r["mask"], r.x, r.y) for r in reports.scenario_conditions(donors, meta, "k", ["x", "y"], 1).collect()}
+    assert len(got) == 15 and got[1, "matched"] == (None, "11", 5.0, "a") and got[1, "random"] == (2, "01", None, "b") and got[3, "none"] == (None, "00", None, None)
+    assert got[1, "matched_partial"][1] in ("01", "10") and got[2, "matched_partial"][1] in ("00", "01")
+    with pytest.raises(Exception, match="donor without a row"):
+        reports.scenario_conditions(spark.createDataFrame([(1, 9)], "target int, donor int"), meta, "k", ["x"], 1).collect()
+    charts = spark.createDataFrame([(i, i % 30, 100 + i, None, f"s{i}" if i % 3 else None) for i in range(300)], "k long, g long, n long, reason string, source string")
+    plan = reports.train_plan(charts, "g", "k", "n", {"train": 0.8, "val": 0.1, "test": 0.1}, "reason", 2000, 1, 3, ["source", "n"]).collect()
+    assert len(plan) == reports.train_plan(charts, "g", "k", "n", {"train": 0.8, "val": 0.1, "test": 0.1}, "reason", 2000, 1, 3).count() > 100
+    for r in plan:
+        assert (r.source is not None) == (r["mask"][0] == "1") and (r.n is not None) == (r["mask"][1] == "1") and (r.k % 3 or r["mask"][0] == "0")
+    assert {"00", "11", "01"} <= {r["mask"] for r in plan}
