@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from chronolane.operators.tokens import ACTIVE, EMPTY, END, START, TAP
+from chronolane.session import cut
 
 
 def _inner(sequences: DataFrame, keys: list[str], tokens: str) -> DataFrame:
@@ -66,6 +67,7 @@ def decode_notes(sequences: DataFrame, keys: list[str], tokens: str, start: str,
     but for its issue, kind null.
     """
     found, rejected = cells(sequences, keys, tokens, start, initial, ticks_per_bar, lanes)
+    rejected = cut(rejected, "rejected")  # read for sequences and for their events
     good = sequences.join(rejected, keys, "left_anti")
     bars = F.size(F.filter(tokens, lambda t: t == "BAR"))
     spans = good.select(*keys, (F.col(start) * ticks_per_bar).alias("_from"), ((F.col(start) + bars) * ticks_per_bar).alias("_to"), F.col(initial).alias("_initial"))

@@ -94,6 +94,7 @@ def frequency_distance(left: DataFrame, right: DataFrame, key: str, n: str) -> D
     Ranks are dealt by value; the whole report is vocabulary.distance_report.
     """
     both = left.select(key, F.col(n).alias("a")).join(right.select(key, F.col(n).alias("b")), key, "full").fillna(0, ["a", "b"])
+    both = cut(both, "frequencies")  # sums, ranks and gaps read it
     a, b = both.agg(F.sum("a"), F.sum("b")).first()
     shares = both.withColumn("x", F.try_divide("a", F.lit(a or 0))).withColumn("y", F.try_divide("b", F.lit(b or 0)))
     d = F.col("y") - F.col("x")

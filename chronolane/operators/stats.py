@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from chronolane.functions.resampling import resampled_sums
 from chronolane.functions.scalars import finite, ratio
 from chronolane.operators.ranks import average_ranks, exact_percentiles
+from chronolane.session import cut
 
 
 def chart_values(df: DataFrame, chart: str, value: Column, by: list[str] | None = None) -> DataFrame:
@@ -181,7 +182,8 @@ def early_stop(df: DataFrame, by: list[str], step: str, loss: str, patience: int
 
 def correlations(df: DataFrame, x: str, y: str, by: list[str]) -> DataFrame:
     """pearson and spearman of rows that have both; null for fewer than two or no spread. Ranks are dealt by value, see ranks."""
-    ranked = average_ranks(df.filter(F.col(x).isNotNull() & F.col(y).isNotNull()), by, {"rx": x, "ry": y})
+    rows = cut(df.select(*by, x, y).filter(F.col(x).isNotNull() & F.col(y).isNotNull()), "pairs")
+    ranked = average_ranks(rows, by, {"rx": x, "ry": y})
 
     def safe(a: str, b: str) -> Column:
         return F.when((F.count("*") > 1) & (F.var_pop(a) > 0) & (F.var_pop(b) > 0), F.corr(a, b))

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from chronolane.operators import decoding, tokens
 from chronolane.plans import stitching, windows
+from chronolane.session import cut
 
 from .sequences import _P, PER_DAY, _placed, _sequences, _windows
 
@@ -30,7 +31,7 @@ def _encoded(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
     spans = rows.groupBy("user_id").agg(F.min("bar").alias("low"), (F.max("bar") + 1).alias("high"))
     made = windows.overlap_windows(spans, "user_id", "low", "high")
     initial = stitching.initial_rows(legal, made, "user_id", "tick", "lane", "kind", PER_DAY)
-    return stitching.encode_windows(rows, made, initial, "user_id", "n", "bar", "pos", "row"), spans
+    return cut(stitching.encode_windows(rows, made, initial, "user_id", "n", "bar", "pos", "row"), "windows"), spans
 
 
 def _damaged(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
