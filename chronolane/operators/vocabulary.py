@@ -16,6 +16,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from chronolane.operators.ranks import average_ranks
 from chronolane.session import cut
@@ -94,13 +95,14 @@ def _codes(column: pa.ChunkedArray, values: list) -> np.ndarray:
     return found.fill_null(-1).to_numpy().astype(np.int64)
 
 
-def count_motifs(stepped: DataFrame, seq: list[str], vocabulary: DataFrame, chunk: int = CHUNK) -> DataFrame:
-    """(scope, part, motif, n) of the motifs that occur, from steps (seq..., scope, part, i, symbol, gap) and a list (scope, motif).
+def count_motifs(stepped: DataFrame, seq: list[str], vocabulary: DataFrame, chunk: int = CHUNK, by: list[str] | None = None) -> DataFrame:
+    """(by..., scope, part, motif, n) of the motifs that occur, from steps (seq..., scope, part, i, symbol, gap) and a list (scope, motif).
 
-    ``seq`` names a chart; with scope and part it names a sequence. The list is a frozen one, so it goes to every task; a
-    list of more than MOTIFS is refused.
+    ``seq`` names a chart; with scope and part it names a sequence. ``by`` are the columns of ``seq`` that counts are kept
+    apart by, none by default. The list is a frozen one, so it goes to every task; a list of more than MOTIFS is refused.
+    A task hands on the counts of each batch, so it holds a batch and no table of counts.
     """
-    spark = stepped.sparkSession
+    spark, by = stepped.sparkSession, by or []
     rows = vocabulary.select(F.col("scope").cast("string"), "motif").distinct().limit(MOTIFS + 1).collect()
     if len(rows) > MOTIFS:
         raise ValueError(f"a list of more than {MOTIFS} motifs isn't sent to every task")
@@ -115,55 +117,61 @@ def count_motifs(stepped: DataFrame, seq: list[str], vocabulary: DataFrame, chun
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trie, motifs = sent.value
-        counts: dict[tuple[str, str], np.ndarray] = {}
+        scopes, texts = (pa.array([m[k] for m in motifs], pa.string()) for k in (0, 1))
         held: pa.Table | None = None
 
-        def work(rows: pa.Table, last: bool) -> pa.Table | None:
-            """Walk from every row whose followers are all here; return the others."""
+        def work(rows: pa.Table, last: bool) -> tuple[pa.Table | None, list[pa.RecordBatch]]:
+            """Walk from every row whose followers are all here; return the others, and what was counted."""
+            rows = rows.combine_chunks()
             n = rows.num_rows
+            code = lambda c: rows.column(c).combine_chunks().dictionary_encode(null_encoding="encode").indices.to_numpy()
             new = np.zeros(n, bool)
             new[:1] = True
             for c in [*keys, "_chunk"]:
-                code = rows.column(c).combine_chunks().dictionary_encode(null_encoding="encode").indices.to_numpy()
-                new[1:] |= code[1:] != code[:-1]
+                new[1:] |= code(c)[1:] != code(c)[:-1]
             seq_id = np.cumsum(new)
             first = n if last else min(int(np.flatnonzero(seq_id == seq_id[-1])[0]), n) if n else 0
             if not last and n - first > trie.depth:
                 first = n - trie.depth
             start = np.flatnonzero(rows.column("_own").to_numpy()[:first])
             scope, symbol, gap = _codes(rows.column("scope"), trie.scopes), _codes(rows.column("symbol"), trie.symbols), _codes(rows.column("gap"), trie.gaps)
-            part = rows.column("part").combine_chunks().dictionary_encode(null_encoding="encode")
-            names, of = part.dictionary.to_pylist(), part.indices.to_numpy()
-            for pos, found in trie.matches(start, seq_id, scope, symbol, gap):
-                for p in np.unique(of[pos]):
-                    own = counts.setdefault(names[p], np.zeros(len(motifs), np.int64))
-                    own += np.bincount(found[of[pos] == p], minlength=len(motifs))
-            return None if last else rows.slice(first)
+            group = np.zeros(n, np.int64)
+            for c in [*by, "part"]:
+                group = np.unique(group * (n + 1) + code(c), return_inverse=True)[1]
+            hits = list(trie.matches(start, seq_id, scope, symbol, gap)) or [(start[:0], start[:0])]
+            pos, found = (np.concatenate(side) for side in zip(*hits, strict=True))
+            _, one, times = np.unique(group[pos] * max(1, len(motifs)) + found, return_index=True, return_counts=True)
+            at, what = pa.array(pos[one]), pa.array(found[one])
+            counted = pa.table([*[rows.column(c).take(at) for c in by], scopes.take(what), rows.column("part").take(at), texts.take(what), pa.array(times.astype(np.int64))], [*by, "scope", "part", "motif", "n"])
+            return None if last else rows.slice(first), counted.combine_chunks().to_batches()
 
         for batch in batches:
             rows = pa.Table.from_batches([batch])
-            held = work(rows if held is None else pa.concat_tables([held, rows]), False)
+            held, counted = work(rows if held is None else pa.concat_tables([held, rows]), False)
+            yield from counted
         if held is not None:
-            work(held, True)
-        for name, own in counts.items():
-            at = np.flatnonzero(own)
-            yield pa.RecordBatch.from_arrays([pa.array([motifs[i][0] for i in at], pa.string()), pa.array([name] * len(at), pa.string()), pa.array([motifs[i][1] for i in at], pa.string()), pa.array(own[at])], ["scope", "part", "motif", "n"])
+            yield from work(held, True)[1]
 
-    return dealt.mapInArrow(run, "scope string, part string, motif string, n long").groupBy("scope", "part", "motif").agg(F.sum("n").alias("n"))
+    text, whole = T.StringType(), T.LongType()
+    fields = [*[dealt.schema[c] for c in by], *[T.StructField(c, kind) for c, kind in (("scope", text), ("part", text), ("motif", text), ("n", whole))]]
+    return dealt.mapInArrow(run, T.StructType(fields)).groupBy(*by, "scope", "part", "motif").agg(F.sum("n").alias("n"))
 
 
-def motif_report(stepped: DataFrame, seq: list[str], vocabulary: DataFrame, chunk: int = CHUNK) -> DataFrame:
-    """(scope, part, motif, n, observations, average) of every motif of the list in every part and pooled (part all).
+def motif_report(stepped: DataFrame, seq: list[str], vocabulary: DataFrame, chunk: int = CHUNK, by: list[str] | None = None) -> DataFrame:
+    """(by..., scope, part, motif, n, observations, average) of every motif of the list in every part and pooled (part all).
 
     Observations are a part's steps, the average is the count over the number of charts that have steps; zeros are kept.
+    With ``by``, columns of ``seq`` that aren't null, all of it is worked out for each of their values in one pass.
     """
-    charts = stepped.select(*seq).distinct().count()
-    seen = stepped.groupBy(F.col("scope").cast("string").alias("scope"), F.col("part").cast("string").alias("part")).agg(F.count("*").alias("observations"))
-    pooled = lambda df, c, *by: df.unionByName(df.filter("part <> 'all'").groupBy("scope", *by).agg(F.sum(c).alias(c)).withColumn("part", F.lit("all")))
-    counts = pooled(count_motifs(stepped, seq, vocabulary, chunk), "n", "motif")
+    by = by or []
+    seen = stepped.groupBy(*by, F.col("scope").cast("string").alias("scope"), F.col("part").cast("string").alias("part")).agg(F.count("*").alias("observations"))
+    pooled = lambda df, c, *of: df.unionByName(df.filter("part <> 'all'").groupBy(*by, "scope", *of).agg(F.sum(c).alias(c)).withColumn("part", F.lit("all")))
+    counts = pooled(count_motifs(stepped, seq, vocabulary, chunk, by), "n", "motif")
     every = pooled(seen, "observations").join(vocabulary.select(F.col("scope").cast("string").alias("scope"), "motif").distinct(), "scope")
-    out = every.join(counts, ["scope", "part", "motif"], "left").withColumn("n", F.coalesce("n", F.lit(0).cast("long")))
-    return out.select("scope", "part", "motif", "n", "observations", (F.col("n") / F.lit(charts)).alias("average"))
+    charts = stepped.select(*seq).distinct()
+    every = every.join(charts.groupBy(*by).agg(F.count("*").alias("_charts")), by) if by else every.withColumn("_charts", F.lit(charts.count()))
+    out = every.join(counts, [*by, "scope", "part", "motif"], "left").withColumn("n", F.coalesce("n", F.lit(0).cast("long")))
+    return out.select(*by, "scope", "part", "motif", "n", "observations", (F.col("n") / F.col("_charts")).alias("average"))
 
 
 def window_coverage(stepped: DataFrame, seq: list[str], section: str, counts: DataFrame, lengths: list[int]) -> DataFrame:
@@ -219,3 +227,20 @@ def distance_report(left: DataFrame, right: DataFrame, by: list[str], top: int =
     buckets = by_length.groupBy(*by).agg(F.max("vocabulary").alias("vocabulary"), F.max("known").alias("known"), F.array(*inside).alias("b")).select(*by, "vocabulary", "known", F.inline("b"))
     out = out.unionByName(long(buckets, "bucket", F.col("name"), F.try_divide("sum", "n")))
     return out.unionByName(long(buckets.filter("known > 0"), "contribution", F.col("name"), F.coalesce("sum", F.lit(0.0)) / F.col("vocabulary")))
+
+
+def distance_to(made: DataFrame, human: DataFrame, by: list[str], top: int = 15) -> DataFrame:
+    """distance_report of each of several corpora to one: ``made`` is a motif_report with ``by``, ``human`` one without.
+
+    The pooled counts are compared; the result has (by..., scope) in front. A scope that ``human`` lacks is undefined.
+    """
+    left = made.filter("part = 'all'").select(*by, "scope", "motif", "n", "observations")
+    right = left.select(*by, "scope", "motif").join(human.filter("part = 'all'").select("scope", "motif", "n", "observations"), ["scope", "motif"])
+    return distance_report(left, right, [*by, "scope"], top)
+
+
+def length_shares(report: DataFrame, by: list[str]) -> DataFrame:
+    """(by..., length, motifs, contribution, share): what each length adds to the mae of a distance_report, and its part of it (0 without any gap)."""
+    rows = report.filter("section = 'length'").select(*by, "length", F.col("rank").alias("motifs"), F.col("value").alias("contribution"))
+    total = F.sum("contribution").over(Window.partitionBy(*by))
+    return rows.withColumn("share", F.when(total > 0, F.col("contribution") / total).otherwise(0.0))

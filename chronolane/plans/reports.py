@@ -7,8 +7,9 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chronolane.operators import match, splits, stats
+from chronolane.operators import match, splits, stats, vocabulary
 from chronolane.operators.ranks import exact_percentiles
+from chronolane.session import cut
 
 
 def summarize_records(records: DataFrame, by: list[str], chart: str) -> DataFrame:
@@ -139,9 +140,10 @@ def rescore(records: DataFrame, generated: DataFrame, reference: DataFrame, keys
 
 def seed_scores(requested: DataFrame, samples: DataFrame, chart: str, seed: str, keys: list[str], always: str) -> DataFrame:
     """(seed, keys..., always, n, avg_count, pooled): totals of each seed's samples; each must have every requested chart."""
-    have = samples.select(seed, chart).distinct()
-    gaps = have.select(seed).distinct().crossJoin(requested.select(chart).distinct()).join(have, [seed, chart], "left_anti")
-    if not gaps.isEmpty():
+    wanted = requested.select(chart).filter(F.col(chart).isNotNull()).distinct()
+    size = wanted.count()
+    have = samples.select(seed, chart).distinct().join(wanted.withColumn("_wanted", F.lit(True)), chart, "left")
+    if not have.groupBy(seed).agg((F.count("_wanted") < F.lit(size)).alias("_lacks")).filter("_lacks").isEmpty():
         raise ValueError("a seed lacks requested charts")
     counts = samples.groupBy(seed, *keys, always).agg(F.count("*").alias("n"))
     sets = [[seed, *[k for i, k in enumerate(keys) if mask >> i & 1], always] for mask in range(1 << len(keys))]
@@ -150,25 +152,64 @@ def seed_scores(requested: DataFrame, samples: DataFrame, chart: str, seed: str,
     return out.join(sizes, seed).select(seed, *[F.coalesce(F.col(k).cast("string"), F.lit("all")).alias(k) for k in keys], always, "n", (F.col("n") / F.col("_charts")).alias("avg_count"), (F.col("n") / F.col("_total")).alias("pooled"))
 
 
+def issue_totals(issues: DataFrame, samples: DataFrame, by: list[str], chart: str, issue: str, kinds: list[str]) -> DataFrame:
+    """(by..., issue, charts_with, instances, charts) of each kind of issue among samples (by..., chart); a row of zeros for kinds that none has."""
+    charts = samples.groupBy(*by).agg(F.count_distinct(chart).alias("charts")).select(*by, "charts", F.explode(F.lit(kinds)).alias("issue"))
+    found = issues.groupBy(*by, F.col(issue).alias("issue")).agg(F.count_distinct(chart).alias("charts_with"), F.count("*").alias("instances"))
+    return charts.join(found, [*by, "issue"], "left").select(*by, "issue", *[F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in ("charts_with", "instances")], "charts")
+
+
+def seed_report(requested: DataFrame, samples: DataFrame, made: DataFrame, human: DataFrame, issues: DataFrame, listed: DataFrame, chart: str, seed: str, keys: list[str], always: str, issue: str, kinds: list[str]) -> DataFrame:
+    """(seed, section, key, name, value): all that is told of each seed's samples; each seed must have every requested chart.
+
+    ``made`` has the steps of (seed, chart) in their scopes, ``human`` those of the chart alone; both are counted by the
+    frozen list, every seed in one pass. Sections: statistics (totals of endpoint counts), motifs (count, observations
+    and average of every motif by part), distance (to the human corpus), issues (of each kind).
+    """
+    counted = cut(vocabulary.motif_report(made, [seed, chart], listed, by=[seed]), "seed-motifs")  # counts, distances and their keys read it
+    distance = vocabulary.distance_to(counted, vocabulary.motif_report(human, [chart], listed), [seed])
+    return reduce(
+        DataFrame.unionByName,
+        [
+            _long(seed_scores(requested, samples, chart, seed, keys, always), "statistics", [*keys, always], [seed]),
+            _long(counted, "motifs", ["scope", "part", "motif"], [seed]),
+            _long(distance.select(seed, "scope", F.col("section").alias("of"), F.col("name").alias("what"), "value"), "distance", ["scope", "of", "what"], [seed]),
+            _long(issue_totals(issues, samples, [seed], chart, issue, kinds), "issues", ["issue"], [seed]),
+        ],
+    )
+
+
+def recheck_distances(stored: DataFrame, made: DataFrame, human: DataFrame, by: list[str], tolerance: float = 1e-8) -> DataFrame:
+    """(by..., scope, name, stored, recomputed): figures of a stored distance summary that counting anew doesn't confirm.
+
+    ``stored`` has (by..., scope, name, value); mae, rmse and spearman are worked out again from ``made`` and ``human``
+    (see distance_to). A figure that is missing or null on either side is not confirmed.
+    """
+    again = vocabulary.distance_to(made, human, by).filter("section = 'summary' AND name <> 'vocabulary'").select(*by, "scope", "name", F.col("value").alias("recomputed"))
+    both = stored.filter(F.col("name").isin("mae", "rmse", "spearman")).select(*by, "scope", "name", F.col("value").alias("stored")).join(again, [*by, "scope", "name"], "full")
+    return both.filter(~F.coalesce(F.abs(F.col("stored") - F.col("recomputed")) <= tolerance, F.lit(False)))
+
+
+def _long(df: DataFrame, section: str, keys: list[str], front: list[str] | None = None) -> DataFrame:
+    """(front..., section, key, name, value): a row for each figure of a report."""
+    front = front or []
+    each = F.array(*[F.struct(F.lit(n).alias("name"), F.col(n).cast("double").alias("value")) for n in df.columns if n not in [*keys, *front]])
+    return df.select(*front, F.lit(section).alias("section"), F.concat_ws("|", *keys).alias("key"), F.inline(each))
+
+
 def full_summary(records: DataFrame, by: list[str], chart: str, flags: list[str], distributions: DataFrame, pairs: DataFrame, fields: list[str], sections: dict[str, tuple[DataFrame, list[str]]] | None = None) -> DataFrame:
     """(section, key, name, value): scores and plausibility of each mode, merged distributions and condition responses in one long report.
 
     ``sections`` adds other reports, each a frame and its keys: every other column is a figure of its own (diversity of
     seeds, distances and coverage of motifs).
     """
-
-    def long(df: DataFrame, section: str, keys: list[str]) -> DataFrame:
-        names = [c for c in df.columns if c not in keys]
-        each = F.array(*[F.struct(F.lit(n).alias("name"), F.col(n).cast("double").alias("value")) for n in names])
-        return df.select(F.lit(section).alias("section"), F.concat_ws("|", *keys).alias("key"), F.inline(each))
-
     return reduce(
         DataFrame.unionByName,
         [
-            long(summarize_records(records, by, chart), "scores", by),
-            long(stats.plausibility_summary(records, by, chart, flags, "notes"), "plausibility", by),
-            long(stats.merge_distributions(distributions), "distribution", ["part", "key"]),
-            long(stats.condition_response(pairs, fields), "response", ["field"]),
-            *[long(frame, name, keys) for name, (frame, keys) in (sections or {}).items()],
+            _long(summarize_records(records, by, chart), "scores", by),
+            _long(stats.plausibility_summary(records, by, chart, flags, "notes"), "plausibility", by),
+            _long(stats.merge_distributions(distributions), "distribution", ["part", "key"]),
+            _long(stats.condition_response(pairs, fields), "response", ["field"]),
+            *[_long(frame, name, keys) for name, (frame, keys) in (sections or {}).items()],
         ],
     )

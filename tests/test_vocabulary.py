@@ -7,7 +7,8 @@ from collections import Counter
 import pytest
 
 from chronolane.operators import ranks, stats
-from chronolane.operators.vocabulary import BUCKETS, count_motifs, distance_report, motif_report, window_coverage
+from chronolane.operators.vocabulary import BUCKETS, count_motifs, distance_report, distance_to, length_shares, motif_report, window_coverage
+from chronolane.plans import reports
 
 
 def sequences(seed, lengths):
@@ -134,3 +135,63 @@ def test_no_task_gets_all_rows(spark):
     single = [line for line in plan.splitlines() if "SinglePartition" in line]
     below = plan.splitlines()[plan.splitlines().index(single[0]) + 1]
     assert "HashAggregate" in below and "_cell" in below
+
+
+def test_counts_kept_apart(spark):
+    """Counts by corpus equal those of each corpus alone; a corpus without any motif of the list keeps its zeros."""
+    sides = {0: sequences(4, [30, 3]), 1: sequences(5, [25]), None: sequences(6, [12])}
+    listed = spark.createDataFrame([("lane", "a"), ("lane", "a/0/b"), ("row", "b/1/a"), ("row", "zz")], "scope string, motif string")
+    both = None
+    for side, seqs in sides.items():
+        rows = steps_of(spark, seqs).selectExpr(f"CAST({'NULL' if side is None else side} AS INT) AS side", "*")
+        both = rows if both is None else both.unionByName(rows)
+    counted = count_motifs(both.repartition(3), ["side", "chart"], listed, 16, by=["side"])
+    assert counted.columns == ["side", "scope", "part", "motif", "n"]
+    keys = {(r.scope, r.motif) for r in listed.collect()}
+    assert {(r.side, r.scope, r.part, r.motif): r.n for r in counted.collect()} == {(side, *k): n for side, seqs in sides.items() for k, n in loop(seqs, keys).items()}
+    report = motif_report(both, ["side", "chart"], listed, by=["side"]).collect()
+    for side in (0, 1):
+        alone = motif_report(steps_of(spark, sides[side]), ["chart"], listed).collect()
+        assert sorted(tuple(r)[1:] for r in report if r.side == side) == sorted(map(tuple, alone))
+    assert {r.n for r in report if r.motif == "zz"} == {0}
+
+
+def test_distances_to_one_corpus(spark):
+    """Each corpus against the same other one, a figure at a time; stored figures are confirmed or named."""
+    listed = spark.createDataFrame([("lane", "a"), ("lane", "b"), ("lane", "a/0/b"), ("row", "a")], "scope string, motif string")
+    sides = {0: sequences(4, [30]), 1: sequences(5, [25])}
+    human = motif_report(steps_of(spark, sequences(9, [80])), ["chart"], listed)
+    made = None
+    for side, seqs in sides.items():
+        rows = steps_of(spark, seqs).selectExpr(f"{side} AS side", "*")
+        made = rows if made is None else made.unionByName(rows)
+    made = motif_report(made, ["side", "chart"], listed, by=["side"])
+    got = distance_to(made, human, ["side"])
+    for side, seqs in sides.items():
+        alone = motif_report(steps_of(spark, seqs), ["chart"], listed).filter("part = 'all'")
+        want = distance_report(alone, human.filter("part = 'all'"), ["scope"])
+        assert sorted(map(str, want.collect())) == sorted(map(str, got.filter(f"side = {side}").drop("side").collect()))
+    shares = length_shares(got, ["side", "scope"]).collect()
+    total = {(r.side, r.scope): r.value for r in got.filter("section = 'summary' AND name = 'mae'").collect()}
+    for key, mae in total.items():
+        own = [r for r in shares if (r.side, r.scope) == key]
+        assert math.isclose(sum(r.contribution for r in own), mae) and math.isclose(sum(r.share for r in own), 1.0 if mae else 0.0)
+    stored = got.filter("section = 'summary'").select("side", "scope", "name", "value")
+    odd = reports.recheck_distances(stored, made, human, ["side"]).collect()
+    assert {(r.side, r.scope, r.name) for r in odd} == {(s, "row", "spearman") for s in sides}  # a list of one has no rank correlation
+    changed = stored.selectExpr("side", "scope", "name", "value + IF(side = 1 AND name = 'mae', 1e-6, 1e-10) AS value").filter("NOT (side = 0 AND name = 'rmse')")
+    odd = {(r.side, r.scope, r.name) for r in reports.recheck_distances(changed, made, human, ["side"]).collect()}
+    assert odd == {(s, "row", "spearman") for s in sides} | {(1, sc, "mae") for sc in ("lane", "row")} | {(0, sc, "rmse") for sc in ("lane", "row")}
+
+
+def test_issues_and_missing_charts(spark):
+    samples = spark.createDataFrame([(s, c, 0, "tap", 1) for s in (0, 1) for c in (7, 8)], "seed int, chart int, lane int, kind string, pos int")
+    issues = spark.createDataFrame([(0, 7, "tail"), (0, 7, "tail"), (0, 8, "tail"), (1, 8, "head")], "seed int, chart int, issue string")
+    got = {(r.seed, r.issue): (r.charts_with, r.instances, r.charts) for r in reports.issue_totals(issues, samples, ["seed"], "chart", "issue", ["head", "tail"]).collect()}
+    assert got == {(0, "tail"): (2, 3, 2), (0, "head"): (0, 0, 2), (1, "tail"): (0, 0, 2), (1, "head"): (1, 1, 2)}
+    requested = spark.createDataFrame([(7,), (8,), (8,), (None,)], "chart int")
+    assert reports.seed_scores(requested, samples, "chart", "seed", ["lane"], "pos").count() == 4
+    with pytest.raises(ValueError):
+        reports.seed_scores(requested, samples.filter("NOT (seed = 1 AND chart = 8)"), "chart", "seed", ["lane"], "pos")
+    with pytest.raises(ValueError):
+        reports.seed_scores(requested, samples.withColumn("chart", samples.chart + 5), "chart", "seed", ["lane"], "pos")
