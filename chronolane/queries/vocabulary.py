@@ -93,7 +93,7 @@ def seed_report(spark, sf_dir):
     follows = F.lead("kind").over(Window.partitionBy("seed", "user_id", "lane").orderBy(*order))
     issues = rows.withColumn("issue", F.when((F.col("kind") == "start") & ~follows.eqNullSafe(F.lit("end")), "missing_hold_tail")).filter("issue IS NOT NULL")
     kinds = ["missing_hold_head", "missing_hold_tail"]
-    return rounded(reports.seed_report(both, rows, made, human, issues, _list(human), "user_id", "seed", ["lane", "kind"], "pos", "issue", kinds), 4)
+    return rounded(reports.seed_report(both, rows, made, human, issues, _list(human), "user_id", "seed", ["lane", "kind"], "pos", "issue", kinds))
 
 
 def percentiles_whole(spark, sf_dir):
@@ -192,5 +192,5 @@ h AS (SELECT seed, user_id FROM (SELECT seed, user_id, kind, lead(kind) OVER (PA
 iss AS (SELECT seed, 'missing_hold_tail' AS key, (SELECT count(DISTINCT user_id) FROM h WHERE h.seed = z.seed) AS charts_with, (SELECT count(*) FROM h WHERE h.seed = z.seed) AS instances, charts FROM z UNION ALL SELECT seed, 'missing_hold_head', 0, 0, charts FROM z),
 whole AS (SELECT seed, 'statistics' AS section, key, {_SEED_EACH('n avg_count pooled')} FROM st UNION ALL SELECT seed, 'motifs', key, {_SEED_EACH('n observations average')} FROM mo
 UNION ALL SELECT seed, 'distance', scope || '|' || section || '|' || name, 'value', value FROM r UNION ALL SELECT seed, 'issues', key, {_SEED_EACH('charts_with instances charts')} FROM iss)
-SELECT seed, section, key, name, round(value, 4) AS value FROM whole"""
+SELECT seed, section, key, name, round(value, 6) AS value FROM whole"""
 QUERIES = {f.__name__: f for f in (motif_report, motif_coverage, distance_report, distance_recheck, length_shares, seed_report, whole_summary, percentiles_whole, describe_whole, correlation_whole, average_ranks)}
