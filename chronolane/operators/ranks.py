@@ -37,8 +37,9 @@ def running_counts(df: DataFrame, by: list[str], value: str, cells: int = CELLS)
 
 def average_ranks(df: DataFrame, by: list[str], ranks: dict[str, str]) -> DataFrame:
     """Add for each ``name: value`` the rank of the value inside ``by``; ties share their mean rank, nulls have none."""
+    rows = df  # every rank counts the rows as they came
     for name, value in ranks.items():
-        counted = running_counts(df, by, value)
+        counted = running_counts(rows, by, value)
         placed = counted.select(*[F.col(c).alias(f"_by_{c}") for c in by], F.col(value).alias("_value"), (F.col("before") + (F.col("n") + 1) / 2).alias(name))
         df = df.join(placed, _same(df, placed, [*[(c, f"_by_{c}") for c in by], (value, "_value")]), "left").select(*df.columns, name)
     return df

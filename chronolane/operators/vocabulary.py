@@ -165,7 +165,7 @@ def motif_report(stepped: DataFrame, seq: list[str], vocabulary: DataFrame, chun
     """
     by = by or []
     seen = stepped.groupBy(*by, F.col("scope").cast("string").alias("scope"), F.col("part").cast("string").alias("part")).agg(F.count("*").alias("observations"))
-    pooled = lambda df, c, *of: df.unionByName(df.filter("part <> 'all'").groupBy(*by, "scope", *of).agg(F.sum(c).alias(c)).withColumn("part", F.lit("all")))
+    pooled = lambda df, c, *of: df.withColumn("part", F.explode(F.when(F.col("part") != "all", F.array("part", F.lit("all"))).otherwise(F.array("part")))).groupBy(*by, "scope", "part", *of).agg(F.sum(c).alias(c))
     counts = pooled(count_motifs(stepped, seq, vocabulary, chunk, by), "n", "motif")
     every = pooled(seen, "observations").join(vocabulary.select(F.col("scope").cast("string").alias("scope"), "motif").distinct(), "scope")
     charts = stepped.select(*seq).distinct()

@@ -168,6 +168,7 @@ def seed_report(requested: DataFrame, samples: DataFrame, made: DataFrame, human
     """
     counted = cut(vocabulary.motif_report(made, [seed, chart], listed, by=[seed]), "seed-motifs")  # counts, distances and their keys read it
     distance = vocabulary.distance_to(counted, vocabulary.motif_report(human, [chart], listed), [seed])
+    distance = cut(distance, "seed-distances")  # its sections are a plan of their own
     return reduce(
         DataFrame.unionByName,
         [

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from chronolane.operators import match, motif, ranks, stats, vocabulary
 from chronolane.plans import reports
+from chronolane.session import cut
 
 from .base import events, rounded, table
 from .matching import SQL as MATCHING
@@ -86,7 +87,7 @@ def seed_report(spark, sf_dir):
     """Two seeds of every user that has both, against the user's events as a whole; a hold's start that no end follows in its lane is an issue."""
     rows = _placed(spark, sf_dir).withColumns({"seed": F.col("event_id") % 2, "week": F.floor(F.col("bar") / 7)})
     both = rows.groupBy("user_id").agg(F.count_distinct("seed").alias("n")).filter("n = 2").select("user_id")
-    rows = rows.join(both, "user_id", "left_semi")
+    rows = cut(rows.join(both, "user_id", "left_semi"), "samples")  # every section reads them
     order = ["ms", "event_id"]
     made = motif.scope_steps(rows, ["seed", "user_id"], order, "lane", "event_type", "bar")
     human = motif.scope_steps(rows, ["user_id"], order, "lane", "event_type", "bar")
