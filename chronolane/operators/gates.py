@@ -79,10 +79,11 @@ def next_reference(cursors: DataFrame, references: DataFrame, trace: str, beat:
     """Add next_position and skipped to each cursor: the first reference of its beat at or behind it that no later cursor has
     passed over, and how many references lie between it and the cursor before.
 
-    Cursors move forward inside a beat, so what earlier ones covered lies before the one at hand.
+    Cursors move forward inside a beat, so what earlier ones covered lies before the one at hand. A reference at a cursor's
+    own place is ahead of it, not skipped.
     """
-    ahead = Window.partitionBy(trace, beat).orderBy(F.col("_p").desc(), F.col("_ref").asc()).rowsBetween(Window.unboundedPreceding, -1)
-    before = Window.partitionBy(trace, beat).orderBy("_p", F.col("_ref").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    ahead = Window.partitionBy(trace, beat).orderBy(F.col("_p").desc(), F.col("_ref").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.partitionBy(trace, beat).orderBy("_p", F.col("_ref").asc()).rowsBetween(Window.unboundedPreceding, -1)
     rows = cursors.select(trace, beat, F.col(position).alias("_p"), F.col(order).alias(order), F.lit(False).alias("_ref")).unionByName(
         references.select(trace, beat, F.col(position).alias("_p"), F.lit(None).cast(dict(cursors.dtypes)[order]).alias(order), F.lit(True).alias("_ref")).distinct()
     )
