@@ -19,6 +19,28 @@ def read_corpus(spark: SparkSession, root: str, suffix: str = ".osu") -> DataFra
     return files.select(F.substring_index(path, base, -1).alias("relpath"), F.col("_metadata.file_size").alias("size"), "value")
 
 
+#: Ends a chart in a packed corpus; no chart may hold it.
+RECORD = "\x1e"
+
+
+def pack_corpus(files: DataFrame, path: str) -> None:
+    """Write (relpath, value) as text with many charts in a file, each its path, a newline, its text and RECORD.
+
+    A file for each chart costs a listing, a commit and a task's overhead each, which the driver pays for; here files
+    follow the partitions, and readers split them between records.
+    """
+    clear = lambda c: F.when(F.instr(c, RECORD) > 0, F.raise_error(F.concat(F.lit("a record mark in "), F.col("relpath"))).cast("string")).otherwise(F.col(c))
+    name = F.when(F.instr("relpath", "\n") > 0, F.raise_error(F.concat(F.lit("a newline in "), F.col("relpath"))).cast("string")).otherwise(clear("relpath"))
+    files.select(F.concat(name, F.lit("\n"), clear("value"))).write.option("lineSep", RECORD).text(path)
+
+
+def read_packed(spark: SparkSession, path: str) -> DataFrame:
+    """(relpath, size, value): every chart of a packed corpus as one text, size in bytes."""
+    at = F.instr("value", "\n")
+    charts = spark.read.option("lineSep", RECORD).text(path).select(F.substr("value", F.lit(1), at - 1).alias("relpath"), F.substr("value", at + 1).alias("value"))
+    return charts.select("relpath", F.octet_length("value").cast("long").alias("size"), "value")
+
+
 def sections(files: DataFrame) -> DataFrame:
     """(relpath, section, line_no, line): trimmed lines below the last [header]; blanks and // comments are left out."""
     lines = files.select("relpath", F.posexplode(F.split("value", "\r?\n")).alias("line_no", "line")).withColumn("line", F.trim("line"))

@@ -1,6 +1,13 @@
 """Ties that decide a result, and steps whose files or tasks must not grow with the number of charts or rows."""
 
+import glob
+
+import pytest
+
+from chronolane.catalog import QUERIES
 from chronolane.operators import gates
+from chronolane.session import scratch_dir
+from chronolane.sources import charts
 
 
 def test_reference_at_a_cursors_own_place_is_next_and_not_skipped(spark):
@@ -8,3 +15,23 @@ def test_reference_at_a_cursors_own_place_is_next_and_not_skipped(spark):
     references = spark.createDataFrame([("u", 0, 3, 7), ("u", 0, 5, 8), ("u", 0, 9, 9)], "user string, beat int, at long, id long")
     rows = gates.next_reference(cursors, references, "user", "beat", "at", "id").orderBy("id").collect()
     assert [(r.at, r.next_position, r.skipped) for r in rows] == [(5, 5, 1), (9, 9, 1)]
+
+
+def test_packed_corpus_reads_back_and_its_files_follow_partitions(spark, tmp_path):
+    texts = [(f"set {i}/ä {i}.osu", "[General]\r\nMode: 3\r\n" + "é" * i + ("" if i % 2 else "\n")) for i in range(300)] + [("empty", "")]
+    path = f"file://{tmp_path}/packed"
+    charts.pack_corpus(spark.createDataFrame(texts, "relpath string, value string").repartition(3), path)
+    assert len(list((tmp_path / "packed").glob("part-*"))) == 3
+    read = charts.read_packed(spark, path).collect()
+    assert sorted((r.relpath, r.value) for r in read) == sorted(texts)
+    assert all(r.size == len(r.value.encode()) for r in read)
+    for bad in (("a", "x\x1ey"), ("a\nb", "x")):
+        with pytest.raises(Exception, match="a record mark in|a newline in"):
+            charts.pack_corpus(spark.createDataFrame([bad], "relpath string, value string"), f"{path}-{len(bad[0])}")
+
+
+def test_chart_queries_write_no_file_for_each_chart(spark):
+    folder = lambda: set(glob.glob(scratch_dir(spark).removeprefix("file:") + "/charts-*/**/*.txt", recursive=True))
+    before = folder()
+    assert QUERIES["chart_files"](spark, "/root/testdata/sf0.01").count() == 150
+    assert len(folder() - before) <= 8
