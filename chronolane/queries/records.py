@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 
 from chronolane.operators import logits, splits, stats, timeline
 from chronolane.plans import reports, windows
-from chronolane.session import scratch_dir
+from chronolane.session import parts_for, scratch_dir
 from chronolane.sources import artifacts
 
 from .base import EVENTS, events, rounded, table
@@ -32,6 +32,13 @@ def _text(spark, rows: DataFrame, name: str) -> str:
     return path
 
 
+def _segments(spark, rows: DataFrame, name: str) -> str:
+    """Write (place, line) in order of place as text files, each behind the one before by place and by name."""
+    path = _path(spark, name)
+    rows.repartitionByRange(parts_for(spark, rows.count()), "place").sortWithinPartitions("place").select("line").write.text(path)
+    return path
+
+
 def versioned_rows(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select((F.col("doc_id") % 3).alias("part"), "doc_id", "n_chars")
     line = F.when(F.col("doc_id") % 50 == 0, '{"doc_id": oops').otherwise(F.to_json(F.struct("doc_id", "n_chars")))
@@ -42,15 +49,15 @@ def versioned_rows(spark, sf_dir):
 
 def keyed_rows(spark, sf_dir):
     rows = table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", (F.col("o_orderkey") % 4).alias("version"))
-    path = _text(spark, rows.select(F.col("o_custkey").alias("place"), F.lit(0).alias("part"), F.to_json(F.struct("*")).alias("line")), "keyed")
-    good, bad = artifacts.read_keyed(spark, f"{path}/*", T.StructType.fromDDL("o_custkey long, o_orderkey long, version long"), "o_custkey", "o_orderkey", F.col("r.version") > 0)
+    path = _segments(spark, rows.select(F.col("o_custkey").alias("place"), F.to_json(F.struct("*")).alias("line")), "keyed")
+    good, bad = artifacts.read_keyed(spark, path, T.StructType.fromDDL("o_custkey long, o_orderkey long, version long"), "o_custkey", "o_orderkey", F.col("r.version") > 0)
     return good.select("o_custkey", "o_orderkey").unionByName(bad.agg(F.lit(-1).cast("long").alias("o_custkey"), F.count("*").alias("o_orderkey")))
 
 
 def journal_files(spark, sf_dir):
     rows = table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", "o_orderstatus")
-    path = _text(spark, rows.select(F.lit(0).alias("part"), F.col("o_orderkey").alias("place"), F.to_json(F.struct("*")).alias("line")), "journal")
-    return artifacts.read_journal(spark, f"{path}/*", T.StructType.fromDDL("o_custkey long, o_orderkey long, o_orderstatus string"), ["o_custkey"])
+    path = _segments(spark, rows.select(F.col("o_orderkey").alias("place"), F.to_json(F.struct("*")).alias("line")), "journal")
+    return artifacts.read_journal(spark, path, T.StructType.fromDDL("o_custkey long, o_orderkey long, o_orderstatus string"), ["o_custkey"])
 
 
 def frozen_rows(spark, sf_dir):

@@ -53,6 +53,15 @@ def scratch_dir(spark: SparkSession) -> str:
     return shared
 
 
+#: Rows that a task sorts or groups at once.
+TASK_ROWS = 250_000
+
+
+def parts_for(spark: SparkSession, rows: int) -> int:
+    """Partitions for ``rows``, so that a task's memory stays the same however many there are; AQE doesn't join such parts."""
+    return max(spark.sparkContext.defaultParallelism, -(-rows // TASK_ROWS))
+
+
 def cut(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: what follows doesn't work it out again, and survives lost executors."""
     path = f"{scratch_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"

@@ -22,7 +22,8 @@ def read_keyed(spark: SparkSession, path: str, schema: T.StructType, key: str, s
     whole = T.StructType([*schema.fields, T.StructField("_corrupt", T.StringType())])
     lines = spark.read.text(path).select("value", F.from_json("value", whole, {"columnNameOfCorruptRecord": "_corrupt"}).alias("r"))
     good = F.coalesce(F.col("r._corrupt").isNull() & version, F.lit(False))
-    return latest(lines.filter(good).select(*[f"r.{f.name}" for f in schema.fields]), [key], seq), lines.filter(~good).select("value")
+    rows = lines.filter(good).select(*[f"r.{f.name}" for f in schema.fields])
+    return latest(rows, [key], seq), lines.filter(~good).select("value")
 
 
 def latest(rows: DataFrame, keys: list[str], seq: str) -> DataFrame:
@@ -31,7 +32,7 @@ def latest(rows: DataFrame, keys: list[str], seq: str) -> DataFrame:
 
 
 def read_journal(spark: SparkSession, path: str, schema: T.StructType, keys: list[str]) -> DataFrame:
-    """Latest record of each key in an append-only JSONL file.
+    """Latest record of each key in an append-only JSONL file, or in several whose names tell their order.
 
     A last line without its newline is left out; a complete line that isn't JSON is an error when read. A file is read by
     splits: a line's place is its split's start and its number there, and the bytes of all lines, a newline each, tell
