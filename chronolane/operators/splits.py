@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from chronolane.functions.hashing import hash_int, split_position
 from chronolane.functions.scalars import check_ratios
+from chronolane.session import parts_for
 
 
 #: Keys that are ranked in one task, in the mean.
@@ -137,7 +138,8 @@ def scenario_cases(charts: DataFrame, key: str, scenarios: list[str], modes: dic
 
 def coverage(expected: DataFrame, journal: DataFrame, keys: list[str]) -> DataFrame:
     """(keys..., problem): cases missing from the journal, and ones it shouldn't have."""
-    a, b = expected.select(*keys).distinct().withColumn("e", F.lit(True)), journal.select(*keys).distinct().withColumn("j", F.lit(True))
+    parts = parts_for(expected.sparkSession, expected.count() + journal.count())
+    a, b = (df.select(*keys).repartition(parts, *keys).distinct().withColumn(name, F.lit(True)) for df, name in ((expected, "e"), (journal, "j")))
     return a.join(b, keys, "full").filter("e IS NULL OR j IS NULL").select(*keys, F.when(F.col("j").isNull(), "missing").otherwise("unexpected").alias("problem"))
 
 
