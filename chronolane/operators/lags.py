@@ -10,7 +10,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from chronolane.operators.timeline import resample
+from chronolane.operators.timeline import interpolate
+from chronolane.session import cut, parts_for
 
 
 @dataclass(frozen=True)
@@ -36,10 +37,17 @@ def lag_profile(series: DataFrame, anchors: DataFrame, chart: str, t: str, value
 
     Anchors whose largest value isn't above ``rules.floor`` are silent and take no part; n counts the others. Blocks cut
     the time from the first to the last of them in equal parts. Equal anchors count once. Each anchor's marks join the
-    series in one window by chart, which the later windows share.
+    series in one window by chart, which the later windows share; the number of marks says how many tasks charts are dealt to.
     """
-    marks = anchors.select(chart, F.col(t).cast("double").alias("_anchor")).distinct().withColumn("lag", F.explode(F.array(*[F.lit(float(x)) for x in lags])))
-    at = resample(series, marks.withColumn(t, F.col("_anchor") + F.col("lag")), chart, t, value, ("_anchor", "lag"))
+    each = cut(anchors.select(chart, F.col(t).cast("double").alias("_anchor")).distinct(), "anchors")  # counted, then read
+    series = cut(series.select(chart, t, value), "series")
+    parts = parts_for(anchors.sparkSession, each.count() * len(lags) + series.count())
+    points = series.select(chart, F.col(t).cast("double").alias("t"), F.col(value).cast("double").alias("v"), F.lit(0).alias("mark"))
+    dealt = points.unionByName(each.withColumn("mark", F.lit(1)), allowMissingColumns=True).repartition(parts, chart)
+    # Anchors become marks where they were dealt to, so that they move once and not once for each lag.
+    marks = F.when(F.col("mark") == 1, F.array(*[F.lit(float(x)) for x in lags])).otherwise(F.array(F.lit(None).cast("double")))
+    both = dealt.withColumn("lag", F.explode(marks)).withColumn("t", F.coalesce(F.col("_anchor") + F.col("lag"), "t"))
+    at = interpolate(both, chart, t, value, ("_anchor", "lag"))
     heard = at.withColumn("_scale", F.max(value).over(Window.partitionBy(chart, "_anchor"))).filter(F.col("_scale") > rules.floor)
     whole = Window.partitionBy(chart)
     heard = heard.withColumn("_first", F.min("_anchor").over(whole)).withColumn("_span", F.max("_anchor").over(whole) - F.col("_first"))

@@ -142,6 +142,11 @@ def resample(series: DataFrame, marks: DataFrame, chart: str, t: str, value: str
     """Value at each mark by linear interpolation, clamped at the ends; the marks' columns ``carry`` go along."""
     placed = marks.select(chart, F.col(t).cast("double").alias("t"), F.lit(None).cast("double").alias("v"), F.lit(1).alias("mark"), *carry)
     both = series.select(chart, F.col(t).cast("double").alias("t"), F.col(value).cast("double").alias("v"), F.lit(0).alias("mark")).unionByName(placed, allowMissingColumns=True)
+    return interpolate(both, chart, t, value, carry)
+
+
+def interpolate(both: DataFrame, chart: str, t: str, value: str, carry: tuple[str, ...] = ()) -> DataFrame:
+    """The marks among (chart, t, v, mark, carry...) with their value; mark is 0 for the series' points, whose value is v."""
     point = F.when(F.col("mark") == 0, F.struct("t", "v"))
     # Both run from one end of the chart: a frame that reaches ahead would be summed anew for every row.
     upward, downward = Window.partitionBy(chart).orderBy("t", "mark"), Window.partitionBy(chart).orderBy(F.desc("t"), F.desc("mark"))
