@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from chronolane.operators.tokens import ACTIVE, EMPTY, END, START, TAP
-from chronolane.session import cut
+from chronolane.session import cut, parts_for
 
 
 def _inner(sequences: DataFrame, keys: list[str], tokens: str) -> DataFrame:
@@ -17,6 +17,11 @@ def _inner(sequences: DataFrame, keys: list[str], tokens: str) -> DataFrame:
     return sequences.select(*keys, F.posexplode(cut).alias("i", "token"))
 
 
+def _parts(sequences: DataFrame, tokens: str) -> int:
+    """Tasks to deal sequences to: their tokens are rows, and half of them rows of four lanes."""
+    return parts_for(sequences.sparkSession, 2 * (sequences.agg(F.sum(F.size(tokens))).first()[0] or 0))
+
+
 def cells(sequences: DataFrame, keys: list[str], tokens: str, start: str, initial: str, ticks_per_bar: int, lanes: int = 4) -> tuple[DataFrame, DataFrame]:
     """Lane cells of every row token, and the first reason to reject of each sequence that has one.
 
@@ -26,7 +31,8 @@ def cells(sequences: DataFrame, keys: list[str], tokens: str, start: str, initia
     initial row stands at -1 and a position at the very end at the number of tokens.
     """
     order = Window.partitionBy(*keys).orderBy("i")
-    rows = _inner(sequences, keys, tokens)
+    parts = _parts(sequences, tokens)
+    rows = _inner(sequences.repartition(parts, *keys), keys, tokens)  # whole sequences move, not their tokens
     is_bar, is_pos, is_row = F.col("token") == "BAR", F.col("token").rlike("^POS_[0-9]+$"), F.col("token").rlike(f"^ROW_[0-4]{{{lanes}}}$")
     rows = rows.withColumn("kind", F.when(is_bar, "bar").when(is_pos, "pos").when(is_row, "row").otherwise("other"))
     rows = rows.withColumn("bar", F.sum((F.col("kind") == "bar").cast("int")).over(order) - 1).withColumn("pos", F.when(F.col("kind") == "pos", F.substr("token", F.lit(5)).cast("long")))
@@ -78,6 +84,7 @@ def decode_notes(sequences: DataFrame, keys: list[str], tokens: str, start: str,
     heads = heads.select(*keys, F.lit(-1).alias("i"), F.col("_from").alias("tick"), "lane", F.lit(START).alias("digit"))
     holds = events.filter(F.col("digit") != TAP).unionByName(heads)
     order = Window.partitionBy(*keys, "lane").orderBy("i")
+    holds = holds.repartition(_parts(sequences, tokens), *keys)
     holds = holds.withColumn("end", F.lead("tick").over(order)).filter(F.col("digit") == START).join(spans.select(*keys, "_to"), keys)
     issue = F.concat_ws(",", F.when(F.col("i") < 0, "missing_hold_head"), F.when(F.col("end").isNull(), "missing_hold_tail"))
     holds = holds.withColumn("issue", F.nullif(issue, F.lit(""))).withColumn("end", F.coalesce("end", "_to"))
