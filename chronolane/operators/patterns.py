@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from chronolane.session import cut
+
 
 def row_primitives(rows: DataFrame, chart: str, t: str, row: str, lanes: int = 4) -> DataFrame:
     """(chart, t, delta, notes, jacks, direction, roll, raw, heads, bodies, tails and the lanes of each), from a chart's second row on.
@@ -143,7 +145,8 @@ def cluster_summary(clustered: DataFrame, chart: str, modes: DataFrame, top: int
     from .timeline import interval_amount
 
     keys = [chart, "pattern", "mixed", "bpm"]
-    rows = clustered.join(modes, chart).filter((F.col("mode") != "RC") | ~F.col("pattern").isin(*HELD_CORES))
+    # Written once: amounts, totals and names read them, and each would fold the clusters anew.
+    rows = cut(clustered.join(modes, chart).filter((F.col("mode") != "RC") | ~F.col("pattern").isin(*HELD_CORES)), "clusters")
     amounts = interval_amount(rows, keys, "start", "end", "end")
     total = rows.groupBy(*keys, "mode").agg(F.count("*").alias("_n"))
     named = rows.filter("name IS NOT NULL").groupBy(*keys, "name").agg(F.count("*").alias("_k")).join(total, keys)

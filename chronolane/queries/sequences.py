@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from chronolane.operators import hold_patterns, logits, motif, patterns, stats, tokens
 from chronolane.plans import windows
+from chronolane.session import cut
 
 from .base import EVENTS, bootstrap_sql, events, rounded, table
 
@@ -184,7 +185,7 @@ def wide_held_patterns(spark, sf_dir):
 
 
 def _found(spark, sf_dir) -> DataFrame:
-    rows = _primitives(spark, sf_dir)
+    rows = cut(_primitives(spark, sf_dir), "primitives")  # cores, both kinds of sub-patterns and their spans read them
     names = patterns.specific_patterns(rows, "user_id", "tick").unionByName(hold_patterns.held_patterns(rows, "user_id", "tick", F.lit(40.0)))
     return patterns.found_patterns(rows, "user_id", "tick", specific=names)
 

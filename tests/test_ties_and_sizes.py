@@ -68,3 +68,8 @@ def test_decoded_tokens_are_dealt_to_tasks_by_their_number(spark, monkeypatch):
     rows = spark.range(100).selectExpr("id", "array('BAR', 'POS_3', 'ROW_1000') AS tokens", "0 AS start", "'0000' AS initial")
     found, rejected = decoding.cells(rows, ["id"], "tokens", "start", "initial", 24)
     assert found.rdd.getNumPartitions() == 12 and found.count() == 400 and rejected.count() == 0
+
+
+def test_clusters_are_folded_once(spark):
+    plan = QUERIES["pattern_category"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().toString()
+    assert "MapInArrow" not in plan and "clusters-" in plan
