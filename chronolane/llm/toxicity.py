@@ -1,11 +1,13 @@
 """Toxicity by compression distance: two zstandard dictionaries, window compression lengths, calibrated thresholds.
 
-One dictionary is trained on windows of ordinary texts, one on those of toxic texts. A window is compressed with either;
-the difference in length tells which it is closer to. A toxic document is ordinary language for its most part, so its
-windows are refined by the compression distance itself: after a first fit on all windows of toxic texts, those stay that
-the toxic dictionary shortens by more than it does all but FALSE of ordinary windows, and it is trained again, ROUNDS
-times. Documents are in two folds, and windows are only ever judged by dictionaries of the other fold; so what stays is
-what toxic documents share. The toxic dictionary goes before the ordinary content, as toxic text is ordinary text with
+One dictionary is trained on windows of ordinary texts, one on those of toxic texts. A toxic document is ordinary
+language for its most part, so the toxic dictionary is trained on those of its words that compression tells apart. First
+the toxic texts, and ordinary ones of the same length, are cut into PARTS small parts; words stay that the toxic parts
+shorten, in the mean, by more than the ordinary parts do all but FALSE of ordinary words. What a single dictionary holds by
+chance evens out over the parts, so a word counts that few documents share, as in a language that few are in. Then those
+stay that the toxic dictionary shortens by more than it does all but FALSE of ordinary words, and it is trained again,
+ROUNDS times. Documents are in two folds, and words are only ever judged by dictionaries of the other fold; so what stays
+is what toxic documents share. The toxic dictionary goes before the ordinary content, as toxic text is ordinary text with
 something more; the ordinary one has bytes there that no text contains, so that offsets cost the same.
 
 A logistic curve over the differences of a document, fitted on documents that its dictionaries didn't see, gives a
@@ -13,8 +15,8 @@ logit for each fold's dictionaries. A document's logit is the mean of both; the
 rows by the logit of the other fold's dictionaries, becomes 0.5.
 
 Only the fit of dictionaries and curve sees a sample: at most SAMPLE labelled documents a class, of at most LONGEST
-characters, chosen by a hash of the id, and of their windows at most WINDOWS a fold and class. Thresholds and scores
-cover all rows and whole texts. Inputs of a score are the text alone.
+characters, chosen by a hash of the id, and of their windows at most WINDOWS, of their words WORDS, a fold and class.
+Thresholds and scores cover all rows and whole texts. Inputs of a score are the text alone.
 
 Defined cases: a null text counts as empty; an empty text is one empty window and gets a score; a doc_id labelled more
 than once is toxic if any label is; without toxic or ordinary training rows in both folds all scores are 0; an empty
@@ -37,15 +39,17 @@ from pyspark.sql import functions as F
 
 from .common import small_batches, table, write_cut
 
-SAMPLE, LONGEST, WINDOWS = 2000, 1 << 15, 60_000
-#: Words in a window that is scored, and in the overlapping ones that dictionaries are trained on.
+SAMPLE, LONGEST, WINDOWS, WORDS = 2000, 1 << 15, 60_000, 30_000
+#: Words in a window that is scored, and in the overlapping ones that the ordinary dictionary is trained on.
 SCORED, TRAINED = 4, 2
 #: Bytes of the dictionaries, compression level.
 ORDINARY, TOXIC, LEVEL = 65536, 2048, 3
 #: Bytes of ordinary content behind each window: a short window alone would often be stored as it is, whatever the dictionary.
 TAIL = 64
-#: Rounds in which the toxic windows are refined, and the share of ordinary windows that may pass for toxic.
-ROUNDS, FALSE = 4, 0.003
+#: Parts that texts are cut into, bytes of a part at most, and of a text in it.
+PARTS, PART, EACH = 16, 65536, 4096
+#: Rounds in which the toxic words are refined, and the share of ordinary words that may pass for toxic.
+ROUNDS, FALSE = 2, 0.003
 #: Bins for the choice of the threshold.
 BINS = 2000
 
@@ -56,16 +60,18 @@ def windows(text: str | None, words: int = SCORED, step: int = SCORED) -> list[b
     return [b" " + b" ".join(w[i : i + words]) + b" " for i in range(0, max(1, len(w) - words + step), step)]
 
 
+def _compressor(content: bytes) -> zstandard.ZstdCompressor:
+    params = zstandard.ZstdCompressionParameters.from_level(LEVEL, source_size=128, dict_size=len(content), write_content_size=0, write_checksum=0, write_dict_id=0)
+    data = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+    data.precompute_compress(compression_params=params)
+    return zstandard.ZstdCompressor(compression_params=params, dict_data=data)
+
+
 class Compressors:
     """Both dictionaries, ready to compress."""
 
     def __init__(self, ordinary: bytes, toxic: bytes) -> None:
-        self.tail, self.both = ordinary[-TAIL:], []
-        for content in (b"\xff" * len(toxic) + ordinary, toxic + ordinary):
-            params = zstandard.ZstdCompressionParameters.from_level(LEVEL, source_size=128, dict_size=len(content), write_content_size=0, write_checksum=0, write_dict_id=0)
-            data = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-            data.precompute_compress(compression_params=params)
-            self.both.append(zstandard.ZstdCompressor(compression_params=params, dict_data=data))
+        self.tail, self.both = ordinary[-TAIL:], [_compressor(content) for content in (b"\xff" * len(toxic) + ordinary, toxic + ordinary)]
 
     def differences(self, cut: list[bytes]) -> np.ndarray:
         """How many bytes shorter each window is with the toxic dictionary."""
@@ -120,25 +126,51 @@ def fold_of(text: str) -> int:
     return xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass")) >> 7 & 1
 
 
+def _parts(toxic: list[str], ordinary: list[str], rng: random.Random) -> tuple[list[bytes], list[bytes]]:
+    """Toxic and ordinary texts dealt into parts; the two of a pair are equally long."""
+    n = min(PARTS, len(toxic), len(ordinary))
+    plain = lambda t: b" " + b" ".join(t.lower().encode("utf-8", "surrogatepass").split())[:EACH] + b" "
+    dealt = [[b"".join(plain(t) for t in docs[k::n])[:PART] for k in range(n)] for docs in (rng.sample(side, len(side)) for side in (toxic, ordinary))]
+    return tuple(map(list, zip(*[(t[: len(o)], o[: len(t)]) for t, o in zip(*dealt, strict=True)], strict=True)))
+
+
+def _leanings(cut: list[bytes], toxic: list[bytes], ordinary: list[bytes], tail: bytes) -> np.ndarray:
+    """How many bytes shorter each word is, in the mean, with a toxic part as its dictionary than with an ordinary one."""
+    place = {w: i for i, w in enumerate(dict.fromkeys(cut))}
+    once, sums = [w + tail for w in place], np.zeros(len(place))
+    for sign, parts in ((-1, toxic), (1, ordinary)):
+        for part in parts:
+            c = _compressor(part + tail).compress
+            sums += sign * np.fromiter((len(c(w)) for w in once), np.float64, len(once))
+    return sums[[place[w] for w in cut]] / len(toxic)
+
+
 def fit(toxic: list[str], ordinary: list[str], seed: int = 7) -> tuple[Model, Model] | None:
     """Train dictionaries and curves on texts, in two folds; None if a class is missing in one."""
     rng = random.Random(seed)
-    few = lambda cut: rng.sample(cut, WINDOWS) if len(cut) > WINDOWS else cut
+    few = lambda cut, most: rng.sample(cut, most) if len(cut) > most else cut
     texts = [[[t for t in dict.fromkeys(side) if fold_of(t) == f] for f in (0, 1)] for side in (toxic, ordinary)]
     if not all(t for side in texts for t in side):
         return None
-    cut = [[few([w for t in fold for w in windows(t, TRAINED, 1)]) for fold in side] for side in texts]
-    base = [_trained(ORDINARY, c) for c in cut[1]]
-    kept = last = cut[0]
+    base = [_trained(ORDINARY, few([w for t in fold for w in windows(t, TRAINED, 1)], WINDOWS)) for fold in texts[1]]
+    # A word counts once for each text.
+    cut = [[few([w for t in fold for w in dict.fromkeys(windows(t, 1, 1))], WORDS) for fold in side] for side in texts]
+    kept = []
+    for f in (0, 1):
+        lean = _leanings(cut[1][f] + cut[0][f], *_parts(texts[0][1 - f], texts[1][1 - f], rng), base[1 - f][-TAIL:])
+        n = len(cut[1][f])
+        bar = max(0.0, np.quantile(lean[:n], 1 - FALSE, method="higher"))
+        kept.append([w for w, d in zip(cut[0][f], lean[n:], strict=True) if d > bar] or cut[0][f])
+    last = None
     for _ in range(ROUNDS):
         made = [Compressors(b, _trained(TOXIC, k)) for b, k in zip(base, kept, strict=True)]
         now = []
         for f in (0, 1):
             other = made[1 - f]
             bar = max(0.0, np.quantile(other.differences(cut[1][f]), 1 - FALSE, method="higher"))
-            now.append([w for w, d in zip(cut[0][f], other.differences(cut[0][f]), strict=True) if d > bar] or last[f])
+            now.append([w for w, d in zip(cut[0][f], other.differences(cut[0][f]), strict=True) if d > bar] or kept[f])
         # What the last two rounds chose, as what fits into a dictionary may change by turns.
-        kept, last = now if last is cut[0] else [list(dict.fromkeys([*p, *q])) for p, q in zip(last, now, strict=True)], now
+        kept, last = now if last is None else [p + q for p, q in zip(last, now, strict=True)], now
     own = [_trained(TOXIC, k) for k in kept]
     models = []
     for f in (0, 1):

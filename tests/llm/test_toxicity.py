@@ -94,3 +94,30 @@ def test_scores_equal_a_plain_loop(spark):
     got = {r.doc_id: r.toxic_score for r in score_toxicity(docs, marked, ["doc_id"]).collect()}
     for i, (a, b) in logits.items():
         assert abs(got[i] - 1 / (1 + math.exp(cut - (a + b) / 2))) < 1e-6
+
+
+def test_toxic_words_of_a_language_with_few_documents_are_found():
+    """Made of the syllables of its ordinary words, each another one, in an eighth of the documents."""
+    rng = random.Random(5)
+    common = ["an", "the", "tion", "er", "ou", "re", "st", "in", "ly", "ed", "ha", "es", "on", "th"]
+    rare = ["aux", "elle", "ique", "ment", "eau", "oir", "vi", "qu", "euil", "ai", "ch", "pa", "gne", "ille"]
+    word = lambda of: "".join(rng.choice(of) for _ in range(rng.randint(1, 4)))
+
+    def text(i):
+        few = i % 8 == 0
+        words = [word(rare if few else common) for _ in range(rng.randint(60, 240))]
+        if i % 16 < 2:
+            for at in rng.sample(range(len(words)), rng.randint(4, 8)):
+                words[at] = "cheuilvi" + rng.choice(rare) if few else rng.choice(["vilewretch", "scumbag", "dimwit", "grubface", "worthless"])
+        return few, " ".join(words)
+
+    rows = [(i % 16 < 2, *text(i)) for i in range(1600)]
+    seen, held = rows[:1200], rows[1200:]
+    models = fit([t for y, _, t in seen if y], [t for y, _, t in seen if not y])
+    logit = lambda t: sum(m.logits([t], toxicity.Compressors(m.ordinary, m.toxic))[0] for m in models) / 2
+    scores = [(few, y, logit(t)) for y, few, t in held]
+    clean = sorted(s for _, y, s in scores if not y)
+    bar = clean[-1 - len(clean) // 50]
+    for language in (False, True):
+        toxic = [s for few, y, s in scores if y and few == language]
+        assert sum(s > bar for s in toxic) >= 0.9 * len(toxic) > 0
