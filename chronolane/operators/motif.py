@@ -47,15 +47,16 @@ def motif_keys(stepped: DataFrame, seq: list[str], length: int) -> DataFrame:
     return rows.filter("_last IS NOT NULL").select(*seq, "i", "motif")
 
 
-def motif_topk(stepped: DataFrame, seq: list[str], by: list[str], top: int) -> DataFrame:
+def motif_topk(stepped: DataFrame, seq: list[str], by: list[str], top: int, written: bool = False) -> DataFrame:
     """(by..., motif, length, n): the ``top`` most frequent motifs of any length in each scope; ties by text.
 
     Level by level: a motif is extended only while it is inside the current top, as no longer one can be more frequent
-    than its beginning. The steps are worked out once and written; levels read them, and end when nothing is left to
-    extend. The frontier has at most ``top`` rows a scope; it is hinted for broadcast below FRONTIER rows.
+    than its beginning. The steps are worked out once and written, unless they are ``written`` already; levels read them,
+    and end when nothing is left to extend. The frontier has at most ``top`` rows a scope; it is hinted for broadcast
+    below FRONTIER rows.
     """
     spark = stepped.sparkSession
-    stepped = cut(stepped, "steps")
+    stepped = stepped if written else cut(stepped, "steps")
     head, frontier, alive = None, None, []
     rank = F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("n"), "motif"))
     for length in count(1):

@@ -23,8 +23,8 @@ def _steps(spark, sf_dir):
     return motif.scope_steps(rows, ["user_id"], ["ms", "event_id"], "lane", "event_type", "bar", keep=("week",))
 
 
-def _list(stepped):
-    return motif.motif_topk(stepped.drop("week"), ["user_id", "scope", "part"], ["scope"], TOP).select("scope", "motif")
+def _list(stepped, written=False):
+    return motif.motif_topk(stepped.drop("week"), ["user_id", "scope", "part"], ["scope"], TOP, written).select("scope", "motif")
 
 
 def motif_report(spark, sf_dir):
@@ -66,9 +66,10 @@ def whole_summary(spark, sf_dir):
 
 def _halves(spark, sf_dir):
     """Motif counts of each half of the users, and of all of them, by the list of all."""
-    stepped = _steps(spark, sf_dir).withColumn("side", F.pmod("user_id", F.lit(2)))
-    listed = _list(stepped.drop("side"))
-    return vocabulary.motif_report(stepped, ["side", "user_id"], listed, by=["side"]), vocabulary.motif_report(stepped.drop("side"), ["user_id"], listed)
+    stepped = cut(_steps(spark, sf_dir).drop("week").withColumn("side", F.pmod("user_id", F.lit(2))), "steps")  # the list and both reports read it
+    listed = _list(stepped.drop("side"), written=True)
+    made, human = vocabulary.motif_report(stepped, ["side", "user_id"], listed, by=["side"]), vocabulary.motif_report(stepped.drop("side"), ["user_id"], listed)
+    return cut(made, "made"), cut(human, "human")  # a row for each motif; every distance reads them
 
 
 def distance_recheck(spark, sf_dir):

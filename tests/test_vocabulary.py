@@ -1,6 +1,7 @@
 """Motif lists, ranks and distances against plain loops."""
 
 import math
+import os
 import random
 from collections import Counter
 
@@ -195,3 +196,18 @@ def test_issues_and_missing_charts(spark):
         reports.seed_scores(requested, samples.filter("NOT (seed = 1 AND chart = 8)"), "chart", "seed", ["lane"], "pos")
     with pytest.raises(ValueError):
         reports.seed_scores(requested, samples.withColumn("chart", samples.chart + 5), "chart", "seed", ["lane"], "pos")
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="needs the supplied tables")
+def test_halves_read_the_events_once(spark, monkeypatch):
+    """Steps are written once, and distances read written counts."""
+    from chronolane.operators import motif
+    from chronolane.queries import vocabulary as queries
+
+    written = []
+    keep = lambda real: lambda df, name: written.append((name, any("events.parquet" in f for f in df.inputFiles()))) or real(df, name)
+    for module in (queries, motif):
+        monkeypatch.setattr(module, "cut", keep(module.cut))
+    for counts in queries._halves(spark, "/root/testdata/sf0.001"):
+        assert not any("events.parquet" in f for f in counts.inputFiles())
+    assert written == [("steps", True), ("made", False), ("human", False)]
