@@ -18,6 +18,11 @@ together; then, in tiles where components still differ, with all of them. So a g
 about a pair a member, and no link between different components is lost: the last pass leaves out only pairs of one
 component and pairs that were compared before.
 
+Offers are the bulk of what is shuffled, as nearly every set makes hundreds. Tiles are therefore gathered in up to SLICES
+passes, each over the keys with some lowest bits, which lie in a column of their own: a pass reads, shuffles and joins its
+part of the offers alone, and all passes together no more than one over all of them would. What no later step reads is
+removed from the shared folder on the way.
+
 Links are counted on demand: inside each component every two classes are compared once, in blocks of bounded rows and
 bytes, by bitmap and arrays, or by products of the blocks' incidence matrices where most pairs pass the bitmap. Pairs
 are summed where they are found and never leave the task; the work is quadratic in a component's classes, not in their
@@ -40,7 +45,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_BYTES, small_batches, small_side, table, write_cut
+from .common import BROADCAST_BYTES, cuts, drop_unread, small_batches, small_side, table, write_cut
 from .components import components
 
 BITS = 1024
@@ -50,6 +55,8 @@ BLOCK, BLOCK_BYTES = 1024, 8 << 20
 BAND, GRAM = 4, 3
 #: Members from which a tile is parted further.
 SPLIT = 4096
+#: Parts of the tiles' keys (a power of two), and hashes of all sets in a pass over some of them, if there are enough parts.
+SLICES, PASS = 8, 1 << 24
 #: Words kept in a task's table of word hashes before it starts anew.
 CACHED = 1 << 17
 #: Columns of an incidence matrix at a time.
@@ -143,11 +150,21 @@ def _bitmap(hashes: np.ndarray) -> bytes:
     return np.packbits((np.bincount((hashes >> np.uint64(3) & np.uint64(BITS - 1)).astype(np.int64), minlength=BITS) & 1).astype(np.uint8)).tobytes()
 
 
-FEATURES = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("digest", pa.binary()), ("bits", pa.binary()), ("sigs", pa.list_(pa.int64()))])
+FEATURES = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("digest", pa.binary()), ("bits", pa.binary()), *[(f"sigs{k}", pa.list_(pa.int64())) for k in range(SLICES)]])
+
+
+def _sliced(sigs: list[np.ndarray]) -> list[pa.ListArray]:
+    """For each slice, the keys in it of every set."""
+    keys, ends = np.concatenate([*sigs, np.empty(0, np.int64)]), np.cumsum([0, *map(len, sigs)])
+    slices = []
+    for k in range(SLICES):
+        own = keys & (SLICES - 1) == k
+        slices.append(pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(own)])[ends].astype(np.int32)), pa.array(keys[own])))
+    return slices
 
 
 def features(docs: DataFrame, words: int, num: int, den: int) -> DataFrame:
-    """(row, doc_id, n, digest, bits, sigs) of every text; write it at once, as ``row`` follows the partitions."""
+    """(row, doc_id, n, digest, bits, sigs0, ...) of every text; write it at once, as ``row`` follows the partitions."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingle = Shingler(words)
@@ -159,11 +176,10 @@ def features(docs: DataFrame, words: int, num: int, den: int) -> DataFrame:
                 digests.append(xxhash.xxh3_128_digest(h.tobytes()))
                 bits.append(_bitmap(h))
                 sigs.append(signatures(h, num, den).view(np.int64))
-            ends = np.concatenate([[0], np.cumsum([len(s) for s in sigs])]).astype(np.int32)
-            lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([*sigs, np.empty(0, np.int64)])))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(bits, pa.binary()), lists], schema=FEATURES)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(bits, pa.binary()), *_sliced(sigs)], schema=FEATURES)
 
-    made = small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n long, digest binary, bits binary, sigs array<long>")
+    columns = ", ".join(["doc_id long, n long, digest binary, bits binary", *[f"sigs{k} array<long>" for k in range(SLICES)]])
+    made = small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, columns)
     return made.select(F.monotonically_increasing_id().alias("row"), "*")
 
 
@@ -216,8 +232,8 @@ def _arrays(pairs: DataFrame, classes: DataFrame, docs: DataFrame, words: int, h
     return made if have is None else have.unionByName(made)
 
 
-def _parts(offers: DataFrame, hot: DataFrame, classes: DataFrame, docs: DataFrame, words: int, num: int, den: int) -> DataFrame:
-    """(sig, node) that replace offers to the tiles in ``hot``, a part of a tile for each; texts are read again."""
+def _parts(nodes: DataFrame, hot: DataFrame, classes: DataFrame, docs: DataFrame, words: int, num: int, den: int) -> DataFrame:
+    """(sig, node) that replace the offers of ``nodes`` to the tiles in ``hot``, a part of a tile for each; texts are read again."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingle = Shingler(words)
@@ -228,7 +244,7 @@ def _parts(offers: DataFrame, hot: DataFrame, classes: DataFrame, docs: DataFram
                 if len(tiles):
                     yield pa.RecordBatch.from_arrays([pa.array([xxhash.xxh3_128_digest(h.tobytes())] * len(tiles), pa.binary()), pa.array(tiles), pa.array(parts)], ["digest", "tile", "sig"])
 
-    texts, wanted = _texts(offers.join(hot, "sig", "left_semi").select("node").distinct(), classes, docs)
+    texts, wanted = _texts(nodes, classes, docs)
     dealt = texts.mapInArrow(run, "digest binary, tile long, sig long").join(hot.withColumnRenamed("sig", "tile"), "tile", "left_semi")
     return dealt.join(small_side(wanted.select("digest", "node"), 64), "digest").select("sig", "node").distinct()
 
@@ -380,25 +396,37 @@ def jaccard_components(docs: DataFrame, words: int = 5, num: int = 80, den: int
 
     With ``count_links`` also n_links, the number of other rows that it is linked with.
     """
-    made = write_cut(features(docs, words, num, den), "features")
+    spark, mark = docs.sparkSession, cuts()
+    dealt = write_cut(features(docs, words, num, den), "features")
+    made = write_cut(dealt.select("row", "doc_id", "n", "digest", "bits"), "rows")
     # A class is known by its first row.
     classes = write_cut(made.filter("n > 0").groupBy("digest").agg(F.min("row").alias("node"), F.min("doc_id").alias("least"), F.count("*").alias("class_size")), "classes")
-    first = made.withColumnRenamed("row", "node").join(small_side(classes.select("node"), 16), "node", "left_semi").select("node", "n", "bits", "sigs")
-    sketches = first.select("node", "n", "bits")
-    offers = first.select(F.explode("sigs").alias("sig"), "node")
+    firsts = small_side(classes.select("node"), 16)
+    sketches = made.withColumnRenamed("row", "node").join(firsts, "node", "left_semi").select("node", "n", "bits")
     tile = lambda offered: offered.groupBy("sig").agg(F.min("node").alias("low"), F.max("node").alias("high"), F.count("*").alias("size")).filter("low < high")
-    tiles = write_cut(tile(offers), "tiles")
-    large = tiles.filter(F.col("size").between(3, SPLIT)).select("sig", "low")
-    members = offers.join(small_side(large, 40), "sig").select("sig", "node", "low")
-    hot = tiles.filter(F.col("size") > SPLIT).select("sig")
-    if not hot.isEmpty():
-        dealt = write_cut(_parts(offers, small_side(hot, 16), classes, docs, words, num, den), "parts")
-        again = write_cut(tile(dealt), "part-tiles")
+    passes = min(SLICES, 1 + (made.agg(F.sum("n")).first()[0] or 0) // PASS)
+    tiles, members, crowds = [], [], []
+    for k in range(passes):
+        sigs = F.concat(*[f"sigs{i}" for i in range(k, SLICES, passes)])
+        offers = dealt.select(F.col("row").alias("node"), sigs.alias("sigs")).join(firsts, "node", "left_semi").select(F.explode("sigs").alias("sig"), "node")
+        tiles.append(write_cut(tile(offers), "tiles"))
+        large = tiles[k].filter(F.col("size").between(3, SPLIT)).select("sig", "low")
+        members.append(write_cut(offers.join(small_side(large, 40), "sig").select("sig", "node", "low"), "members"))
+        hot = tiles[k].filter(F.col("size") > SPLIT).select("sig")
+        if not hot.isEmpty():
+            crowds.append(write_cut(offers.join(small_side(hot, 16), "sig", "left_semi").select("node").distinct(), "crowds"))
+    tiles = reduce(DataFrame.unionByName, tiles)
+    if crowds:
+        hot = tiles.filter(F.col("size") > SPLIT).select("sig")
+        apart = write_cut(_parts(reduce(DataFrame.unionByName, crowds).distinct(), small_side(hot, 16), classes, docs, words, num, den), "parts")
+        again = write_cut(tile(apart), "part-tiles")
         tiles = tiles.filter(F.col("size") <= SPLIT).unionByName(again)
-        members = members.unionByName(dealt.join(small_side(again.filter("size > 2").select("sig", "low"), 40), "sig").select("sig", "node", "low"))
-    members = write_cut(members, "members")
+        members.append(apart.join(small_side(again.filter("size > 2").select("sig", "low"), 40), "sig").select("sig", "node", "low"))
+    members = write_cut(reduce(DataFrame.unionByName, members), "members")
+    drop_unread(spark, mark, made, classes, tiles, members)
     stars = tiles.filter("size = 2").select(F.col("low").alias("a"), F.col("high").alias("b")).unionByName(members.filter("node > low").select(F.col("low").alias("a"), F.col("node").alias("b"))).distinct()
     tried = write_cut(_bounded(stars, sketches, num, den), "likely")
+    drop_unread(spark, mark, made, classes, members, tried)
     arrays = _arrays(tried, classes, docs, words)
     same = write_cut(_same_ids(made, classes), "same-ids")
     links = write_cut(_linked(tried, arrays, num, den).unionByName(same), "links")
@@ -427,7 +455,9 @@ def jaccard_components(docs: DataFrame, words: int = 5, num: int = 80, den: int
     placed = placed.drop("node")
     if classes.count() * 64 <= BROADCAST_BYTES:
         placed = F.broadcast(placed)
-    return made.select("doc_id", "n", "digest").join(placed, "digest", "left").select(*columns)
+    out = made.select("doc_id", "n", "digest").join(placed, "digest", "left").select(*columns)
+    drop_unread(spark, mark, out)
+    return out
 
 
 def op2_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -177,3 +177,66 @@ def test_a_refused_first_pair_hides_no_linked_one(spark, words, num, den, seed):
     out = jaccard.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1), words, num, den, count_links=True).collect()
     assert sorted((r.doc_id, r.n_shingles, r.component_id, r.n_links) for r in out) == brute(rows, words, num, den)
     assert {r.doc_id: r.component_id for r in out} == {0: 0, 1: 1, 2: 1}
+
+
+def test_tiles_are_gathered_in_passes_that_each_hold_a_part_of_the_offers(spark, monkeypatch):
+    rows = corpus(5, 6)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for name, value in (("PASS", 256), ("SPLIT", 4), ("BROADCAST_BYTES", 0)):
+        monkeypatch.setattr(jaccard, name, value, raising=False)
+    monkeypatch.setattr("chronolane.llm.common.BROADCAST_BYTES", 0)  # all sides shuffle
+    sizes, write = [], jaccard.write_cut
+
+    def noted(df, name):
+        out = write(df, name)
+        if name == "tiles":
+            sizes.append(out.count())
+        return out
+
+    monkeypatch.setattr(jaccard, "write_cut", noted)
+    out = jaccard.jaccard_components(docs, 5, 80, 100, count_links=True).collect()
+    assert sorted((r.doc_id, r.n_shingles, r.component_id, r.n_links) for r in out) == brute(rows, 5, 80, 100)
+    assert len(sizes) == 8 and max(sizes) < sum(sizes) / 4
+
+
+def test_a_set_offers_each_key_in_one_slice(spark):
+    import numpy as np
+
+    rows = corpus(3, 2)
+    made = jaccard.features(spark.createDataFrame(rows, "doc_id long, text string"), 3, 90, 100).collect()
+    shingle = jaccard.Shingler(3)
+    for r in made:
+        slices = [r[f"sigs{k}"] for k in range(jaccard.SLICES)]
+        assert sorted(s for part in slices for s in part) == sorted(jaccard.signatures(shingle(rows[r.doc_id][1]), 90, 100).view(np.int64).tolist())
+        assert all(s % jaccard.SLICES == k for k, part in enumerate(slices) for s in part)
+
+
+def test_only_what_the_result_reads_is_left(spark):
+    from pathlib import Path
+
+    from chronolane.llm.common import cuts, cuts_since
+
+    mark = cuts()
+    out = jaccard.jaccard_components(spark.createDataFrame(corpus(5, 3), "doc_id long, text string"))
+    read = {Path(f).parent.name for f in out.inputFiles()}
+    assert {path.rpartition("/")[2] for path in cuts_since(mark)} == read
+    assert not any(name.startswith(("features", "tiles", "members", "arrays", "likely")) for name in read) and out.count()
+
+
+def test_shuffle_files_go_when_a_cut_is_written(spark):
+    import time
+
+    from pyspark.sql import functions as F
+
+    from chronolane.llm.common import SHUFFLE_CLEANUP, write_cut
+
+    files = lambda: {f.getName() for f in spark._jvm.scala.jdk.javaapi.CollectionConverters.asJava(spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()) if f.getName().startswith("shuffle_")}
+    there, set_before = files(), spark.conf.get(SHUFFLE_CLEANUP)
+    again = spark.range(20_000).withColumn("k", F.col("id") % 700).groupBy("k").agg(F.sum("id").alias("n"))
+    out = write_cut(again, "sums")
+    for _ in range(50):
+        if not files() - there:
+            break
+        time.sleep(0.1)
+    assert not files() - there and spark.conf.get(SHUFFLE_CLEANUP) == set_before
+    assert out.count() == 700 and again.count() == 700
